@@ -38,12 +38,19 @@ def access_log_lines(events: DataFrame, offset_hours: int = -4) -> DataFrame:
     return events.select(F.col("event_id").alias("line_id"), line.alias("line"))
 
 
-def packet_bodies(events: DataFrame) -> DataFrame:
-    """Packet records as event bodies: a JSON object per line, mostly single-quoted
-    as in the reference's data files, followed by the fields of ``props``."""
+PACKET_DIMS = {"src": "user_id", "app": "event_type", "rs": "value"}
+HEAVY_PACKET_DIMS = {"src": "event_type", "dst": "user_id", "rs": "value"}
+
+
+def packet_bodies(events: DataFrame, dims: dict | None = None) -> DataFrame:
+    """Packet records as event bodies: a JSON object per line, single-quoted
+    as in the reference's data files, followed by the fields of ``props``.
+    ``dims`` maps packet field -> events column (default: src = user,
+    app = event type, rs = value)."""
+    dims = dims or PACKET_DIMS
     props_fields = F.regexp_replace(F.col("props"), r"^\s*\{|\}\s*$", "")
-    head = F.format_string("{'src': '%s', 'app': '%s', 'rs': '%s'",
-                           F.col("user_id").cast("string"), F.col("event_type"), F.col("value").cast("string"))
+    head = F.concat(F.lit("{"), F.concat_ws(", ", *[
+        F.concat(F.lit(f"'{k}': '"), F.col(c).cast("string"), F.lit("'")) for k, c in dims.items()]))
     body = F.when(F.length(F.trim(props_fields)) > 0, F.concat(head, F.lit(", "), props_fields, F.lit("}"))) \
         .otherwise(F.concat(head, F.lit("}")))
     return events.select(F.col("ts"), body.alias("body"))
