@@ -8,3 +8,4 @@ streaming); it is checked by row count and by tests against brute force.
 from fathom.plans.registry import ORACLE, QUERIES, query  # noqa: F401
 from fathom.plans import web  # noqa: F401,E402  (registers)
 from fathom.plans import net  # noqa: F401,E402
+from fathom.plans import rec  # noqa: F401,E402
