@@ -10,3 +10,4 @@ from fathom.plans import web  # noqa: F401,E402  (registers)
 from fathom.plans import net  # noqa: F401,E402
 from fathom.plans import rec  # noqa: F401,E402
 from fathom.plans import text  # noqa: F401,E402
+from fathom.plans import sources  # noqa: F401,E402
