@@ -88,39 +88,32 @@ def ip_page_views(hits: DataFrame, ip_value, uri_value, ip: str = "ip", uri: str
             .select(F.lit(ip_value).alias(ip), F.lit(uri_value).alias(uri), "views"))
 
 
-def next_hit_us(hits: DataFrame, keys: list[str], ts: str = "ts", order: str = "hit_id",
-                chunk="1 hour") -> DataFrame:
-    """Adds ``ts_us`` and ``next_us``: the time of the same key's next hit in
-    (ts, order) order, or null for its last hit.
-
-    Skew-safe: the ordering window is partitioned by (keys, time chunk), so one
-    hot ip is spread over many tasks. The next hit of a chunk's last row is the
-    first hit of the key's next non-empty chunk, read from a per-chunk summary
-    (one row per key and chunk) with its own small window.
-    """
-    h = hits.withColumn("ts_us", epoch_us(ts)).withColumn("_chunk", bucket_index(ts, chunk))
-    part = [*keys, "_chunk"]
-    w = Window.partitionBy(*part).orderBy("ts_us", order)
-    h = h.withColumn("_next_in_chunk", F.lead("ts_us").over(w))
-    summary = h.groupBy(*part).agg(F.min("ts_us").alias("_first_us"))
-    summary = summary.withColumn(
-        "_next_chunk_first", F.lead("_first_us").over(Window.partitionBy(*keys).orderBy("_chunk"))
-    ).drop("_first_us")
-    out = h.join(summary, part, "left")
-    return out.withColumn("next_us", F.coalesce("_next_in_chunk", "_next_chunk_first")) \
-        .drop("_next_in_chunk", "_next_chunk_first", "_chunk")
-
-
 def bounce_flags(hits: DataFrame, timeout="10 minutes", ip: str = "ip", ts: str = "ts", order: str = "hit_id",
                  session_cut: list[str] | None = None, chunk="1 hour") -> DataFrame:
     """Each hit with ``bounce``: the ip has no later hit, or the next one is
     strictly more than ``timeout`` later. ``session_cut`` columns (e.g. a slice
-    id) end a session at their boundary."""
+    id) end a session at their boundary.
+
+    Skew-safe: hits are ordered within (ip, time chunk), so one hot ip is
+    spread over many tasks. With the chunk width ``W >= timeout``, a chunk's
+    last hit only needs the first hit of the *next* chunk: if that chunk is
+    empty, the next hit is more than ``W`` away, which is a bounce anyway. So
+    each chunk's first time (a small partial aggregate) is added as a sentinel
+    row to the chunk before it, and one ``lead`` over (ip, chunk) decides.
+    """
     hits = ensure_ntz(hits, ts)
     keys = [ip, *(session_cut or [])]
     t = micros_of(timeout)
-    n = next_hit_us(hits, keys, ts, order, chunk)
-    return n.withColumn("bounce", F.col("next_us").isNull() | (F.col("ts_us") + F.lit(t) < F.col("next_us")))
+    width = max(micros_of(chunk), t)
+    h = hits.withColumn("ts_us", epoch_us(ts))
+    h = h.withColumn("_chunk", F.expr(f"(ts_us - pmod(ts_us, {width})) div {width}")).withColumn("_sentinel", F.lit(False))
+    firsts = h.groupBy(*keys, "_chunk").agg(F.min("ts_us").alias("ts_us")) \
+        .select(*keys, "ts_us", (F.col("_chunk") - 1).alias("_chunk"), F.lit(True).alias("_sentinel"))
+    u = h.unionByName(firsts, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_chunk").orderBy("ts_us", "_sentinel", order)
+    u = u.withColumn("_next", F.lead("ts_us").over(w)).where(~F.col("_sentinel"))
+    return u.withColumn("bounce", F.col("_next").isNull() | (F.col("ts_us") + F.lit(t) < F.col("_next"))) \
+        .drop("_chunk", "_sentinel", "_next")
 
 
 def bounce_counts(hits: DataFrame, timeout="10 minutes", ip: str = "ip", uri: str = "uri", ts: str = "ts",
