@@ -12,7 +12,7 @@ def _c(col) -> Column:
 
 def sorted_entries(dims) -> Column:
     """Entries of a map, ascending by key."""
-    return F.array_sort(F.map_entries(_c(dims)))
+    return F.sort_array(F.map_entries(_c(dims)))
 
 
 def series_key(dims) -> Column:

@@ -47,7 +47,9 @@ def detect_anomalies(counts: DataFrame, interval, lookback: int = 10, mean_thres
     facts stamped with the bucket start: ``series_key, bucket, n, ts[, dims]``."""
     f = anomaly_flags(counts, lookback, mean_threshold, sensitivity).where("flag")
     cols = ["series_key", "bucket", "n", bucket_start("bucket", interval).alias("ts")]
-    if "dims" in counts.columns:
+    if "dims_json" in counts.columns:
+        cols.append(F.from_json("dims_json", "map<string,string>").alias("dims"))
+    elif "dims" in counts.columns:
         cols.append("dims")
     return f.select(*cols)
 

@@ -182,7 +182,7 @@ def fanout_dimensions(facts: DataFrame, required=("src",), max_size: int = 2, di
     has_req = F.lit(True)
     for r in req:
         has_req = has_req & F.col(dims).getItem(r).isNotNull()
-    rest = F.array_sort(F.map_entries(F.map_filter(dims, lambda k, v: ~k.isin(*req) if req else F.lit(True))))
+    rest = F.sort_array(F.map_entries(F.map_filter(dims, lambda k, v: ~k.isin(*req) if req else F.lit(True))))
     req_entries = F.map_entries(F.map_filter(dims, lambda k, v: k.isin(*req) if req else F.lit(False)))
     f = facts.where(has_req).select(*keep, rest.alias("_rest"), req_entries.alias("_req"))
     subsets = index_subsets(F.size("_rest"), max_size)

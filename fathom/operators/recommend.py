@@ -178,8 +178,8 @@ def recommend_for_user(ratings_store: DataFrame, recs: DataFrame, items: DataFra
     one = recommendation_listing(ratings_store.where(F.col("user_id") == F.lit(user_id)),
                                  recs.where(F.col("user_id") == F.lit(user_id)), items)
     g = one.groupBy("user_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("list") == "rated", F.struct("item_id", "title")))),
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("list") == "rated", F.struct("item_id", "title")))),
                     lambda s: s["title"]).alias("rated"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("list") == "recommended", F.struct("item_id", "title")))),
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("list") == "recommended", F.struct("item_id", "title")))),
                     lambda s: s["title"]).alias("recommended"))
     return g

@@ -22,9 +22,14 @@ def _bucket_of_literal(value, width) -> int:
 def interval_counts(facts: DataFrame, interval="5 seconds", key: str = "series_key", ts: str = "ts",
                     carry: tuple[str, ...] = ()) -> DataFrame:
     """Events per (key, ``floor(ts / interval)``) -> ``key, bucket, n``.
-    ``carry`` columns are functions of the key (e.g. its dims map) kept along."""
+
+    ``carry`` columns are functions of the key (e.g. its dims map); they are
+    kept as JSON text (``<name>_json``) and used as extra grouping keys, so the
+    aggregation stays a hash aggregate with map-side combining (a map-typed
+    buffer would force a sort-based aggregate over every row)."""
     f = ensure_ntz(facts, ts).withColumn("bucket", bucket_index(ts, interval))
-    return f.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n"), *[F.any_value(c).alias(c) for c in carry])
+    extra = [F.to_json(c).alias(f"{c}_json") for c in carry]
+    return f.groupBy(key, "bucket", *extra).agg(F.count(F.lit(1)).alias("n"))
 
 
 def traffic_counts(facts: DataFrame, interval="5 seconds", start=None, end=None, ts: str = "ts") -> DataFrame:

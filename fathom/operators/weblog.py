@@ -70,7 +70,7 @@ def page_view_map(hits: DataFrame, ip: str = "ip", uri: str = "uri") -> DataFram
     """One row per ip: ``key`` = ip, ``value`` = map uri -> views."""
     pv = page_views(hits, ip, uri)
     return pv.groupBy(F.col(ip).alias("key")).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(uri), F.col("views"))))).alias("value"))
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(uri), F.col("views"))))).alias("value"))
 
 
 def ip_visit_total(hits: DataFrame, ip_value=None, ip: str = "ip") -> DataFrame:

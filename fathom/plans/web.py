@@ -54,7 +54,7 @@ def page_views(spark, sf):
 SELECT ip AS key, string_agg(uri || '=' || CAST(n AS VARCHAR), ',' ORDER BY uri) AS value FROM pv GROUP BY ip""")
 def page_view_map(spark, sf):
     m = W.page_view_map(_hits(spark, sf))
-    rendered = F.array_join(F.transform(F.array_sort(F.map_entries("value")),
+    rendered = F.array_join(F.transform(F.sort_array(F.map_entries("value")),
                                         lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
     return m.select("key", rendered.alias("value"))
 
