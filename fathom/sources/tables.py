@@ -39,11 +39,15 @@ def read_slice(spark: SparkSession, path: str, ts_col: str, start=None, end=None
     return df
 
 
-def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files_per_trigger: int | None = None) -> DataFrame:
-    """X1 streaming form: the same files as an append-only stream."""
+def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files_per_trigger: int | None = None,
+                file_glob: str | None = None) -> DataFrame:
+    """X1 streaming form: the files of a folder as an append-only stream
+    (``file_glob`` keeps only matching file names)."""
     r = spark.readStream.format(fmt).schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    if file_glob:
+        r = r.option("pathGlobFilter", file_glob)
     return r.load(path)
 
 
