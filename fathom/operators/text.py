@@ -104,8 +104,13 @@ def score_with_program(df: DataFrame, fn: Callable, input_col: str, output_col:
                     outs.append(None)
                     status.append("failed")
                     errs.append(f"{type(e).__name__}: {e}")
-            res = pd.DataFrame({**{k: pdf[k].values for k in keep}, output_col: outs, "status": status, "error": errs})
-            yield res[~((res["status"] == "ok") & res[output_col].isna())]
+            if not outs:
+                continue
+            res = pd.DataFrame({**{k: pdf[k].values for k in keep}, output_col: pd.Series(outs, dtype=object),
+                                "status": status, "error": pd.Series(errs, dtype=object)})
+            res = res[~((res["status"] == "ok") & res[output_col].isna())].reset_index(drop=True)
+            if len(res):
+                yield res
 
     return df.select(*keep, input_col).mapInPandas(run, schema)
 
