@@ -47,8 +47,12 @@ def tokens(norm_col, stopwords=()) -> Column:
     ``' " ? , .`` from both ends; drop a token only when it is word-like and a
     stop word (``USER`` and ``URL`` are stop words whenever a list is given)."""
     c = F.col(norm_col) if isinstance(norm_col, str) else norm_col
+    # a run of one character never spans a token edge (whitespace is not part
+    # of a token and whitespace runs do not change the split), so the run
+    # collapse is applied once to the whole text instead of per token
+    c = F.regexp_replace(c, REPEAT_PATTERN, "$1$1")
     parts = F.filter(F.split(c, f"[{SPLIT_WS}]+"), lambda t: t != "")
-    parts = F.transform(parts, lambda t: _strip_chars(F.regexp_replace(t, REPEAT_PATTERN, "$1$1"), TOKEN_EDGE))
+    parts = F.transform(parts, lambda t: _strip_chars(t, TOKEN_EDGE))
     stop = list(dict.fromkeys([*stopwords, *RESERVED_STOPWORDS])) if stopwords else []
     if not stop:
         return parts

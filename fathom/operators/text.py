@@ -71,7 +71,12 @@ def train_sentiment(labelled: DataFrame, label_col: str = "sentiment", vocab_siz
         StringIndexer(inputCol=label_col, outputCol="label", stringOrderType="alphabetAsc"),
         NaiveBayes(modelType="bernoulli", smoothing=smoothing, featuresCol="features", labelCol="label"),
     ]
-    return Pipeline(stages=stages).fit(labelled)
+    # the estimators pass over the training set several times: keep it once
+    data = labelled.select("tokens", label_col).persist()
+    try:
+        return Pipeline(stages=stages).fit(data)
+    finally:
+        data.unpersist()
 
 
 def classify_sentiment(model: PipelineModel, tokenized: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

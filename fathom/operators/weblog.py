@@ -17,22 +17,30 @@ ACCESS_LOG_PATTERN = r'^([\d.]+) (\S+) (\S+) \[([^\]]+)\] "([^"]+)" (\d{3}) (\d+
 ACCESS_LOG_DATE = "dd/MMM/yyyy:HH:mm:ss Z"
 
 
+_SEP = "\u0001"
+
+
 def _parsed(lines: DataFrame, line_col: str) -> DataFrame:
-    g = lambda i: F.regexp_extract(F.col(line_col), ACCESS_LOG_PATTERN, i)
+    """All nine groups from one regex evaluation: the matched line is rewritten
+    to its groups joined by a control character, then split."""
+    line = F.col(line_col)
+    joined = F.regexp_replace(line, ACCESS_LOG_PATTERN, _SEP.join(f"${i}" for i in range(1, 10)))
+    p = lines.select("*", F.split(joined, _SEP).alias("_g"))
+    g = lambda i: F.element_at(F.col("_g"), i)
+    ok_line = line.isNotNull() & (F.size("_g") == 9) & ~line.contains(_SEP)
     req = F.split(g(5), " ", -1)
-    ok_line = F.col(line_col).rlike(ACCESS_LOG_PATTERN)
     ts = F.try_to_timestamp(g(4), F.lit(ACCESS_LOG_DATE))
-    reason = (F.when(~ok_line | F.col(line_col).isNull(), F.lit("no_match"))
+    reason = (F.when(~ok_line, F.lit("no_match"))
               .when(F.size(req) < 3, F.lit("bad_request"))
               .when(ts.isNull(), F.lit("bad_date")))
-    return lines.select(
-        "*",
+    return p.select(
+        *lines.columns,
         g(1).alias("ip"),
         F.element_at(req, 2).alias("uri"),
         from_epoch_us(F.unix_micros(ts)).alias("ts"),
         F.element_at(req, 1).alias("method"),
-        F.expr(f"try_cast(regexp_extract(`{line_col}`, '{_sql_escape(ACCESS_LOG_PATTERN)}', 6) AS INT)").alias("status"),
-        F.expr(f"try_cast(regexp_extract(`{line_col}`, '{_sql_escape(ACCESS_LOG_PATTERN)}', 7) AS BIGINT)").alias("bytes"),
+        F.expr("try_cast(element_at(_g, 6) AS INT)").alias("status"),
+        F.expr("try_cast(element_at(_g, 7) AS BIGINT)").alias("bytes"),
         g(8).alias("referrer"),
         g(9).alias("agent"),
         reason.alias("_reject"),
