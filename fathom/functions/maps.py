@@ -40,3 +40,18 @@ def index_subsets(n: Column, max_size: int) -> Column:
             lambda i: F.concat(s, F.array(i)))))
         out = F.concat(out, level)
     return out
+
+
+def _subsets_py(n: int, max_size: int) -> list[list[int]]:
+    from itertools import combinations
+
+    return [list(c) for k in range(max_size + 1) for c in combinations(range(n), k)]
+
+
+def index_subsets_fast(n: Column, max_size: int, table_up_to: int = 16) -> Column:
+    """:func:`index_subsets` with the answers for ``n <= table_up_to`` read from
+    a constant table (one ``element_at`` per row instead of nested lambdas);
+    larger ``n`` falls back to the general expression."""
+    table = F.array(*[F.array(*[F.array(*[F.lit(i) for i in s]).cast("array<int>") for s in _subsets_py(k, max_size)])
+                      for k in range(table_up_to + 1)])
+    return F.when(n <= table_up_to, F.element_at(table, n + 1)).otherwise(index_subsets(n, max_size))

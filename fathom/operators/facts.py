@@ -10,7 +10,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.functions.maps import index_subsets, series_key
+from fathom.functions.maps import index_subsets_fast, series_key
 from fathom.functions.stats import chi2_critical
 from fathom.functions.time import bucket_index, ensure_ntz
 
@@ -41,7 +41,10 @@ def fact_rejects(bodies: DataFrame, body_col: str = "body", ts_col: str = "ts")
 
 
 def with_series_key(facts: DataFrame, dims: str = "dims") -> DataFrame:
-    """Adds ``series_key`` (see :func:`fathom.functions.maps.series_key`)."""
+    """Adds ``series_key`` (see :func:`fathom.functions.maps.series_key`);
+    kept as is when the fan-out already produced it."""
+    if "series_key" in facts.columns:
+        return facts
     return facts.withColumn("series_key", series_key(dims))
 
 
@@ -174,24 +177,38 @@ def bucket_skew(categorized: DataFrame, field: str, labels=CATEGORIES, by: list[
     return c.withColumn("chi2", chi2).withColumn("is_skewed", F.col("chi2") > F.lit(crit))
 
 
+def _with_frag(entries):
+    """Entries plus their series-key fragment ``len(k) k len(v) v``."""
+    return F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.concat(
+        F.length(e["key"]).cast("string"), e["key"], F.length(e["value"]).cast("string"), e["value"]).alias("frag")))
+
+
 def fanout_dimensions(facts: DataFrame, required=("src",), max_size: int = 2, dims: str = "dims",
-                      keep: tuple[str, ...] = ("ts",)) -> DataFrame:
+                      keep: tuple[str, ...] = ("ts",), with_key: bool = True) -> DataFrame:
     """One fact per subset (size 0 .. ``max_size``) of the non-required
     dimensions, each plus the required ones: ``1 + n + n(n-1)/2`` facts for
     ``max_size = 2``. Facts missing a required dimension are left out (see
     :func:`fanout_rejects`). Pure expressions + ``explode``; aggregate after it
-    so the partial (map-side) aggregation absorbs the amplification."""
+    so the partial (map-side) aggregation absorbs the amplification.
+
+    Per fact, entries are sorted and their key fragments built once; per
+    subset only a native sort and join remain. With ``with_key`` the subset's
+    ``series_key`` (:func:`fathom.functions.maps.series_key`) comes along."""
     req = list(required)
     has_req = F.lit(True)
     for r in req:
         has_req = has_req & F.col(dims).getItem(r).isNotNull()
     rest = F.sort_array(F.map_entries(F.map_filter(dims, lambda k, v: ~k.isin(*req) if req else F.lit(True))))
     req_entries = F.map_entries(F.map_filter(dims, lambda k, v: k.isin(*req) if req else F.lit(False)))
-    f = facts.where(has_req).select(*keep, rest.alias("_rest"), req_entries.alias("_req"))
-    subsets = index_subsets(F.size("_rest"), max_size)
+    f = facts.where(has_req).select(*keep, _with_frag(rest).alias("_rest"), _with_frag(req_entries).alias("_req"))
+    subsets = index_subsets_fast(F.size("_rest"), max_size)
     f = f.select(*keep, "_rest", "_req", F.explode(subsets).alias("_s"))
     picked = F.transform("_s", lambda i: F.element_at(F.col("_rest"), i + 1))
-    return f.select(*keep, F.map_from_entries(F.concat(picked, F.col("_req"))).alias(dims))
+    f = f.select(*keep, F.sort_array(F.concat(picked, F.col("_req"))).alias("_all"))
+    cols = [*keep, F.map_from_arrays(F.col("_all.key"), F.col("_all.value")).alias(dims)]
+    if with_key:
+        cols.append(F.array_join(F.col("_all.frag"), "").alias("series_key"))
+    return f.select(*cols)
 
 
 def fanout_rejects(facts: DataFrame, required=("src",), dims: str = "dims") -> DataFrame:
