@@ -285,6 +285,16 @@ def anomaly_counts(spark, sf):
     return A.anomaly_counts(spark, _anomalies(spark, sf), *GRID, "1 day")
 
 
+@query("net_anomaly_counts_one_src", sql=W(*PIPE) + f""", obs AS (SELECT bucket, count(DISTINCT series_key) AS value FROM anomalies
+   WHERE src = '60' GROUP BY bucket), b0 AS (SELECT epoch_us(TIMESTAMP '{GRID[0]}') // {DAY_US} AS b0),
+grid AS (SELECT b0 + i AS bucket FROM b0, range(0, 30) t(i)),
+o2 AS (SELECT * FROM obs WHERE bucket >= (SELECT b0 FROM b0) AND make_timestamp(bucket * {DAY_US}) <= TIMESTAMP '{GRID[1]}')
+SELECT make_timestamp(coalesce(grid.bucket, o2.bucket) * {DAY_US}) AS ts, CAST(coalesce(o2.value, 0) AS BIGINT) AS value
+FROM grid FULL OUTER JOIN o2 ON grid.bucket = o2.bucket""")
+def anomaly_counts_one_src(spark, sf):
+    return A.anomaly_counts_by_src(spark, _anomalies(spark, sf), *GRID, "1 day", src="60")
+
+
 @query("net_anomaly_counts_by_src", sql=W(*PIPE) + f"""SELECT src, ts, count(DISTINCT series_key) AS value FROM anomalies
   WHERE ts >= TIMESTAMP '{GRID[0]}' AND ts <= TIMESTAMP '{GRID[1]}' GROUP BY src, ts""")
 def anomaly_counts_by_src(spark, sf):
