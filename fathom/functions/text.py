@@ -26,8 +26,8 @@ RESERVED_STOPWORDS = ("USER", "URL")
 
 
 def _strip_chars(col: Column, chars: str) -> Column:
-    cls = "[" + re.escape(chars) + "]"
-    return F.regexp_replace(col, f"^{cls}+|{cls}+$", "")
+    """Remove any of ``chars`` from both ends (native ``btrim``, no regex)."""
+    return F.btrim(col, F.lit(chars))
 
 
 def normalize(col) -> Column:
