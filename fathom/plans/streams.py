@@ -52,3 +52,26 @@ def anomalies(spark, sf):
     counts = ST.stream_interval_counts(_events_stream(spark, sf), "event_type", "1 hour", "1 hour")
     ST.stream_anomalies(counts, p["aux"], p["out"], p["ckpt"])
     return spark.read.parquet(p["out"]).select("series_key", "bucket", "n")
+
+
+@query("stream_sentiment_totals", sql="SELECT event_type AS sentiment, count(*) AS n FROM events GROUP BY ALL")
+def sentiment_totals(spark, sf):
+    p = ST.fresh_paths(spark, "sentiment-totals")
+    scored = standins.scored_from_events(_events_stream(spark, sf))
+    ST.stream_counter_store(scored, ["sentiment"], p["out"], p["ckpt"], "sentiment_totals")
+    return ST.read_counter_totals(spark, p["out"], ["sentiment"])
+
+
+@query("stream_top_sources", sql="""WITH pre AS (SELECT CAST(user_id AS VARCHAR) AS value, epoch_us(ts) // 3600000000 AS u,
+   count(*) AS c FROM events GROUP BY ALL),
+wm AS (SELECT epoch_us(max(ts)) - 3600000000 AS wm FROM events),
+sp AS (SELECT value, c, u - d AS ws FROM pre, range(0, 10) t(d)),
+cnt AS (SELECT ws, value, CAST(sum(c) AS BIGINT) AS count FROM sp GROUP BY ws, value),
+closed AS (SELECT * FROM cnt WHERE (ws + 10) * 3600000000 <= (SELECT wm FROM wm)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY count DESC, value ASC) AS rank FROM closed)
+SELECT make_timestamp(ws * 3600000000) AS window_start, value, count, rank FROM rk WHERE rank <= 10""")
+def top_sources(spark, sf):
+    p = ST.fresh_paths(spark, "top-sources")
+    ev = _events_stream(spark, sf).select("ts", F.col("user_id").cast("string").alias("src"))
+    ST.stream_sliding_top(ev, "src", "10 hours", "1 hour", 10, "1 hour", p["out"], p["ckpt"])
+    return spark.read.parquet(p["out"]).select("window_start", "value", "count", "rank")

@@ -88,3 +88,27 @@ def stream_anomalies(counts_stream: DataFrame, counts_path: str, anomalies_path:
 def fresh_paths(spark: SparkSession, name: str) -> dict:
     base = scratch_path(spark, name)
     return {"out": f"{base}/out", "aux": f"{base}/aux", "ckpt": f"{base}/ckpt"}
+
+
+def stream_sliding_top(stream: DataFrame, value_col: str, width, slide, limit: int, watermark, out_path: str,
+                       checkpoint: str, ts: str = "ts", name: str = "sliding_top") -> None:
+    """Streaming N17: sliding-window counts per value with a watermark
+    (append mode emits each window once, complete); each micro-batch ranks the
+    windows it closes and writes their top ``limit`` keyed by batch id."""
+    from pyspark.sql import Window
+
+    s = event_time(stream.where(F.col(value_col).isNotNull()), ts) \
+        .withWatermark("event_time", f"{micros_of(watermark) // 1_000_000} seconds")
+    w = F.window("event_time", f"{micros_of(width) // 1_000_000} seconds", f"{micros_of(slide) // 1_000_000} seconds")
+    counts = s.groupBy(w.alias("w"), F.col(value_col).alias("value")).agg(F.count(F.lit(1)).alias("count"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        r = Window.partitionBy("window_start").orderBy(F.col("count").desc(), F.col("value").asc())
+        top = batch.select(F.col("w.start").alias("window_start"), "value", "count") \
+            .withColumn("rank", F.row_number().over(r).cast("long")).where(F.col("rank") <= limit)
+        top.withColumn("window_start", F.timestamp_add("MICROSECOND", F.unix_micros("window_start"),
+                                                       F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))) \
+            .write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+
+    run_available_now(counts.writeStream.outputMode("append").foreachBatch(write)
+                      .option("checkpointLocation", checkpoint), name)
