@@ -347,4 +347,5 @@ def top_anomalous_sources(spark, sf):
 @query("net_explain_anomalies", sql=W(*PIPE) + """SELECT a.series_key, a.bucket AS anomaly_bucket, c.bucket, c.n
   FROM anomalies a JOIN counts c ON a.series_key = c.series_key AND c.bucket BETWEEN a.bucket - 10 AND a.bucket + 10""")
 def explain_anomalies(spark, sf):
-    return A.explain_anomalies(_anomalies(spark, sf), _counts(spark, sf), span=10)
+    counts = _counts(spark, sf)  # one plan for both sides: the shared exchange is reused
+    return A.explain_anomalies(A.detect_anomalies(counts, "1 day"), counts, span=10)
