@@ -68,27 +68,43 @@ def _rewrite(dims_col: F.Column, field: str, new_value: F.Column | None) -> F.Co
         F.map_concat(kept, F.create_map(F.lit(field), new_value)))
 
 
-def tertile_bounds(facts: DataFrame, field: str, k: int = 3, accuracy: int = 100_000, dims: str = "dims"):
-    """Equal-mass bucket bounds of a numeric dimension: bound i is the midpoint
-    of the order statistics at ranks ``floor((i+1) n / k)`` and the next one.
-
-    Uses the mergeable ``percentile_approx`` sketch (rank error at most
-    ``n / accuracy``; exact while ``n < accuracy / 2``), so the work is a
-    partial aggregate per task and one small merge. Returns ``(n, bounds)``.
-    """
-    v = _numeric(dims, field)
-    n = facts.where(v.isNotNull()).agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    if n == 0:
-        return 0, []
-    offs = [math.floor((i + 1) * n / k) for i in range(k - 1)]
+def _rank_fractions(n: int, k: int) -> list[float]:
+    """Sketch fractions that select the order statistics at 1-based ranks
+    ``off`` and ``off + 1`` for ``off = floor((i+1) n / k)`` (the sketch
+    returns the value at rank ``ceil(p n)``; the half keeps it off float edges)."""
     ps = []
-    for off in offs:
-        lo = max(off, 1)
-        hi = min(off + 1, n)
-        ps += [(lo - 0.5) / n, (hi - 0.5) / n]
-    q = facts.where(v.isNotNull()).agg(F.percentile_approx(v, ps, accuracy).alias("q")).first()["q"]
-    bounds = [(q[2 * i] + q[2 * i + 1]) / 2.0 for i in range(k - 1)]
-    return n, bounds
+    for i in range(k - 1):
+        off = math.floor((i + 1) * n / k)
+        ps += [(max(off, 1) - 0.5) / n, (min(off + 1, n) - 0.5) / n]
+    return ps
+
+
+def tertile_bounds_all(facts: DataFrame, fields, k: int = 3, accuracy: int = 100_000, dims: str = "dims") -> dict:
+    """Equal-mass bounds for several numeric dimensions in two passes in all:
+    one aggregate counts every field, one aggregate builds every field's
+    mergeable ``percentile_approx`` sketch (rank error at most
+    ``n / accuracy``; exact while ``n < accuracy / 2``). Bound i is the
+    midpoint of the order statistics at ranks ``floor((i+1) n / k)`` and the
+    next one. Returns ``{field: (n, bounds)}``."""
+    fields = list(fields)
+    if not fields:
+        return {}
+    counts = facts.agg(*[F.count(_numeric(dims, f)).alias(f"n{i}") for i, f in enumerate(fields)]).first()
+    ns = {f: counts[f"n{i}"] for i, f in enumerate(fields)}
+    live = [f for f in fields if ns[f] > 0]
+    out = {f: (0, []) for f in fields if ns[f] == 0}
+    if live:
+        q = facts.agg(*[F.percentile_approx(_numeric(dims, f), _rank_fractions(ns[f], k), accuracy).alias(f"q{i}")
+                        for i, f in enumerate(live)]).first()
+        for i, f in enumerate(live):
+            v = q[f"q{i}"]
+            out[f] = (ns[f], [(v[2 * j] + v[2 * j + 1]) / 2.0 for j in range(k - 1)])
+    return out
+
+
+def tertile_bounds(facts: DataFrame, field: str, k: int = 3, accuracy: int = 100_000, dims: str = "dims"):
+    """Bounds of one field (see :func:`tertile_bounds_all`): ``(n, bounds)``."""
+    return tertile_bounds_all(facts, [field], k, accuracy, dims)[field]
 
 
 def categorize_numbers(facts: DataFrame, fields=("rl", "rs"), labels=CATEGORIES, min_points: int = 900,
@@ -97,18 +113,16 @@ def categorize_numbers(facts: DataFrame, fields=("rl", "rs"), labels=CATEGORIES,
     bounds over the whole frame; a value goes to the first bucket whose bound
     it is below. With fewer than ``min_points`` values the field is removed
     (the reference's warm-up), as is a value that is not a number."""
+    bounds = tertile_bounds_all(facts, fields, len(labels), accuracy, dims)
     out = facts
     for field in fields:
-        n, bounds = tertile_bounds(facts, field, len(labels), accuracy, dims)
+        n, b = bounds[field]
         v = _numeric(dims, field)
         if n < min_points:
-            new = None
-        else:
-            new = F.when(v.isNull(), F.lit(None)).otherwise(_label(v, bounds, list(labels)))
-        if new is None:
             out = out.withColumn(dims, _rewrite(F.col(dims), field, None))
         else:
-            out = out.withColumn(dims, F.map_filter(_rewrite(F.col(dims), field, new), lambda k, x: x.isNotNull()))
+            new = F.when(v.isNull(), F.lit(None)).otherwise(_label(v, b, list(labels)))
+            out = out.withColumn(dims, F.map_filter(_rewrite(F.col(dims), field, new), lambda kk, x: x.isNotNull()))
     return out
 
 
