@@ -41,13 +41,13 @@ def test_page_view_map_and_visitors(spark):
 def test_parse_access_log(spark):
     lines = spark.createDataFrame([
         ('10.0.0.1 - - [01/Jan/2024:11:45:38 -0400] "GET /home HTTP/1.1" 200 512 "-" "agent"',),
-        ('10.0.0.1 - - [01/Jan/2024:22:45:38 -0400] "GET /cdap HTTP/1.1" 401 7 "http://r" "agent x"',),
+        ('10.0.0.1 - - [01/Jan/2024:22:45:38 -0400] "GET /docs HTTP/1.1" 401 7 "http://r" "agent x"',),
         ("not a log line",),
         ('10.0.0.1 - - [99/Foo/2024:11:45:38 -0400] "GET /home HTTP/1.1" 200 512 "-" "agent"',),
         ('10.0.0.1 - - [01/Jan/2024:11:45:38 -0400] "GET" 200 512 "-" "agent"',),
     ], "line string")
     got = W.parse_access_log(lines).orderBy("ts").collect()
-    assert [(r.ip, r.uri, r.status, r.bytes) for r in got] == [("10.0.0.1", "/home", 200, 512), ("10.0.0.1", "/cdap", 401, 7)]
+    assert [(r.ip, r.uri, r.status, r.bytes) for r in got] == [("10.0.0.1", "/home", 200, 512), ("10.0.0.1", "/docs", 401, 7)]
     assert got[0].ts == dt.datetime(2024, 1, 1, 15, 45, 38)  # 24-hour clock, zone applied
     assert got[1].ts == dt.datetime(2024, 1, 2, 2, 45, 38)
     reasons = sorted(r.reason for r in W.access_log_rejects(lines).collect())
