@@ -142,13 +142,22 @@ def sentiment_series(scored: DataFrame, id_col: str = "id") -> DataFrame:
     return ensure_ntz(scored, "ts").select(id_col, "sentiment", "ts", "text")
 
 
+def _in_window(series: DataFrame, start, end) -> DataFrame:
+    """Rows with ``start <= ts <= end``; on a date-partitioned series the
+    matching ``date`` predicate prunes partitions at the scan."""
+    out = series.where((F.col("ts") >= start) & (F.col("ts") <= end))
+    if "date" in series.columns:
+        out = out.where((F.col("date") >= F.to_date(start)) & (F.col("date") <= F.to_date(end)))
+    return out
+
+
 def recent_texts(series: DataFrame, sentiment: str, now, seconds: float = 300, limit: int = 10,
                  id_col: str = "id") -> DataFrame:
     """Entries of one sentiment with ts in ``[now - seconds, now]``: the
     first ``limit`` by ascending ts, then the latest ts per distinct text."""
     end = ntz_literal(now)
     start = F.timestamp_add("MICROSECOND", F.lit(-int(seconds * 1_000_000)), end)
-    s = series.where((F.col("sentiment") == F.lit(sentiment)) & (F.col("ts") >= start) & (F.col("ts") <= end))
+    s = _in_window(series.where(F.col("sentiment") == F.lit(sentiment)), start, end)
     first = s.orderBy("ts", id_col).limit(limit)
     return first.groupBy("text").agg(F.max("ts").alias("ts"))
 
@@ -159,7 +168,7 @@ def recent_counts(series: DataFrame, sentiments, now, seconds: float = 300, rate
     spark = series.sparkSession
     end = ntz_literal(now)
     start = F.timestamp_add("MICROSECOND", F.lit(-int(seconds * 1_000_000)), end)
-    s = series.where((F.col("ts") >= start) & (F.col("ts") <= end)).groupBy("sentiment").agg(F.count(F.lit(1)).alias("n"))
+    s = _in_window(series, start, end).groupBy("sentiment").agg(F.count(F.lit(1)).alias("n"))
     want = spark.createDataFrame([(x,) for x in sentiments], "sentiment string")
     out = want.join(s, "sentiment", "left").select("sentiment", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     return out.withColumn("rate", F.col("n") / F.lit(float(rate_divisor)))

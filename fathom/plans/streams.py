@@ -75,3 +75,18 @@ def top_sources(spark, sf):
     ev = _events_stream(spark, sf).select("ts", F.col("user_id").cast("string").alias("src"))
     ST.stream_sliding_top(ev, "src", "10 hours", "1 hour", 10, "1 hour", p["out"], p["ckpt"])
     return spark.read.parquet(p["out"]).select("window_start", "value", "count", "rank")
+
+
+@query("stream_recent_counts", sql="""WITH ev AS (SELECT event_type AS sentiment, ts FROM events),
+k AS (SELECT * FROM (VALUES ('click'), ('purchase'), ('view'), ('signup'), ('error'), ('unknown')) v(sentiment)),
+x AS (SELECT sentiment, count(*) AS n FROM ev WHERE ts >= TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 86400 SECOND
+      AND ts <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY sentiment)
+SELECT k.sentiment, CAST(coalesce(x.n, 0) AS BIGINT) AS n, coalesce(x.n, 0) / 20.0 AS rate FROM k LEFT JOIN x USING (sentiment)""")
+def recent_counts(spark, sf):
+    from fathom.operators import text as T
+
+    p = ST.fresh_paths(spark, "sentiment-series")
+    ST.stream_sentiment_series(standins.scored_from_events(_events_stream(spark, sf)), p["out"], p["ckpt"])
+    series = spark.read.parquet(p["out"])
+    return T.recent_counts(series, ["click", "purchase", "view", "signup", "error", "unknown"],
+                           "2024-01-15 12:00:00", 86400)

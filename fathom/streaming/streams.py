@@ -112,3 +112,12 @@ def stream_sliding_top(stream: DataFrame, value_col: str, width, slide, limit: i
 
     run_available_now(counts.writeStream.outputMode("append").foreachBatch(write)
                       .option("checkpointLocation", checkpoint), name)
+
+
+def stream_sentiment_series(scored_stream: DataFrame, out_path: str, checkpoint: str, name: str = "series") -> None:
+    """Streaming T9: append ``id, sentiment, ts, text`` to a parquet table
+    partitioned by sentiment and date, so the recent-window reads (T10, T11)
+    prune to the partitions they need. The file sink is exactly-once."""
+    s = scored_stream.select("id", "sentiment", "ts", "text").withColumn("date", F.to_date("ts"))
+    run_available_now(s.writeStream.format("parquet").option("path", out_path)
+                      .option("checkpointLocation", checkpoint).partitionBy("sentiment", "date"), name)
