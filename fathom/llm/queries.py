@@ -36,3 +36,52 @@ def op1(spark, sf_dir):
     from fathom.llm.bpe import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"), vocab())
+
+
+WARC_SQL = """
+with r as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, strlen(html)::bigint as payload_bytes, sha1(html) as h, min(page_id) over (partition by html) as first_id from r)
+select page_id, payload_bytes,
+  translate(array_to_string(list_transform([1, 11, 21, 31], lambda x: lpad(to_base(('0x' || substr(h, x, 10))::bigint, 32), 8, '0')), ''),
+    '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') as payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id = first_id then null else first_id end as refers_to from d
+"""
+
+
+@query("op3_warc", WARC_SQL)
+def op3(spark, sf_dir):
+    """Archive of all pages, written and read back."""
+    from fathom.llm.warc import read_headers, write_archive
+    from fathom.session import scratch_path
+
+    path = scratch_path(spark, "warc")
+    write_archive(table(spark, sf_dir, "pages"), path, dedup_from=0)
+    return read_headers(spark, path)
+
+
+MIX_SQL = """
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size, text from documents),
+k as (select *, -ln((('0x' || substr(md5(concat_ws(':', '9', doc_id::varchar, text)), 1, 12))::bigint + 1.0)::double / 281474976710656.0)
+  / coalesce(0.25 + 0.75 / (1.0 + (length(text) - length(translate(text, '#*$%&|<>!', '')))::double / greatest(size, 1)), 1.0) as key from d),
+s as (select source, sum(size) as source_size from d group by 1),
+w as (select *, [1, 2, 3][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as w, 3.0 * source_size as cap from s),
+f as (select *, (sum(source_size) over () - coalesce(sum(cap) over (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding), 0))::double
+  / sum(w) over (order by cap / w, source nulls last rows between current row and unbounded following) as level from w),
+l as (select max(case when cap > w * level then level end) as level from f),
+t as (select source, source_size, case when cap <= w * f.level then cap::double else w * l.level end as target from f, l),
+g as (select *, case when source_size = 0 then 0 else floor(target / source_size) end as epochs from t),
+p as (select k.doc_id, k.size, g.source_size, g.target, g.epochs, g.target - g.epochs * g.source_size as rest,
+  coalesce(sum(k.size) over (partition by k.source order by key rows between unbounded preceding and 1 preceding), 0) as before
+  from k join g on k.source is not distinct from g.source)
+select doc_id, size::bigint as size, source_size::bigint as source_size, target::double as target,
+  (size * (epochs + case when rest > 0 and before + size / 2 <= rest then 1 else 0 end))::bigint as taken from p
+"""
+
+
+@query("op9_mix", MIX_SQL)
+def op9(spark, sf_dir):
+    """Words that the mix takes of every document."""
+    from fathom.llm.mixing import taken
+
+    return taken(table(spark, sf_dir, "documents"))
