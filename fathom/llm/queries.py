@@ -85,3 +85,14 @@ def op9(spark, sf_dir):
     from fathom.llm.mixing import taken
 
     return taken(table(spark, sf_dir, "documents"))
+
+
+@query("op5_token_files")
+def op5(spark, sf_dir):
+    """Token-ID files of all documents, written and read back."""
+    from fathom.llm import tokenfile
+    from fathom.session import scratch_path
+
+    path = scratch_path(spark, "ids")
+    tokenfile.write_ids(table(spark, sf_dir, "documents"), path, vocab(), 50257, end_id=0)
+    return tokenfile.read_ids(spark, path, tokenfile.crc32, "bigint").withColumnRenamed("value", "ids_crc32")
