@@ -96,3 +96,21 @@ def op5(spark, sf_dir):
     path = scratch_path(spark, "ids")
     tokenfile.write_ids(table(spark, sf_dir, "documents"), path, vocab(), 50257, end_id=0)
     return tokenfile.read_ids(spark, path, tokenfile.crc32, "bigint").withColumnRenamed("value", "ids_crc32")
+
+
+@query("op6_quality")
+def op6(spark, sf_dir):
+    """Base figures and the line labeller's verdict on every document."""
+    from fathom.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op10_toxicity")
+def op10(spark, sf_dir):
+    """Toxicity score of every document."""
+    from fathom.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
