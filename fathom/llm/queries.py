@@ -114,3 +114,37 @@ def op10(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+MERKLE_SQL = """
+with d as (select doc_id, coalesce(text, '') as text from documents),
+o as (select *, length(text)::bigint as n, coalesce(lead(text) over w, first(text) over (order by doc_id)) as next_text,
+  coalesce(lead(doc_id) over w, first(doc_id) over (order by doc_id)) as next_doc_id from d window w as (order by doc_id)),
+e as (select *, substring(text, 1, n - n // 4) || substring(next_text, 1, n // 4) as edited from o),
+t as (select doc_id, 'a' as kind, text from e union all select doc_id, 'b', edited from e),
+p as (select doc_id, kind, list_transform(string_split(text, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda l:
+  list_transform(list_concat(regexp_extract_all(substring(l, 1, 64), '(?s).{1,8}'), regexp_extract_all(substring(l, 65), '(?s).{1,32}')), lambda x: md5(x)))) as leaves from t),
+q as (select doc_id, kind, list_transform(leaves, lambda s: list_transform(s, lambda l: {'h': sha256(array_to_string(l, '')),
+  'l': array_to_string(list_transform(l, lambda x: substring(x, 1, 6)), '')})) as para,
+  list_distinct(list_transform(flatten(flatten(leaves)), lambda x: substring(x, 1, 6))) as flat from p),
+r as (select doc_id, kind, flat, list_transform(para, lambda s: {'h': sha256(array_to_string(list_transform(s, lambda x: x.h), '')),
+  'l': array_to_string(list_transform(s, lambda x: substring(x.h, 1, 8) || '.' || x.l), ',')}) as sec from q),
+f as (select doc_id, kind, flat, sha256(array_to_string(list_transform(sec, lambda s: s.h), '')) || '/'
+  || array_to_string(list_transform(sec, lambda s: substring(s.h, 1, 16) || ':' || s.l), ';') as fp from r)
+select e.doc_id, e.n as n_chars, sha256(e.edited) as edited_sha256, a.fp as fingerprint, b.fp as edited_fingerprint,
+  case when substring(a.fp, 1, 64) = substring(b.fp, 1, 64) then 1.0::double
+    else len(list_intersect(a.flat, b.flat))::double / greatest(len(list_distinct(list_concat(a.flat, b.flat))), 1) end as near_edited,
+  case when substring(a.fp, 1, 64) = substring(c.fp, 1, 64) then 1.0::double
+    else len(list_intersect(a.flat, c.flat))::double / greatest(len(list_distinct(list_concat(a.flat, c.flat))), 1) end as near_next,
+  e.next_doc_id
+from e join f a on a.doc_id = e.doc_id and a.kind = 'a' join f b on b.doc_id = e.doc_id and b.kind = 'b'
+join f c on c.doc_id = e.next_doc_id and c.kind = 'a'
+"""
+
+
+@query("op7_fingerprint", MERKLE_SQL)
+def op7(spark, sf_dir):
+    """Merkle fingerprints of every document and of its edited text, with likenesses."""
+    from fathom.llm.merkle import compare_with_edits
+
+    return compare_with_edits(table(spark, sf_dir, "documents"))
