@@ -148,3 +148,11 @@ def op7(spark, sf_dir):
     from fathom.llm.merkle import compare_with_edits
 
     return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op8_html_text")
+def op8(spark, sf_dir):
+    """Main text of every page."""
+    from fathom.llm.htmltext import extract
+
+    return extract(table(spark, sf_dir, "pages"))
