@@ -156,3 +156,25 @@ def op8(spark, sf_dir):
     from fathom.llm.htmltext import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+SUBSTRING_SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+i as (select doc_id, unnest(range(1, len(ws) - 48)) as i, ws from w where len(ws) >= 50),
+s as (select doc_id, i, sha256(array_to_string(ws[i:i + 49], ' ')) as win from i),
+f as (select win, min(doc_id) as first_doc from s group by 1),
+r as (select s.doc_id, s.i from s join f using (win) where f.first_doc < s.doc_id),
+c as (select doc_id, list(distinct j) as gone from (select doc_id, unnest(range(i, i + 50)) as j from r) group by 1)
+select w.doc_id, len(ws)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
+  sha256(case when gone is null then array_to_string(ws, ' ')
+    else array_to_string(list_transform(list_filter(range(1, len(ws) + 1), lambda j: not list_contains(gone, j)), lambda j: ws[j]), ' ') end) as kept_sha256
+from w left join c on c.doc_id = w.doc_id
+"""
+
+
+@query("op4_substrings", SUBSTRING_SQL)
+def op4(spark, sf_dir):
+    """Words of every document that a repeated 50-word window covers."""
+    from fathom.llm.substrings import digests
+
+    return digests(table(spark, sf_dir, "documents"))
