@@ -178,3 +178,24 @@ def op4(spark, sf_dir):
     from fathom.llm.substrings import digests
 
     return digests(table(spark, sf_dir, "documents"))
+
+
+JACCARD_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+g as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+  else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) end as sh from w),
+s as (select doc_id, len(sh) as n, unnest(list_transform(sh, lambda x: hash(x))) as h from g),
+p as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as c from s a join s b on a.h = b.h and a.doc_id < b.doc_id
+  and 100 * a.n >= 75 * b.n and 100 * b.n >= 75 * a.n group by all),
+l as (select a, b from p where 100 * c >= 75 * (na + nb - c) union all select b, a from p where 100 * c >= 75 * (na + nb - c)),
+r(doc_id, c) as (select doc_id, doc_id from g union select l.b, r.c from r join l on l.a = r.doc_id and r.c < l.b)
+select g.doc_id, len(sh)::bigint as n_shingles, m.c as component_id from g join (select doc_id, min(c) as c from r group by 1) m using (doc_id)
+"""
+
+
+@query("op2_jaccard", JACCARD_SQL)
+def op2(spark, sf_dir):
+    """Shingle-set size and component of every document at a Jaccard similarity of 0.75 or more."""
+    from fathom.llm.jaccard import classes
+
+    return classes(table(spark, sf_dir, "documents"))
