@@ -70,9 +70,10 @@ def write_archive(pages: DataFrame, path: str, dedup_from: int = 0, date: str =
     again = (F.col("n_bytes") >= dedup_from) & ~F.col("page_id").eqNullSafe(F.col("response_id"))
     heads = heads.withColumn("record_type", F.when(again, "revisit").otherwise("response"))
     heads.select("page_id", "address", _header(date).alias("header")).write.parquet(f"{path}/headers")
-    r, f = recs.alias("r"), first.alias("f")
-    once = r.join(f, (F.col("r.address") == F.col("f.address")) & F.col("r.page_id").eqNullSafe(F.col("f.response_id")), "left_semi")
-    once.select("address", "page_id", "payload").dropDuplicates(["address", "page_id"]).select("address", "payload").write.parquet(f"{path}/payloads")
+    # One string key serves the join and the removal of repeated rows, so payloads are moved once.
+    key = lambda i: F.concat_ws(":", "address", F.coalesce(F.col(i).cast("string"), F.lit("none")))
+    once = recs.withColumn("key", key("page_id")).join(first.select(key("response_id").alias("key")), "key", "left_semi")
+    once.select("key", "address", "payload").dropDuplicates(["key"]).select("address", "payload").write.parquet(f"{path}/payloads")
 
 
 def _field(name: str) -> Column:
