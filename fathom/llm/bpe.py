@@ -20,10 +20,13 @@ from collections.abc import Callable, Iterable
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from fathom.llm.textio import CACHE, docs_of, map_batches
 
+ROWS = 2048  # texts encoded at once: the more, the more often a piece is looked up for several places
 SPACE_BEFORE_SPACE = re.compile(r" (?!\S)")
 CUT = re.compile(r"(?= \S)")
 
@@ -147,7 +150,7 @@ class Vocabulary:
 class Recent:
     """Bounded cache of two generations: a full young one becomes the old one; what is used again stays."""
 
-    def __init__(self, size: int = CACHE):
+    def __init__(self, size: int = 3 * CACHE // 2):
         self.size, self.young, self.old = size, {}, {}
 
     def recall(self, keys: set[str]) -> tuple[dict[str, bytes], list[str]]:
@@ -182,11 +185,18 @@ class PieceEncoder:
         self.words, self.pieces = Recent(), Recent()
 
     def _words(self, piece: str) -> list[str]:
+        """Pre-tokens of a piece, or spans of them that can be encoded alone. A line break between two characters
+        that are no white space is a pre-token of its own."""
         body = piece[1:] if piece[:1] == " " else piece
         if body.isalpha():
             return [piece]
         if len(body) > 1 and body[-1] in ".,:;!?|" and body[:-1].isalpha():
             return [piece[:-1], body[-1]]
+        if "\n" in body:
+            lines = body.split("\n")
+            if all(x and len(x.split()) == 1 and x == x.strip() for x in lines):
+                lines[0] = piece[:len(piece) - len(body)] + lines[0]
+                return [w for x in lines for w in ("\n", *self._words(x))][1:]
         if self.whole_pieces:
             return [piece]
         return [piece[a:b] for _, (a, b) in self.pre.pre_tokenize_str(piece)]
@@ -200,43 +210,57 @@ class PieceEncoder:
         return text.split(" ")
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian uint32 bytes."""
-        seen = self.pieces.turn().get
+        """Ids of each text as little-endian uint32 bytes. Arrow splits the texts and numbers the distinct pieces;
+        those are looked up or encoded, and numpy lays their ids out in the order of the pieces."""
+        out: list[bytes] = [b""] * len(texts)
+        plain, odd = [], []
+        for i, text in enumerate(texts):
+            (odd if SPACE_BEFORE_SPACE.search(text) or any(s in text for s in self.special) else plain).append(i)
+        lists = pc.split_pattern(pa.array([texts[i] for i in plain], pa.string()), " ")
+        numbered = lists.flatten().dictionary_encode()
+        piece = numbered.indices.to_numpy().astype(np.int64)
+        first = lists.offsets.to_numpy()[:-1].astype(np.int64)
+        follows = np.ones(len(piece), bool)
+        follows[first] = False
+        distinct = numbered.dictionary.to_pylist()
+        used = np.flatnonzero(np.bincount(piece[follows], minlength=len(distinct))).tolist()
+        cuts = {i: [self._cut(part) if k % 2 == 0 else part for k, part in enumerate(self.cut_special.split(texts[i]) if self.cut_special else [texts[i]])] for i in odd}
+        after = {distinct[j] for j in used}
+        heads = {distinct[j] for j in piece[first].tolist()}
+        for parts in cuts.values():
+            for p in parts[::2]:
+                heads.add(p[0])
+                after.update(p[1:])
+        known, top = self._lookup(after, heads)
+        ids = [b""] * len(distinct)
+        for j in used:
+            ids[j] = known[distinct[j]]
+        ids += [top[distinct[j]] for j in piece[first].tolist()]
+        piece[first] = np.arange(len(distinct), len(ids))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(size) - size
+        n = size[piece]
+        ends = np.cumsum(n)
+        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(start[piece] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        stop = np.append(0, ends)[lists.offsets.to_numpy()].tolist()
+        for k, i in enumerate(plain):
+            out[i] = flat[stop[k]:stop[k + 1]].tobytes()
+        for i, parts in cuts.items():
+            out[i] = b"".join([self.special[p] if k % 2 else top[p[0]] + b"".join([known[x] for x in p[1:]]) for k, p in enumerate(parts)])
+        return out
+
+    def _lookup(self, after: set[str], heads: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """Ids of pieces that follow a space, and of pieces that start a text."""
         self.words.turn()
-        plan, need, heads = [], set(), set()
-        for text in texts:
-            row: list[bytes | None] = []
-            gaps: list[tuple[int, str, bool]] = []
-            parts = self.cut_special.split(text) if self.cut_special and any(s in text for s in self.special) else [text]
-            for i, part in enumerate(parts):
-                if i % 2:
-                    row.append(self.special[part])
-                elif part:
-                    head, *rest = self._cut(part)
-                    if head:
-                        gaps.append((len(row), head, True))
-                        heads.add(head)
-                        row.append(None)
-                    at = len(row)
-                    row.extend(map(seen, rest))
-                    missing = [k for k, x in enumerate(row[at:]) if x is None]
-                    gaps += [(at + k, rest[k], False) for k in missing]
-                    need.update([rest[k] for k in missing])
-            plan.append((row, gaps))
-        known, new = self.pieces.recall(need)
+        self.pieces.turn()
+        known, new = self.pieces.recall(after)
         fresh = {x: self._words(" " + x) for x in new}
-        tops = {x: self._words(x) for x in heads}
+        tops = {x: self._words(x) if x else [] for x in heads}
         words, todo = self.words.recall({w for ws in (*fresh.values(), *tops.values()) for w in ws})
         words.update(self.encode_words(todo))
         for x, ws in fresh.items():
             known[x] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
-        top = {x: b"".join([words[w] for w in ws]) for x, ws in tops.items()}
-        out = []
-        for row, gaps in plan:
-            for i, x, first in gaps:
-                row[i] = top[x] if first else known[x]
-            out.append(b"".join(row))
-        return out
+        return known, {x: b"".join([words[w] for w in ws]) for x, ws in tops.items()}
 
 
 _LOADED: dict[str, tuple[Vocabulary, PieceEncoder]] = {}
@@ -258,7 +282,7 @@ def encode(docs: DataFrame, vocab_path: str) -> DataFrame:
         ids = enc.encode_batch(b.column("text").to_pylist())
         return {"doc_id": b.column("doc_id"), "ids": [np.frombuffer(x, "<u4").astype(np.int32) for x in ids]}
 
-    return map_batches(docs_of(docs, "doc_id", "text"), run, "doc_id bigint, ids array<int>")
+    return map_batches(docs_of(docs, "doc_id", "text"), run, "doc_id bigint, ids array<int>", ROWS)
 
 
 def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
@@ -272,19 +296,21 @@ def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
     return map_batches(encoded.select("doc_id", "ids"), run, "doc_id bigint, text string")
 
 
-def round_trip(docs: DataFrame, vocab_path: str) -> DataFrame:
-    """Encode and decode in one pass; digests of the ids and of the decoded text per document."""
+def round_trip(docs: DataFrame, vocab_path: str, with_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass; digests of the ids and of the decoded text per document, and the ids if asked for."""
 
     def run(b):
         v, enc = load(vocab_path)
-        n, d_ids, d_text = [], [], []
+        n, d_ids, d_text, out = [], [], [], []
         for raw in enc.encode_batch(b.column("text").to_pylist()):
             ids = np.frombuffer(raw, "<u4").tolist()
             n.append(len(ids))
+            if with_ids:
+                out.append(np.frombuffer(raw, "<u4").astype(np.int32))
             d_ids.append(sha256(",".join(map(v.decimal.__getitem__, ids)).encode()).hexdigest())
             text = b"".join(map(v.bytes.__getitem__, ids)).decode("utf-8", "replace")
             d_text.append(sha256(text.encode()).hexdigest())
-        return {"doc_id": b.column("doc_id"), "n_tokens": n, "ids_sha256": d_ids, "decoded_sha256": d_text}
+        return {"doc_id": b.column("doc_id"), "n_tokens": n, "ids_sha256": d_ids, "decoded_sha256": d_text} | ({"ids": out} if with_ids else {})
 
     return map_batches(docs_of(docs, "doc_id", "text"), run,
-                       "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+                       "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""), ROWS)

@@ -51,12 +51,12 @@ def window_hashes(h: np.ndarray, k: int, seed: int = 0x2545F4914F6CDD1D) -> np.n
     return mix(acc)
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for i in range(0, batch.num_rows, ROWS):
-        yield batch.slice(i, ROWS)
+def slices(batch: pa.RecordBatch, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, rows: int = ROWS) -> DataFrame:
     """``mapInArrow`` over small slices; ``fn`` returns one list or array per output column."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -65,7 +65,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b):
+            for part in slices(b, rows):
                 cols = fn(part)
                 if cols is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in out], schema=out)

@@ -23,6 +23,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.bpe import PieceEncoder
+from fathom.llm.bpe import ROWS, PieceEncoder
 from fathom.llm.textio import docs_of, slices
 
 BLOCK = 1 << 15
@@ -157,8 +158,17 @@ def library_encoder(path: str) -> PieceEncoder:
         t.no_padding()
 
         def encode_words(words: Iterable[str]) -> dict[str, bytes]:
-            words = list(words)
-            return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, t.encode_batch(words, add_special_tokens=False))}
+            """Words after a space in one call: each is a pre-token of its own there, and word_ids tells them apart."""
+            run = [w for w in words if w[:1] == " " and w[1:].isalpha()]
+            rest = [w for w in words if not (w[:1] == " " and w[1:].isalpha())]
+            out = {w: array("I", e.ids).tobytes() for w, e in zip(rest, t.encode_batch(rest, add_special_tokens=False))}
+            for i in range(0, len(run), 20_000):
+                some = run[i:i + 20_000]
+                e = t.encode("".join(some), add_special_tokens=False)
+                data = array("I", e.ids).tobytes()
+                ends = np.searchsorted(np.array(e.word_ids), np.arange(len(some)), "right").tolist()
+                out.update({w: data[4 * a:4 * b] for w, a, b in zip(some, [0, *ends], ends)})
+            return out
 
         special = {a.content: i for i, a in t.get_added_tokens_decoder().items()}
         _ENCODERS[path] = PieceEncoder(path, encode_words, special, whole_pieces=True)
@@ -184,7 +194,7 @@ def write_ids(docs: DataFrame, path: str, vocab_path: str, vocab_size: int, end_
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_doc", pa.int64()), ("part", pa.int32()), ("seq", pa.int32())]))
 
         for b in batches:
-            for s in slices(b):
+            for s in slices(b, ROWS):
                 for doc, raw in zip(s.column("doc_id").to_pylist(), enc.encode_batch(s.column("text").to_pylist())):
                     ids = np.frombuffer(raw, "<u4")
                     if end_id is not None:
