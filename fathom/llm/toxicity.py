@@ -110,7 +110,7 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train_network(docs: list[np.ndarray], y: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.1, seed: int = 10, min_docs: int = 6) -> Model:
+def train_network(docs: list[np.ndarray], y: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.1, seed: int = 10, min_docs: int = 3) -> Model:
     """Adagrad on the log loss; only the words at the places of the largest responses get a gradient. Slots seen
     in fewer than ``min_docs`` documents stay at zero, so that no document is learnt by its rare words."""
     rng = np.random.default_rng(seed)
@@ -138,7 +138,7 @@ def train_network(docs: list[np.ndarray], y: np.ndarray, epochs: int = 8, batch:
         s[rows] += total * total
         p[rows] -= rate * total / np.sqrt(s[rows])
 
-    for _ in range(epochs):
+    for _ in range(max(epochs, min(24, 16_000 // max(1, len(docs))))):  # small samples: up to three times as often
         turn = rng.permutation(len(docs))
         for i in range(0, len(turn), batch):
             some = turn[i:i + batch]
