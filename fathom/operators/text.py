@@ -4,17 +4,17 @@ recent windows. A *scored* frame has ``text, sentiment, ts``."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import CountVectorizer, IndexToString, StringIndexer
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import text as TX
 from fathom.functions.time import ensure_ntz, ntz_literal
+from fathom.session import scratch_path
 
 
 def filter_language(texts: DataFrame, lang: str = "en", lang_col: str = "lang") -> DataFrame:
@@ -61,58 +61,95 @@ def document_frequency(tokenized: DataFrame, id_col: str = "doc_id") -> DataFram
     return presence_pairs(tokenized, id_col).groupBy("token").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def train_sentiment(labelled: DataFrame, label_col: str = "sentiment", vocab_size: int = 1 << 20,
-                    smoothing: float = 1.0) -> PipelineModel:
-    """T6 training: presence features over the training vocabulary (binary
-    CountVectorizer) and a Bernoulli Naive Bayes. Classes are indexed in
-    alphabetical order, so an exact score tie goes to the first name."""
-    stages = [
-        CountVectorizer(inputCol="tokens", outputCol="features", binary=True, vocabSize=vocab_size, minDF=1.0),
-        StringIndexer(inputCol=label_col, outputCol="label", stringOrderType="alphabetAsc"),
-        NaiveBayes(modelType="bernoulli", smoothing=smoothing, featuresCol="features", labelCol="label"),
-    ]
-    # the estimators pass over the training set several times: keep it once
-    data = labelled.select("tokens", label_col).persist()
-    try:
-        return Pipeline(stages=stages).fit(data)
-    finally:
-        data.unpersist()
-
-
-def classify_sentiment(model: PipelineModel, tokenized: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """T6 scoring: adds ``sentiment`` from the trained pipeline."""
-    labels = model.stages[1].labels
-    out = model.transform(tokenized.drop("label"))
-    conv = IndexToString(inputCol="prediction", outputCol="sentiment_pred", labels=labels)
-    return conv.transform(out).select(*keep, F.col("sentiment_pred").alias("sentiment"))
-
-
-def score_with_program(df: DataFrame, fn: Callable, input_col: str, output_col: str, keep: tuple[str, ...] = (),
+@dataclass
+class SentimentModel:
+    """Bernoulli Naive Bayes: ``classes`` in alphabetical order, ``base`` their score of a text without known tokens,
+    ``tokens`` a stored table ``token, w0 .. wk`` of what each token adds to each class's score."""
+
+    classes: list[str]
+    base: list[float]
+    tokens: DataFrame
+
+
+def train_sentiment(labelled: DataFrame, label_col: str = "sentiment", smoothing: float = 1.0,
+                    id_col: str = "doc_id") -> SentimentModel:
+    """T6 training from (text, token) pairs: every token of the labelled texts counts, however many there are. The
+    driver sees one row per class and nothing per token."""
+    spark = labelled.sparkSession
+    docs = labelled.select(id_col, F.col(label_col).alias("c"), F.array_distinct("tokens").alias("tokens"))
+    n = {r["c"]: r["n"] for r in docs.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    classes = sorted(n)
+    pairs = docs.select("c", F.explode("tokens").alias("token"))
+    counts = pairs.groupBy("token").agg(*[F.sum((F.col("c") == F.lit(c)).cast("long")).alias(f"n{i}") for i, c in enumerate(classes)])
+    total = sum(n.values())
+    cols, outside = [], []
+    for i, c in enumerate(classes):
+        p = (F.col(f"n{i}") + F.lit(smoothing)) / F.lit(n[c] + 2.0 * smoothing)
+        cols.append((F.log(p) - F.log1p(-p)).alias(f"w{i}"))
+        outside.append(F.log1p(-p).alias(f"o{i}"))
+    path = scratch_path(spark, "tokens")
+    counts.select("token", *cols, *outside).write.parquet(path)
+    table = spark.read.parquet(path)
+    absent = table.agg(*[F.coalesce(F.sum(f"o{i}"), F.lit(0.0)).alias(f"o{i}") for i in range(len(classes))]).first()
+    base = [math.log((n[c] + smoothing) / (total + smoothing * len(classes))) + absent[f"o{i}"] for i, c in enumerate(classes)]
+    return SentimentModel(classes, base, table.select("token", *[f"w{i}" for i in range(len(classes))]))
+
+
+def classify_sentiment(model: SentimentModel, tokenized: DataFrame, keep: tuple[str, ...] = ("doc_id",), salts: int = 16) -> DataFrame:
+    """T6 scoring: the class with the largest score; an exact tie goes to the first name. Texts' tokens meet the
+    token table on (token, salt), so that a token found in most texts is spread over ``salts`` groups, and come
+    back summed per text. ``keep`` must tell texts apart."""
+    k = len(model.classes)
+    pairs = tokenized.select(*keep, F.explode_outer(F.array_distinct("tokens")).alias("token"))
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64(*keep), F.lit(salts)).cast("int"))
+    table = model.tokens.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    joined = pairs.join(table, ["token", "salt"], "left")
+    sums = joined.groupBy(*keep).agg(*[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"w{i}") for i in range(k)])
+    score = [F.col(f"w{i}") + F.lit(model.base[i]) for i in range(k)]
+    best, name = score[0], F.lit(model.classes[0])
+    for i in range(1, k):
+        name = F.when(score[i] > best, F.lit(model.classes[i])).otherwise(name)
+        best = F.greatest(best, score[i])
+    return sums.select(*keep, name.alias("sentiment"))
+
+
+def per_value(fn: Callable) -> Callable:
+    """A batch function from a function of one value."""
+    return lambda values: pd.Series([fn(v) for v in values], index=values.index, dtype=object)
+
+
+def score_with_program(df: DataFrame, load: Callable[[], Callable], input_col: str, output_col: str, keep: tuple[str, ...] = (),
                        output_type: str = "string") -> DataFrame:
-    """Run a per-record function over Arrow batches with ``mapInPandas``
-    (loaded once per task). Null inputs are skipped; a record whose call
-    raises gets ``status = 'failed'`` and the error text (T12); a null result
-    is not emitted."""
+    """Run a program over Arrow batches with ``mapInPandas``. ``load()`` runs once per task and returns a function
+    from a Series of values to a Series of results. Null inputs are skipped. If a batch raises, its values run
+    one by one, and only those that raise get ``status = 'failed'`` and the error text (T12); a null result is
+    not emitted."""
     schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep),
                         f"`{output_col}` {output_type}", "status string", "error string"])
 
+    def alone(fn, values):
+        outs, errs = [], []
+        for i in range(len(values)):
+            try:
+                outs.append(fn(values.iloc[i:i + 1]).iloc[0])
+                errs.append(None)
+            except Exception as e:  # noqa: BLE001 - quarantined, never fails the batch
+                outs.append(None)
+                errs.append(f"{type(e).__name__}: {e}")
+        return outs, errs
+
     def run(batches):
+        fn = load()
         for pdf in batches:
             pdf = pdf[pdf[input_col].notna()]
-            outs, status, errs = [], [], []
-            for v in pdf[input_col]:
-                try:
-                    outs.append(fn(v))
-                    status.append("ok")
-                    errs.append(None)
-                except Exception as e:  # noqa: BLE001 - quarantined, never fails the batch
-                    outs.append(None)
-                    status.append("failed")
-                    errs.append(f"{type(e).__name__}: {e}")
-            if not outs:
+            if not len(pdf):
                 continue
+            try:
+                outs, errs = list(fn(pdf[input_col])), [None] * len(pdf)
+            except Exception:  # noqa: BLE001
+                outs, errs = alone(fn, pdf[input_col])
             res = pd.DataFrame({**{k: pdf[k].values for k in keep}, output_col: pd.Series(outs, dtype=object),
-                                "status": status, "error": pd.Series(errs, dtype=object)})
+                                "status": ["ok" if e is None else "failed" for e in errs], "error": pd.Series(errs, dtype=object)})
             res = res[~((res["status"] == "ok") & res[output_col].isna())].reset_index(drop=True)
             if len(res):
                 yield res

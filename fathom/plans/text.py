@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fathom.functions import text as TX
 from fathom.operators import text as T
 from fathom.plans.registry import query
+from fathom.session import scratch_path
 from fathom.sources import standins
 from fathom.sources.tables import load
 
@@ -55,9 +56,10 @@ def language_counts(spark, sf):
 
 
 @query("text_metrics", sql="""SELECT count(text) AS n, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars,
-  CAST(sum(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS ignored FROM documents""")
+  CAST(sum(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS ignored
+  FROM (SELECT CASE WHEN event_type <> 'error' THEN props END AS text FROM events)""")
 def metrics(spark, sf):
-    return T.text_metrics(_docs(spark, sf))
+    return T.text_metrics(standins.raw_texts(load(spark, sf, "events")))
 
 
 @query("text_normalize", sql=f"WITH {NORMED} SELECT doc_id, norm FROM normed")
@@ -93,37 +95,76 @@ sc AS (SELECT dv.doc_id, s0.c, sum(coalesce(th.lt, s0.lt0) - ln(1 - exp(coalesce
        FROM dv, s0 LEFT JOIN th ON th.c = s0.c AND th.w = dv.w GROUP BY dv.doc_id, s0.c),
 tot_s AS (SELECT tk.doc_id, s0.c, s0.s0 + coalesce(sc.s, 0) AS score FROM tk, s0
           LEFT JOIN sc ON sc.doc_id = tk.doc_id AND sc.c = s0.c),
-pick AS (SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, c ASC) AS rn FROM tot_s)
-SELECT doc_id, c AS sentiment FROM pick WHERE rn = 1"""
+pick AS (SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, c ASC) AS rn FROM tot_s),
+scored AS (SELECT doc_id, c FROM pick WHERE rn = 1)
+"""
 
 
-@query("text_sentiment", sql=NB)
-def sentiment(spark, sf):
+def _classified(spark, sf):
     tok = _tokenized(spark, sf)
     lab = standins.labelled_texts(_docs(spark, sf), load(spark, sf, "labels")).select("doc_id", "sentiment")
-    model = T.train_sentiment(tok.join(lab, "doc_id"))
-    return T.classify_sentiment(model, tok)
+    return T.classify_sentiment(T.train_sentiment(tok.join(lab, "doc_id")), tok)
+
+
+@query("text_sentiment", sql=NB + "SELECT doc_id, c AS sentiment FROM scored")
+def sentiment(spark, sf):
+    return _classified(spark, sf)
+
+
+def _normalizer():
+    """The program of T7, loaded once per task."""
+    return T.per_value(TX.normalize_py)
+
+
+def _strict_normalizer():
+    """A program that fails on texts with a raw hash sign run."""
+
+    def fn(v):
+        if "###" in v:
+            raise ValueError("hash run")
+        return TX.normalize_py(v)
+
+    return T.per_value(fn)
 
 
 @query("text_program_normalize", sql=f"WITH {NORMED} SELECT doc_id, norm, 'ok' AS status, CAST(NULL AS VARCHAR) AS error FROM normed")
 def program_normalize(spark, sf):
-    return T.score_with_program(_docs(spark, sf), TX.normalize_py, "text", "norm", keep=("doc_id",))
+    return T.score_with_program(_docs(spark, sf), _normalizer, "text", "norm", keep=("doc_id",))
 
 
-@query("text_quarantine", sql="SELECT 'ok' AS status, count(*) AS n FROM documents WHERE text IS NOT NULL")
+@query("text_quarantine", sql=f"""WITH {NORMED}, o AS (SELECT n.doc_id, n.norm, contains(d.text, '###') AS bad FROM normed n JOIN documents d USING (doc_id))
+SELECT doc_id, CASE WHEN bad THEN NULL ELSE norm END AS norm, CASE WHEN bad THEN 'failed' ELSE 'ok' END AS status,
+  CASE WHEN bad THEN 'ValueError: hash run' END AS error FROM o""")
 def quarantine(spark, sf):
-    out = T.score_with_program(_docs(spark, sf), TX.normalize_py, "text", "norm", keep=("doc_id",))
-    ok, failed = T.quarantine_failures(out)
-    return ok.unionByName(failed).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    # one run of the program; the frames of T12 are filters on its stored result
+    path = scratch_path(spark, "scored")
+    T.score_with_program(_docs(spark, sf), _strict_normalizer, "text", "norm", keep=("doc_id",)).write.parquet(path)
+    ok, failed = T.quarantine_failures(spark.read.parquet(path))
+    return ok.unionByName(failed)
+
+
+STOP = ["the", "and", "of", "to", "in", "is", "for", "la", "de", "und", "der"]
+
+
+@query("text_tokens_stop_words", sql=f"""WITH {NORMED}, {TOKED},
+k AS (SELECT doc_id, list_filter(tokens, lambda t: NOT (regexp_matches(t, {_q(TX.WORDLIKE)}) AND t IN ({', '.join(map(_q, [*STOP, *TX.RESERVED_STOPWORDS]))}))) AS tokens FROM tk)
+SELECT doc_id, array_to_string(tokens, ' ') AS tokens, CAST(len(tokens) AS INT) AS n_tokens FROM k""")
+def tokens_stop_words(spark, sf):
+    t = T.tokenize_text(T.normalize_text(_docs(spark, sf)), stopwords=STOP)
+    return t.select("doc_id", F.array_join("tokens", " ").alias("tokens"), F.size("tokens").alias("n_tokens"))
+
+
+@query("text_events", sql="SELECT text, ts AS created_at FROM (SELECT CASE WHEN event_type <> 'error' THEN props END AS text, ts FROM events) WHERE text IS NOT NULL")
+def text_events(spark, sf):
+    return T.text_events(standins.raw_texts(load(spark, sf, "events")), "text", "ts")
 
 
-@query("text_sentiment_totals", sql=f"""WITH {LABEL}, k AS (SELECT * FROM (VALUES ('positive'), ('negative'), ('neutral')) v(c)),
+@query("text_sentiment_totals", sql=NB + """, k AS (SELECT * FROM (VALUES ('positive'), ('negative'), ('neutral')) v(c)),
 t AS (SELECT coalesce(k.c, x.c) AS sentiment, CAST(coalesce(x.n, 0) AS BIGINT) AS n
-      FROM k FULL OUTER JOIN (SELECT c, count(*) AS n FROM lab GROUP BY c) x ON k.c = x.c)
+      FROM k FULL OUTER JOIN (SELECT c, count(*) AS n FROM scored GROUP BY c) x ON k.c = x.c)
 SELECT * FROM t UNION ALL SELECT 'total', CAST(sum(n) AS BIGINT) FROM t""")
 def sentiment_totals(spark, sf):
-    lab = standins.labelled_texts(_docs(spark, sf), load(spark, sf, "labels"))
-    return T.sentiment_totals(lab)
+    return T.sentiment_totals(_classified(spark, sf))
 
 
 EVSQL = "ev AS (SELECT event_id AS id, props AS text, event_type AS sentiment, ts FROM events)"

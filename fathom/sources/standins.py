@@ -85,3 +85,8 @@ def scored_from_events(events: DataFrame) -> DataFrame:
     """A scored-text stream: class = event type, text = props, event time."""
     return events.select(F.col("event_id").alias("id"), F.col("props").alias("text"),
                          F.col("event_type").alias("sentiment"), F.col("ts"))
+
+
+def raw_texts(events: DataFrame) -> DataFrame:
+    """Raw records of a text feed: the text is missing in records of type ``error``."""
+    return events.select(F.when(F.col("event_type") != "error", F.col("props")).alias("text"), "ts")

@@ -46,7 +46,7 @@ def test_program_quarantine(spark):
             raise ValueError("bad")
         return t.upper()
 
-    out = T.score_with_program(df, fn, "text", "out", keep=("id",))
+    out = T.score_with_program(df, lambda: T.per_value(fn), "text", "out", keep=("id",))
     ok, failed = T.quarantine_failures(out)
     assert [(r.id, r.out) for r in ok.collect()] == [(1, "OK")]
     assert [(r.id, r.status) for r in failed.collect()] == [(2, "failed")]
