@@ -100,14 +100,15 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited form, and their likenesses (see ``op7``)."""
-    rows = with_fingerprint(_keyed(docs), "text", "fingerprint")
-    # From the view of the next document: whom it follows and how many code points that one takes.
+    rows = _keyed(docs)
+    # From the view of the next document: whom it follows and how many code points that one takes. Fingerprints
+    # are made after texts have moved: digests do not compress, a second computation costs less than moving them.
     links = neighbours(docs).select(F.col("next_k").alias("k"), F.col("k").alias("before_k"), F.floor(F.col("n") / 4).cast("int").alias("take"))
-    given = rows.join(links, "k").select(
+    given = with_fingerprint(rows.join(links, "k"), "text", "next_fingerprint").select(
         F.col("before_k").alias("k"), F.substring("text", F.lit(1), F.col("take")).alias("new_end"),
-        F.col("fingerprint").alias("next_fingerprint"), F.col("doc_id").alias("next_doc_id")).dropDuplicates(["k"])
+        "next_fingerprint", F.col("doc_id").alias("next_doc_id")).dropDuplicates(["k"])
     n = F.length("text").cast("long")
-    both = rows.join(given, "k").withColumn("n_chars", n)
+    both = with_fingerprint(rows.join(given, "k"), "text", "fingerprint").withColumn("n_chars", n)
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")), F.col("new_end")))
     both = with_fingerprint(both, "edited", "edited_fingerprint")
     return both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
