@@ -18,7 +18,12 @@ def sorted_entries(dims) -> Column:
 def series_key(dims) -> Column:
     """Canonical key of a dimension map: for each entry in key order,
     ``len(key) key len(value) value`` (lengths in characters)."""
-    return F.array_join(F.transform(sorted_entries(dims), lambda e: F.concat(
+    return entries_key(sorted_entries(dims))
+
+
+def entries_key(entries) -> Column:
+    """:func:`series_key` of entries that are in key order."""
+    return F.array_join(F.transform(_c(entries), lambda e: F.concat(
         F.length(e["key"]).cast("string"), e["key"], F.length(e["value"]).cast("string"), e["value"])), "")
 
 

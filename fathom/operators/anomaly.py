@@ -15,7 +15,7 @@ from fathom.operators import series as S
 
 
 def anomaly_flags(counts: DataFrame, lookback: int = 10, mean_threshold: float = 2.0, sensitivity: float = 2.0,
-                  key: str = "series_key", bucket: str = "bucket", n: str = "n") -> DataFrame:
+                  key: str = "series_key", bucket: str = "bucket", n: str = "n", chunk: int = 100_000) -> DataFrame:
     """Flag a bucket when, with ``v = n - 1`` (the count before its last
     event), ``S``/``Q`` the sum and sum of squares of the previous ``lookback``
     buckets (missing ones count 0):
@@ -27,18 +27,27 @@ def anomaly_flags(counts: DataFrame, lookback: int = 10, mean_threshold: float =
     Checking the last event is enough: both sides grow with v, so some event
     of the bucket met the rule exactly when its last one did. The trailing
     frame is a RANGE window on the bucket index, which supplies the zeros.
-    Rows are one per (key, bucket), so a hot key costs one row per bucket.
+    Rows are one per (key, bucket), and a key's history is split into runs of
+    ``chunk`` buckets; the last ``lookback`` buckets of a run also go to the
+    next one as history, so a long history is spread over many tasks.
     """
     L = int(lookback)
-    w = Window.partitionBy(key).orderBy(bucket).rangeBetween(-L, -1)
+    width = max(int(chunk), L)
+    run = F.floor(F.col(bucket) / F.lit(width)).cast("long")
+    runs = F.when(F.pmod(F.col(bucket), F.lit(width)) >= width - L, F.array(run, run + 1)).otherwise(F.array(run))
+    counts = counts.select("*", F.posexplode(runs).alias("_old", "_run"))
+    w = Window.partitionBy(key, "_run").orderBy(bucket).rangeBetween(-L, -1)
+    square = F.col(n).cast("decimal(19,0)") * F.col(n).cast("decimal(19,0)")
     c = counts.withColumn("S", F.coalesce(F.sum(n).over(w), F.lit(0)).cast("long")) \
-        .withColumn("Q", F.coalesce(F.sum(F.col(n) * F.col(n)).over(w), F.lit(0)).cast("long"))
+        .withColumn("Q", F.coalesce(F.sum(square).over(w), F.lit(0)).cast("decimal(38,0)"))
     v = (F.col(n) - 1).cast("long")
     mean_ok = (F.col("S") + v).cast("double") / F.lit(float(L + 1)) > F.lit(float(mean_threshold))
-    var = (F.lit(L) * F.col("Q") - F.col("S") * F.col("S")).cast("double")
+    # squares of counts pass 64 bits long before counts do: exact decimals, a double only for the root
+    s = F.col("S").cast("decimal(19,0)")
+    var = ((F.col("Q") * F.lit(L)).cast("decimal(38,0)") - (s * s).cast("decimal(38,0)")).cast("double")
     dev_ok = (F.lit(L) * v - F.col("S")).cast("double") / F.lit(float(L + 1)) > \
         F.lit(float(sensitivity)) * F.sqrt(var) / F.lit(float(L))
-    return c.withColumn("flag", mean_ok & dev_ok)
+    return c.withColumn("flag", mean_ok & dev_ok).where("_old = 0").drop("_old", "_run")
 
 
 def detect_anomalies(counts: DataFrame, interval, lookback: int = 10, mean_threshold: float = 2.0,
@@ -54,10 +63,19 @@ def detect_anomalies(counts: DataFrame, interval, lookback: int = 10, mean_thres
     return f.select(*cols)
 
 
+def _between(anomalies: DataFrame, start, end) -> DataFrame:
+    """``start <= ts <= end``; on a table stored by date (see
+    :func:`fathom.sources.stores.write_dated`) only those partitions are read."""
+    a = anomalies.where((F.col("ts") >= ntz_literal(start)) & (F.col("ts") <= ntz_literal(end)))
+    if "date" in anomalies.columns:
+        a = a.where((F.col("date") >= F.to_date(ntz_literal(start))) & (F.col("date") <= F.to_date(ntz_literal(end))))
+    return a
+
+
 def anomalies_in_range(anomalies: DataFrame, start, end, src=None) -> DataFrame:
     """Anomalies with ``start <= ts <= end``, optionally of one ``src``,
     most recent first."""
-    a = anomalies.where((F.col("ts") >= ntz_literal(start)) & (F.col("ts") <= ntz_literal(end)))
+    a = _between(anomalies, start, end)
     if src is not None:
         a = a.where(F.col("dims").getItem("src") == F.lit(src))
     return a.orderBy(F.col("ts").desc(), F.col("series_key").desc())
@@ -92,18 +110,29 @@ def group_anomalies(anomalies: DataFrame, group_for: str, src=None) -> DataFrame
 def anomaly_counts(spark: SparkSession, anomalies: DataFrame, start, end, interval) -> DataFrame:
     """Per bucket the number of distinct anomalous series, zero-filled
     over the grid of :func:`fathom.operators.series.zero_filled`."""
-    obs = anomalies.groupBy("bucket").agg(F.count_distinct("series_key").alias("value"))
+    obs = _from_bucket(anomalies, start, end, interval).groupBy("bucket").agg(F.count_distinct("series_key").alias("value"))
     return S.zero_filled(spark, obs, start, end, interval)
 
 
+def _from_bucket(anomalies: DataFrame, start, end, interval) -> DataFrame:
+    """Anomalies from the start of ``start``'s bucket on, up to ``end``."""
+    import datetime as dt
+
+    from fathom.functions.time import micros_of
+
+    t, d = dt.datetime.fromisoformat(str(start)), micros_of(interval)
+    floor = t - dt.timedelta(microseconds=(t - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1) % d)
+    return _between(anomalies, floor, end)
+
+
 def anomaly_counts_by_src(spark: SparkSession, anomalies: DataFrame, start, end, interval, src=None) -> DataFrame:
     """N12 for one ``src`` (zero-filled); with ``src=None`` the observed
     counts of every src, ``src, ts, value`` (no grid per src)."""
     s = F.col("dims").getItem("src")
     if src is not None:
-        obs = anomalies.where(s == F.lit(src)).groupBy("bucket").agg(F.count_distinct("series_key").alias("value"))
+        obs = _from_bucket(anomalies, start, end, interval).where(s == F.lit(src)).groupBy("bucket").agg(F.count_distinct("series_key").alias("value"))
         return S.zero_filled(spark, obs, start, end, interval)
-    a = anomalies.where((F.col("ts") >= ntz_literal(start)) & (F.col("ts") <= ntz_literal(end)))
+    a = _between(anomalies, start, end)
     return a.groupBy(s.alias("src"), "bucket").agg(F.count_distinct("series_key").alias("value")) \
         .select("src", bucket_start("bucket", interval).alias("ts"), "value")
 
@@ -111,7 +140,7 @@ def anomaly_counts_by_src(spark: SparkSession, anomalies: DataFrame, start, end,
 def unique_srcs_with_anomalies(anomalies: DataFrame, start, end) -> DataFrame:
     """Per bucket the number of distinct src with an anomaly, buckets in
     ``[start, end)``, no zero fill."""
-    a = anomalies.where((F.col("ts") >= ntz_literal(start)) & (F.col("ts") < ntz_literal(end)))
+    a = _between(anomalies, start, end).where(F.col("ts") < ntz_literal(end))
     return a.groupBy("ts").agg(F.count_distinct(F.col("dims").getItem("src")).alias("value"))
 
 

@@ -5,14 +5,13 @@ A *fact* frame has ``ts TIMESTAMP_NTZ`` and ``dims MAP<STRING,STRING>``.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.functions.maps import index_subsets_fast, series_key
+from fathom.functions.maps import entries_key, index_subsets_fast, series_key
 from fathom.functions.stats import chi2_critical
 from fathom.functions.time import bucket_index, ensure_ntz
+from fathom.session import scratch_path
 
 # Category names of the numeric dimensions, lowest first.
 CATEGORIES = ("low", "medium", "high")
@@ -68,60 +67,81 @@ def _rewrite(dims_col: F.Column, field: str, new_value: F.Column | None) -> F.Co
         F.map_concat(kept, F.create_map(F.lit(field), new_value)))
 
 
-def _rank_fractions(n: int, k: int) -> list[float]:
-    """Sketch fractions that select the order statistics at 1-based ranks
-    ``off`` and ``off + 1`` for ``off = floor((i+1) n / k)`` (the sketch
-    returns the value at rank ``ceil(p n)``; the half keeps it off float edges)."""
-    ps = []
-    for i in range(k - 1):
-        off = math.floor((i + 1) * n / k)
-        ps += [(max(off, 1) - 0.5) / n, (min(off + 1, n) - 0.5) / n]
-    return ps
-
-
-def tertile_bounds_all(facts: DataFrame, fields, k: int = 3, accuracy: int = 100_000, dims: str = "dims") -> dict:
-    """Equal-mass bounds for several numeric dimensions in two passes in all:
-    one aggregate counts every field, one aggregate builds every field's
-    mergeable ``percentile_approx`` sketch (rank error at most
-    ``n / accuracy``; exact while ``n < accuracy / 2``). Bound i is the
-    midpoint of the order statistics at ranks ``floor((i+1) n / k)`` and the
-    next one. Returns ``{field: (n, bounds)}``."""
+BINS = 1024  # bins of one narrowing step
+FEW = 4096  # distinct values that are fetched and ordered at the end of the narrowing
+
+
+def order_statistics(counts: DataFrame, ranks: list[int]) -> list[float]:
+    """Exact values at 1-based ``ranks`` of a multiset given as ``value, c`` (distinct values and their counts).
+
+    Each step bins the values that may still hold a rank into ``BINS`` equal ranges and keeps the bin that the
+    rank falls into; when few distinct values are left they are fetched. The driver sees at most ``BINS + 1``
+    rows per step or ``FEW`` values, whatever the size, and no task gathers a field's values."""
+    out: dict[int, float] = {}
+    for rank in sorted(set(ranks)):
+        todo, below = counts, 0
+        while True:
+            s = todo.agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("d")).first()
+            if s["d"] <= FEW:
+                for r in sorted((r["value"], r["c"]) for r in todo.collect()):
+                    below += r[1]
+                    if below >= rank:
+                        out[rank] = r[0]
+                        break
+                break
+            lo, width = F.lit(s["lo"]), (F.lit(s["hi"]) - F.lit(s["lo"])) / F.lit(float(BINS))
+            binned = todo.withColumn("bin", F.floor((F.col("value") - lo) / width))
+            for r in sorted(binned.groupBy("bin").agg(F.sum("c").alias("c")).collect()):
+                if below + r["c"] >= rank:
+                    todo = binned.where(F.col("bin") == F.lit(r["bin"])).drop("bin")
+                    break
+                below += r["c"]
+    return [out[r] for r in ranks]
+
+
+def tertile_bounds_all(facts: DataFrame, fields, k: int = 3, dims: str = "dims") -> dict:
+    """Exact equal-mass bounds for several numeric dimensions: one pass over the facts stores the count of every
+    distinct value of every field, all else works on that table. Bound i is the midpoint of the order statistics
+    at ranks ``floor((i+1) n / k)`` and the next one. Returns ``{field: (n, bounds)}``."""
+    spark = facts.sparkSession
     fields = list(fields)
     if not fields:
         return {}
-    counts = facts.agg(*[F.count(_numeric(dims, f)).alias(f"n{i}") for i, f in enumerate(fields)]).first()
-    ns = {f: counts[f"n{i}"] for i, f in enumerate(fields)}
-    live = [f for f in fields if ns[f] > 0]
-    out = {f: (0, []) for f in fields if ns[f] == 0}
-    if live:
-        q = facts.agg(*[F.percentile_approx(_numeric(dims, f), _rank_fractions(ns[f], k), accuracy).alias(f"q{i}")
-                        for i, f in enumerate(live)]).first()
-        for i, f in enumerate(live):
-            v = q[f"q{i}"]
-            out[f] = (ns[f], [(v[2 * j] + v[2 * j + 1]) / 2.0 for j in range(k - 1)])
+    values = F.array(*[F.struct(F.lit(i).alias("field"), _numeric(dims, f).alias("value")) for i, f in enumerate(fields)])
+    path = scratch_path(spark, "values")
+    rows = facts.select(F.inline(values)).where("abs(value) < double('Infinity')")
+    rows.groupBy("field", "value").agg(F.count(F.lit(1)).alias("c")).write.parquet(path)
+    counts = spark.read.parquet(path)
+    ns = {r["field"]: r["n"] for r in counts.groupBy("field").agg(F.sum("c").alias("n")).collect()}
+    out = {}
+    for i, f in enumerate(fields):
+        n = ns.get(i, 0)
+        ranks = [r for j in range(k - 1) for off in [(j + 1) * n // k] for r in (max(off, 1), min(off + 1, n))]
+        v = order_statistics(counts.where(F.col("field") == i).select("value", "c"), ranks) if n else []
+        out[f] = (n, [(v[2 * j] + v[2 * j + 1]) / 2.0 for j in range(len(v) // 2)])
     return out
 
 
-def tertile_bounds(facts: DataFrame, field: str, k: int = 3, accuracy: int = 100_000, dims: str = "dims"):
+def tertile_bounds(facts: DataFrame, field: str, k: int = 3, dims: str = "dims"):
     """Bounds of one field (see :func:`tertile_bounds_all`): ``(n, bounds)``."""
-    return tertile_bounds_all(facts, [field], k, accuracy, dims)[field]
+    return tertile_bounds_all(facts, [field], k, dims)[field]
 
 
-def categorize_numbers(facts: DataFrame, fields=("rl", "rs"), labels=CATEGORIES, min_points: int = 900,
-                       accuracy: int = 100_000, dims: str = "dims") -> DataFrame:
-    """Replace numeric dimensions by ``low / medium / high`` using equal-mass
-    bounds over the whole frame; a value goes to the first bucket whose bound
-    it is below. With fewer than ``min_points`` values the field is removed
-    (the reference's warm-up), as is a value that is not a number."""
-    bounds = tertile_bounds_all(facts, fields, len(labels), accuracy, dims)
+def categorize_numbers(facts: DataFrame, fields=("rl", "rs"), labels=CATEGORIES, min_points: int = 0, dims: str = "dims") -> DataFrame:
+    """Replace numeric dimensions by ``low / medium / high`` using exact
+    equal-mass bounds over the whole frame; a value goes to the first bucket
+    whose bound it is below. A value that is not a number is removed. A caller
+    may ask for the reference's warm-up: with fewer than ``min_points`` values
+    the field is removed."""
+    bounds = tertile_bounds_all(facts, fields, len(labels), dims)
     out = facts
     for field in fields:
         n, b = bounds[field]
         v = _numeric(dims, field)
-        if n < min_points:
+        if n < max(1, min_points):
             out = out.withColumn(dims, _rewrite(F.col(dims), field, None))
         else:
-            new = F.when(v.isNull(), F.lit(None)).otherwise(_label(v, b, list(labels)))
+            new = F.when(v.isNull() | ~(F.abs(v) < F.lit(float("inf"))), F.lit(None)).otherwise(_label(v, b, list(labels)))
             out = out.withColumn(dims, F.map_filter(_rewrite(F.col(dims), field, new), lambda kk, x: x.isNotNull()))
     return out
 
@@ -159,13 +179,22 @@ def decayed_bounds(facts: DataFrame, field: str, bucket="1 day", half_life_bucke
 
 def decayed_categorize(facts: DataFrame, field: str = "rs", bucket="1 day", half_life_buckets: float = 1.0,
                        lookback: int = 10, bin_width: float = 1.0, labels=CATEGORIES, dims: str = "dims",
-                       ts: str = "ts") -> DataFrame:
+                       ts: str = "ts", broadcast_rows: int = 100_000, salts: int = 64) -> DataFrame:
     """Categorise ``field`` with bounds that follow drift (see
     :func:`decayed_bounds`); a fact in a bucket without history loses the field."""
     k = len(labels)
     b = decayed_bounds(facts, field, bucket, half_life_buckets, lookback, bin_width, k, dims, ts)
     f = facts.withColumn("tb", bucket_index(ts, bucket))
-    j = f.join(b, "tb", "left")
+    # one row per time bucket: stored, counted, and sent to all tasks while small; a join on the bucket alone would
+    # gather a bucket's facts in one task, so beyond that the bounds are repeated per salt
+    path = scratch_path(facts.sparkSession, "bounds")
+    b.write.parquet(path)
+    b = facts.sparkSession.read.parquet(path)
+    if b.count() <= broadcast_rows:
+        j = f.join(F.broadcast(b), "tb", "left")
+    else:
+        salted = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        j = f.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns[:1], F.map_entries(dims)), F.lit(salts)).cast("int")).join(salted, ["tb", "_salt"], "left").drop("_salt")
     v = _numeric(dims, field)
     lab = F.lit(labels[-1])
     for i in reversed(range(k - 1)):
@@ -225,6 +254,23 @@ def fanout_dimensions(facts: DataFrame, required=("src",), max_size: int = 2, di
     return f.select(*cols)
 
 
+def fanned_counts(facts: DataFrame, interval, required=("src",), max_size: int = 2, dims: str = "dims", ts: str = "ts") -> DataFrame:
+    """N6 + N7 in the order that keeps the amplification small: facts are first counted per (bucket, dimensions),
+    every distinct combination is fanned out once with its count, and the subsets' counts are summed per
+    (bucket, entries). The entries are the only key; ``series_key`` and ``dims`` are made from the result rows.
+    Returns ``series_key, bucket, n, dims``."""
+    f = ensure_ntz(facts, ts).withColumn("bucket", bucket_index(ts, interval))
+    f = f.withColumn("_entries", F.sort_array(F.map_entries(dims)))
+    distinct = f.groupBy("bucket", "_entries").agg(F.count(F.lit(1)).alias("n"))
+    is_req = lambda e: e["key"].isin(*required) if required else F.lit(False)
+    d = distinct.withColumn("_req", F.filter("_entries", is_req)).withColumn("_rest", F.filter("_entries", lambda e: ~is_req(e)))
+    d = d.where(F.size("_req") == len(set(required)))
+    d = d.select("bucket", "n", "_req", "_rest", F.explode(index_subsets_fast(F.size("_rest"), max_size)).alias("_s"))
+    picked = F.transform("_s", lambda i: F.element_at(F.col("_rest"), i + 1))
+    counts = d.groupBy("bucket", F.sort_array(F.concat(picked, F.col("_req"))).alias("_e")).agg(F.sum("n").cast("long").alias("n"))
+    return counts.select(entries_key("_e").alias("series_key"), "bucket", "n", F.map_from_entries("_e").alias("dims"))
+
+
 def fanout_rejects(facts: DataFrame, required=("src",), dims: str = "dims") -> DataFrame:
     cond = F.lit(False)
     for r in required:

@@ -19,6 +19,15 @@ def _bucket_of_literal(value, width) -> int:
     return us // d
 
 
+def _bucket_edge(value, width, up: bool = False):
+    """Start of the bucket that holds a literal time; with ``up`` the next edge unless the time is one."""
+    import datetime as dt
+
+    t = value if isinstance(value, dt.datetime) else dt.datetime.fromisoformat(str(value))
+    rest = (t - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1) % micros_of(width)
+    return t - dt.timedelta(microseconds=rest) + dt.timedelta(microseconds=micros_of(width) if up and rest else 0)
+
+
 def interval_counts(facts: DataFrame, interval="5 seconds", key: str = "series_key", ts: str = "ts",
                     carry: tuple[str, ...] = ()) -> DataFrame:
     """Events per (key, ``floor(ts / interval)``) -> ``key, bucket, n``.
@@ -34,14 +43,14 @@ def interval_counts(facts: DataFrame, interval="5 seconds", key: str = "series_k
 
 def traffic_counts(facts: DataFrame, interval="5 seconds", start=None, end=None, ts: str = "ts") -> DataFrame:
     """Events per bucket with bucket start in ``[floor(start), end)``, no zero fill."""
-    f = ensure_ntz(facts, ts).withColumn("bucket", bucket_index(ts, interval))
-    c = f.groupBy("bucket").agg(F.count(F.lit(1)).alias("value"))
+    f = ensure_ntz(facts, ts)
+    # bounds on the raw time, widened to whole buckets, so that they reach the scan
     if start is not None:
-        c = c.where(F.col("bucket") >= F.lit(_bucket_of_literal(start, interval)))
-    out = c.select(bucket_start("bucket", interval).alias("ts"), "value")
+        f = f.where(F.col(ts) >= ntz_literal(_bucket_edge(start, interval)))
     if end is not None:
-        out = out.where(F.col("ts") < ntz_literal(end))
-    return out
+        f = f.where(F.col(ts) < ntz_literal(_bucket_edge(end, interval, up=True)))
+    c = f.groupBy(bucket_index(ts, interval).alias("bucket")).agg(F.count(F.lit(1)).alias("value"))
+    return c.select(bucket_start("bucket", interval).alias("ts"), "value")
 
 
 def series_counts(counts: DataFrame, key_value, interval, start=None, end=None, key: str = "series_key") -> DataFrame:
@@ -91,6 +100,11 @@ def sliding_top(df: DataFrame, value_col: str = "src", ts: str = "ts", width="10
         raise ValueError("width must be a multiple of slide")
     m = wu // su
     f = ensure_ntz(df, ts).where(F.col(value_col).isNotNull())
+    if start is not None:  # one window reads its own rows only
+        import datetime as dt
+
+        first = _bucket_edge(start, slide)
+        f = f.where((F.col(ts) >= ntz_literal(first)) & (F.col(ts) < ntz_literal(first + dt.timedelta(microseconds=wu))))
     pre = f.groupBy(F.col(value_col).alias("value"), bucket_index(ts, slide).alias("u")).agg(F.count(F.lit(1)).alias("c"))
     spread = pre.select("value", "c", "u", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("d")) \
         .select("value", "c", (F.col("u") - F.col("d")).alias("ws"))

@@ -9,48 +9,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.functions.time import bucket_index, epoch_us, ensure_ntz, from_epoch_us, micros_of
+from fathom.functions.time import bucket_index, bucket_start, epoch_us, ensure_ntz, from_epoch_us, micros_of
 
 # The combined access-log line layout and its date format.
 # ip, identity, user, [date], "request", status (3 digits), size, "referrer", "agent"
-ACCESS_LOG_PATTERN = r'^([\d.]+) (\S+) (\S+) \[([^\]]+)\] "([^"]+)" (\d{3}) (\d+) "([^"]+)" "([^"]+)"$'
+ACCESS_LOG_PATTERN = r'^([\d.]+) (\S+) (\S+) \[([^\]]+)\] "([^"]+)" (\d{3}) (\d+) "([^"]+)" "([^"]+)"\z'
 ACCESS_LOG_DATE = "dd/MMM/yyyy:HH:mm:ss Z"
 
 
 _SEP = "\u0001"
 
 
-def _parsed(lines: DataFrame, line_col: str) -> DataFrame:
-    """All nine groups from one regex evaluation: the matched line is rewritten
-    to its groups joined by a control character, then split."""
+def _parsed(lines: DataFrame, line_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """All nine groups from one regex evaluation per line: the matched line is rewritten to its groups joined by a
+    control character, then split. Both happen inside a generator, so that Catalyst cannot copy the expression
+    into the filters and columns above."""
     line = F.col(line_col)
     joined = F.regexp_replace(line, ACCESS_LOG_PATTERN, _SEP.join(f"${i}" for i in range(1, 10)))
-    p = lines.select("*", F.split(joined, _SEP).alias("_g"))
-    g = lambda i: F.element_at(F.col("_g"), i)
-    ok_line = line.isNotNull() & (F.size("_g") == 9) & ~line.contains(_SEP)
+    groups = F.when(line.isNull() | line.contains(_SEP), F.array().cast("array<string>")).otherwise(F.split(joined, _SEP))
+    p = lines.select(*keep, line_col, F.inline(F.array(F.struct(groups.alias("_g")))))
+    g = lambda i: F.try_element_at(F.col("_g"), F.lit(i))
     req = F.split(g(5), " ", -1)
     ts = F.try_to_timestamp(g(4), F.lit(ACCESS_LOG_DATE))
-    reason = (F.when(~ok_line, F.lit("no_match"))
+    reason = (F.when(F.size("_g") != 9, F.lit("no_match"))
               .when(F.size(req) < 3, F.lit("bad_request"))
               .when(ts.isNull(), F.lit("bad_date")))
     return p.select(
-        *lines.columns,
+        *keep, line_col,
         g(1).alias("ip"),
-        F.element_at(req, 2).alias("uri"),
+        F.try_element_at(req, F.lit(2)).alias("uri"),
         from_epoch_us(F.unix_micros(ts)).alias("ts"),
-        F.element_at(req, 1).alias("method"),
-        F.expr("try_cast(element_at(_g, 6) AS INT)").alias("status"),
-        F.expr("try_cast(element_at(_g, 7) AS BIGINT)").alias("bytes"),
+        F.try_element_at(req, F.lit(1)).alias("method"),
+        F.expr("try_cast(try_element_at(_g, 6) AS INT)").alias("status"),
+        F.expr("try_cast(try_element_at(_g, 7) AS BIGINT)").alias("bytes"),
         g(8).alias("referrer"),
         g(9).alias("agent"),
         reason.alias("_reject"),
     )
 
 
-def _sql_escape(s: str) -> str:
-    return s.replace("\\", "\\\\").replace("'", "\\'")
-
-
 HIT_COLUMNS = ["ip", "uri", "ts", "method", "status", "bytes", "referrer", "agent"]
 
 
@@ -59,14 +56,14 @@ def parse_access_log(lines: DataFrame, line_col: str = "line", keep: tuple[str,
     left out (see :func:`access_log_rejects`). ``uri`` is the text between the
     first and second blank of the request. Times are parsed on the 24-hour clock
     with their zone offset and returned as UTC ``TIMESTAMP_NTZ``."""
-    p = _parsed(lines, line_col)
+    p = _parsed(lines, line_col, keep)
     return p.where(F.col("_reject").isNull()).select(*keep, *HIT_COLUMNS)
 
 
-def access_log_rejects(lines: DataFrame, line_col: str = "line") -> DataFrame:
+def access_log_rejects(lines: DataFrame, line_col: str = "line", keep: tuple[str, ...] = ()) -> DataFrame:
     """The lines :func:`parse_access_log` leaves out, with the reason."""
-    p = _parsed(lines, line_col)
-    return p.where(F.col("_reject").isNotNull()).select(line_col, F.col("_reject").alias("reason"))
+    p = _parsed(lines, line_col, keep)
+    return p.where(F.col("_reject").isNotNull()).select(*keep, line_col, F.col("_reject").alias("reason"))
 
 
 def page_views(hits: DataFrame, ip: str = "ip", uri: str = "uri") -> DataFrame:
@@ -75,7 +72,8 @@ def page_views(hits: DataFrame, ip: str = "ip", uri: str = "uri") -> DataFrame:
 
 
 def page_view_map(hits: DataFrame, ip: str = "ip", uri: str = "uri") -> DataFrame:
-    """One row per ip: ``key`` = ip, ``value`` = map uri -> views."""
+    """One row per ip: ``key`` = ip, ``value`` = map uri -> views. The long form is :func:`page_views`; a map
+    holds one entry per distinct uri of its ip, which the reference's result asks for as one value."""
     pv = page_views(hits, ip, uri)
     return pv.groupBy(F.col(ip).alias("key")).agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(uri), F.col("views"))))).alias("value"))
@@ -134,26 +132,28 @@ def bounce_counts(hits: DataFrame, timeout="10 minutes", ip: str = "ip", uri: st
 
 def bounce_increments(hits: DataFrame, slice_width="10 minutes", timeout="10 minutes", ip: str = "ip",
                       uri: str = "uri", ts: str = "ts", order: str = "hit_id", chunk="1 hour") -> DataFrame:
-    """W7 increments: per time slice ``[start, start + width)``, bounce counts of
-    the hits in it; a session that crosses a slice edge is cut there. Rows are
-    keyed by ``batch`` = slice index so a rerun replaces, not doubles."""
-    hits = ensure_ntz(hits, ts).withColumn("batch", bucket_index(ts, slice_width))
+    """W7 increments of many slices at once: per epoch-aligned slice ``[start, start + width)``, bounce counts of
+    the hits in it; a session that crosses a slice edge is cut there. Rows are keyed by ``batch``, the slice's
+    start, so a rerun replaces, not doubles."""
+    hits = ensure_ntz(hits, ts).withColumn("batch", bucket_start(bucket_index(ts, slice_width), slice_width))
     f = bounce_flags(hits, timeout, ip, ts, order, session_cut=["batch"], chunk=chunk)
     return f.groupBy("batch", uri).agg(F.count(F.lit(1)).alias("total_visits"),
                                        F.sum(F.col("bounce").cast("long")).alias("bounces"))
 
 
 def bounce_counts_slice(hits: DataFrame, slice_start, slice_end, store: DataFrame | None = None,
-                        timeout="10 minutes", slice_width="10 minutes", **kw) -> DataFrame:
-    """Process one slice ``[slice_start, slice_end)`` and add it to a store
-    keyed by slice (see :mod:`fathom.sources.stores`)."""
+                        timeout="10 minutes", ip: str = "ip", uri: str = "uri", ts: str = "ts", order: str = "hit_id",
+                        chunk="1 hour") -> DataFrame:
+    """Count the bounces of one slice ``[slice_start, slice_end)``, wherever it starts, and put them into a store
+    keyed by ``batch = slice_start`` (see :mod:`fathom.sources.stores`). A rerun replaces the slice's rows, also
+    when none are left; sessions are cut at the slice's ends and nowhere else."""
     from fathom.functions.time import ntz_literal
     from fathom.sources.stores import add_counters
 
-    ts = kw.get("ts", "ts")
-    part = ensure_ntz(hits, ts).where((F.col(ts) >= ntz_literal(slice_start)) & (F.col(ts) < ntz_literal(slice_end)))
-    delta = bounce_increments(part, slice_width, timeout, **kw)
-    return add_counters(store, delta, [kw.get("uri", "uri")], ["total_visits", "bounces"])
+    start = ntz_literal(slice_start)
+    part = ensure_ntz(hits, ts).where((F.col(ts) >= start) & (F.col(ts) < ntz_literal(slice_end)))
+    delta = bounce_counts(part, timeout, ip, uri, ts, order, chunk).withColumn("batch", start)
+    return add_counters(store, delta, [uri], ["total_visits", "bounces"], batches=[start])
 
 
 def bounce_store_totals(store: DataFrame, uri: str = "uri") -> DataFrame:
@@ -167,9 +167,10 @@ def high_bounce_pages(bounces: DataFrame, ratio: float = 0.1) -> DataFrame:
     return bounces.where(F.col("bounces") > F.lit(ratio) * F.col("total_visits"))
 
 
-def visitors_of_page(page_map: DataFrame, uri_value) -> DataFrame:
-    """Ips whose page map holds ``uri_value``."""
-    return page_map.where(F.map_contains_key("value", F.lit(uri_value))).select("key")
+def visitors_of_page(views: DataFrame, uri_value, ip: str = "ip", uri: str = "uri") -> DataFrame:
+    """Ips with a hit of ``uri_value``, from the (ip, uri) pairs of hits or of :func:`page_views`; the filter
+    reaches the scan and no ip's map is built."""
+    return views.where(F.col(uri) == F.lit(uri_value)).select(F.col(ip).alias("key")).distinct()
 
 
 def bounce_lookup(spark: SparkSession, bounces: DataFrame, uri_value, uri: str = "uri") -> DataFrame:

@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathom.functions.maps import render_map
-from fathom.functions.time import bucket_index
+from fathom.functions.time import bucket_index, bucket_start
 from fathom.operators import anomaly as A
 from fathom.operators import facts as FA
 from fathom.operators import series as S
 from fathom.plans.registry import query
+from fathom.session import scratch_path
 from fathom.sources import standins
+from fathom.sources.stores import write_dated
 from fathom.sources.tables import load
 
 DAY_US = 86_400_000_000
@@ -38,11 +40,19 @@ def _fanned(spark, sf, dims=None):
 
 
 def _counts(spark, sf, dims=None, interval="1 day"):
-    return S.interval_counts(FA.with_series_key(_fanned(spark, sf, dims)), interval, carry=("dims",))
+    """Stored bucket counts, by date."""
+    counts = FA.fanned_counts(_categorized(spark, sf, dims), interval, required=("src",), max_size=2)
+    return write_dated(counts.withColumn("ts", bucket_start("bucket", interval)), scratch_path(spark, "counts"))
+
+
+def _detected(spark, sf, dims=None, interval="1 day"):
+    counts = FA.fanned_counts(_categorized(spark, sf, dims), interval, required=("src",), max_size=2)
+    return A.detect_anomalies(counts, interval)
 
 
 def _anomalies(spark, sf, dims=None, interval="1 day"):
-    return A.detect_anomalies(_counts(spark, sf, dims, interval), interval)
+    """Stored anomalies, by date: what the queries by time read."""
+    return write_dated(_detected(spark, sf, dims, interval), scratch_path(spark, "anomalies"))
 
 
 HEAVY = standins.HEAVY_PACKET_DIMS
@@ -88,7 +98,7 @@ bounds AS (SELECT (max(CASE WHEN rn = o1 THEN rs_num END) + max(CASE WHEN rn = o
 def cat_sql(sp: Spec) -> str:
     cols = ", ".join([*sp.cols, "k"])
     return f"""cat AS (SELECT ts, {cols},
-  CASE WHEN (SELECT n FROM bounds) < 900 OR rs_num IS NULL THEN NULL
+  CASE WHEN rs_num IS NULL THEN NULL
        WHEN rs_num < (SELECT b0 FROM bounds) THEN 'low'
        WHEN rs_num < (SELECT b1 FROM bounds) THEN 'medium' ELSE 'high' END AS rs FROM facts)"""
 
@@ -156,9 +166,9 @@ def parse_facts(spark, sf):
                                     F.size("dims").alias("n_dims"))
 
 
-@query("net_fact_rejects", sql="SELECT CAST(NULL AS TIMESTAMP) AS ts, 'x' AS line WHERE false")
+@query("net_fact_rejects", sql="SELECT ts, 'junk ' || event_id AS line FROM events WHERE event_type = 'error'")
 def fact_rejects(spark, sf):
-    return FA.fact_rejects(standins.packet_bodies(load(spark, sf, "events")))
+    return FA.fact_rejects(standins.packet_bodies(load(spark, sf, "events"), damaged=True))
 
 
 @query("net_series_key", sql=W(FACTS) + f"""SELECT {_key_sql(('app', 'k', 'rs_raw', 'src')).replace("'6rs_raw'", "'2rs'")}
@@ -219,17 +229,17 @@ def fanout(spark, sf):
 
 @query("net_interval_counts", sql=W(*PIPE[:5]) + "SELECT series_key, bucket, n FROM counts")
 def interval_counts(spark, sf):
-    return _counts(spark, sf).select("series_key", "bucket", "n")
+    return FA.fanned_counts(_categorized(spark, sf), "1 day").select("series_key", "bucket", "n")
 
 
 @query("net_anomalies", sql=W(*PIPE) + "SELECT series_key, bucket, n FROM anomalies")
 def anomalies(spark, sf):
-    return _anomalies(spark, sf).select("series_key", "bucket", "n")
+    return _detected(spark, sf).select("series_key", "bucket", "n")
 
 
 @query("net_anomaly_facts", sql=W(*PIPE) + f"SELECT series_key, ts, n, {_render_sql(DCOLS)} AS dims FROM anomalies")
 def anomaly_facts(spark, sf):
-    return A.render(_anomalies(spark, sf)).select("series_key", "ts", "n", "dims")
+    return A.render(_detected(spark, sf)).select("series_key", "ts", "n", "dims")
 
 
 RANGE = ("2024-01-08 00:00:00", "2024-01-20 00:00:00")
@@ -243,8 +253,8 @@ def anomalies_in_range(spark, sf):
 
 
 @query("net_heavy_anomalies", sql=W(*HPIPE) + f"SELECT series_key, bucket, n, {_render_sql(HCOLS)} AS dims FROM anomalies")
-def heavy_anomalies(spark, sf):
-    a = _anomalies(spark, sf, HEAVY, "1 hour")
+def heavy_detected(spark, sf):
+    a = _detected(spark, sf, HEAVY, "1 hour")
     return A.render(a).select("series_key", "bucket", "n", "dims")
 
 
@@ -339,6 +349,18 @@ def top_sources(spark, sf):
     return S.sliding_top(f, "src", "ts", "10 hours", "1 hour", 10).withColumn("rank", F.col("rank").cast("long"))
 
 
+TOP_AT = "2024-01-10 04:20:00"
+
+
+@query("net_top_sources_at", sql=W(FACTS) + f"""SELECT date_trunc('hour', TIMESTAMP '{TOP_AT}') AS window_start, * FROM (
+  SELECT src AS value, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, src ASC) AS rank FROM facts
+  WHERE src IS NOT NULL AND ts >= date_trunc('hour', TIMESTAMP '{TOP_AT}')
+    AND ts < date_trunc('hour', TIMESTAMP '{TOP_AT}') + INTERVAL 10 HOUR GROUP BY src) WHERE rank <= 10""")
+def top_sources_at(spark, sf):
+    f = _facts(spark, sf).select("ts", F.col("dims").getItem("src").alias("src"))
+    return S.sliding_top(f, "src", "ts", "10 hours", "1 hour", 10, start=TOP_AT).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query("net_top_anomalous_sources", sql=W(*PIPE, _top_sql("anomalies", DAY_US, 10, 10)))
 def top_anomalous_sources(spark, sf):
     return A.top_anomalous_sources(_anomalies(spark, sf), "10 days", "1 day", 10).withColumn("rank", F.col("rank").cast("long"))
@@ -347,5 +369,5 @@ def top_anomalous_sources(spark, sf):
 @query("net_explain_anomalies", sql=W(*PIPE) + """SELECT a.series_key, a.bucket AS anomaly_bucket, c.bucket, c.n
   FROM anomalies a JOIN counts c ON a.series_key = c.series_key AND c.bucket BETWEEN a.bucket - 10 AND a.bucket + 10""")
 def explain_anomalies(spark, sf):
-    counts = _counts(spark, sf)  # one plan for both sides: the shared exchange is reused
+    counts = _counts(spark, sf)  # stored once; detection and drill-down read the table
     return A.explain_anomalies(A.detect_anomalies(counts, "1 day"), counts, span=10)

@@ -49,9 +49,11 @@ def parse_ratings(spark, sf):
     return _ratings(spark, sf, keep=())
 
 
-@query("rec_rating_rejects", sql="SELECT 'x' AS line WHERE false")
+@query("rec_rating_rejects", sql="""SELECT CASE l_linenumber WHEN 1 THEN 'u' || o_custkey || '::' || l_partkey || '::'
+  || CAST(least(5, greatest(1, ceil(l_quantity / 10))) AS INT) || '::' || l_orderkey ELSE o_custkey || '::' || l_partkey END AS line
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 2""")
 def rating_rejects(spark, sf):
-    return M.rating_rejects(standins.rating_lines(load(spark, sf, "orders"), load(spark, sf, "lineitem")))
+    return M.rating_rejects(standins.rating_lines(load(spark, sf, "orders"), load(spark, sf, "lineitem"), damaged=True))
 
 
 @query("rec_parse_items", sql=f"WITH {ITEMS} SELECT item_id, title FROM items")
@@ -59,9 +61,10 @@ def parse_items(spark, sf):
     return _items(spark, sf)
 
 
-@query("rec_item_rejects", sql="SELECT 'x' AS line WHERE false")
+@query("rec_item_rejects", sql="""SELECT '::' || p_name AS line FROM part WHERE p_size < 10
+UNION ALL SELECT p_partkey || '::' AS line FROM part WHERE p_size < 10""")
 def item_rejects(spark, sf):
-    return M.item_rejects(standins.item_texts(load(spark, sf, "part")))
+    return M.item_rejects(standins.item_texts(load(spark, sf, "part"), damaged=True))
 
 
 @query("rec_upsert_ratings", sql=f"WITH {RAT}, {STORE} SELECT * FROM store")

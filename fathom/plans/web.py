@@ -39,10 +39,11 @@ def parse_access_log(spark, sf):
     return W.parse_access_log(lines, keep=("line_id",))
 
 
-@query("web_access_log_rejects", sql="SELECT 'x' AS line, 'x' AS reason WHERE false")
+@query("web_access_log_rejects", sql="""SELECT event_id AS line_id, CASE event_type WHEN 'error' THEN 'bad_request'
+  WHEN 'signup' THEN 'bad_date' ELSE 'no_match' END AS reason FROM events WHERE event_type IN ('error', 'signup', 'purchase')""")
 def access_log_rejects(spark, sf):
-    lines = standins.access_log_lines(load(spark, sf, "events"))
-    return W.access_log_rejects(lines)
+    lines = standins.access_log_lines(load(spark, sf, "events"), damaged=True)
+    return W.access_log_rejects(lines, keep=("line_id",)).select("line_id", "reason")
 
 
 @query("web_page_views", sql=f"WITH {HITS_SQL} SELECT ip, uri, count(*) AS views FROM hits GROUP BY ip, uri")
@@ -99,6 +100,26 @@ def bounce_slices(spark, sf):
     return W.bounce_store_totals(inc)
 
 
+SLICES = (("2024-01-03 00:05:00", "2024-01-05 07:30:00"), ("2024-01-05 07:30:00", "2024-01-09 12:00:01"),
+          ("2024-01-10 00:00:00", "2024-01-12 00:00:00"))
+
+
+def _slice_sql(start: str, end: str) -> str:
+    part = f"hits2 AS (SELECT * FROM hits WHERE ts >= TIMESTAMP '{start}' AND ts < TIMESTAMP '{end}')"
+    return f"""(WITH {part}, {_flags_sql(12 * 3600_000_000)} SELECT TIMESTAMP '{start}' AS batch, uri, count(*) AS total_visits,
+      CAST(sum(CAST(bounce AS INT)) AS BIGINT) AS bounces FROM flags GROUP BY uri)"""
+
+
+@query("web_bounce_slice_runs", sql=f"WITH {HITS_SQL} " + " UNION ALL ".join(_slice_sql(*x) for x in SLICES[:2]))
+def bounce_slice_runs(spark, sf):
+    """Unaligned slices in a store; then the first runs again unchanged, and the third again without any hit left."""
+    hits, store = _hits(spark, sf), None
+    for start, end in SLICES:
+        store = W.bounce_counts_slice(hits, start, end, store, "12 hours")
+    store = W.bounce_counts_slice(hits, *SLICES[0], store, "12 hours")
+    return W.bounce_counts_slice(hits.where("false"), *SLICES[2], store, "12 hours")
+
+
 @query("web_high_bounce_pages", sql=f"""WITH b AS ({_bounce_sql(12 * 3600_000_000)})
 SELECT * FROM b WHERE bounces > 0.1 * total_visits""")
 def high_bounce_pages(spark, sf):
@@ -107,7 +128,7 @@ def high_bounce_pages(spark, sf):
 
 @query("web_visitors_of_page", sql=f"WITH {HITS_SQL} SELECT DISTINCT ip AS key FROM hits WHERE uri = '/purchase'")
 def visitors_of_page(spark, sf):
-    return W.visitors_of_page(W.page_view_map(_hits(spark, sf)), "/purchase")
+    return W.visitors_of_page(_hits(spark, sf), "/purchase")
 
 
 @query("web_bounce_lookup", sql=f"""WITH b AS ({_bounce_sql(600_000_000)})

@@ -8,19 +8,22 @@ totals are a plain ``groupBy(keys).sum``.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def add_counters(store: DataFrame | None, delta: DataFrame, keys: list[str], value_cols: list[str],
-                 batch_col: str = "batch") -> DataFrame:
-    """Store + delta, where delta rows replace any stored rows of the same batch."""
+                 batch_col: str = "batch", batches: list | None = None) -> DataFrame:
+    """Store + delta, where delta rows replace any stored rows of the same batch. ``batches`` names the batches
+    that the delta is for; a rerun of a batch that has no rows any more then removes the old ones, too. Without
+    it they are read from the delta's rows."""
     delta = delta.select(batch_col, *keys, *value_cols)
     if store is None:
         return delta
-    kept = store.join(delta.select(batch_col).distinct(), batch_col, "left_anti")
+    if batches is None:
+        kept = store.join(delta.select(batch_col).distinct(), batch_col, "left_anti")
+    else:
+        kept = store.where(~F.col(batch_col).isin(*batches))
     return kept.unionByName(delta)
 
 
@@ -28,13 +31,8 @@ def counter_totals(store: DataFrame, keys: list[str], value_cols: list[str]) ->
     return store.groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in value_cols])
 
 
-def add_all(deltas: list[DataFrame], keys, value_cols, batch_col="batch") -> DataFrame:
-    return reduce(lambda s, d: add_counters(s, d, keys, value_cols, batch_col), deltas, None)
-
-
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
-    """Write a result table (parquet); partition by a date column for pruning."""
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+def write_dated(df: DataFrame, path: str, ts_col: str = "ts") -> DataFrame:
+    """Store a result by the date of ``ts_col`` and return the stored table: later reads with bounds on ``ts_col``
+    that repeat them on ``date`` open only those dates' folders."""
+    df.withColumn("date", F.to_date(ts_col)).write.mode("overwrite").partitionBy("date").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -74,3 +74,24 @@ def test_group_anomalies_merges_disagreeing_dims(spark):
     assert g["1"] == ("k0", {"src": "1", "app": "[grouped]", "dst": "9"})
     assert g["2"] == ("k2", {"src": "2", "app": "web"})
     assert set(g) == {"1", "2"}
+
+
+def test_large_counts_do_not_overflow(spark):
+    from fathom.operators import anomaly as A
+
+    rows = [("k", b, 400_000_000) for b in range(11)] + [("k", 11, 4_000_000_000)]
+    got = A.anomaly_flags(spark.createDataFrame(rows, "series_key string, bucket long, n long")).where("flag").collect()
+    assert [r["bucket"] for r in got] == [0, 1, 11] or [r["bucket"] for r in got][-1] == 11
+
+
+def test_history_runs_do_not_change_flags(spark):
+    import random
+
+    from fathom.operators import anomaly as A
+
+    rng = random.Random(2)
+    rows = [(f"k{i % 3}", b, rng.choice([1, 2, 3, 50])) for i in range(3) for b in range(-40, 60) if rng.random() < 0.7]
+    c = spark.createDataFrame(rows, "series_key string, bucket long, n long")
+    whole = sorted(map(tuple, A.anomaly_flags(c).select("series_key", "bucket", "flag").collect()))
+    for chunk in (10, 13, 25):
+        assert sorted(map(tuple, A.anomaly_flags(c, chunk=chunk).select("series_key", "bucket", "flag").collect())) == whole

@@ -53,8 +53,9 @@ def test_categorize_bounds_match_order_statistics(spark):
     cat = FA.categorize_numbers(f, fields=("rs",))
     counts = {r["c"]: r["n"] for r in cat.groupBy(F.col("dims")["rs"].alias("c")).agg(F.count("*").alias("n")).collect()}
     assert sum(counts.values()) == 1000 and set(counts) == {"low", "medium", "high"}
-    few = FA.categorize_numbers(_fact_frame(spark, [{"src": "1", "rs": "3"}]), fields=("rs",))
-    assert few.first()["dims"] == {"src": "1"}  # warm-up: removed below min_points
+    one = _fact_frame(spark, [{"src": "1", "rs": "3"}])
+    assert FA.categorize_numbers(one, fields=("rs",), min_points=900).first()["dims"] == {"src": "1"}  # warm-up on demand
+    assert FA.categorize_numbers(one, fields=("rs",)).first()["dims"] == {"src": "1", "rs": "high"}
 
 
 def test_sliding_windows_cover_event(spark):
@@ -68,3 +69,28 @@ def test_zero_filled_grid(spark):
     obs = spark.createDataFrame([(0, 5), (100, 2)], "bucket long, value long")
     g = S.zero_filled(spark, obs, "1970-01-01 00:00:00", "1970-01-01 00:00:17", "5 seconds").orderBy("ts").collect()
     assert [r["value"] for r in g] == [5, 0, 0]  # floor(17 / 5) = 3 points; bucket 100 is after the end
+
+
+def test_bounds_of_many_distinct_values_are_exact(spark):
+    n = 3_000_000
+    f = spark.range(n).select(F.expr("timestamp_ntz'2024-01-01 00:00:00'").alias("ts"),
+                              F.create_map(F.lit("rs"), F.pmod(F.col("id") * 7919, F.lit(n)).cast("string")).alias("dims"))
+    assert FA.tertile_bounds(f, "rs") == (n, [999_999.5, 1_999_999.5])
+
+
+def test_order_statistics_with_heavy_and_far_values(spark):
+    vals = [0.0] * 5000 + [float(i) for i in range(6000)] + [1e300, -1e300, 1e-300]
+    x = sorted(vals)
+    c = spark.createDataFrame([(v,) for v in vals], "value double").groupBy("value").agg(F.count("*").alias("c"))
+    ranks = [1, 2, 4000, 5001, 5003, 9000, len(x)]
+    assert FA.order_statistics(c, ranks) == [x[r - 1] for r in ranks]
+
+
+def test_fanned_counts_equal_counted_fanout(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(t + dt.timedelta(hours=7 * i), {"src": str(i % 2), "app": "ab"[i % 2], "k": str(i % 3)} if i % 5 else {"app": "x"}) for i in range(60)]
+    f = spark.createDataFrame(rows, "ts timestamp_ntz, dims map<string,string>")
+    slow = S.interval_counts(FA.with_series_key(FA.fanout_dimensions(f)), "1 day").select("series_key", "bucket", "n")
+    fast = FA.fanned_counts(f, "1 day")
+    assert sorted(map(tuple, fast.select("series_key", "bucket", "n").collect())) == sorted(map(tuple, slow.collect()))
+    assert fast.where(series_key("dims") != F.col("series_key")).count() == 0

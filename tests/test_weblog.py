@@ -35,7 +35,7 @@ def test_page_view_map_and_visitors(spark):
     h = _hits(spark, SMALL)
     m = {r["key"]: r["value"] for r in W.page_view_map(h).collect()}
     assert m["A"] == {"/career": 1, "/product": 2}
-    assert sorted(r["key"] for r in W.visitors_of_page(W.page_view_map(h), "/career").collect()) == ["A", "C"]
+    assert sorted(r["key"] for r in W.visitors_of_page(h, "/career").collect()) == ["A", "C"]
 
 
 def test_parse_access_log(spark):
@@ -89,3 +89,21 @@ def test_bounce_slices_cut_sessions(spark):
     tot = {r["uri"]: r["bounces"] for r in W.bounce_store_totals(inc).collect()}
     assert tot == {"/a": 1, "/b": 1}  # the session is cut at the slice edge
     assert W.bounce_counts(h).where(F.col("uri") == "/a").first()["bounces"] == 0
+
+
+def test_slices_start_anywhere_and_reruns_replace(spark):
+    # four hits a minute apart each; slices that are not aligned to their width
+    h = _hits(spark, [("A", "/a", T(0, 8, 0)), ("A", "/b", T(0, 12, 0)), ("B", "/a", T(0, 16, 0)), ("B", "/b", T(0, 24, 0))])
+    total = lambda s: {r["uri"]: (r["total_visits"], r["bounces"]) for r in W.bounce_store_totals(s).collect()}
+    first, second = ("2024-01-02 00:05:00", "2024-01-02 00:15:00"), ("2024-01-02 00:15:00", "2024-01-02 00:25:00")
+    store = W.bounce_counts_slice(h, *second, W.bounce_counts_slice(h, *first))
+    assert total(store) == {"/a": (2, 0), "/b": (2, 2)}
+    assert total(W.bounce_counts_slice(h, *first, store)) == total(store)
+    empty = W.bounce_counts_slice(h.where("false"), *second, store)
+    assert total(empty) == {"/a": (1, 0), "/b": (1, 1)}
+
+
+def test_access_log_line_end(spark):
+    line = '10.0.0.1 - - [01/Jan/2024:11:45:38 -0400] "GET /home HTTP/1.1" 200 512 "-" "agent"'
+    df = spark.createDataFrame([(line + "\n",), (None,)], "line string")
+    assert W.parse_access_log(df).count() == 0 and W.access_log_rejects(df).count() == 2
