@@ -1,12 +1,14 @@
 """Recommendations (M1-M11): parse, upsert, ALS, top unrated items per user.
 
-No driver-side collections of ratings and no per-user jobs: candidate
-scoring uses ALS's blocked ``recommendForUserSubset`` with an exact depth per
-user, then an anti join with what the user already rated.
+No driver-side collections of ratings and no per-user jobs: users' factors
+are scored against bounded blocks of item factors with an exact depth per
+user, then an anti join removes what the user already rated.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,47 +120,73 @@ def score_candidates(model: ALSModel, candidates: DataFrame) -> DataFrame:
         .select("user_id", "item_id", F.col("prediction").alias("score"))
 
 
-def top_items_per_user(model: ALSModel, ratings: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
+def top_items_per_user(model: ALSModel, ratings: DataFrame, items: DataFrame, k: int = 20, block_items: int = 100_000) -> DataFrame:
     """M8 + M9: for every user with ratings, the ``k`` best-scored dictionary
     items they have not rated (ties: item id ascending), with rank 1..k.
 
-    Exact without enumerating users x items: a user's best k unrated
-    dictionary items are among their best ``k + r + x`` items overall, where
-    ``r`` is how many items they rated and ``x`` how many items with factors
-    are not in the dictionary. Users are grouped by ``r`` rounded up to a power
-    of two, and each group is scored by ALS's blocked top-N
-    (``recommendForUserSubset``) at that depth - a handful of distributed
-    jobs, never one per user, and a heavy rater only widens their own group.
+    Only factors of dictionary items take part, in blocks of at most about
+    ``block_items``; a block is sent to all tasks (its size is bounded by the
+    parameter, whatever the dictionary's), which score it against their users'
+    factors a few users at a time. A user who rated ``r`` items gives the best
+    ``k + r`` of a block - enough to hold their best ``k`` unrated ones - so
+    the rows are users x k plus the ratings, never users x items. Rated pairs
+    leave by an anti join, and one ranking per user merges the blocks.
     """
     spark = ratings.sparkSession
-    dict_items = items.select("item_id").distinct()
     rated = ratings.select("user_id", "item_id").distinct()
-    x = model.itemFactors.select(F.col("id").alias("item_id")).join(dict_items, "item_id", "left_anti").count()
-    per_user = rated.groupBy("user_id").agg(F.count(F.lit(1)).alias("r"))
-    per_user = per_user.withColumn("cls", F.ceil(F.log2(F.greatest(F.col("r"), F.lit(1)))).cast("int"))
-    classes = sorted(r["cls"] for r in per_user.select("cls").distinct().collect())
+    known = model.itemFactors.join(items.select(F.col("item_id").alias("id")).distinct(), "id", "left_semi")
+    users = model.userFactors.withColumnRenamed("id", "user_id").join(
+        rated.groupBy("user_id").agg(F.count(F.lit(1)).cast("int").alias("r")), "user_id")
+    blocks = max(1, -(-known.count() // block_items))
+    known = known.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     parts = []
-    for c in classes:
-        users = per_user.where(F.col("cls") == c).select("user_id")
-        depth = int(k + (1 << c) + x)
-        recs = model.recommendForUserSubset(users, depth)
-        parts.append(recs.select("user_id", F.explode("recommendations").alias("r"))
-                     .select("user_id", F.col("r.item_id").alias("item_id"), F.col("r.rating").alias("score")))
-    if not parts:
-        return spark.createDataFrame([], "user_id int, item_id int, score float, rank int")
+    for i in range(blocks):
+        rows = known.where(F.col("block") == i).select("id", "features").toArrow()
+        ids = rows.column("id").to_numpy()
+        order = np.argsort(ids)
+        factors = np.array(rows.column("features").to_pylist(), np.float32).reshape(len(ids), -1)[order]
+        parts.append(_block_scores(users, spark.sparkContext.broadcast((ids[order], factors)), k))
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)
-    scored = scored.join(dict_items, "item_id", "left_semi").join(rated, ["user_id", "item_id"], "left_anti")
+    scored = scored.join(rated, ["user_id", "item_id"], "left_anti")
     w = Window.partitionBy("user_id").orderBy(F.col("score").desc(), F.col("item_id").asc())
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _block_scores(users: DataFrame, block, k: int, cells: int = 1 << 23) -> DataFrame:
+    """Best ``k + r`` items of one block per user; items that tie with the last one are kept, too."""
+
+    def run(batches):
+        ids, factors = block.value
+        if not len(ids):
+            return
+        step = max(1, cells // len(ids))
+        for b in batches:
+            for i in range(0, len(b), step):
+                some = b.iloc[i:i + step]
+                scores = np.stack(some["features"].to_numpy()).astype(np.float32) @ factors.T
+                out = []
+                for user, r, s in zip(some["user_id"], some["r"], scores):
+                    n = min(k + int(r), len(s))
+                    at = np.flatnonzero(s >= np.partition(s, len(s) - n)[len(s) - n])
+                    out.append(pd.DataFrame({"user_id": np.int32(user), "item_id": ids[at].astype(np.int32), "score": s[at]}))
+                yield pd.concat(out)
+
+    return users.select("user_id", "features", "r").mapInPandas(run, "user_id int, item_id int, score float")
+
+
 def stored_recommendations(top: DataFrame) -> DataFrame:
     """Scores truncated toward zero to int, keyed (user, item)."""
     return top.select("user_id", "item_id", F.col("score").cast("int").alias("score"))
 
 
+def rated_titles(ratings_store: DataFrame, items: DataFrame) -> DataFrame:
+    """The rated half of M11: ``user_id, list, item_id, title`` (title null when unknown); needs no model."""
+    rated = ratings_store.select("user_id", "item_id").distinct().withColumn("list", F.lit("rated"))
+    return rated.join(items.select("item_id", "title"), "item_id", "left").select("user_id", "list", "item_id", "title")
+
+
 def recommendation_listing(ratings_store: DataFrame, recs: DataFrame, items: DataFrame) -> DataFrame:
     """M11 for all users, one row per entry: ``user_id, list ('rated' or
     'recommended'), item_id, title`` (title null when unknown), for users that

@@ -5,10 +5,12 @@ deterministic: per user, min(k, unrated items with factors))."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fathom.operators import recommend as M
 from fathom.plans.registry import query
+from fathom.session import scratch_path
 from fathom.sources import standins
 from fathom.sources.tables import load
 
@@ -40,8 +42,17 @@ def _model(spark, sf):
 
 
 def _top(spark, sf, k=20):
+    """Recommendations, stored once: listings read the table as often as they need."""
     ratings = _ratings(spark, sf, keep=())
-    return M.top_items_per_user(M.train_als(ratings), ratings, _items(spark, sf), k)
+    path = scratch_path(spark, "recommendations")
+    M.top_items_per_user(M.train_als(ratings), ratings, _items(spark, sf), k).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+# What a user's list must look like whatever the factors are: items with factors are those that someone rated.
+DEPTH = """rated AS (SELECT DISTINCT user_id, item_id FROM r), known AS (SELECT DISTINCT item_id FROM items WHERE item_id IN (SELECT item_id FROM rated)),
+depth AS (SELECT user_id, least(20, (SELECT count(*) FROM known) - count(CASE WHEN item_id IN (SELECT item_id FROM known) THEN 1 END)) AS n
+          FROM rated GROUP BY user_id)"""
 
 
 @query("rec_parse_ratings", sql=f"WITH {RAT} SELECT user_id, item_id, rating FROM r")
@@ -98,17 +109,20 @@ def unrated_candidates_user(spark, sf):
     return M.unrated_candidates(_ratings(spark, sf, keep=()), _items(spark, sf), USER)
 
 
-@query("rec_train_als")
+@query("rec_train_als", sql=f"WITH {RAT} SELECT DISTINCT user_id, CAST(10 AS INT) AS rank FROM r")
 def train_als(spark, sf):
     m = _model(spark, sf)
     return m.userFactors.select(F.col("id").alias("user_id"), F.size("features").alias("rank"))
 
 
-@query("rec_score_candidates_user")
+@query("rec_score_candidates_user", sql=f"""WITH {RAT}, {ITEMS}
+SELECT DISTINCT CAST({USER} AS INT) AS user_id, item_id, TRUE AS scored FROM items
+WHERE item_id NOT IN (SELECT item_id FROM r WHERE user_id = {USER}) AND item_id IN (SELECT item_id FROM r)""")
 def score_candidates_user(spark, sf):
     ratings = _ratings(spark, sf, keep=())
     cands = M.unrated_candidates(ratings, _items(spark, sf), USER)
-    return M.score_candidates(M.train_als(ratings), cands)
+    scores = M.score_candidates(M.train_als(ratings), cands)
+    return scores.select("user_id", "item_id", (F.col("score") == F.col("score") + 0).alias("scored"))
 
 
 @query("rec_top_items")
@@ -116,6 +130,37 @@ def top_items(spark, sf):
     return _top(spark, sf)
 
 
+@query("rec_top_items_audit", sql=f"""WITH {RAT}, {ITEMS}, {DEPTH}
+SELECT user_id, CAST(n AS BIGINT) AS n, CAST(1 AS BIGINT) AS first_rank, CAST(n AS BIGINT) AS last_rank, CAST(n AS BIGINT) AS n_items,
+  CAST(0 AS BIGINT) AS n_rated, CAST(0 AS BIGINT) AS n_unknown, CAST(0 AS BIGINT) AS n_out_of_order, CAST(0 AS BIGINT) AS n_stored_differently
+FROM depth WHERE n > 0""")
+def top_items_audit(spark, sf):
+    """Every user's list: length, ranks 1 to n, distinct unrated dictionary items, scores in order, stored scores truncated."""
+    top, ratings, items = _top(spark, sf), _ratings(spark, sf, keep=()), _items(spark, sf)
+    w = Window.partitionBy("user_id").orderBy("rank")
+    before = F.lag(F.struct(-F.col("score"), F.col("item_id"))).over(w)
+    t = top.withColumn("late", (before > F.struct(-F.col("score"), F.col("item_id"))).cast("int"))
+    t = t.join(ratings.select("user_id", "item_id").distinct().withColumn("rated", F.lit(1)), ["user_id", "item_id"], "left")
+    t = t.join(items.select("item_id").distinct().withColumn("known", F.lit(1)), "item_id", "left")
+    stored = M.stored_recommendations(top).withColumnRenamed("score", "kept")
+    t = t.join(stored, ["user_id", "item_id"], "left")
+    cut = F.when(F.col("score") < 0, F.ceil("score")).otherwise(F.floor("score"))
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    return t.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("rank").cast("long").alias("first_rank"), F.max("rank").cast("long").alias("last_rank"),
+        F.count_distinct("item_id").alias("n_items"), count(F.col("rated")).alias("n_rated"), count(F.col("known").isNull()).alias("n_unknown"),
+        count(F.col("late")).alias("n_out_of_order"), count(~F.col("kept").eqNullSafe(cut.cast("int"))).alias("n_stored_differently"))
+
+
+@query("rec_listing_audit", sql=f"""WITH {RAT}, {ITEMS}, {DEPTH}
+SELECT depth.user_id, 'recommended' AS list, CAST(n AS BIGINT) AS n, CAST(n AS BIGINT) AS n_titles FROM depth WHERE n > 0
+UNION ALL SELECT rated.user_id, 'rated', count(*), count(title) FROM rated JOIN depth ON depth.user_id = rated.user_id AND n > 0
+  LEFT JOIN items ON items.item_id = rated.item_id GROUP BY rated.user_id""")
+def listing_audit(spark, sf):
+    rows = M.recommendation_listing(_store(spark, sf), _top(spark, sf), _items(spark, sf))
+    return rows.groupBy("user_id", "list").agg(F.count(F.lit(1)).alias("n"), F.count("title").alias("n_titles"))
+
+
 @query("rec_stored_recommendations")
 def stored_recommendations(spark, sf):
     return M.stored_recommendations(_top(spark, sf))
@@ -129,7 +174,7 @@ def recommendation_listing(spark, sf):
 @query("rec_rated_titles", sql=f"""WITH {RAT}, {ITEMS}, rated AS (SELECT DISTINCT user_id, item_id FROM r)
 SELECT rated.user_id, 'rated' AS list, rated.item_id, items.title FROM rated LEFT JOIN items USING (item_id)""")
 def rated_titles(spark, sf):
-    return M.recommendation_listing(_store(spark, sf), _top(spark, sf), _items(spark, sf)).where("list = 'rated'")
+    return M.rated_titles(_store(spark, sf), _items(spark, sf))
 
 
 @query("rec_recommend_for_user")
