@@ -1,79 +1,138 @@
-"""Registered streaming queries: the events file read as a stream
-(``availableNow``), results written under the checkpoint folder and read
-back. Each equals the batch query on the closed part of the input."""
+"""Registered streaming queries: the events arrive as files in parts, with late
+rows; the stream runs after each part (``availableNow``, one checkpoint), results
+are written under the checkpoint folder and read back. Each equals the batch
+query over all events."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fathom.functions.time import bucket_start
+from fathom.operators import anomaly as A
+from fathom.operators import text as T
 from fathom.plans.registry import query
 from fathom.sources import standins
-from fathom.sources.tables import read_stream, table_path
+from fathom.sources.tables import table_path
 from fathom.streaming import streams as ST
 
+HOUR = "1 hour"
 
-def _events_stream(spark, sf):
-    path = table_path(sf, "events")
-    schema = spark.read.parquet(path).schema
-    return read_stream(spark, sf, schema, file_glob="events.parquet")
+
+def _feed(spark, sf, run, base: str, last: bool) -> None:
+    """The events arrive in two parts, in files of their own, some rows up to 30 minutes late and out of order; after
+    each part the stream runs on what is new and stops. ``last`` adds one far later event, after which every
+    bucket of the events is closed."""
+    events = spark.read.parquet(table_path(sf, "events"))
+    edge = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    middle = edge["lo"] + (edge["hi"] - edge["lo"]) / 2
+    late = F.when(F.pmod("event_id", F.lit(7)) == 0, F.col("ts") + F.expr("interval 30 minutes")).otherwise(F.col("ts"))
+    second = late >= F.lit(middle)
+    for part in (~second, second):
+        events.where(part).write.mode("append").parquet(base)
+        run(spark.readStream.schema(events.schema).parquet(base))
+    if last:
+        end = events.limit(1).withColumn("ts", F.lit(edge["hi"]) + F.expr("interval 3 days")).withColumn("event_type", F.lit("end"))
+        end.withColumn("user_id", F.lit(None).cast("bigint")).write.mode("append").parquet(base)
+        run(spark.readStream.schema(events.schema).parquet(base))
+
+
+def _streamed(spark, sf, name, run, last=False):
+    """Paths of a stream that has run over all parts of the feed; ``run(stream, paths)`` starts it."""
+    p = ST.fresh_paths(spark, name)
+    _feed(spark, sf, lambda stream: run(stream, p), p["aux"] + "-feed", last)
+    return p
 
 
 @query("stream_page_views", sql="""SELECT CAST(user_id AS VARCHAR) AS ip, '/' || event_type AS uri, count(*) AS n
 FROM events GROUP BY ALL""")
 def page_views(spark, sf):
-    p = ST.fresh_paths(spark, "page-views")
-    hits = standins.hits_from_events(_events_stream(spark, sf))
-    ST.stream_counter_store(hits, ["ip", "uri"], p["out"], p["ckpt"], "page_views")
+    p = _streamed(spark, sf, "page-views", lambda s, p: ST.stream_counter_store(standins.hits_from_events(s), ["ip", "uri"], p["out"], p["ckpt"], "page_views"))
     return ST.read_counter_totals(spark, p["out"], ["ip", "uri"])
 
 
-CLOSED = """c AS (SELECT event_type AS series_key, epoch_us(ts) // 3600000000 AS bucket, count(*) AS n FROM events GROUP BY ALL),
-wm AS (SELECT epoch_us(max(ts)) - 3600000000 AS wm FROM events),
-closed AS (SELECT * FROM c WHERE (bucket + 1) * 3600000000 <= (SELECT wm FROM wm))"""
+COUNTS = "c AS (SELECT event_type AS series_key, epoch_us(ts) // 3600000000 AS bucket, count(*) AS n FROM events GROUP BY ALL)"
+ANOMALIES = f"""{COUNTS},
+f AS (SELECT *, coalesce(sum(n) OVER w, 0) AS S, coalesce(sum(n * n) OVER w, 0) AS Q FROM c
+      WINDOW w AS (PARTITION BY series_key ORDER BY bucket RANGE BETWEEN 10 PRECEDING AND 1 PRECEDING)),
+a AS (SELECT series_key, bucket, n FROM f
+WHERE CAST(S + n - 1 AS DOUBLE) / CAST(11 AS DOUBLE) > CAST(2 AS DOUBLE)
+  AND CAST(10 * (n - 1) - S AS DOUBLE) / CAST(11 AS DOUBLE) > CAST(2 AS DOUBLE) * sqrt(CAST(10 * Q - S * S AS DOUBLE)) / CAST(10 AS DOUBLE))"""
 
 
-@query("stream_interval_counts", sql=f"WITH {CLOSED} SELECT series_key, bucket, n FROM closed")
-def interval_counts(spark, sf):
-    p = ST.fresh_paths(spark, "interval-counts")
-    counts = ST.stream_interval_counts(_events_stream(spark, sf), "event_type", "1 hour", "1 hour")
+def _append(counts, p, name):
     ST.run_available_now(counts.writeStream.outputMode("append").format("parquet").option("path", p["out"])
-                         .option("checkpointLocation", p["ckpt"]), "interval_counts")
+                         .option("checkpointLocation", p["ckpt"]), name)
+
+
+@query("stream_interval_counts", sql=f"WITH {COUNTS} SELECT series_key, bucket, n FROM c")
+def interval_counts(spark, sf):
+    p = _streamed(spark, sf, "interval-counts", lambda s, p: _append(ST.stream_interval_counts(s, "event_type", HOUR, HOUR), p, "interval_counts"), last=True)
     return spark.read.parquet(p["out"])
 
 
-@query("stream_anomalies", sql=f"""WITH {CLOSED},
-f AS (SELECT *, coalesce(sum(n) OVER w, 0) AS S, coalesce(sum(n * n) OVER w, 0) AS Q FROM closed
-      WINDOW w AS (PARTITION BY series_key ORDER BY bucket RANGE BETWEEN 10 PRECEDING AND 1 PRECEDING))
-SELECT series_key, bucket, n FROM f
-WHERE CAST(S + n - 1 AS DOUBLE) / CAST(11 AS DOUBLE) > CAST(2 AS DOUBLE)
-  AND CAST(10 * (n - 1) - S AS DOUBLE) / CAST(11 AS DOUBLE) > CAST(2 AS DOUBLE) * sqrt(CAST(10 * Q - S * S AS DOUBLE)) / CAST(10 AS DOUBLE)""")
+@query("stream_traffic_counts", sql="SELECT epoch_us(ts) // 3600000000 AS bucket, count(*) AS value FROM events GROUP BY ALL")
+def traffic_counts(spark, sf):
+    p = _streamed(spark, sf, "traffic", lambda s, p: _append(ST.stream_traffic_counts(s, HOUR, HOUR), p, "traffic"), last=True)
+    return spark.read.parquet(p["out"])
+
+
+def _anomalies(spark, sf):
+    def run(s, p):
+        counts = ST.stream_interval_counts(s, "event_type", HOUR, HOUR)
+        ST.stream_anomalies(counts, p["aux"], p["out"], p["ckpt"], HOUR, counters_path=p["out"] + "-counters")
+
+    return _streamed(spark, sf, "anomalies", run, last=True)
+
+
+@query("stream_anomalies", sql=f"WITH {ANOMALIES} SELECT series_key, bucket, n FROM a")
 def anomalies(spark, sf):
-    p = ST.fresh_paths(spark, "anomalies")
-    counts = ST.stream_interval_counts(_events_stream(spark, sf), "event_type", "1 hour", "1 hour")
-    ST.stream_anomalies(counts, p["aux"], p["out"], p["ckpt"])
-    return spark.read.parquet(p["out"]).select("series_key", "bucket", "n")
+    return ST.read_anomalies(spark, _anomalies(spark, sf)["out"]).select("series_key", "bucket", "n")
+
+
+@query("stream_anomaly_counts", sql=f"WITH {ANOMALIES} SELECT bucket, count(DISTINCT series_key) AS n FROM a GROUP BY bucket")
+def anomaly_counts(spark, sf):
+    return ST.read_counter_totals(spark, _anomalies(spark, sf)["out"] + "-counters", ["bucket"])
+
+
+@query("stream_unique_srcs", sql=f"""WITH {ANOMALIES} SELECT make_timestamp(bucket * 3600000000) AS ts, count(DISTINCT series_key) AS value FROM a
+  WHERE make_timestamp(bucket * 3600000000) >= TIMESTAMP '2024-01-05' AND make_timestamp(bucket * 3600000000) < TIMESTAMP '2024-01-20' GROUP BY bucket""")
+def unique_srcs(spark, sf):
+    return A.unique_srcs_with_anomalies(_as_facts(spark, sf), "2024-01-05 00:00:00", "2024-01-20 00:00:00")
+
+
+@query("stream_top_anomalous_sources", sql=f"""WITH {ANOMALIES}, sp AS (SELECT series_key AS value, bucket - d AS ws FROM a, range(0, 24) t(d)),
+cnt AS (SELECT ws, value, count(*) AS count FROM sp GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY count DESC, value ASC) AS rank FROM cnt)
+SELECT make_timestamp(ws * 3600000000) AS window_start, value, count, rank FROM rk WHERE rank <= 3""")
+def top_anomalous_sources(spark, sf):
+    return A.top_anomalous_sources(_as_facts(spark, sf), "24 hours", HOUR, 3).withColumn("rank", F.col("rank").cast("long"))
+
+
+def _as_facts(spark, sf):
+    """Streamed anomalies with ``ts`` and ``dims``, as N10 to N18 read them."""
+    a = ST.read_anomalies(spark, _anomalies(spark, sf)["out"])
+    return a.withColumn("ts", bucket_start("bucket", HOUR)).withColumn("dims", F.create_map(F.lit("src"), F.col("series_key")))
 
 
 @query("stream_sentiment_totals", sql="SELECT event_type AS sentiment, count(*) AS n FROM events GROUP BY ALL")
 def sentiment_totals(spark, sf):
-    p = ST.fresh_paths(spark, "sentiment-totals")
-    scored = standins.scored_from_events(_events_stream(spark, sf))
-    ST.stream_counter_store(scored, ["sentiment"], p["out"], p["ckpt"], "sentiment_totals")
+    p = _streamed(spark, sf, "sentiment-totals", lambda s, p: ST.stream_counter_store(standins.scored_from_events(s), ["sentiment"], p["out"], p["ckpt"], "sentiment_totals"))
     return ST.read_counter_totals(spark, p["out"], ["sentiment"])
 
 
 @query("stream_top_sources", sql="""WITH pre AS (SELECT CAST(user_id AS VARCHAR) AS value, epoch_us(ts) // 3600000000 AS u,
    count(*) AS c FROM events GROUP BY ALL),
-wm AS (SELECT epoch_us(max(ts)) - 3600000000 AS wm FROM events),
 sp AS (SELECT value, c, u - d AS ws FROM pre, range(0, 10) t(d)),
 cnt AS (SELECT ws, value, CAST(sum(c) AS BIGINT) AS count FROM sp GROUP BY ws, value),
-closed AS (SELECT * FROM cnt WHERE (ws + 10) * 3600000000 <= (SELECT wm FROM wm)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY count DESC, value ASC) AS rank FROM closed)
+rk AS (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY count DESC, value ASC) AS rank FROM cnt)
 SELECT make_timestamp(ws * 3600000000) AS window_start, value, count, rank FROM rk WHERE rank <= 10""")
 def top_sources(spark, sf):
-    p = ST.fresh_paths(spark, "top-sources")
-    ev = _events_stream(spark, sf).select("ts", F.col("user_id").cast("string").alias("src"))
-    ST.stream_sliding_top(ev, "src", "10 hours", "1 hour", 10, "1 hour", p["out"], p["ckpt"])
+    def run(s, p):
+        # the last event moves the watermark but has no source: null values are skipped after it
+        ev = s.select("ts", F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("src"))
+        ST.stream_sliding_top(ev, "src", "10 hours", HOUR, 10, HOUR, p["out"], p["ckpt"])
+
+    p = _streamed(spark, sf, "top-sources", run, last=True)
     return spark.read.parquet(p["out"]).select("window_start", "value", "count", "rank")
 
 
@@ -83,10 +142,12 @@ x AS (SELECT sentiment, count(*) AS n FROM ev WHERE ts >= TIMESTAMP '2024-01-15
       AND ts <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY sentiment)
 SELECT k.sentiment, CAST(coalesce(x.n, 0) AS BIGINT) AS n, coalesce(x.n, 0) / 20.0 AS rate FROM k LEFT JOIN x USING (sentiment)""")
 def recent_counts(spark, sf):
-    from fathom.operators import text as T
+    p = _streamed(spark, sf, "sentiment-series", lambda s, p: ST.stream_sentiment_series(standins.scored_from_events(s), p["out"], p["ckpt"]))
+    return T.recent_counts(spark.read.parquet(p["out"]), ["click", "purchase", "view", "signup", "error", "unknown"], "2024-01-15 12:00:00", 86400)
+
 
-    p = ST.fresh_paths(spark, "sentiment-series")
-    ST.stream_sentiment_series(standins.scored_from_events(_events_stream(spark, sf)), p["out"], p["ckpt"])
-    series = spark.read.parquet(p["out"])
-    return T.recent_counts(series, ["click", "purchase", "view", "signup", "error", "unknown"],
-                           "2024-01-15 12:00:00", 86400)
+@query("stream_recent_texts", sql="""SELECT text, max(ts) AS ts FROM (SELECT props AS text, ts, event_id FROM events WHERE event_type = 'view'
+  AND ts >= TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 86400 SECOND AND ts <= TIMESTAMP '2024-01-15 12:00:00' ORDER BY ts, event_id LIMIT 10) GROUP BY text""")
+def recent_texts(spark, sf):
+    p = _streamed(spark, sf, "sentiment-series", lambda s, p: ST.stream_sentiment_series(standins.scored_from_events(s), p["out"], p["ckpt"]))
+    return T.recent_texts(spark.read.parquet(p["out"]), "view", "2024-01-15 12:00:00", 86400, 10)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.functions.time import epoch_us, micros_of
+from fathom.functions.time import bucket_start, epoch_us, micros_of
 from fathom.operators import anomaly as A
 from fathom.session import scratch_path
 
@@ -63,28 +63,58 @@ def stream_interval_counts(stream: DataFrame, key: str, interval, watermark, ts:
     return c.select("series_key", (F.unix_micros(F.col("w.start")) / F.lit(d)).cast("long").alias("bucket"), "n")
 
 
-def stream_anomalies(counts_stream: DataFrame, counts_path: str, anomalies_path: str, checkpoint: str,
+def stream_traffic_counts(stream: DataFrame, interval, watermark, ts: str = "ts") -> DataFrame:
+    """Streaming N15: events per closed bucket, ``bucket, value``."""
+    one = stream.withColumn("_all", F.lit("all"))
+    return stream_interval_counts(one, "_all", interval, watermark, ts).select("bucket", F.col("n").alias("value"))
+
+
+def stream_anomalies(counts_stream: DataFrame, counts_path: str, anomalies_path: str, checkpoint: str, interval,
                      lookback: int = 10, mean_threshold: float = 2.0, sensitivity: float = 2.0,
-                     name: str = "anomalies") -> None:
-    """Streaming N8/N9 over closed bucket counts (see module docstring).
-    Writes are keyed by batch id, so a replayed batch rewrites the same rows."""
+                     counters_path: str | None = None, name: str = "anomalies") -> None:
+    """Streaming N8/N9 over closed bucket counts (see module docstring). The counts table is partitioned by date, and
+    a batch reads back only the dates that its own buckets and their ``lookback`` touch. With ``counters_path``,
+    the anomalous series per bucket (N12) are kept as counters, too: a (series, bucket) closes once, so the sum
+    over batches counts distinct series. All writes are keyed by batch id; a replay rewrites the same rows."""
+
+    def dated(df: DataFrame) -> DataFrame:
+        return df.withColumn("date", F.to_date(bucket_start("bucket", interval)))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.select("series_key", "bucket", "n")
-        batch.write.mode("overwrite").parquet(f"{counts_path}/batch={batch_id}")
-        span = batch.groupBy("series_key").agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
-        hist = spark.read.parquet(counts_path).select("series_key", "bucket", "n").join(span, "series_key") \
-            .where((F.col("bucket") >= F.col("lo") - lookback) & (F.col("bucket") <= F.col("hi"))) \
-            .select("series_key", "bucket", "n")
-        flags = A.anomaly_flags(hist, lookback, mean_threshold, sensitivity).where("flag")
-        mine = flags.join(batch.select("series_key", "bucket"), ["series_key", "bucket"], "left_semi")
-        mine.select("series_key", "bucket", "n").write.mode("overwrite").parquet(f"{anomalies_path}/batch={batch_id}")
+        batch = batch.select("series_key", "bucket", "n").persist()
+        try:
+            dated(batch).write.mode("overwrite").partitionBy("date").parquet(f"{counts_path}/batch={batch_id}")
+            edge = batch.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).first()
+            if edge["lo"] is None:
+                return
+            day = lambda b: F.to_date(bucket_start(F.lit(b), interval))
+            span = batch.groupBy("series_key").agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
+            hist = spark.read.schema("series_key string, bucket bigint, n bigint, batch bigint, date date").parquet(counts_path)
+            hist = hist.where((F.col("date") >= day(edge["lo"] - lookback)) & (F.col("date") <= day(edge["hi"])))
+            # rows of a later batch id are of a run that failed after writing them
+            hist = hist.where(F.col("batch") <= batch_id).join(span, "series_key") \
+                .where((F.col("bucket") >= F.col("lo") - lookback) & (F.col("bucket") <= F.col("hi"))) \
+                .select("series_key", "bucket", "n")
+            flags = A.anomaly_flags(hist, lookback, mean_threshold, sensitivity).where("flag")
+            mine = flags.join(batch.select("series_key", "bucket"), ["series_key", "bucket"], "left_semi")
+            out = f"{anomalies_path}/batch={batch_id}"
+            dated(mine.select("series_key", "bucket", "n")).write.mode("overwrite").partitionBy("date").parquet(out)
+            if counters_path:
+                found = spark.read.schema("series_key string, bucket bigint, n bigint, date date").parquet(out)
+                found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{counters_path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     run_available_now(counts_stream.writeStream.outputMode("append").foreachBatch(write)
                       .option("checkpointLocation", checkpoint), name)
 
 
+def read_anomalies(spark: SparkSession, anomalies_path: str) -> DataFrame:
+    """The streamed anomalies as the batch queries take them: ``series_key, bucket, n, date``."""
+    return spark.read.schema("series_key string, bucket bigint, n bigint, batch bigint, date date").parquet(anomalies_path).drop("batch")
+
+
 def fresh_paths(spark: SparkSession, name: str) -> dict:
     base = scratch_path(spark, name)
     return {"out": f"{base}/out", "aux": f"{base}/aux", "ckpt": f"{base}/ckpt"}
