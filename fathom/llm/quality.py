@@ -71,14 +71,13 @@ def lines_of(data: bytes) -> tuple[list[list[float]], list[int], int]:
     return feats, sizes, dup
 
 
-def repeat_words(word_lists: list[list[bytes]], hashes: WordHashes, k: int = WINDOW) -> np.ndarray:
-    """Per text: words inside k-word windows that the text holds twice or more."""
-    sizes = np.array([len(w) for w in word_lists], np.int64)
-    total = int(sizes.sum())
-    out = np.zeros(len(word_lists), np.int64)
+def repeat_words(texts: pa.Array, hashes: WordHashes, k: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Per text: its words, and those inside k-word windows that the text holds twice or more."""
+    h, sizes = hashes.columns(texts)
+    total = len(h)
+    out = np.zeros(len(sizes), np.int64)
     if total < k:
-        return out
-    h = np.concatenate([hashes.of(w) for w in word_lists])
+        return sizes, out
     doc = np.repeat(np.arange(len(sizes)), sizes)
     ends = np.cumsum(sizes)
     win = window_hashes(h, k)
@@ -94,7 +93,7 @@ def repeat_words(word_lists: list[list[bytes]], hashes: WordHashes, k: int = WIN
     np.add.at(cover, at[found] + k, -1)
     covered = (np.cumsum(cover[:-1]) > 0).astype(np.int64)
     np.add.at(out, doc, covered)
-    return out
+    return sizes, out
 
 
 def _padded(docs: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -202,15 +201,14 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 1000, max_lines: i
 def assess(texts: list[str], model: Crf | None, hashes: WordHashes) -> dict[str, list]:
     """The rules' columns for a list of texts."""
     raw = [t.encode() for t in texts]
-    words = [b.split() for b in raw]
-    repeat = repeat_words(words, hashes)
+    sizes, repeat = repeat_words(pa.array(texts, pa.string()), hashes)
     found = [lines_of(b) for b in raw]
     if model is None:
         content = [sum(s) for _, s, _ in found]
     else:
         scores = [((np.array(x) - model.mean) / model.dev) @ model.emit.T if x else np.empty((0, 2)) for x, _, _ in found]
         content = [int(np.dot(path, s)) if s else 0 for path, (_, s, _) in zip(viterbi(scores, model.step), found)]
-    n = [len(w) for w in words]
+    n = sizes.tolist()
     failed = [k < MIN_WORDS or 100 * int(r) > MAX_REPEAT_PCT * k for k, r in zip(n, repeat)]
     share = [c / k if k else 0.0 for c, k in zip(content, n)]
     return {

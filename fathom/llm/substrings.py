@@ -35,7 +35,7 @@ from fathom.session import scratch_path
 K, M = 50, 8
 FILTER_BITS = 26  # size of the bit array, as a power of two
 HOT = 20_000
-CHUNK_WORDS = 2_000_000  # words that a bucket's task ranks at once
+CHUNK_WORDS = 1_000_000  # words that a bucket's task ranks at once
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -49,11 +49,10 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[:n], x[w - span:w - span + n])
 
 
-def super_kmers(word_lists: list[list[bytes]], hashes: WordHashes, k: int, m: int) -> tuple[np.ndarray, ...]:
+def super_kmers(texts: pa.Array, hashes: WordHashes, k: int, m: int) -> tuple[np.ndarray, ...]:
     """(minimiser, text number, first window in the text, windows) of every super-k-mer of the texts."""
-    sizes = np.array([len(w) for w in word_lists], np.int64)
+    h, sizes = hashes.columns(texts)
     ends = np.cumsum(sizes)
-    h = np.concatenate([hashes.of(w) for w in word_lists]) if len(word_lists) else np.empty(0, np.uint64)
     low = sliding_min(window_hashes(h, m), k - m + 1)
     if not len(low):
         none = np.empty(0, np.int64)
@@ -83,7 +82,7 @@ def shared_minimisers(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
 
     def run(b):
         ids = np.array(b.column("doc_id").to_pylist(), np.int64)
-        low, d, _, _ = super_kmers([t.encode().split() for t in b.column("text").to_pylist()], hashes, k, m)
+        low, d, _, _ = super_kmers(b.column("text"), hashes, k, m)
         some, at = np.unique(low, return_inverse=True)
         first, last = np.full(len(some), np.iinfo(np.int64).max), np.full(len(some), np.iinfo(np.int64).min)
         np.minimum.at(first, at, ids[d])
@@ -111,11 +110,11 @@ def packed_super_kmers(docs: DataFrame, bits: np.ndarray, k: int = K, m: int = M
     def run(b):
         bits = sent.value
         mask = np.uint64(64 * len(bits) - 1)
-        words = [t.encode().split() for t in b.column("text").to_pylist()]
-        low, d, at, n = super_kmers(words, hashes, k, m)
+        low, d, at, n = super_kmers(b.column("text"), hashes, k, m)
         slot = low.view(np.uint64) & mask
         keep = np.flatnonzero(bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
         low, d, at, n = low[keep], d[keep], at[keep], n[keep]
+        words = {i: b.column("text")[i].as_py().encode().split() for i in set(d.tolist())}
         packed = [b" ".join(words[i][a:a + c + k - 1]) for i, a, c in zip(d.tolist(), at.tolist(), n.tolist())]
         take = pa.array(d, pa.int64())
         return {"minimiser": low, "digest": [xxhash.xxh3_128_digest(p) for p in packed], "words": packed,

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +20,9 @@ CACHE = 400_000  # entries of a task's word caches; a full cache is emptied, res
 
 
 class WordHashes(dict):
-    """word (bytes) -> 64-bit hash, computed on first use; emptied when full (bounded memory)."""
+    """word -> 64-bit hash, computed on first use; emptied when full (bounded memory)."""
 
-    def __missing__(self, w: bytes) -> int:
+    def __missing__(self, w: bytes | str) -> int:
         if len(self) >= CACHE:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
@@ -30,6 +31,23 @@ class WordHashes(dict):
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
+    def columns(self, texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of all words of all texts in order, words per text). Arrow splits at ASCII white space and numbers
+        the distinct words, so that each is looked up once per call."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+        flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        offsets = offsets - offsets[0]
+        numbered = flat.dictionary_encode()
+        distinct = numbered.dictionary.to_pylist()
+        at = numbered.indices.to_numpy()
+        table = self.of(distinct) if distinct else np.zeros(1, np.uint64)
+        real = np.array([w != "" for w in distinct], bool)[at] if "" in distinct else None  # white space at an end
+        h = table[at] if len(at) else np.empty(0, np.uint64)
+        if real is None:
+            return h, np.diff(offsets)
+        counts = np.append(0, np.cumsum(real))
+        return h[real], np.diff(counts[offsets])
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (xor-shift and multiply), elementwise."""
