@@ -23,6 +23,7 @@ from fathom.session import scratch_path
 WEIGHTS = (1, 2, 3)  # of the sources by code point, repeating
 MOST_EPOCHS = 3
 BUCKETS = 1024
+BROADCAST_SOURCES = 100_000  # cuts sent to all tasks; those of more sources are joined
 SYMBOLS = "#*$%&|<>!"
 
 
@@ -73,8 +74,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def plan(docs: DataFrame, seed: int = 9) -> tuple[DataFrame, DataFrame]:
-    """(light, cuts). light: ``doc_id, source, _size, _key, _bucket`` per document, stored once in the shared
-    folder. cuts: per source ``source_size, target, _epochs, _rest, _cut_bucket, _cut_key``."""
+    """(light, cuts), both stored once in the shared folder. light: ``doc_id, source, _size, _key, _bucket`` per
+    document. cuts: per source ``source_size, target, _epochs, _rest, _cut_bucket, _cut_key``."""
     spark = docs.sparkSession
     path = scratch_path(spark, "mix")
     keyed(docs.select("doc_id", "source", "text"), seed).drop("text").write.parquet(path)
@@ -98,7 +99,10 @@ def plan(docs: DataFrame, seed: int = 9) -> tuple[DataFrame, DataFrame]:
             .groupBy("source").agg(F.max("_key").alias("_cut_key")))
     l = last.alias("l")
     cuts = e.join(l, F.col("e.source").eqNullSafe(F.col("l.source")), "left").select("e.*", "l._cut_key")
-    return light, cuts.where(F.col("source_size").isNotNull())
+    folder = scratch_path(spark, "cuts")
+    cuts.where(F.col("source_size").isNotNull()).write.parquet(folder)
+    cuts = spark.read.parquet(folder)
+    return light, F.broadcast(cuts) if cuts.count() <= BROADCAST_SOURCES else cuts
 
 
 def with_copies(keyed_docs: DataFrame, cuts: DataFrame) -> DataFrame:
