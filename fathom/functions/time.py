@@ -81,10 +81,6 @@ def bucket_start(index_col, width) -> Column:
     return from_epoch_us(_c(index_col) * F.lit(micros_of(width)))
 
 
-def floor_ts(col, width) -> Column:
-    return bucket_start(bucket_index(col, width), width)
-
-
 def ntz_literal(value) -> Column:
     """A ``TIMESTAMP_NTZ`` literal from text like ``'2024-01-05 00:00:00'``."""
     return F.lit(str(value)).cast("timestamp_ntz")

@@ -75,10 +75,4 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/fathom-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def checkpoint(df, eager: bool = True):
-    """Cut lineage through the shared checkpoint folder (never a local one)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
-
-
-__all__ = ["build_session", "ensure_checkpoint_dir", "scratch_path", "checkpoint", "DEFAULT_CONF"]
+__all__ = ["build_session", "ensure_checkpoint_dir", "scratch_path", "DEFAULT_CONF"]
