@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from fathom.llm.textio import CACHE, docs_of, map_batches
 
-ROWS = 2048  # texts encoded at once: the more, the more often a piece is looked up for several places
+ROWS = 4096  # texts encoded at once: the more, the more often a piece is looked up for several places
 SPACE_BEFORE_SPACE = re.compile(r" (?!\S)")
 CUT = re.compile(r"(?= \S)")
 
@@ -150,18 +150,18 @@ class Vocabulary:
 class Recent:
     """Bounded cache of two generations: a full young one becomes the old one; what is used again stays."""
 
-    def __init__(self, size: int = 3 * CACHE // 2):
+    def __init__(self, size: int):
         self.size, self.young, self.old = size, {}, {}
 
-    def recall(self, keys: set[str]) -> tuple[dict[str, bytes], list[str]]:
+    def recall(self, keys: Iterable[str]) -> tuple[dict[str, bytes], list[str]]:
         """The generation that holds all known keys, and the keys that are to be added to it."""
         young, old, new = self.young, self.old, []
-        for x in keys:
-            if x not in young:
-                if x in old:
-                    young[x] = old[x]
-                else:
-                    new.append(x)
+        for x in [x for x in keys if x not in young]:
+            v = old.get(x)
+            if v is None:
+                new.append(x)
+            else:
+                young[x] = v
         return young, new
 
     def turn(self) -> dict[str, bytes]:
@@ -182,7 +182,7 @@ class PieceEncoder:
         self.special = {s: np.array([i], "<u4").tobytes() for s, i in special.items()}
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.whole_pieces = whole_pieces
-        self.words, self.pieces = Recent(), Recent()
+        self.words, self.pieces = Recent(3 * CACHE // 4), Recent(11 * CACHE // 8)
 
     def _words(self, piece: str) -> list[str]:
         """Pre-tokens of a piece, or spans of them that can be encoded alone. A line break between two characters
@@ -218,30 +218,33 @@ class PieceEncoder:
             (odd if SPACE_BEFORE_SPACE.search(text) or any(s in text for s in self.special) else plain).append(i)
         lists = pc.split_pattern(pa.array([texts[i] for i in plain], pa.string()), " ")
         numbered = lists.flatten().dictionary_encode()
-        piece = numbered.indices.to_numpy().astype(np.int64)
-        first = lists.offsets.to_numpy()[:-1].astype(np.int64)
+        piece = numbered.indices.to_numpy().copy()  # 32 bits, as all that follows: a batch is far smaller
+        first = lists.offsets.to_numpy()[:-1]
         follows = np.ones(len(piece), bool)
         follows[first] = False
         distinct = numbered.dictionary.to_pylist()
         used = np.flatnonzero(np.bincount(piece[follows], minlength=len(distinct))).tolist()
         cuts = {i: [self._cut(part) if k % 2 == 0 else part for k, part in enumerate(self.cut_special.split(texts[i]) if self.cut_special else [texts[i]])] for i in odd}
-        after = {distinct[j] for j in used}
+        plain_keys = [distinct[j] for j in used]
         heads = {distinct[j] for j in piece[first].tolist()}
+        after = set()
         for parts in cuts.values():
             for p in parts[::2]:
                 heads.add(p[0])
                 after.update(p[1:])
-        known, top = self._lookup(after, heads)
+        known, top = self._lookup(list(after.union(plain_keys)) if after else plain_keys, heads)
         ids = [b""] * len(distinct)
-        for j in used:
-            ids[j] = known[distinct[j]]
+        for j, v in zip(used, map(known.__getitem__, plain_keys)):
+            ids[j] = v
         ids += [top[distinct[j]] for j in piece[first].tolist()]
         piece[first] = np.arange(len(distinct), len(ids))
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        start = np.cumsum(size) - size
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        start = np.cumsum(size, dtype=np.int32) - size
         n = size[piece]
-        ends = np.cumsum(n)
-        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(start[piece] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.cumsum(n, dtype=np.int32)
+        at = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
+        at += np.repeat(start[piece] - (ends - n), n)
+        flat = np.frombuffer(b"".join(ids), "<u4")[at]
         stop = np.append(0, ends)[lists.offsets.to_numpy()].tolist()
         for k, i in enumerate(plain):
             out[i] = flat[stop[k]:stop[k + 1]].tobytes()
@@ -249,7 +252,7 @@ class PieceEncoder:
             out[i] = b"".join([self.special[p] if k % 2 else top[p[0]] + b"".join([known[x] for x in p[1:]]) for k, p in enumerate(parts)])
         return out
 
-    def _lookup(self, after: set[str], heads: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+    def _lookup(self, after: list[str], heads: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
         """Ids of pieces that follow a space, and of pieces that start a text."""
         self.words.turn()
         self.pieces.turn()

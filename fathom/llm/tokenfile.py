@@ -78,16 +78,20 @@ class Writer:
         self.docs: list[int] = []
         self.first: list[int] = [0]
         self.offsets: list[int] = [0]
-        self.rest = np.empty(0, "<u4")
+        self.rest: list[np.ndarray] = []  # ids that no block holds yet
+        self.size = 0
 
     def add(self, doc_id: int, ids: np.ndarray) -> None:
         self.docs.append(doc_id)
         self.first.append(self.first[-1] + len(ids))
-        self.rest = np.concatenate([self.rest, ids])
-        full = len(self.rest) // self.block * self.block
-        for i in range(0, full, self.block):
-            self._put(self.rest[i:i + self.block])
-        self.rest = self.rest[full:]
+        self.rest.append(ids)
+        self.size += len(ids)
+        if self.size >= 16 * self.block:
+            ids = np.concatenate(self.rest)
+            full = len(ids) // self.block * self.block
+            for i in range(0, full, self.block):
+                self._put(ids[i:i + self.block])
+            self.rest, self.size = [ids[full:]], len(ids) - full
 
     def _put(self, ids: np.ndarray) -> None:
         data = pack(ids, self.width)
@@ -95,8 +99,9 @@ class Writer:
         self.offsets.append(self.offsets[-1] + len(data))
 
     def close(self) -> None:
-        if len(self.rest):
-            self._put(self.rest)
+        ids = np.concatenate(self.rest) if self.rest else np.empty(0, "<u4")
+        for i in range(0, len(ids), self.block):
+            self._put(ids[i:i + self.block])
         for a, kind in ((self.docs, "<i8"), (self.first, "<u8"), (self.offsets, "<u8")):
             self.out.write(np.array(a, kind).tobytes())
         self.out.write(TAIL.pack(MAGIC, self.width, self.block, len(self.docs), len(self.offsets) - 1, self.first[-1]))
@@ -187,6 +192,7 @@ def write_ids(docs: DataFrame, path: str, vocab_path: str, vocab_size: int, end_
         fs.create_dir(root, recursive=True)
         part, seq, w, name = TaskContext.get().partitionId(), 0, None, ""
         enc = library_encoder(vocab_path)
+        end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
         def done():
             w.close()
@@ -196,9 +202,7 @@ def write_ids(docs: DataFrame, path: str, vocab_path: str, vocab_size: int, end_
         for b in batches:
             for s in slices(b, ROWS):
                 for doc, raw in zip(s.column("doc_id").to_pylist(), enc.encode_batch(s.column("text").to_pylist())):
-                    ids = np.frombuffer(raw, "<u4")
-                    if end_id is not None:
-                        ids = np.append(ids, np.uint32(end_id))
+                    ids = np.frombuffer(raw + end, "<u4")
                     if w is None:
                         name = f"{part:06d}-{seq:04d}-{uuid.uuid4().hex}.ids"
                         w = Writer(fs.open_output_stream(f"{root}/{name}"), width)
