@@ -5,10 +5,12 @@ node of the join. Two sets that are similar enough share an element among the fi
 order common to all; the order here is rare first, by a sketch of counts over all documents. Every node goes to
 the tiles of its prefix, one for each prefix shingle.
 
-Within a tile (a shingle's nodes of one size band) the first node is paired with the others; pairs are tested by bitmaps, whose bit counts bound the
-overlap from above, and then by intersecting the sorted arrays. Connected components follow. Only where a
-shingle still holds nodes of several components are their remaining pairs of fitting sizes tested, too, so no
-link between components is lost, and a large group of near copies costs a pass over its members, not all pairs.
+First, every node is paired with the node that leads most of its tiles (a shingle's nodes of one size band), then every
+group with another one in the same way, a few rounds. Pairs are tested by bitmaps, whose bit counts bound
+the overlap from above, and by intersecting the sorted arrays; links join groups. Shingles that still hold nodes of
+several groups are laid out in tiles of bounded size; there all pairs of fitting sizes and different groups meet bounds
+of places and counts, what passes meets the bitmaps, and the rest is intersected. So no link between groups is lost,
+and a large group of near copies costs a pass over its members, not all pairs.
 
 Defined results: null text or a text without words has an empty set and is linked with nothing; up to four
 words make one shingle; rows that share a doc_id are judged by their own texts, and leave together; rows with a
@@ -23,37 +25,36 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.substrings import bit_filter
 from fathom.llm.textio import WordHashes, docs_of, map_batches, mix, slices, window_hashes
 from fathom.session import scratch_path
 
 WORDS, PERCENT = 5, 75
-SKETCH_BITS, SKETCH_PART = 21, 1 << 12
-FILTER_BITS = 26
+SKETCH_BITS, SKETCH_PART = 23, 1 << 14
+STAR_ROUNDS = 3  # rounds of one pair per group, before tiles compare what is still apart
+BLOCK = 512  # nodes of one shingle on a side of a tile
+BROADCAST_IDS = 1_000_000  # of documents to read again, as a set in every task; more are joined
 
 
-def shingle_sets(texts: list[str], hashes: WordHashes) -> list[tuple[int, np.ndarray]]:
+def shingle_sets(texts: pa.Array, hashes: WordHashes) -> list[tuple[int, np.ndarray]]:
     """(class hash, sorted distinct shingle hashes) per text; the hash of a text without words is 0."""
-    words = [t.encode().lower().split() for t in texts]
-    sizes = [len(w) for w in words]
-    h = np.concatenate([hashes.of(w) for w in words]) if words else np.empty(0, np.uint64)
+    h, sizes = hashes.columns(texts, lower=True)
     wins = window_hashes(h, WORDS)
     out, at = [], 0
-    for w, n in zip(words, sizes):
+    for n in sizes.tolist():
         if n >= WORDS:
             s = np.unique(wins[at:at + n - WORDS + 1])
         else:
-            s = np.array([xxhash.xxh3_64_intdigest(b" ".join(w), seed=5)], np.uint64) if n else np.empty(0, np.uint64)
-        name = xxhash.xxh3_64_intdigest(b" ".join(w), seed=1) if n else 0
+            s = np.array([xxhash.xxh3_64_intdigest(h[at:at + n].tobytes(), seed=5)], np.uint64) if n else np.empty(0, np.uint64)
+        name = xxhash.xxh3_64_intdigest(h[at:at + n].tobytes(), seed=1) if n else 0
         out.append((name - (1 << 64) if name >= 1 << 63 else name, s))
         at += n
     return out
 
 
-def prefix_size(n: int, percent: int = PERCENT) -> int:
+def prefix_size(n, percent: int = PERCENT):
     return n + (-percent * n // 100) + 1
 
 
@@ -95,13 +96,13 @@ def profile(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         for b in batches:
             for s in slices(b):
                 any_rows = True
-                sets = shingle_sets(s.column("text").to_pylist(), hashes)
+                sets = shingle_sets(s.column("text"), hashes)
                 all_of = np.concatenate([x for _, x in sets])
                 np.add.at(counts, (all_of & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), 1)
                 none = pa.nulls(len(sets), pa.int32())
                 yield pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array([c for c, _ in sets], pa.int64()), pa.array([len(x) for _, x in sets], pa.int32()), none, pa.nulls(len(sets), pa.binary())], schema=kind)
         if any_rows:
-            small = np.minimum(counts, 0xFFFF).astype("<u2").reshape(-1, SKETCH_PART)
+            small = np.minimum(counts, 0xFF).astype(np.uint8).reshape(-1, SKETCH_PART)
             for i in range(0, len(small), 64):
                 k = min(64, len(small) - i)
                 none = pa.nulls(k, pa.int64())
@@ -112,8 +113,8 @@ def profile(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for part, raw in zip(b.column("part").to_pylist(), b.column("counts").to_pylist()):
-                x = np.frombuffer(raw, "<u2").astype(np.uint64)
-                total[part] = total[part] + x if part in total else x
+                x = np.frombuffer(raw, np.uint8)
+                total[part] = total[part] + x if part in total else x.astype(np.uint64)
         if total:
             classes = [(2 * np.log2(x + 1)).astype(np.uint8).tobytes() for x in total.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(classes, pa.binary())], names=["part", "counts"])
@@ -128,173 +129,254 @@ def profile(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 def tiles(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """``key, n, node, lead``: the nodes of every prefix shingle that two classes or more share, and the first node
-    of each one's tile. Rows of a key come sorted by size, so a task holds one batch and one row of a key, however
+    """``key, n, pos, node``: the nodes of every prefix shingle that two classes or more share, and the shingle's
+    place in the node's order. Rows of a key come sorted by size, so a task holds one batch and one row of a key, however
     many nodes it has."""
     hashes, sent = WordHashes(), docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(b):
         rare = sent.value
         keys, ns, nodes = [], [], []
-        for node, s in shingle_sets(b.column("text").to_pylist(), hashes):
+        for node, s in shingle_sets(b.column("text"), hashes):
             if len(s):
                 p = prefix_size(len(s))
+                # rare first, then by hash; a stable sort of sorted hashes orders them alike in every text
                 rank = (rare[(s & np.uint64(len(rare) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
-                keys.append(s[np.argpartition(rank, p - 1)[:p]] if p < len(s) else s)
-                ns.append(np.full(p, len(s), np.int32))
+                keys.append(s[np.argsort(rank, kind="stable")[:p]])
+                ns.append((len(s) << 32) + np.arange(p))
                 nodes.append(np.full(p, node, np.int64))
         if not keys:
             return None
-        return {"key": np.concatenate(keys).view(np.int64), "n": np.concatenate(ns), "node": np.concatenate(nodes)}
+        return {"key": np.concatenate(keys).view(np.int64), "place": np.concatenate(ns), "node": np.concatenate(nodes)}
 
-    def lead(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "n", "node", "lead")
+    def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, joined = None, False  # the last row, which may go on in the next batch, and whether its key has an earlier one
 
         def rows(cols: list[np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=list(names))
+            key, place, node = (c[keep] for c in cols)
+            parts = (key, (place >> 32).astype(np.int32), (place & 0xFFFFFFFF).astype(np.int32), node)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in parts], names=["key", "n", "pos", "node"])
 
-        held, joined = None, False  # the last row, which may go on in the next batch, and whether its key has an earlier one
         for b in batches:
-            cols = [b.column(c).to_numpy() for c in names[:3]]
+            cols = [b.column(c).to_numpy() for c in ("key", "place", "node")]
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
             new = np.append(True, (cols[0][1:] != cols[0][:-1]) | (cols[2][1:] != cols[2][:-1]))  # once per class
-            key, n, node = (c[new] for c in cols)
-            again = np.append(joined, key[1:] == key[:-1])
-            band = size_band(n)
-            start = ~again | np.append(False, band[1:] != band[:-1])
-            start[0] = held is None
-            leads = node[np.maximum.accumulate(np.where(start, np.arange(len(node)), 0))]
-            if held is not None:
-                leads[np.cumsum(start) == 0] = held[3][0]
-            shared = again | np.append(again[1:], False)
-            yield rows([key, n, node, leads], np.flatnonzero(shared[:-1]))
-            held, joined = [c[-1:] for c in (key, n, node, leads)], bool(again[-1])
+            cols = [c[new] for c in cols]
+            again = np.append(joined, cols[0][1:] == cols[0][:-1])
+            two = again | np.append(again[1:], False)
+            yield rows(cols, np.flatnonzero(two[:-1]))
+            held, joined = [c[-1:] for c in cols], bool(again[-1])
         if held is not None and joined:
             yield rows(held, np.zeros(1, np.int64))
 
-    rows = map_batches(docs_of(docs, "text"), run, "key bigint, n int, node bigint")
-    return rows.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(lead, "key bigint, n int, node bigint, lead bigint")
+    rows = map_batches(docs_of(docs, "text"), run, "key bigint, place bigint, node bigint")
+    return rows.repartition("key").sortWithinPartitions("key", "place", "node").mapInArrow(shared, "key bigint, n int, pos int, node bigint")
 
 
-def signatures(docs: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
-    """``node, n, bits, items`` of the given nodes, stored once: bitmaps and sorted hashes as bytes. Only the first
-    document of each node is read again; the ids to read reach the tasks as a bit array of fixed size, and the
-    join that follows drops what it lets through by chance."""
-    spark = docs.sparkSession
-    first = known.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi")
-    slots = bit_filter(first.select(F.xxhash64("doc_id").alias("minimiser")), FILTER_BITS)
-    sent, hashes = spark.sparkContext.broadcast(slots), WordHashes()
+def star_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One pair ``a, b`` per group: the node of another group that leads most of the tiles (a shingle's nodes of one
+    size band) that the two share, and a node of this group. A tile is led by its node with the most shared
+    shingles: of near copies that is the original or the least changed one. ``rows``: ``key, n, node, comp, c``."""
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
+    r = rows.select("key", band.alias("band"), "node", "comp", "c")
+    first = r.groupBy("key", "band").agg(F.max(F.struct("c", "node", "comp")).alias("lead"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    first = first.where("low < high").select("key", "band", F.col("lead.node").alias("a"), F.col("lead.comp").alias("lead"))
+    met = r.join(first, ["key", "band"]).where("comp <> lead")
+    times = met.groupBy("comp", "a").agg(F.count(F.lit(1)).alias("times"), F.max(F.struct("c", "node")).alias("b"))
+    best = times.groupBy("comp").agg(F.max(F.struct("times", "a", "b")).alias("best"))
+    return best.select("best.a", F.col("best.b.node").alias("b"))
+
+
+def signatures(docs: DataFrame, nodes: DataFrame, known: DataFrame, kind: str) -> DataFrame:
+    """``node, n, sig`` of the given nodes, stored once: bitmaps (``kind`` bits) or sorted hashes (items), as bytes.
+    The first document of each node is read again; the ids to read go to all tasks while they are few, and are
+    joined beyond that. A node may occur twice (by another row with the same doc_id), which adds no link."""
+    hashes = WordHashes()
+    ids = known.where("n > 0").join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    path = scratch_path(docs.sparkSession, "ids")
+    ids.write.parquet(path)
+    ids = docs.sparkSession.read.parquet(path)
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
 
     def run(b):
-        bits = sent.value
-        slot = b.column("slot").to_numpy().view(np.uint64) & np.uint64(64 * len(bits) - 1)
-        some = np.flatnonzero(bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
-        if not len(some):
-            return None
-        part = b.take(pa.array(some))
-        sets = shingle_sets(part.column("text").to_pylist(), hashes)
-        return {"doc_id": part.column("doc_id"), "node": [c for c, _ in sets], "n": [len(s) for _, s in sets],
-                "bits": [bitmap(s).tobytes() for _, s in sets], "items": [s.tobytes() for _, s in sets]}
-
-    rows = docs_of(docs, "doc_id", "text").withColumn("slot", F.xxhash64("doc_id"))
-    found = map_batches(rows, run, "doc_id bigint, node bigint, n int, bits binary, items binary")
-    a, b = found.alias("a"), first.alias("b")
-    path = scratch_path(spark, "signatures")
-    keep = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.node") == F.col("b.node")), "left_semi")
-    keep.drop("doc_id").dropDuplicates(["node"]).write.parquet(path)
-    return spark.read.parquet(path)
-
-
-def verified(pairs: DataFrame, sigs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar: bitmaps first, arrays of what is left."""
-
-    def bound(b):
-        keep = []
-        for x, y, n, m in zip(*(b.column(c).to_pylist() for c in ("bits_a", "bits_b", "n_a", "n_b"))):
-            keep.append(similar(overlap_bound(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), n, m), n, m, percent))
-        part = b.filter(pa.array(keep, pa.bool_()))
-        return {"a": part.column("a"), "b": part.column("b")} if part.num_rows else None
+        sets = shingle_sets(b.column("text"), hashes)
+        return {"node": [c for c, _ in sets], "n": [len(s) for _, s in sets], "sig": [(bitmap(s) if kind == "bits" else s).tobytes() for _, s in sets]}
+
+    rows = docs_of(docs, "doc_id", "text")
+    wanted = rows.join(ids, rows.doc_id.eqNullSafe(ids.doc_id), "left_semi").select("text")
+    folder = scratch_path(docs.sparkSession, kind)
+    map_batches(wanted, run, "node bigint, n int, sig binary").write.parquet(folder)
+    return docs.sparkSession.read.parquet(folder)
 
-    def exact(b):
-        keep = []
-        for x, y in zip(b.column("items_a").to_pylist(), b.column("items_b").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            at = np.searchsorted(x, y)
-            keep.append(similar(int(np.count_nonzero(x[np.minimum(at, len(x) - 1)] == y)), len(x), len(y), percent))
+
+def _tested(pairs: DataFrame, sigs: DataFrame, passes) -> DataFrame:
+    """The pairs ``a, b`` for which ``passes(sig_a, sig_b, n_a, n_b)``; signatures come as uint64 arrays."""
+
+    def run(b):
+        keep = [passes(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), n, m)
+                for x, y, n, m in zip(*(b.column(c).to_pylist() for c in ("sig_a", "sig_b", "n_a", "n_b")))]
         part = b.filter(pa.array(keep, pa.bool_()))
         return {"a": part.column("a"), "b": part.column("b")} if part.num_rows else None
 
-    def side(name: str, *cols: str) -> DataFrame:
-        return sigs.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in cols])
+    def side(name: str) -> DataFrame:
+        return sigs.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}"))
 
-    likely = map_batches(pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b"), bound, "a bigint, b bigint")
-    return map_batches(likely.join(side("a", "items"), "a").join(side("b", "items"), "b"), exact, "a bigint, b bigint")
+    return map_batches(pairs.join(side("a"), "a").join(side("b"), "b"), run, "a bigint, b bigint")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node, comp`` for every node of the stored links ``a, b``: the smallest node that it reaches. Labels pass to
-    neighbours and then to the label's own label, until none changes; each round is a written table."""
-    spark = links.sparkSession
-    edges = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted arrays."""
+    at = np.searchsorted(x, y)
+    return int(np.count_nonzero(x[np.minimum(at, len(x) - 1)] == y))
 
-    def stored(df: DataFrame) -> DataFrame:
-        path = scratch_path(spark, "labels")
-        df.write.parquet(path)
-        return spark.read.parquet(path)
 
-    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")))
-    while True:
-        heard = edges.join(labels, edges.a == labels.node).groupBy(F.col("b").alias("node")).agg(F.min("comp").alias("low"))
-        new = labels.join(heard, "node").select("node", F.least("comp", "low").alias("comp"), F.col("comp").alias("old"))
-        up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
-        jumped = stored(new.join(up, "comp", "left").select("node", F.least("comp", "above").alias("comp"), "old"))
-        if not jumped.where("comp < old").limit(1).count():
-            return jumped.select("node", "comp")
-        labels = jumped.select("node", "comp")
+def verified(docs: DataFrame, known: DataFrame, pairs: DataFrame, bits: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose sets are similar, stored: bitmaps first, arrays only of what is left."""
+    spark = docs.sparkSession
+    likely, links = scratch_path(spark, "likely"), scratch_path(spark, "links")
+    _tested(pairs, bits, lambda x, y, n, m: similar(overlap_bound(x, y, n, m), n, m, percent)).write.parquet(likely)
+    rest = spark.read.parquet(likely)
+    items = signatures(docs, rest.select(F.explode(F.array("a", "b")).alias("node")), known, "items")
+    _tested(rest, items, lambda x, y, n, m: similar(common(x, y), n, m, percent)).write.parquet(links)
+    return spark.read.parquet(links)
 
 
-def link(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(profile, links): ``doc_id, node, n`` of every document and the tested links ``a, b`` between nodes, enough
-    of them that every component is connected."""
-    spark = docs.sparkSession
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(spark, name)
-        df.write.parquet(path)
-        return spark.read.parquet(path)
 
-    known, sketch = profile(docs)
-    shared = stored(tiles(docs, sketch), "tiles")
-    sigs = signatures(docs, shared.select("node").distinct(), known)
-    first = shared.where("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
-    links = stored(verified(first, sigs, percent), "links")
-    comps = components(links)
-    # Keys that still hold several components: their other pairs of fitting sizes.
-    marked = shared.drop("lead").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_keys = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    rest = stored(marked.join(open_keys, "key", "left_semi").withColumn("band", size_band_column()), "open")
-    x = rest.select("key", "band", F.col("n").alias("n_x"), F.col("node").alias("x"), F.col("comp").alias("comp_x"))
-    y = rest.select("key", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("n").alias("n_y"), F.col("node").alias("y"), F.col("comp").alias("comp_y"))
-    fits = (F.col("comp_x") != F.col("comp_y")) & (F.col("n_x") <= F.col("n_y")) & (100 * F.col("n_x") >= percent * F.col("n_y"))
-    second = x.join(y, ["key", "band"]).where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return known, links.unionAll(stored(verified(second, sigs, percent), "links"))
+def components(links: DataFrame) -> DataFrame:
+    """``node, comp`` for every node of the stored links ``a, b``: the smallest node that it reaches.
 
+    Every node points to its smallest neighbour if that is smaller; pointers are followed until they end; the links
+    between the groups so found are the next, much smaller round's. Each step is a written table."""
+    groups = None
+    while True:
+        both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        heads = _stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "heads")
+        while True:
+            up = heads.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
+            jumped = _stored(heads.join(up, "comp").select("node", F.col("above").alias("comp"), (F.col("above") < F.col("comp")).alias("moved")), "heads")
+            if not jumped.where("moved").limit(1).count():
+                break
+            heads = jumped.select("node", "comp")
+        head = lambda x: heads.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"))
+        if groups is None:
+            groups = heads
+        else:
+            groups = _stored(groups.join(head("comp"), "comp", "left").select("node", F.coalesce("comp_comp", "comp").alias("comp")), "groups")
+        links = _stored(links.join(head("a"), "a").join(head("b"), "b").where("comp_a <> comp_b").select(
+            F.least("comp_a", "comp_b").alias("a"), F.greatest("comp_a", "comp_b").alias("b")).distinct(), "links")
+        if not links.limit(1).count():
+            return groups
+
+
+def least_overlap(n, m, percent: int = PERCENT):
+    """Smallest intersection with which sets of sizes n and m are similar."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def tile_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Distinct pairs ``a, b`` of nodes of different groups that share a prefix shingle, in sizes that can match, and
+    pass the bounds of places and counts. ``rows``: ``key, n, pos, node, comp, c``, ``c`` the number of a node's rows.
+
+    Similar sets of sizes n and m lack at most n - o and m - o elements of each other (o: least overlap), so they
+    share one among the first n - o + 1 and m - o + 1, and so many of their whole prefixes as these are longer.
+
+    A shingle's nodes are ordered by size and cut into blocks of ``BLOCK``; a tile holds two blocks (or one), is
+    compared in one task, and only pairs that pass the bounds leave it."""
+    per_key = Window.partitionBy("key")
+    place = F.floor((F.row_number().over(per_key.orderBy("n", "node")) - 1) / BLOCK).cast("int")
+    cut = rows.withColumn("block", place).withColumn("last", F.floor((F.count(F.lit(1)).over(per_key) - 1) / BLOCK).cast("int"))
+    other = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    laid = other.select("key", F.least("block", "other").alias("t1"), F.greatest("block", "other").alias("t2"), "n", "pos", "node", "comp", "c")
+
+    def tiles_of(batch: pa.Table) -> Iterator[pa.RecordBatch]:
+        n, pos, comp, c, node = (batch.column(k).to_numpy().astype(np.int64) for k in ("n", "pos", "comp", "c", "node"))
+        tile = [batch.column(k).to_numpy() for k in ("key", "t1", "t2")]
+        new = np.append(True, np.any([t[1:] != t[:-1] for t in tile], axis=0))
+        ends = np.append(np.flatnonzero(new)[1:], len(n))[np.cumsum(new) - 1]  # end of each row's tile
+        left, right = [], []
+        step, at = 1, np.arange(len(n))
+        while len(at):  # every row with the one ``step`` rows later in its tile
+            at = at[at + step < ends[at]]
+            at = at[percent * n[at + step] <= 100 * n[at]]  # sizes ascend: a row that has reached too large ones is done
+            if not len(at):
+                break
+            b = at + step
+            o = least_overlap(n[at], n[b], percent)
+            d, e = n[at] - o, n[b] - o
+            need = np.minimum(prefix_size(n[at], percent) - d, prefix_size(n[b], percent) - e)
+            ok = (comp[at] != comp[b]) & (pos[at] <= d) & (pos[b] <= e) & (np.minimum(c[at], c[b]) >= need)
+            left.append(node[at[ok]])
+            right.append(node[b[ok]])
+            step += 1
+        if left:
+            x, y = np.concatenate(left), np.concatenate(right)
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-def size_band(n: np.ndarray) -> np.ndarray:
-    """Number of the size band; sizes that can match lie in one band or in neighbours."""
-    return np.floor(np.log(n) / np.log(100 / PERCENT)).astype(np.int32)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            # whole tiles only: the last tile of a batch may go on in the next one
+            t = pa.Table.from_batches([*held, b])
+            ids = [t.column(k).to_numpy() for k in ("key", "t1", "t2")]
+            same = np.all([x == x[-1] for x in ids], axis=0)
+            cut_at = 0 if same.all() else len(same) - int(np.argmin(same[::-1]))
+            if cut_at:
+                yield from tiles_of(t.slice(0, cut_at))
+            held = t.slice(cut_at).to_batches()
+        if held:
+            yield from tiles_of(pa.Table.from_batches(held))
 
+    tiles_in = laid.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "n", "node")
+    return tiles_in.mapInArrow(run, "a bigint, b bigint").distinct()
 
-def size_band_column():
-    return F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT))).cast("int")
+
+def link(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(profile, groups): ``doc_id, node, n`` of every document and ``node, comp`` of the nodes with links."""
+    known, sketch = profile(docs)
+    shared = _stored(tiles(docs, sketch), "tiles")
+    bits = signatures(docs, shared.select("node"), known, "bits")
+    shares = _stored(shared.groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("c")), "shares")
+    comps, rest = None, shared.withColumn("comp", F.col("node"))
+    for _ in range(STAR_ROUNDS):
+        pairs = _stored(star_pairs(rest.join(shares, "node"), percent), "pairs")
+        links = verified(docs, known, pairs, bits, percent)
+        if not links.limit(1).count():
+            break
+        comps = _joined(comps, links)
+        marked = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        # Only keys that still hold several groups matter from here on.
+        open_keys = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+        rest = _stored(marked.join(open_keys, "key", "left_semi"), "open")
+    left = rest.groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("c"))
+    second = tile_pairs(rest.join(left, "node"), percent)
+    more = verified(docs, known, _stored(second, "pairs"), bits, percent)
+    return known, _joined(comps, more)
+
+
+def _joined(groups: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Groups of nodes after more links: the links join groups, not nodes, so later searches are small."""
+    if groups is None:
+        return components(links)
+    side = lambda x: groups.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"))
+    lifted = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(
+        F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")).where("a <> b").distinct()
+    up = components(_stored(lifted, "links"))
+    old = groups.join(up.select(F.col("node").alias("comp"), F.col("comp").alias("above")), "comp", "left").select("node", F.coalesce("above", "comp").alias("comp"))
+    return _stored(old.unionByName(up.join(groups.select("node"), "node", "left_anti")), "groups")
 
 
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
-    known, links = link(docs, percent)
-    comps = components(links)
-    named = known.join(comps, "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("comp"))
+    known, groups = link(docs, percent)
+    named = known.join(groups, "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("comp"))
     least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "comp", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
