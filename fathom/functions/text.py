@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 # tokens uses every character Python's str.split() treats as whitespace.
 WS = r" \t\n\x0B\f\r"
 SPLIT_WS = r" \t\n\x0B\f\r\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-URL_PATTERN = rf"((http://[^{WS}]+)|(www\.[^{WS}]+)|(https?://[^{WS}]+))"
+URL_PATTERN = rf"(?:www\.|https?://)[^{WS}]+"
 USER_PATTERN = rf"@[^{WS}]+"
 SPACE_PATTERN = rf"[{WS}]+"
 HASHTAG_PATTERN = rf"#([^{WS}]+)"
 EDGE_QUOTES = "'\""
 TOKEN_EDGE = "'\"?,."
-WORDLIKE = r"^[a-zA-Z][a-zA-Z0-9]*[a-zA-Z]+[a-zA-Z0-9]*$"
+WORDLIKE = r"^[a-zA-Z][0-9]*[a-zA-Z][a-zA-Z0-9]*$"  # letters and digits, a letter first, two letters at least
 REPEAT_PATTERN = r"(?s)(.)\1+"
 RESERVED_STOPWORDS = ("USER", "URL")
 
