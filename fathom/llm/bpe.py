@@ -174,7 +174,7 @@ class PieceEncoder:
     """Whole texts -> ids. Pieces and pre-tokens seen before come from bounded caches."""
 
     def __init__(self, path: str, encode_words: Callable[[Iterable[str]], dict[str, bytes]], special: dict[str, int],
-                 whole_pieces: bool = False):
+                 whole_pieces: bool = False, cache: int = 5 * CACHE // 8):
         from tokenizers import Tokenizer
 
         self.pre = Tokenizer.from_file(path).pre_tokenizer
@@ -182,7 +182,7 @@ class PieceEncoder:
         self.special = {s: np.array([i], "<u4").tobytes() for s, i in special.items()}
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.whole_pieces = whole_pieces
-        self.words, self.pieces = Recent(3 * CACHE // 4), Recent(11 * CACHE // 8)
+        self.words, self.pieces = Recent(cache // 2), Recent(cache)
 
     def _words(self, piece: str) -> list[str]:
         """Pre-tokens of a piece, or spans of them that can be encoded alone. A line break between two characters

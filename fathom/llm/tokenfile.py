@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.llm.bpe import ROWS, PieceEncoder
-from fathom.llm.textio import docs_of, slices
+from fathom.llm.textio import CACHE, docs_of, slices
 
 BLOCK = 1 << 15
 FILE_IDS = 1 << 25
@@ -176,7 +176,7 @@ def library_encoder(path: str) -> PieceEncoder:
             return out
 
         special = {a.content: i for i, a in t.get_added_tokens_decoder().items()}
-        _ENCODERS[path] = PieceEncoder(path, encode_words, special, whole_pieces=True)
+        _ENCODERS[path] = PieceEncoder(path, encode_words, special, whole_pieces=True, cache=CACHE)
     return _ENCODERS[path]
 
 
