@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from fathom.llm.textio import CACHE, docs_of, map_batches
 
-ROWS = 4096  # texts encoded at once: the more, the more often a piece is looked up for several places
+ROWS = 2048  # texts encoded at once: the more, the more often a piece is looked up for several places
 SPACE_BEFORE_SPACE = re.compile(r" (?!\S)")
 CUT = re.compile(r"(?= \S)")
 
@@ -102,7 +102,7 @@ class Vocabulary:
         order = sorted((w.encode(), w) for w in words)
         packed, length = self.packed, self.length
         size, follows, endings = self.size, self.follows, self.endings[1].get
-        if len(follows) >= 4 * CACHE:
+        if len(follows) >= 2 * CACHE:
             follows.clear()
         last: list[int] = [-1]  # last[d]: last token of the current word's prefix of d bytes
         out: dict[str, bytes] = {}
@@ -174,7 +174,7 @@ class PieceEncoder:
     """Whole texts -> ids. Pieces and pre-tokens seen before come from bounded caches."""
 
     def __init__(self, path: str, encode_words: Callable[[Iterable[str]], dict[str, bytes]], special: dict[str, int],
-                 whole_pieces: bool = False, cache: int = 5 * CACHE // 8):
+                 whole_pieces: bool = False, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         self.pre = Tokenizer.from_file(path).pre_tokenizer

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS = 512  # rows handled at once inside a task; bounds the memory of a batch
-CACHE = 400_000  # entries of a task's word caches; a full cache is emptied, results never depend on it
+CACHE = 250_000  # entries of a task's word caches; a full cache is emptied, results never depend on it
 
 
 class WordHashes(dict):
@@ -87,6 +87,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], sche
                 cols = fn(part)
                 if cols is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in out], schema=out)
+        pa.default_memory_pool().release_unused()  # a reused worker does not keep a task's buffers
 
     return df.mapInArrow(run, schema)
 

@@ -31,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.bpe import ROWS, PieceEncoder
-from fathom.llm.textio import CACHE, docs_of, slices
+from fathom.llm.bpe import PieceEncoder
+from fathom.llm.textio import docs_of, slices
 
 BLOCK = 1 << 15
+ROWS, PIECES = 4096, 400_000  # texts encoded at once, pieces that a task remembers
 FILE_IDS = 1 << 25
 MAGIC = b"IDBITS01"
 TAIL = struct.Struct("<8sIIQQQ")  # magic, width, block, n_docs, n_blocks, n_ids
@@ -176,7 +177,7 @@ def library_encoder(path: str) -> PieceEncoder:
             return out
 
         special = {a.content: i for i, a in t.get_added_tokens_decoder().items()}
-        _ENCODERS[path] = PieceEncoder(path, encode_words, special, whole_pieces=True, cache=CACHE)
+        _ENCODERS[path] = PieceEncoder(path, encode_words, special, whole_pieces=True, cache=PIECES)
     return _ENCODERS[path]
 
 
