@@ -12,9 +12,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from fathom.session import scratch_path
+
 ROWS = 512  # rows handled at once inside a task; bounds the memory of a batch
 CACHE = 250_000  # entries of a task's word caches; a full cache is emptied, results never depend on it
 
@@ -95,3 +97,18 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], sche
 def docs_of(df: DataFrame, *cols: str) -> DataFrame:
     """The named columns only; null text becomes the empty text. Other columns never reach the tasks."""
     return df.select(*[F.coalesce(F.col("text"), F.lit("")).alias("text") if c == "text" else F.col(c) for c in cols])
+
+
+def bounded_rows(rows: DataFrame, limit: int) -> list[Row]:
+    """Rows with ``doc_id`` and a size ``n``, in an order by a hash of doc_id, each that still fits into ``limit``
+    together. Rows are stored once; the driver chooses by id and size and fetches the chosen rows alone."""
+    spark = rows.sparkSession
+    folder = scratch_path(spark, "sample")
+    rows.withColumn("row_no", F.monotonically_increasing_id()).write.parquet(folder)
+    stored, chosen, total = spark.read.parquet(folder), {}, 0
+    for r in sorted(stored.select("row_no", "doc_id", "n").collect(), key=lambda r: (r.doc_id * 0x9E3779B1 % 2**32, r.doc_id, r.n, r.row_no)):
+        if total + r.n <= limit:
+            chosen[r.row_no] = len(chosen)
+            total += r.n
+    ids = spark.createDataFrame([(i,) for i in chosen], "row_no long")
+    return sorted(stored.join(F.broadcast(ids), "row_no").collect(), key=lambda r: chosen[r.row_no])

@@ -2,11 +2,14 @@
 
 A word's vector is the sum of two hashed embeddings, of the word and of its first four letters. Filters of one, two
 and three words run over the whole text, the largest response of each filter over all places feeds a logistic
-layer. The language of a text is guessed from its own function words; on a part of the training rows every
-language gets a threshold, and scores are shifted so that a language's threshold lies at ``CUT``.
+layer. The language of a text is guessed from its own function words; every language gets a threshold, and scores
+are shifted so that a language's threshold lies at ``CUT``.
 
-Fitted on a bounded sample of labelled rows (``max_docs`` per class, ``max_words`` words together), never on
-held-out ones (crc32 of doc_id mod 3 is 1). Scores depend on the text alone and cover every row.
+The network is fitted on a bounded sample of labelled rows (``max_docs`` per class, ``max_words`` words together; every
+fourth row of it is left out). The thresholds come from all labelled rows that it was not fitted on: Spark counts them
+by language, score (in steps of 1/``STEPS`` of the logit) and label, and each class weighs as much as its share of all
+labelled rows of the language. Held-out rows (crc32 of doc_id mod 3 is 1) serve neither. Scores depend on the text
+alone and cover every row.
 
 Defined results: null or empty text has no words and gets the score of an all-zero response; texts of any
 length are scored whole; repeated rows are scored alike; without labelled rows of both classes all scores are
@@ -22,9 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.textio import CACHE, docs_of, map_batches
+from fathom.llm.textio import CACHE, bounded_rows, docs_of, map_batches
 
 SLOTS, DIM, FILTERS, WIDTHS, LETTERS, CUT = 1 << 15, 8, 6, (1, 2, 3), (None, 4), 0.7
+STEPS, APART, MIN_ROWS = 128, 4, 50
 PARTS = len(LETTERS)
 # Frequent function words of four languages; a text with none of them is of language 4.
 FUNCTION_WORDS = (
@@ -100,14 +104,18 @@ class Model:
             col += k * FILTERS
         return np.concatenate(out, axis=1)
 
-    def scores(self, docs: list[np.ndarray]) -> np.ndarray:
+    def logits(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(logit, language) per text."""
         sizes = np.array([len(d) for d in docs], np.int64)
         codes = np.concatenate(docs) if len(docs) else np.empty(0, np.int64)
         distinct, at = np.unique(codes, return_inverse=True)
         taps = self.taps(distinct)[at] if len(distinct) else np.empty((0, FILTERS * sum(WIDTHS)), np.float32)
+        spoken = np.array([language(d) if len(d) else LANGUAGES - 1 for d in docs], np.int64)
         z = self.pooled(taps, np.cumsum(sizes) - sizes, sizes) @ self.out + self.bias
-        z = z + self.shift[[language(d) if len(d) else LANGUAGES - 1 for d in docs]]
-        return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
+        return np.clip(z + self.shift[spoken], -40, 40), spoken
+
+    def scores(self, docs: list[np.ndarray]) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-self.logits(docs)[0]))
 
 
 def train_network(docs: list[np.ndarray], y: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.1, seed: int = 10, min_docs: int = 3) -> Model:
@@ -183,25 +191,44 @@ def train_network(docs: list[np.ndarray], y: np.ndarray, epochs: int = 8, batch:
     return m
 
 
-def calibrate(m: Model, docs: list[np.ndarray], y: np.ndarray) -> None:
-    """Per language: the threshold with the best F1, midway between neighbours, moved to CUT."""
-    z = np.log(np.clip(p := m.scores(docs), 1e-9, 1 - 1e-9) / (1 - np.clip(p, 1e-9, 1 - 1e-9)))
-    spoken = np.array([language(d) if len(d) else LANGUAGES - 1 for d in docs])
+def threshold(steps: np.ndarray, y: np.ndarray, n: np.ndarray, shares: np.ndarray) -> float | None:
+    """The logit with the best F1, midway between neighbours, from counts ``n`` of (step, label) where class c weighs
+    ``shares[c]`` together; None without rows of both classes."""
+    sums = np.array([n[y == c].sum() for c in (0, 1)], float)
+    if not (sums.all() and shares.all()):
+        return None
+    values, at = np.unique(steps, return_inverse=True)
+    weights = np.zeros((2, len(values)))
+    np.add.at(weights, (y, at), n * (shares / sums)[y])
+    clean, toxic = weights[:, ::-1].cumsum(1)  # from the highest score down
+    values = values[::-1]
+    i = int((2 * toxic / (clean + toxic + shares[1])).argmax())
+    low = values[i + 1] + 1 if i + 1 < len(values) else values[i] - STEPS
+    return float((values[i] + low) / 2 / STEPS)
+
+
+def calibrate(m: Model, docs: DataFrame, known: DataFrame, fitted: list[int]) -> None:
+    """Thresholds from all rows of ``known`` but the fitted ones, moved to CUT. Texts are scored where they are and
+    only (doc_id, language, step) meet the labels."""
+    slots = WordSlots()
+
+    def run(b):
+        z, spoken = m.logits([slots.of(t) for t in b.column("text").to_pylist()])
+        return {"doc_id": b.column("doc_id"), "spoken": spoken, "step": np.floor(z * STEPS).astype(np.int64)}
+
+    scored = map_batches(docs_of(docs.where("doc_id is not null"), "doc_id", "text"), run, "doc_id bigint, spoken int, step int")
+    used = F.broadcast(docs.sparkSession.createDataFrame([(i, True) for i in set(fitted)], "doc_id long, fitted boolean"))
+    rows = scored.join(known, "doc_id").join(used, "doc_id", "left").groupBy("spoken", "step", "toxic", F.col("fitted").isNotNull().alias("fitted")).count().collect()
+    spoken, step, y, seen, n = np.array([tuple(r) for r in rows], np.int64).reshape(-1, 5).T
 
-    def threshold(rows: np.ndarray) -> float | None:
-        if len(set(y[rows])) < 2:
-            return None
-        order = rows[np.argsort(-z[rows], kind="stable")]
-        hits = np.cumsum(y[order])
-        f1 = 2 * hits / (np.arange(1, len(order) + 1) + hits[-1])
-        i = int(f1.argmax())
-        low = z[order[i + 1]] if i + 1 < len(order) else z[order[i]] - 1.0
-        return float((z[order[i]] + low) / 2)
+    def cut(of: np.ndarray) -> float | None:
+        free = of & (seen == 0)
+        return threshold(step[free], y[free], n[free], np.array([n[of & (y == c)].sum() for c in (0, 1)], float))
 
-    general = threshold(np.arange(len(y)))
+    general = cut(np.ones(len(n), bool))
     for k in range(LANGUAGES):
-        rows = np.flatnonzero(spoken == k)
-        t = threshold(rows) if len(rows) >= 50 else None
+        of = spoken == k
+        t = cut(of) if n[of & (seen == 0)].sum() >= MIN_ROWS else None
         m.shift[k] = np.log(CUT / (1 - CUT)) - (t if t is not None else general or 0.0)
 
 
@@ -212,22 +239,15 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, max_words: i
     slots = WordSlots()
 
     def run(b):
-        return {"doc_id": b.column("doc_id"), "toxic": b.column("toxic"), "codes": [slots.of(t) for t in b.column("text").to_pylist()]}
-
-    rows = map_batches(chosen, run, "doc_id bigint, toxic int, codes array<bigint>").collect()
-    xs, ys, words = [], [], 0
-    for r in sorted(rows, key=lambda r: (r.doc_id * 0x9E3779B1 % 2**32, r.doc_id, len(r.codes))):
-        if words + len(r.codes) <= max_words:
-            xs.append(np.array(r.codes, np.int64))
-            ys.append(r.toxic)
-            words += len(r.codes)
-    y = np.array(ys)
-    if len(set(ys)) < 2:
+        codes = [slots.of(t) for t in b.column("text").to_pylist()]
+        return {"doc_id": b.column("doc_id"), "toxic": b.column("toxic"), "n": [len(c) for c in codes], "codes": codes}
+
+    rows = bounded_rows(map_batches(chosen, run, "doc_id bigint, toxic int, n bigint, codes array<bigint>"), max_words)
+    if len({r.toxic for r in rows}) < 2:
         return None
-    apart = np.arange(len(y)) % 4 == 3
-    fit = np.flatnonzero(~apart)
-    m = train_network([xs[i] for i in fit], y[fit])
-    calibrate(m, [xs[i] for i in np.flatnonzero(apart)], y[apart])
+    fit = [r for i, r in enumerate(rows) if i % APART != APART - 1]
+    m = train_network([np.array(r.codes, np.int64) for r in fit], np.array([r.toxic for r in fit]))
+    calibrate(m, docs, known, [r.doc_id for r in fit])
     return m
 
 

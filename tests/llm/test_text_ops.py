@@ -186,6 +186,27 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.score for r in toxicity.score(frame(spark, ODD), None).collect()} == {0.5}
 
 
+def test_toxicity_thresholds_at_real_class_shares(spark):
+    """A word of half the toxic and 40% of the clean texts is a good cut for a balanced sample only."""
+    from fathom.llm import toxicity
+
+    rng = random.Random(10)
+    plain = [f"w{i}" for i in range(40)]
+    texts, labels = [], []
+    for i in range(2400):
+        toxic = int(rng.random() < 0.1)
+        word = ("vile" if rng.random() < 0.5 else "mud") if toxic else ("mud" if rng.random() < 0.4 else "dew")
+        texts.append(" ".join(rng.sample(plain, 12) + [word]))
+        labels.append((i, toxic))
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(frame(spark, texts), known, max_docs=80)
+    rows = [r for r in toxicity.score(frame(spark, texts), model).join(known, "doc_id").collect() if not r.held_out]
+    y, p = np.array([r.toxic for r in rows]), np.array([r.score for r in rows])
+    f1 = lambda cut: 2 * (y & (p >= cut)).sum() / ((p >= cut).sum() + y.sum())
+    assert f1(0.7) >= max(map(f1, p)) - 0.1  # the rows that the network was fitted on do not count for the cut
+    assert np.mean(p[y == 0] >= 0.7) <= 0.05
+
+
 def test_mixing(spark):
     from fathom.llm import mixing
 
