@@ -3,8 +3,9 @@
 Every page's containers are scored by the text of their own blocks, links aside (the next container up gets
 half). A page votes for the path of its best container: tags with their classes from the root down, digits
 generalised. Spark counts the votes per host, and every page is read again with its host's winning path; a page
-without such a container uses its own best one. Within it, parts that are not article text (by tag, role or
-class name) are left out.
+without such a container, or without text in it, uses its own best one. Within it, parts that are not article text
+are left out: by tag, role, whole class name, by the id of a part that is no heading, or as hidden by the ``hidden``
+attribute, ``aria-hidden`` or ``display: none``. Inside an article only a ``div`` is judged by its id.
 
 A block's white space becomes one space, blocks are joined by one space; character references are decoded.
 
@@ -32,23 +33,42 @@ CONTAINER = frozenset("article body div html main section td center".split())
 DROPPED = frozenset("aside button dialog footer form head iframe menu nav noscript object search select svg template textarea title".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = frozenset("article body div html main section table ul ol dl".split())
-# Words of class names, ids and roles that mark parts beside the article.
+# Class names, ids and roles that mark parts beside the article; with other such words or words of
+# place and form they mark it too (site-footer), with any other word they do not (social-impact).
 BESIDE = frozenset("""ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist
 complementary consent contentinfo cookie cookies copyright disqus footer gdpr header masthead menu menubar modal nav navbar navigation
 newsletter notice notices notification pager pagination popup promo promoted recommended related replies reply respond share sharing
 sidebar signup skip social sponsor sponsored subscribe teaser toc toolbar tracking widget widgets""".split())
+FORM = frozenset("""area bar block bottom box button buttons container icons inner item items left links list outer page posts
+right site slot top unit wrap wrapper""".split())
 HEADING = frozenset(("header", "masthead"))  # an article's own heading belongs to it
+TITLES = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())  # their ids are anchors
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>", re.S | re.I)
-ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=)|display\s*:\s*none", re.I)
+ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 WORD = re.compile(r"[a-z]+")
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 def attributes(raw: str) -> dict[str, str]:
-    return {k.lower(): unescape(a or b or c) for k, a, b, c in ATTR.findall(raw)} if "=" in raw else {}
+    return {k.lower(): unescape(a or b or c) for k, a, b, c in ATTR.findall(raw)}
+
+
+def is_beside(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+    """Whether an element's attributes mark a part that is not article text."""
+    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or UNSHOWN.search(attrs.get("style", "")):
+        return True
+    names = [*attrs.get("class", "").lower().split(), *attrs.get("role", "").lower().split()]
+    if "id" in attrs and tag not in TITLES and (tag == "div" or not in_article):
+        names.append(attrs["id"].lower())
+    for name in names:
+        words = WORD.findall(name)
+        marks = BESIDE.intersection(words)
+        if (marks - HEADING if in_article else marks) and all(w in BESIDE or w in FORM for w in words):
+            return True
+    return False
 
 
 class Page:
@@ -112,9 +132,7 @@ class Page:
             in_article = any(t in ("article", "main") for t, _, _ in stack)
             inside = beside or tag in DROPPED or (tag == "header" and not in_article)
             if not inside and tag not in ("html", "body", "article", "main") and attrs:
-                names = " ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower()
-                marks = BESIDE.intersection(WORD.findall(names))
-                inside = bool(marks - HEADING if in_article else marks) or bool(HIDDEN.search(m["attrs"])) or attrs.get("aria-hidden") == "true"
+                inside = is_beside(tag, attrs, in_article)
             if tag in BLOCK or inside != beside:
                 flush()
             if tag in CONTAINER:
@@ -186,8 +204,7 @@ def extract(pages: DataFrame, broadcast_hosts: int = 50_000) -> DataFrame:
         texts = []
         for html, path in zip(b.column("html").to_pylist(), b.column("path").to_pylist()):
             page = Page(html or "")
-            text = page.text(path) if path is not None else None
-            texts.append(page.text(page.best()[0]) or "" if text is None else text)
+            texts.append((page.text(path) if path is not None else None) or page.text(page.best()[0]) or "")
         return {"page_id": b.column("page_id"), "url": b.column("url"), "text": texts, "n_chars": [len(t) for t in texts]}
 
     joined = _hosted(pages).join(paths, "host", "left").select("page_id", "url", "html", "path")

@@ -208,6 +208,25 @@ def test_page_texts(spark):
     assert htmltext.extract(pages.limit(0)).count() == 0
 
 
+def test_article_text_is_not_lost_to_attribute_words(spark):
+    from fathom.llm import htmltext
+
+    article = """<html><body><nav class="nav">menu</nav><div class="overflow-hidden"><article class="post"><h1 id="share">One</h1>
+<p>Two <a href="/wiki/hidden-valley" title="display: none">valley</a> and <span class="social-impact">three</span>.</p>
+<section id="related-work"><h2 id="social-impact">Four</h2><p id="reply">five, long enough to be the article of this page</p></section>
+<section id="related">six</section><header class="header">seven</header>
+<div class="related-posts">out</div><div id="comments">out</div><p hidden>out</p><p style="color:red; DISPLAY : none">out</p>
+<div class="ad">out</div><div class="x sidebar2">out</div><p hidden="">out</p><p role="complementary">out</p></article></div></body></html>"""
+    want = "One Two valley and three. Four five, long enough to be the article of this page six seven"
+    usual = '<body><div class="story"><p>the usual text of this host</p></div></body>'
+    empty = '<body><div class="story"></div><div class="long"><p>the article is here</p></div></body>'
+    gone = '<body><div class="story" hidden><p>not shown</p></div><div class="long"><p>the article is here</p></div></body>'
+    rows = [(0, "http://a/0", article)] + [(i, f"http://b/{i}", usual) for i in range(1, 5)] + [(5, "http://b/5", empty), (6, "http://b/6", gone)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == want
+    assert got[1] == "the usual text of this host" and got[5] == got[6] == "the article is here"
+
+
 def rows_host():
     from pyspark.sql import functions as F
 
