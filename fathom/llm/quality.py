@@ -6,7 +6,8 @@ first: too few words or too many repeated 8-word windows reject a text whatever
 
 The model is fitted in numpy on a bounded sample of labelled rows (``max_docs`` per class, the first by a hash
 of doc_id, until ``max_lines`` lines): lines of documents of quality 1 count as content, of quality 0 as
-boilerplate, and the transitions carry a verdict over lines that could be either. All else covers all rows.
+boilerplate, and the transitions carry a verdict over lines that could be either. A class weighs as much in the fit as
+it has labelled documents in the whole table, whatever its part of the sample is. All else covers all rows.
 
 Defined results: null or empty text has no words and fails the base rules; a text of any length is labelled
 whole; repeated rows are judged one by one; without labelled rows of both classes every line is content; an
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.textio import WordHashes, docs_of, map_batches, mix, slices, window_hashes
+from fathom.llm.textio import WordHashes, bounded_rows, docs_of, map_batches, mix, slices, window_hashes
 
 BLANKS, SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
 UPPER, DIGITS, SHOUT = bytes(range(65, 91)), bytes(range(48, 58)), b"!?"
@@ -134,17 +135,20 @@ def viterbi(scores: list[np.ndarray], step: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def fit(docs: list[np.ndarray], good: np.ndarray, rounds: int = 120, rate: float = 0.5, decay: float = 1e-3) -> Crf:
-    """Conditional likelihood by gradient ascent; forward and backward sums run over all documents at once."""
+def fit(docs: list[np.ndarray], good: np.ndarray, weight: np.ndarray, rounds: int = 120, rate: float = 0.5, decay: float = 1e-3) -> Crf:
+    """Conditional likelihood, a document's part times its weight, by gradient ascent; forward and backward sums run
+    over all documents at once."""
     flat = np.concatenate(docs)
-    mean, dev = flat.mean(0), flat.std(0) + 1e-6
+    lines = np.repeat(weight, [len(d) for d in docs])
+    mean = np.average(flat, 0, lines)
+    dev = np.sqrt(np.average((flat - mean) ** 2, 0, lines)) + 1e-6
     mean[-1], dev[-1] = 0.0, 1.0
     docs = [(d - mean) / dev for d in docs]
     order, at, _ = _padded(docs)
-    y = good[order]
+    y, w = good[order], weight[order]
     emit, step = np.zeros((2, flat.shape[1])), np.zeros((2, 2))
     speed_e, speed_s = np.zeros_like(emit), np.zeros_like(step)
-    total = len(flat)
+    total = lines.sum()
     for _ in range(rounds):
         score = [x @ emit.T for x in at]
         alpha = [score[0]]
@@ -163,21 +167,25 @@ def fit(docs: list[np.ndarray], good: np.ndarray, rounds: int = 120, rate: float
                 pair = np.exp(pair - pair.max((1, 2), keepdims=True))
                 pair /= pair.sum((1, 2), keepdims=True)
                 real = np.zeros((2, 2))
-                real[0, 0], real[1, 1] = np.count_nonzero(y[:m] == 0), np.count_nonzero(y[:m] == 1)
-                g_s += real - pair.sum(0)
+                real[0, 0], real[1, 1] = w[:m][y[:m] == 0].sum(), w[:m][y[:m] == 1].sum()
+                g_s += real - (pair * w[:m, None, None]).sum(0)
             p = alpha[t] + beta[t]
             p = np.exp(p - p.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            g_e += (np.eye(2)[y[:n]] - p).T @ at[t]
+            g_e += ((np.eye(2)[y[:n]] - p) * w[:n, None]).T @ at[t]
         speed_e = 0.8 * speed_e + g_e / total - decay * emit
         speed_s = 0.8 * speed_s + g_s / total - decay * step
         emit, step = emit + rate * speed_e, step + rate * speed_s
     return Crf(emit, step, mean, dev)
 
 
+def labelled(labels: DataFrame, label: str) -> DataFrame:
+    return labels.select("doc_id", F.col(label).cast("int").alias(label)).where(F.col(label).isin(0, 1)).dropDuplicates(["doc_id"])
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, max_docs: int) -> DataFrame:
     """``doc_id, text, <label>`` of the first ``max_docs`` labelled documents of each class by a hash of doc_id."""
-    known = labels.select("doc_id", F.col(label).cast("int").alias(label)).where(F.col(label).isin(0, 1)).dropDuplicates(["doc_id"])
+    known = labelled(labels, label)
     parts = [known.where(F.col(label) == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs) for v in (0, 1)]
     return docs_of(docs, "doc_id", "text").join(F.broadcast(parts[0].unionAll(parts[1])), "doc_id")
 
@@ -185,17 +193,17 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, max_docs: int) -> Dat
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = 1000, max_lines: int = 40_000) -> Crf | None:
     def run(b):
         rows = [lines_of(t.encode())[0] for t in b.column("text").to_pylist()]
-        return {"doc_id": b.column("doc_id"), "quality": b.column("quality"), "x": [[v for line in r for v in line] for r in rows]}
-
-    rows = map_batches(sample(docs, labels, "quality", max_docs), run, "doc_id bigint, quality int, x array<double>")
-    xs, ys, lines = [], [], 0
-    for r in sorted(rows.collect(), key=lambda r: (r.doc_id * 0x9E3779B1 % 2**32, r.doc_id, len(r.x))):
-        x = np.array(r.x).reshape(-1, N_FEATURES)
-        if len(x) and lines + len(x) <= max_lines:
-            xs.append(x)
-            ys.append(r.quality)
-            lines += len(x)
-    return fit(xs, np.array(ys)) if len(set(ys)) == 2 else None
+        return {"doc_id": b.column("doc_id"), "quality": b.column("quality"), "n": [len(r) for r in rows], "x": [[v for line in r for v in line] for r in rows]}
+
+    rows = bounded_rows(map_batches(sample(docs, labels, "quality", max_docs), run, "doc_id bigint, quality int, n bigint, x array<double>"), max_lines)
+    ys = np.array([r.quality for r in rows if r.n], int)
+    if len(set(ys)) < 2:
+        return None
+    counts = docs.select("doc_id").join(labelled(labels, "quality"), "doc_id").groupBy("quality").count().collect()
+    weights = np.zeros(2)
+    for r in counts:
+        weights[r.quality] = r["count"] / sum(s.quality == r.quality for s in rows)
+    return fit([np.array(r.x).reshape(-1, N_FEATURES) for r in rows if r.n], ys, weights[ys])
 
 
 def assess(texts: list[str], model: Crf | None, hashes: WordHashes) -> dict[str, list]:

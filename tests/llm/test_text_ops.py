@@ -170,6 +170,23 @@ def test_labeller_on_held_out_rows(spark):
     assert np.mean(good) >= 0.98 and np.mean(bad) <= 0.2
 
 
+def test_labeller_at_real_class_shares(spark):
+    """Lines with symbols are half of the bad documents and a fifth of the nine times as many good ones."""
+    from fathom.llm import quality
+
+    rng = random.Random(6)
+    texts, labels = [], []
+    for i in range(1500):
+        good = int(rng.random() < 0.9)
+        kind = ("#" if rng.random() < 0.2 else "") if good else ("#" if rng.random() < 0.5 else "X")
+        texts.append(" ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}{kind if k % 3 == 0 else ''}" for k in rng.sample(range(200), 30)))
+        labels.append((i, good))
+    docs, known = frame(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in quality.judge(docs, quality.train(docs, known, max_docs=60)).collect()}
+    assert np.mean([kept[i] for i, good in labels if good]) >= 0.98
+    assert np.mean([kept[i] for i, good in labels if not good and "X" in texts[i]]) <= 0.1
+
+
 def test_toxicity_on_held_out_rows(spark):
     from fathom.llm import toxicity
 
