@@ -10,7 +10,8 @@ group with another one in the same way, a few rounds. Pairs are tested by bitmap
 the overlap from above, and by intersecting the sorted arrays; links join groups. Shingles that still hold nodes of
 several groups are laid out in tiles of bounded size; there all pairs of fitting sizes and different groups meet bounds
 of places and counts, what passes meets the bitmaps, and the rest is intersected. So no link between groups is lost,
-and a large group of near copies costs a pass over its members, not all pairs.
+and a large group of near copies costs a pass over its members, not all pairs. ``link``, ``classes`` and ``keep_first`` thus
+give groups and do not list the links inside one; ``links`` and ``link_counts`` test the pairs of all tiles and list them all.
 
 Defined results: null text or a text without words has an empty set and is linked with nothing; up to four
 words make one shingle; rows that share a doc_id are judged by their own texts, and leave together; rows with a
@@ -361,6 +362,24 @@ def link(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]
     return known, _joined(comps, more)
 
 
+def links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``a, b`` (a < b): every pair of similar classes, also inside a group; grows with the number of links."""
+    known, sketch = profile(docs)
+    shared = _stored(tiles(docs, sketch), "tiles")
+    bits = signatures(docs, shared.select("node"), known, "bits")
+    shares = shared.groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("c"))
+    pairs = tile_pairs(shared.withColumn("comp", F.col("node")).join(shares, "node"), percent)
+    return verified(docs, known, _stored(pairs, "pairs"), bits, percent).distinct()
+
+
+def link_counts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, node, n_links``: every document's class and the number of other classes that it is linked with."""
+    found = links(docs, percent)
+    ends = found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node")))
+    counts = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    return profile(docs)[0].join(counts, "node", "left").select("doc_id", "node", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def _joined(groups: DataFrame | None, links: DataFrame) -> DataFrame:
     """Groups of nodes after more links: the links join groups, not nodes, so later searches are small."""
     if groups is None:

@@ -184,6 +184,26 @@ def test_archive_round_trip(spark):
     assert warc.read_headers(spark, none).count() == 0
 
 
+def test_links_inside_groups(spark):
+    from fathom.llm import jaccard
+
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(900)}" for _ in range(60)] for _ in range(6)]
+    texts = [" ".join(b[:60 - cut] + [f"x{cut}"] * (cut > 0)) for b in base for cut in range(7)] + [" ".join(base[0]), "a b", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    words = [(t or "").split() for t in texts]
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    classes = sorted({tuple(w) for w in words if w})
+    of = {c: sets[words.index(list(c))] for c in classes}
+    want = {(c, d) for c in classes for d in classes if c < d and 100 * len(of[c] & of[d]) >= 75 * len(of[c] | of[d])}
+    assert len(want) > 60
+    name = {r.node: tuple(words[r.doc_id]) for r in jaccard.profile(docs)[0].collect()}
+    got = [tuple(sorted((name[r.a], name[r.b]))) for r in jaccard.links(docs).collect()]
+    assert len(got) == len(want) and set(got) == want
+    counts = {r.doc_id: r.n_links for r in jaccard.link_counts(docs).collect()}
+    assert counts == {i: sum(tuple(w) in pair for pair in want) for i, w in enumerate(words)}
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body class="page-7"><header>top</header><nav><a href=x>menu</a></nav>
 <div class="sidebar">side</div><div id="content" class="post-%d body"><h1>Title &amp; more</h1><p>First <b>bold</b>text&nbsp;here and long<br>broken
 line.<p>Second paragraph of the article<form>name</form><div class="comments"><p>a reader says</p></div><script>if (a<b) {"</p>"}</script></div>
