@@ -3,8 +3,8 @@
 ``write_archive`` stores two tables in one folder: ``payloads`` (address, payload) holds every distinct payload
 once under its SHA-256, ``headers`` (page_id, address, header) the exact header bytes of every record. Of the
 records with one payload (of at least ``dedup_from`` bytes) the one with the smallest page_id is a response,
-the others are revisits that refer to it. ``read_headers`` reads both back and verifies every stored payload
-against its address; ``reconstruct`` joins them into whole records, byte for byte.
+the others are revisits that refer to it. ``reconstruct`` joins them into whole records, byte for byte;
+``read_headers`` takes its columns from these and verifies payloads, lengths and references of every record.
 
 Only one row per distinct payload is moved with its bytes: grouping and record types use digests alone.
 
@@ -80,24 +80,39 @@ def _field(name: str) -> Column:
     return F.regexp_extract(F.decode("header", "UTF-8"), rf"(?m)^{name}: <?([^>\r\n]*)>?\r?$", 1)
 
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every record, from the stored bytes."""
+def _rebuilt(spark: SparkSession, path: str) -> DataFrame:
+    """Every record with its payload: a revisit's from the response whose record id and digest it names, a response's
+    (``source``: the address found so) from itself."""
     heads = spark.read.parquet(f"{path}/headers").select(
-        "address", _field("WARC-Record-ID").alias("rid"), _field("WARC-Type").alias("record_type"),
+        "page_id", "address", "header", _field("WARC-Record-ID").alias("rid"), _field("WARC-Type").alias("record_type"),
         _field("WARC-Refers-To").alias("refers"), _field("WARC-Payload-Digest").alias("digest"))
-    stored = spark.read.parquet(f"{path}/payloads").select(
-        "address", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"),
-        F.sha2("payload", 256).alias("found"))
+    stored = spark.read.parquet(f"{path}/payloads").select(F.col("address").alias("source"), "payload")
+    revisit = F.col("record_type") == "revisit"
+    responses = heads.where(~revisit).groupBy(F.col("rid").alias("target"), "digest").agg(F.min("address").alias("source"))
+    found = heads.withColumn("target", F.when(revisit, F.col("refers")).otherwise(F.col("rid"))).join(responses, ["target", "digest"], "left")
+    body = F.when(revisit, F.lit(b"")).otherwise(F.col("payload"))
+    return found.join(stored, "source", "left").withColumn("record", F.concat(F.col("header"), body, F.lit(b"\r\n\r\n")))
+
+
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every record, from the rebuilt records.
+    Payloads are verified against address and digest, the lengths of record and payload against both headers."""
+    text = F.decode("header", "UTF-8")
+    lines = F.substring_index(text, "\r\n\r\n", 1)  # the WARC header; the HTTP header follows
+    stated = lambda c: F.expr(rf"try_cast(regexp_extract({c}, '(?m)^Content-Length: (\\d+)\r?$', 1) as bigint)")
+    r = _rebuilt(spark, path).select(
+        "rid", "refers", "record_type", "address", "source", "digest", lines.alias("lines"), F.substring(text, F.length(lines) + 5, F.length(text)).alias("http"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"), F.octet_length("record").alias("record_bytes"),
+        base32_sha1(F.col("payload")).alias("payload_digest"), F.sha2("payload", 256).alias("found"))
     number = lambda c: F.expr(f"try_cast(nullif(substring({c}, {len(RECORD) + 1}), '') as bigint)")
-    sound = (F.col("found") == F.col("address")) & (F.col("digest") == F.concat(F.lit("sha1:"), F.col("payload_digest")))
-    checked = F.when(sound, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest: "), F.col("address"))).cast("string"))
-    return heads.join(stored, "address", "left").select(
-        number("rid").alias("page_id"), "payload_bytes", checked.alias("payload_digest"), "record_type", number("refers").alias("refers_to"))
+    sound = (F.col("found") == F.col("address")) & (F.col("source") == F.col("address")) & (F.col("digest") == F.concat(F.lit("sha1:"), F.col("payload_digest")))
+    fits = (stated("lines") + F.octet_length("lines") + 8 == F.col("record_bytes")) & (stated("http") == F.col("payload_bytes"))
+    broken = lambda what: F.raise_error(F.concat(F.lit(f"{what}: "), F.coalesce("rid", F.lit("")), F.lit(" "), F.coalesce("address", F.lit("")))).cast("string")
+    checked = F.when(F.col("source").isNull(), broken("record refers to no response")).when(~F.coalesce(sound, F.lit(False)), broken("payload differs from its digest"))
+    checked = checked.when(~F.coalesce(fits, F.lit(False)), broken("length differs from the header")).otherwise(F.col("payload_digest"))
+    return r.select(number("rid").alias("page_id"), "payload_bytes", checked.alias("payload_digest"), "record_type", number("refers").alias("refers_to"))
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     """``page_id, header, payload, record``: whole records, a revisit's payload from the response it refers to."""
-    heads, stored = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
-    j = heads.join(stored, "address", "left")
-    own = F.when(_field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return j.select("page_id", "header", "payload", F.concat(F.col("header"), own, F.lit(b"\r\n\r\n")).alias("record"))
+    return _rebuilt(spark, path).select("page_id", "header", "payload", "record")

@@ -5,6 +5,7 @@ import random
 import re
 from hashlib import sha1, sha256
 
+import pytest
 from test_text_ops import ODD, WORDS, frame
 
 
@@ -184,6 +185,26 @@ def test_archive_round_trip(spark):
     assert warc.read_headers(spark, none).count() == 0
 
 
+@pytest.mark.parametrize("name, pattern, by", [("length", "(?<=msgtype=response\r\nContent-Length: )", "9"), ("response", "(?<=WARC-Refers-To: <urn:x-page:)", "7"),
+                                               ("length", "(?<=utf-8\r\nContent-Length: )", "9")])
+def test_archive_with_a_broken_header(spark, name, pattern, by):
+    from pyspark.sql import functions as F
+
+    from fathom.llm import warc
+    from fathom.session import scratch_path
+
+    rows = [(i, f"http://h/{i}", "same" if i % 2 else f"page {i}") for i in range(6)]
+    path = scratch_path(spark, "w")
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    assert len(warc.read_headers(spark, path).collect()) == 6
+    changed = F.encode(F.regexp_replace(F.decode("header", "UTF-8"), pattern, by), "UTF-8")
+    bad = scratch_path(spark, "w")
+    spark.read.parquet(f"{path}/headers").withColumn("header", F.when(F.col("page_id") == 3, changed).otherwise(F.col("header"))).write.parquet(f"{bad}/headers")
+    spark.read.parquet(f"{path}/payloads").write.parquet(f"{bad}/payloads")
+    with pytest.raises(Exception, match=name):
+        warc.read_headers(spark, bad).collect()
+
+
 def test_links_inside_groups(spark):
     from fathom.llm import jaccard
 
