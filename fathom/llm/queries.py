@@ -199,3 +199,61 @@ def op2(spark, sf_dir):
     from fathom.llm.jaccard import classes
 
     return classes(table(spark, sf_dir, "documents"))
+
+
+def pieces() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op11_alignment")
+def op11(spark, sf_dir):
+    """Groups and links between the tokens of two tokenizers in every document."""
+    from fathom.llm.align import summary
+
+    return summary(table(spark, sf_dir, "documents"), vocab(), pieces())
+
+
+AUDIT_SQL = r"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from d),
+m as (select doc_id, part, case when len(ws) < 100 then 1 else 0 end + case when 100 * len(list_distinct(ws)) < 80 * len(ws) then 2 else 0 end
+  + case when 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text) then 4 else 0 end
+  + case when regexp_matches(text, '[#$%&*|]') then 8 else 0 end + case when doc_id > min(doc_id) over (partition by text) then 16 else 0 end as bits from w),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by 1),
+c as (select part, bits, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic from m left join l using (doc_id) group by all),
+f(l, b) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o as (select f.l || g.l || h.l || i.l || j.l as filter_order, [f.b, g.b, h.b, i.b, j.b] as bs from f, f g, f h, f i, f j where f.b + g.b + h.b + i.b + j.b = 31
+  and len(list_distinct([f.b, g.b, h.b, i.b, j.b])) = 5),
+s as (select filter_order, k::int as step, bs[k] as own, coalesce(list_sum(bs[1:k - 1]), 0)::int as gone from o, range(1, 6) t(k)),
+r as (select part, filter_order, step, own, sum(case when bits & (gone | own) = 0 then n else 0 end) as kept,
+  sum(case when bits & own > 0 and bits & gone = 0 then n else 0 end) as removed, sum(case when bits & own > 0 and bits & gone > 0 then n else 0 end) as redundant,
+  sum(case when bits = own then n else 0 end) as unique_fails, sum(case when bits & own > 0 and bits & gone = 0 then good else 0 end) as good_lost,
+  sum(case when bits & own > 0 and bits & gone = 0 then toxic else 0 end) as toxic_lost from c, s group by all)
+select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
+  good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley from r
+"""
+
+
+@query("op12_filter_audit", AUDIT_SQL)
+def op12(spark, sf_dir):
+    """What five filters remove, in every order of applying them."""
+    from fathom.llm.audit import report
+
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+EXACT_SQL = """
+with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)
+select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(t) as text_sha256
+from d window w as (partition by t)
+"""
+
+
+@query("op13_exact_dedup", EXACT_SQL)
+def op13(spark, sf_dir):
+    """Of equal texts the last document stays."""
+    from fathom.llm.exact import verdicts
+
+    return verdicts(table(spark, sf_dir, "documents"))
