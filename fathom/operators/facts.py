@@ -5,6 +5,8 @@ A *fact* frame has ``ts TIMESTAMP_NTZ`` and ``dims MAP<STRING,STRING>``.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,36 +69,56 @@ def _rewrite(dims_col: F.Column, field: str, new_value: F.Column | None) -> F.Co
         F.map_concat(kept, F.create_map(F.lit(field), new_value)))
 
 
-BINS = 1024  # bins of one narrowing step
-FEW = 4096  # distinct values that are fetched and ordered at the end of the narrowing
-
-
-def order_statistics(counts: DataFrame, ranks: list[int]) -> list[float]:
-    """Exact values at 1-based ``ranks`` of a multiset given as ``value, c`` (distinct values and their counts).
-
-    Each step bins the values that may still hold a rank into ``BINS`` equal ranges and keeps the bin that the
-    rank falls into; when few distinct values are left they are fetched. The driver sees at most ``BINS + 1``
-    rows per step or ``FEW`` values, whatever the size, and no task gathers a field's values."""
-    out: dict[int, float] = {}
-    for rank in sorted(set(ranks)):
-        todo, below = counts, 0
-        while True:
-            s = todo.agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("d")).first()
-            if s["d"] <= FEW:
-                for r in sorted((r["value"], r["c"]) for r in todo.collect()):
-                    below += r[1]
-                    if below >= rank:
-                        out[rank] = r[0]
-                        break
-                break
-            lo, width = F.lit(s["lo"]), (F.lit(s["hi"]) - F.lit(s["lo"])) / F.lit(float(BINS))
-            binned = todo.withColumn("bin", F.floor((F.col("value") - lo) / width))
-            for r in sorted(binned.groupBy("bin").agg(F.sum("c").alias("c")).collect()):
+SHIFTS = (54, 44, 34, 24, 14, 4, 0)  # bits of a key that a pass leaves open: 10 fewer with every pass
+
+
+def order_key(value) -> F.Column:
+    """64-bit integer of a double, in the doubles' order: the bits of a number that is not negative, and for negative ones
+    the other bits turned over."""
+    @F.pandas_udf("long")
+    def bits(v: pd.Series) -> pd.Series:
+        x = v.to_numpy(np.float64).view(np.int64)
+        return pd.Series(np.where(x < 0, x ^ np.int64(0x7FFFFFFFFFFFFFFF), x))
+
+    return bits(value)
+
+
+def order_statistics(counts: DataFrame, ranks: dict[int, list[int]]) -> dict[tuple[int, int], float]:
+    """Exact values at 1-based ranks of several multisets at once. ``counts``: a stored table ``field, value, key, c`` of
+    the distinct values of each field, their :func:`order_key` and how often they occur; ``ranks``: those asked for, by
+    field. Returns ``{(field, rank): value}``.
+
+    All ranks of all fields are narrowed together: a pass counts, below the key prefixes that still hold a rank, the
+    1,024 prefixes that are 10 bits longer. A prefix has no empty or infinite width whatever the values are, so seven
+    passes settle 64 bits, and a rank is settled earlier when one value is left under its prefix. The driver sees at
+    most 1,024 rows per open rank and pass; no task gathers a field's values."""
+    out: dict[tuple[int, int], float] = {}
+    open_ranks = {(f, r): (None, 0) for f, rs in ranks.items() for r in rs}  # prefix, points below it
+    before = 64
+    for shift in SHIFTS:
+        if not open_ranks:
+            break
+        bin_ = F.shiftright("key", shift)
+        where = F.lit(False)
+        for field, prefix in {(f, p) for (f, _), (p, _) in open_ranks.items()}:
+            mine = F.col("field") == F.lit(field)
+            where = where | (mine if prefix is None else mine & (F.shiftright("key", before) == F.lit(prefix)))
+        found: dict[tuple, list] = {}
+        rows = counts.where(where).groupBy("field", bin_.alias("bin")).agg(F.sum("c").alias("c"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        for r in sorted(rows.collect(), key=lambda r: r["bin"]):
+            found.setdefault((r["field"], None if before == 64 else r["bin"] >> (before - shift)), []).append(r)
+        left = {}
+        for (field, rank), (prefix, below) in open_ranks.items():
+            for r in found[field, prefix]:
                 if below + r["c"] >= rank:
-                    todo = binned.where(F.col("bin") == F.lit(r["bin"])).drop("bin")
                     break
                 below += r["c"]
-    return [out[r] for r in ranks]
+            if r["lo"] == r["hi"]:
+                out[field, rank] = r["lo"]
+            else:
+                left[field, rank] = (r["bin"], below)
+        open_ranks, before = left, shift
+    return out
 
 
 def tertile_bounds_all(facts: DataFrame, fields, k: int = 3, dims: str = "dims") -> dict:
@@ -110,16 +132,15 @@ def tertile_bounds_all(facts: DataFrame, fields, k: int = 3, dims: str = "dims")
     values = F.array(*[F.struct(F.lit(i).alias("field"), _numeric(dims, f).alias("value")) for i, f in enumerate(fields)])
     path = scratch_path(spark, "values")
     rows = facts.select(F.inline(values)).where("abs(value) < double('Infinity')")
-    rows.groupBy("field", "value").agg(F.count(F.lit(1)).alias("c")).write.parquet(path)
+    rows.groupBy("field", "value").agg(F.count(F.lit(1)).alias("c")).withColumn("key", order_key("value")).write.parquet(path)
     counts = spark.read.parquet(path)
     ns = {r["field"]: r["n"] for r in counts.groupBy("field").agg(F.sum("c").alias("n")).collect()}
-    out = {}
-    for i, f in enumerate(fields):
-        n = ns.get(i, 0)
-        ranks = [r for j in range(k - 1) for off in [(j + 1) * n // k] for r in (max(off, 1), min(off + 1, n))]
-        v = order_statistics(counts.where(F.col("field") == i).select("value", "c"), ranks) if n else []
-        out[f] = (n, [(v[2 * j] + v[2 * j + 1]) / 2.0 for j in range(len(v) // 2)])
-    return out
+    # per bound the ranks on its two sides
+    sides = {i: [(max(off, 1), min(off + 1, n)) for j in range(k - 1) for off in [(j + 1) * n // k]] for i, n in ns.items()}
+    v = order_statistics(counts, {i: sorted({r for pair in s for r in pair}) for i, s in sides.items()})
+    # halves are added, so that the sum of two large values stays finite
+    return {f: (ns.get(i, 0), [v[i, lo] / 2.0 + v[i, hi] / 2.0 if abs(v[i, lo]) > 1e300 or abs(v[i, hi]) > 1e300 else (v[i, lo] + v[i, hi]) / 2.0
+                               for lo, hi in sides.get(i, [])]) for i, f in enumerate(fields)}
 
 
 def tertile_bounds(facts: DataFrame, field: str, k: int = 3, dims: str = "dims"):
@@ -133,16 +154,21 @@ def categorize_numbers(facts: DataFrame, fields=("rl", "rs"), labels=CATEGORIES,
     whose bound it is below. A value that is not a number is removed. A caller
     may ask for the reference's warm-up: with fewer than ``min_points`` values
     the field is removed."""
-    bounds = tertile_bounds_all(facts, fields, len(labels), dims)
+    found = tertile_bounds_all(facts, fields, len(labels), dims)
+    return label_numbers(facts, {f: b if n >= max(1, min_points) else [] for f, (n, b) in found.items()}, labels, dims)
+
+
+def label_numbers(facts: DataFrame, bounds: dict[str, list[float]], labels=CATEGORIES, dims: str = "dims") -> DataFrame:
+    """The last step of N3, on batch or streaming facts: numeric dimensions replaced by the label of the first bound
+    that they are below. A field with no bounds, and a value that is no finite number, is removed."""
     out = facts
-    for field in fields:
-        n, b = bounds[field]
-        v = _numeric(dims, field)
-        if n < max(1, min_points):
+    for field, b in bounds.items():
+        if not b:
             out = out.withColumn(dims, _rewrite(F.col(dims), field, None))
-        else:
-            new = F.when(v.isNull() | ~(F.abs(v) < F.lit(float("inf"))), F.lit(None)).otherwise(_label(v, b, list(labels)))
-            out = out.withColumn(dims, F.map_filter(_rewrite(F.col(dims), field, new), lambda kk, x: x.isNotNull()))
+            continue
+        v = _numeric(dims, field)
+        new = F.when(v.isNull() | ~(F.abs(v) < F.lit(float("inf"))), F.lit(None)).otherwise(_label(v, b, list(labels)))
+        out = out.withColumn(dims, F.map_filter(_rewrite(F.col(dims), field, new), lambda kk, x: x.isNotNull()))
     return out
 
 

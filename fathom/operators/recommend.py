@@ -96,10 +96,12 @@ def train_als(ratings: DataFrame, rank: int = 10, max_iter: int = 10, reg: float
 
 
 def unrated_candidates(ratings: DataFrame, items: DataFrame, user_id) -> DataFrame:
-    """M7 for one user: dictionary items the user has not rated."""
-    mine = ratings.where(F.col("user_id") == F.lit(user_id)).select("item_id").distinct()
-    return items.select("item_id").distinct().join(mine, "item_id", "left_anti") \
-        .select(F.lit(user_id).cast("int").alias("user_id"), "item_id")
+    """M7 for one user: dictionary items the user has not rated; none for a user without a rating. The user's one
+    row, if there is any, meets every dictionary item that no rating of theirs names."""
+    mine = ratings.where(F.col("user_id") == F.lit(user_id))
+    unrated = items.select("item_id").distinct().join(mine.select("item_id").distinct(), "item_id", "left_anti")
+    known = mine.select("user_id").limit(1)
+    return unrated.withColumn("user_id", F.lit(user_id).cast("int")).join(known, "user_id", "left_semi").select("user_id", "item_id")
 
 
 def unrated_candidate_counts(ratings: DataFrame, items: DataFrame) -> DataFrame:

@@ -12,3 +12,4 @@ from fathom.plans import rec  # noqa: F401,E402
 from fathom.plans import text  # noqa: F401,E402
 from fathom.plans import sources  # noqa: F401,E402
 from fathom.plans import streams  # noqa: F401,E402
+from fathom.plans import packets  # noqa: F401,E402

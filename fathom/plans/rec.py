@@ -21,7 +21,7 @@ RAT = """r AS (SELECT CAST(o_custkey AS INT) AS user_id, CAST(l_partkey AS INT)
 STORE = """store AS (SELECT user_id, item_id, rating FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id
             ORDER BY o_orderdate DESC, l_orderkey DESC, l_linenumber DESC, rating DESC) AS rn FROM r) WHERE rn = 1)"""
 ITEMS = "items AS (SELECT CAST(p_partkey AS INT) AS item_id, trim(p_name) AS title FROM part)"
-USER = 565
+ONE_USER = "(SELECT min(user_id) FROM r)"
 
 
 def _ratings(spark, sf, keep=("seq",)):
@@ -33,6 +33,11 @@ def _items(spark, sf):
     return M.parse_items(standins.item_texts(load(spark, sf, "part")))
 
 
+def _one_user(ratings) -> int:
+    """The user of the one-user queries: the smallest id with a rating, so that no table size makes them empty."""
+    return ratings.agg(F.min("user_id")).first()[0]
+
+
 def _store(spark, sf):
     return M.upsert_ratings(_ratings(spark, sf), "seq")
 
@@ -102,11 +107,14 @@ def unrated_counts(spark, sf):
     return M.unrated_candidate_counts(_ratings(spark, sf, keep=()), _items(spark, sf))
 
 
-@query("rec_unrated_candidates_user", sql=f"""WITH {RAT}, {ITEMS}
-SELECT DISTINCT CAST({USER} AS INT) AS user_id, item_id FROM items
-WHERE item_id NOT IN (SELECT item_id FROM r WHERE user_id = {USER})""")
+UNRATED = f"""(SELECT DISTINCT {ONE_USER} AS user_id, item_id FROM items
+  WHERE item_id NOT IN (SELECT item_id FROM r WHERE user_id = {ONE_USER}))"""
+
+
+@query("rec_unrated_candidates_user", sql=f"WITH {RAT}, {ITEMS} SELECT user_id, item_id FROM {UNRATED}")
 def unrated_candidates_user(spark, sf):
-    return M.unrated_candidates(_ratings(spark, sf, keep=()), _items(spark, sf), USER)
+    ratings = _ratings(spark, sf, keep=())
+    return M.unrated_candidates(ratings, _items(spark, sf), _one_user(ratings))
 
 
 @query("rec_train_als", sql=f"WITH {RAT} SELECT DISTINCT user_id, CAST(10 AS INT) AS rank FROM r")
@@ -116,13 +124,22 @@ def train_als(spark, sf):
 
 
 @query("rec_score_candidates_user", sql=f"""WITH {RAT}, {ITEMS}
-SELECT DISTINCT CAST({USER} AS INT) AS user_id, item_id, TRUE AS scored FROM items
-WHERE item_id NOT IN (SELECT item_id FROM r WHERE user_id = {USER}) AND item_id IN (SELECT item_id FROM r)""")
+SELECT user_id, item_id, TRUE AS is_product FROM {UNRATED} WHERE item_id IN (SELECT item_id FROM r)""")
 def score_candidates_user(spark, sf):
+    """Scores of one user's candidates, held against the products of the stored factors, summed in SQL."""
     ratings = _ratings(spark, sf, keep=())
-    cands = M.unrated_candidates(ratings, _items(spark, sf), USER)
-    scores = M.score_candidates(M.train_als(ratings), cands)
-    return scores.select("user_id", "item_id", (F.col("score") == F.col("score") + 0).alias("scored"))
+    model = M.train_als(ratings)
+    cands = M.unrated_candidates(ratings, _items(spark, sf), _one_user(ratings))
+    path = scratch_path(spark, "factors")
+    for side, factors in (("users", model.userFactors), ("items", model.itemFactors)):
+        factors.select("id", F.posexplode("features").alias("place", "x")).write.parquet(f"{path}/{side}")
+    u, i = (spark.read.parquet(f"{path}/{side}") for side in ("users", "items"))
+    users = u.select(F.col("id").alias("user_id"), "place", F.col("x").alias("ux"))
+    products = cands.join(users, "user_id").join(i.select(F.col("id").alias("item_id"), "place", "x"), ["item_id", "place"]) \
+        .groupBy("user_id", "item_id").agg(F.sum(F.col("ux").cast("double") * F.col("x").cast("double")).alias("product"))
+    scores = M.score_candidates(model, cands).join(products, ["user_id", "item_id"], "full_outer")
+    near = F.abs(F.col("score") - F.col("product")) <= 1e-4 * (1 + F.abs("product"))
+    return scores.select("user_id", "item_id", F.coalesce(near, F.lit(False)).alias("is_product"))
 
 
 @query("rec_top_items")
@@ -179,6 +196,7 @@ def rated_titles(spark, sf):
 
 @query("rec_recommend_for_user")
 def recommend_for_user(spark, sf):
-    r = M.recommend_for_user(_store(spark, sf), _top(spark, sf), _items(spark, sf), USER)
+    store = _store(spark, sf)
+    r = M.recommend_for_user(store, _top(spark, sf), _items(spark, sf), _one_user(store))
     return r.select("user_id", F.array_join("rated", "|").alias("rated"),
                     F.array_join("recommended", "|").alias("recommended"))

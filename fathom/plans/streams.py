@@ -18,7 +18,7 @@ from fathom.streaming import streams as ST
 HOUR = "1 hour"
 
 
-def _feed(spark, sf, run, base: str, last: bool) -> None:
+def _feed(spark, sf, run, base: str, last: bool, last_user: int | None = None) -> None:
     """The events arrive in two parts, in files of their own, some rows up to 30 minutes late and out of order; after
     each part the stream runs on what is new and stops. ``last`` adds one far later event, after which every
     bucket of the events is closed."""
@@ -32,14 +32,14 @@ def _feed(spark, sf, run, base: str, last: bool) -> None:
         run(spark.readStream.schema(events.schema).parquet(base))
     if last:
         end = events.limit(1).withColumn("ts", F.lit(edge["hi"]) + F.expr("interval 3 days")).withColumn("event_type", F.lit("end"))
-        end.withColumn("user_id", F.lit(None).cast("bigint")).write.mode("append").parquet(base)
+        end.withColumn("user_id", F.lit(last_user).cast("bigint")).write.mode("append").parquet(base)
         run(spark.readStream.schema(events.schema).parquet(base))
 
 
-def _streamed(spark, sf, name, run, last=False):
+def _streamed(spark, sf, name, run, last=False, last_user=None):
     """Paths of a stream that has run over all parts of the feed; ``run(stream, paths)`` starts it."""
     p = ST.fresh_paths(spark, name)
-    _feed(spark, sf, lambda stream: run(stream, p), p["aux"] + "-feed", last)
+    _feed(spark, sf, lambda stream: run(stream, p), p["aux"] + "-feed", last, last_user)
     return p
 
 
@@ -91,7 +91,7 @@ def anomalies(spark, sf):
 
 @query("stream_anomaly_counts", sql=f"WITH {ANOMALIES} SELECT bucket, count(DISTINCT series_key) AS n FROM a GROUP BY bucket")
 def anomaly_counts(spark, sf):
-    return ST.read_counter_totals(spark, _anomalies(spark, sf)["out"] + "-counters", ["bucket"])
+    return ST.read_counter_totals(spark, _anomalies(spark, sf)["out"] + "-counters", ["bucket"], ["bigint"])
 
 
 @query("stream_unique_srcs", sql=f"""WITH {ANOMALIES} SELECT make_timestamp(bucket * 3600000000) AS ts, count(DISTINCT series_key) AS value FROM a

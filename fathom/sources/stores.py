@@ -8,8 +8,9 @@ totals are a plain ``groupBy(keys).sum``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def add_counters(store: DataFrame | None, delta: DataFrame, keys: list[str], value_cols: list[str],
@@ -33,6 +34,14 @@ def counter_totals(store: DataFrame, keys: list[str], value_cols: list[str]) ->
 
 def write_dated(df: DataFrame, path: str, ts_col: str = "ts") -> DataFrame:
     """Store a result by the date of ``ts_col`` and return the stored table: later reads with bounds on ``ts_col``
-    that repeat them on ``date`` open only those dates' folders."""
-    df.withColumn("date", F.to_date(ts_col)).write.mode("overwrite").partitionBy("date").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    that repeat them on ``date`` open only those dates' folders. The table is read back with the result's own schema,
+    so a result without rows is an empty table. Rows are rebalanced by date before they are written: a date has one
+    file where it is small, however many tasks the result had, and a crowded date is split over tasks (AQE)."""
+    dated = df.withColumn("date", F.to_date(ts_col)).hint("rebalance", "date")
+    dated.write.mode("overwrite").partitionBy("date").parquet(path)
+    return read_dated(df.sparkSession, path, df.schema)
+
+
+def read_dated(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table of :func:`write_dated`; ``schema`` is the stored result's, without the date."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("date", T.DateType())])).parquet(path)

@@ -29,12 +29,13 @@ def event_time(df: DataFrame, ts: str = "ts", out: str = "event_time") -> DataFr
     return df.withColumn(out, F.timestamp_micros(epoch_us(ts)))
 
 
-def run_available_now(writer, name: str) -> None:
-    """Start a ``DataStreamWriter`` with the availableNow trigger and wait."""
+def run_available_now(writer, name: str):
+    """Start a ``DataStreamWriter`` with the availableNow trigger, wait, and return the ended query (its progress)."""
     q = writer.trigger(availableNow=True).queryName(name).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
+    return q
 
 
 def stream_counter_store(stream: DataFrame, keys: list[str], store_path: str, checkpoint: str,
@@ -50,8 +51,10 @@ def stream_counter_store(stream: DataFrame, keys: list[str], store_path: str, ch
     run_available_now(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), name)
 
 
-def read_counter_totals(spark: SparkSession, store_path: str, keys: list[str]) -> DataFrame:
-    return spark.read.parquet(store_path).groupBy(*keys).agg(F.sum("n").cast("long").alias("n"))
+def read_counter_totals(spark: SparkSession, store_path: str, keys: list[str], types: list[str] | None = None) -> DataFrame:
+    """Totals of a store; ``types`` of the keys (string unless given) let a store without rows be read, too."""
+    schema = ", ".join(f"`{k}` {t}" for k, t in zip(keys, types or ["string"] * len(keys)))
+    return spark.read.schema(f"{schema}, n bigint, batch bigint").parquet(store_path).groupBy(*keys).agg(F.sum("n").cast("long").alias("n"))
 
 
 def stream_interval_counts(stream: DataFrame, key: str, interval, watermark, ts: str = "ts") -> DataFrame:
@@ -71,20 +74,21 @@ def stream_traffic_counts(stream: DataFrame, interval, watermark, ts: str = "ts"
 
 def stream_anomalies(counts_stream: DataFrame, counts_path: str, anomalies_path: str, checkpoint: str, interval,
                      lookback: int = 10, mean_threshold: float = 2.0, sensitivity: float = 2.0,
-                     counters_path: str | None = None, name: str = "anomalies") -> None:
+                     counters_path: str | None = None, name: str = "anomalies", carry: tuple[str, ...] = ()) -> None:
     """Streaming N8/N9 over closed bucket counts (see module docstring). The counts table is partitioned by date, and
     a batch reads back only the dates that its own buckets and their ``lookback`` touch. With ``counters_path``,
     the anomalous series per bucket (N12) are kept as counters, too: a (series, bucket) closes once, so the sum
-    over batches counts distinct series. All writes are keyed by batch id; a replay rewrites the same rows."""
+    over batches counts distinct series. ``carry`` names string columns that depend on the series alone and go on
+    with its anomalies. All writes are keyed by batch id; a replay rewrites the same rows."""
 
     def dated(df: DataFrame) -> DataFrame:
         return df.withColumn("date", F.to_date(bucket_start("bucket", interval)))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.select("series_key", "bucket", "n").persist()
+        batch = batch.select("series_key", "bucket", "n", *carry).persist()
         try:
-            dated(batch).write.mode("overwrite").partitionBy("date").parquet(f"{counts_path}/batch={batch_id}")
+            dated(batch.select("series_key", "bucket", "n")).hint("rebalance", "date").write.mode("overwrite").partitionBy("date").parquet(f"{counts_path}/batch={batch_id}")
             edge = batch.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).first()
             if edge["lo"] is None:
                 return
@@ -97,11 +101,11 @@ def stream_anomalies(counts_stream: DataFrame, counts_path: str, anomalies_path:
                 .where((F.col("bucket") >= F.col("lo") - lookback) & (F.col("bucket") <= F.col("hi"))) \
                 .select("series_key", "bucket", "n")
             flags = A.anomaly_flags(hist, lookback, mean_threshold, sensitivity).where("flag")
-            mine = flags.join(batch.select("series_key", "bucket"), ["series_key", "bucket"], "left_semi")
+            mine = batch.join(flags.select("series_key", "bucket"), ["series_key", "bucket"], "left_semi")
             out = f"{anomalies_path}/batch={batch_id}"
-            dated(mine.select("series_key", "bucket", "n")).write.mode("overwrite").partitionBy("date").parquet(out)
+            dated(mine).hint("rebalance", "date").write.mode("overwrite").partitionBy("date").parquet(out)
             if counters_path:
-                found = spark.read.schema("series_key string, bucket bigint, n bigint, date date").parquet(out)
+                found = spark.read.schema("bucket bigint, date date").parquet(out)
                 found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{counters_path}/batch={batch_id}")
         finally:
             batch.unpersist()
@@ -110,9 +114,10 @@ def stream_anomalies(counts_stream: DataFrame, counts_path: str, anomalies_path:
                       .option("checkpointLocation", checkpoint), name)
 
 
-def read_anomalies(spark: SparkSession, anomalies_path: str) -> DataFrame:
+def read_anomalies(spark: SparkSession, anomalies_path: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """The streamed anomalies as the batch queries take them: ``series_key, bucket, n, date``."""
-    return spark.read.schema("series_key string, bucket bigint, n bigint, batch bigint, date date").parquet(anomalies_path).drop("batch")
+    extra = "".join(f", {c} string" for c in carry)
+    return spark.read.schema(f"series_key string, bucket bigint, n bigint{extra}, batch bigint, date date").parquet(anomalies_path).drop("batch")
 
 
 def fresh_paths(spark: SparkSession, name: str) -> dict:

@@ -81,9 +81,25 @@ def test_bounds_of_many_distinct_values_are_exact(spark):
 def test_order_statistics_with_heavy_and_far_values(spark):
     vals = [0.0] * 5000 + [float(i) for i in range(6000)] + [1e300, -1e300, 1e-300]
     x = sorted(vals)
-    c = spark.createDataFrame([(v,) for v in vals], "value double").groupBy("value").agg(F.count("*").alias("c"))
+    far = sorted([k * 5e304 for k in range(-3000, 3000)])  # their range is no finite double
+    both = spark.createDataFrame([(0, v) for v in vals] + [(1, v) for v in far], "field int, value double")
+    c = both.groupBy("field", "value").agg(F.count("*").alias("c")).withColumn("key", FA.order_key("value"))
     ranks = [1, 2, 4000, 5001, 5003, 9000, len(x)]
-    assert FA.order_statistics(c, ranks) == [x[r - 1] for r in ranks]
+    got = FA.order_statistics(c, {0: ranks, 1: [1, 2999, 3001, 6000]})
+    assert got == {**{(0, r): x[r - 1] for r in ranks}, **{(1, r): far[r - 1] for r in [1, 2999, 3001, 6000]}}
+    assert FA.order_statistics(c, {0: [], 1: []}) == {}
+
+
+def test_order_keys_are_in_the_order_of_doubles(spark):
+    vals = sorted([0.0, 1.5, -1.5, 1e-310, -1e-310, 1.7e308, -1.7e308, 2.0, 3.0, -7.25])
+    rows = spark.createDataFrame([(v,) for v in vals], "value double").withColumn("key", FA.order_key("value")).collect()
+    assert [r["value"] for r in sorted(rows, key=lambda r: r["key"])] == vals
+
+
+def test_bounds_of_values_at_both_ends_of_the_range(spark):
+    f = _fact_frame(spark, [{"src": "1", "rs": repr(v)} for v in (-1.7e308, -1.6e308, 1.0, 1.6e308, 1.7e308, 1.75e308)])
+    n, b = FA.tertile_bounds(f, "rs")
+    assert n == 6 and np.allclose(np.array(b) / 1e308, [-0.8, 1.65])
 
 
 def test_fanned_counts_equal_counted_fanout(spark):

@@ -50,7 +50,7 @@ def test_stream_equals_batch(spark, tmp_path):
     assert want and sorted(map(tuple, got.select("series_key", "bucket", "n").collect())) == want
     stored = spark.read.parquet(str(tmp_path / "counts")).select("series_key", "bucket", "n")
     assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, counts.select("series_key", "bucket", "n").collect()))
-    totals = {r["bucket"]: r["n"] for r in ST.read_counter_totals(spark, out + "-n", ["bucket"]).collect()}
+    totals = {r["bucket"]: r["n"] for r in ST.read_counter_totals(spark, out + "-n", ["bucket"], ["long"]).collect()}
     assert totals == {b: sum(1 for w in want if w[1] == b) for b in {w[1] for w in want}}
 
 
