@@ -1,18 +1,20 @@
 """Recommendations (M1-M11): parse, upsert, ALS, top unrated items per user.
 
-No driver-side collections of ratings and no per-user jobs: users' factors
-are scored against bounded blocks of item factors with an exact depth per
-user, then an anti join removes what the user already rated.
+No driver-side collections of ratings or factors and no per-user jobs: blocks
+of users meet blocks of items, each pair gives every user's best unrated
+items of the block, and one ranking per user merges them.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fathom.session import scratch_path
+
 
 def _ratings_parsed(lines: DataFrame, line_col: str) -> DataFrame:
     parts = F.split(F.col(line_col), "::")
@@ -122,60 +124,73 @@ def score_candidates(model: ALSModel, candidates: DataFrame) -> DataFrame:
         .select("user_id", "item_id", F.col("prediction").alias("score"))
 
 
-def top_items_per_user(model: ALSModel, ratings: DataFrame, items: DataFrame, k: int = 20, block_items: int = 100_000) -> DataFrame:
-    """M8 + M9: for every user with ratings, the ``k`` best-scored dictionary
-    items they have not rated (ties: item id ascending), with rank 1..k.
+USERS, ITEMS = 1024, 20_000  # users and items of a block, on average
+
+
+def top_items_per_user(model: ALSModel, ratings: DataFrame, items: DataFrame, k: int = 20, block_items: int = ITEMS,
+                       block_users: int = USERS, spread: int = 64) -> DataFrame:
+    """M8 + M9: for every user with ratings, the ``k`` best-scored dictionary items they have not rated (ties: item id
+    ascending), with rank 1..k.
 
-    Only factors of dictionary items take part, in blocks of at most about
-    ``block_items``; a block is sent to all tasks (its size is bounded by the
-    parameter, whatever the dictionary's), which score it against their users'
-    factors a few users at a time. A user who rated ``r`` items gives the best
-    ``k + r`` of a block - enough to hold their best ``k`` unrated ones - so
-    the rows are users x k plus the ratings, never users x items. Rated pairs
-    leave by an anti join, and one ranking per user merges the blocks.
-    """
-    spark = ratings.sparkSession
+    A block join. Users with factors are packed into rows of about ``block_users`` users, dictionary items with factors
+    into rows of about ``block_items``; each pair of a user row and an item row is scored in some task as one matrix
+    product, the pairs that were rated (packed per pair of blocks, too) are struck out of it, and the best ``k`` of the
+    item block leave per user: exact, however many items someone rated. One ranking per user merges the blocks. All
+    rows are made, met and read by Spark: no factor reaches the driver, and a task holds two packed rows and a
+    bounded piece of the matrix. An item row is sent to ``spread`` groups of user rows, so few items still give work to
+    many tasks.
+
+    The scores of all users x items are computed, as the task asks, but only users x blocks x k rows are written."""
     rated = ratings.select("user_id", "item_id").distinct()
     known = model.itemFactors.join(items.select(F.col("item_id").alias("id")).distinct(), "id", "left_semi")
-    users = model.userFactors.withColumnRenamed("id", "user_id").join(
-        rated.groupBy("user_id").agg(F.count(F.lit(1)).cast("int").alias("r")), "user_id")
-    blocks = max(1, -(-known.count() // block_items))
-    known = known.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    parts = []
-    for i in range(blocks):
-        rows = known.where(F.col("block") == i).select("id", "features").toArrow()
-        ids = rows.column("id").to_numpy()
-        order = np.argsort(ids)
-        factors = np.array(rows.column("features").to_pylist(), np.float32).reshape(len(ids), -1)[order]
-        parts.append(_block_scores(users, spark.sparkContext.broadcast((ids[order], factors)), k))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    scored = scored.join(rated, ["user_id", "item_id"], "left_anti")
+    users = model.userFactors.withColumnRenamed("id", "user_id").join(rated.select("user_id").distinct(), "user_id", "left_semi")
+    item_blocks = max(1, -(-known.count() // block_items))
+    user_blocks = max(1, -(-users.count() // block_users))
+    spread = min(spread, user_blocks)
+    ib = lambda c: F.pmod(F.xxhash64(c), F.lit(item_blocks)).alias("ib")
+    ub = F.pmod(F.xxhash64("user_id"), F.lit(user_blocks)).alias("ub")
+    item_rows = known.groupBy(ib("id")).agg(F.collect_list(F.struct("id", "features")).alias("items"))
+    item_rows = item_rows.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    user_rows = users.groupBy(ub).agg(F.collect_list(F.struct("user_id", "features")).alias("users"))
+    user_rows = user_rows.withColumn("ib", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(item_blocks - 1).cast("long"))))
+    struck = rated.groupBy(ub, ib("item_id")).agg(F.collect_list(F.struct("user_id", "item_id")).alias("rated"))
+    pairs = user_rows.join(struck, ["ub", "ib"], "left").withColumn("lane", F.pmod("ub", F.lit(spread)).cast("int"))
+    pairs = pairs.join(item_rows.hint("shuffle_hash"), ["ib", "lane"])
+    scored = pairs.select("users", "items", "rated").mapInArrow(_block_scores(k), "user_id int, item_id int, score float")
     w = Window.partitionBy("user_id").orderBy(F.col("score").desc(), F.col("item_id").asc())
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _block_scores(users: DataFrame, block, k: int, cells: int = 1 << 23) -> DataFrame:
-    """Best ``k + r`` items of one block per user; items that tie with the last one are kept, too."""
+def _block_scores(k: int, cells: int = 1 << 22):
+    """Best ``k`` unrated items of an item row per user of a user row; items that tie with the last one are kept, too."""
+    out = pa.schema([("user_id", pa.int32()), ("item_id", pa.int32()), ("score", pa.float32())])
+
+    def factors(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        ids, lists = rows.field(0).to_numpy(), rows.field(1)
+        x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(ids), -1)
+        order = np.argsort(ids)
+        return ids[order], x[order]
 
     def run(batches):
-        ids, factors = block.value
-        if not len(ids):
-            return
-        step = max(1, cells // len(ids))
         for b in batches:
-            for i in range(0, len(b), step):
-                some = b.iloc[i:i + step]
-                scores = np.stack(some["features"].to_numpy()).astype(np.float32) @ factors.T
-                out = []
-                for user, r, s in zip(some["user_id"], some["r"], scores):
-                    n = min(k + int(r), len(s))
-                    at = np.flatnonzero(s >= np.partition(s, len(s) - n)[len(s) - n])
-                    out.append(pd.DataFrame({"user_id": np.int32(user), "item_id": ids[at].astype(np.int32), "score": s[at]}))
-                yield pd.concat(out)
-
-    return users.select("user_id", "features", "r").mapInPandas(run, "user_id int, item_id int, score float")
+            for row in range(b.num_rows):
+                users, x = factors(b.column("users")[row].values)
+                items, y = factors(b.column("items")[row].values)
+                rated = b.column("rated")[row]
+                ru, ri = (rated.values.field(j).to_numpy() for j in (0, 1)) if rated.is_valid else (users[:0], items[:0])
+                known = np.isin(ru, users) & np.isin(ri, items)
+                ru, ri = np.searchsorted(users, ru[known]), np.searchsorted(items, ri[known])
+                step = max(1, cells // max(1, len(items)))
+                for at in range(0, len(users), step):
+                    scores = x[at:at + step] @ y.T
+                    mine = (ru >= at) & (ru < at + step)
+                    scores[ru[mine] - at, ri[mine]] = -np.inf
+                    n = min(k, len(items))
+                    least = np.partition(scores, len(items) - n, axis=1)[:, [len(items) - n]]
+                    who, what = np.nonzero((scores >= least) & (scores > -np.inf))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((users[at + who], items[what], scores[who, what]), out)], schema=out)
+
+    return run
 
 
 def stored_recommendations(top: DataFrame) -> DataFrame:
@@ -183,6 +198,52 @@ def stored_recommendations(top: DataFrame) -> DataFrame:
     return top.select("user_id", "item_id", F.col("score").cast("int").alias("score"))
 
 
+class RecommendationStore:
+    """M10's store: one row per (user, item) in folders by user bucket, replaced user by user.
+
+    ``put`` takes the recommendations of some users and replaces theirs: a user of ``users`` without any loses the old
+    rows, all other users keep theirs. Only the folders of those users' buckets are written (dynamic partition
+    overwrite); their other users' rows are staged in the shared folder first, so nothing is read while it is
+    overwritten, and a failed ``put`` can be run again. A folder that loses its last user keeps a row without a user, as
+    a folder for which nothing is written would stay as it was; readers never see that row. ``of_user`` opens one folder."""
+
+    ROWS = "user_id int, item_id int, score int, bucket int"
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path, buckets
+
+    def _bucket(self, user) -> Column:
+        return F.pmod(F.xxhash64(user), F.lit(self.buckets)).cast("int")
+
+    def _table(self) -> DataFrame:
+        return self.spark.read.schema(self.ROWS).parquet(self.path)
+
+    def put(self, recommendations: DataFrame, users: DataFrame | None = None) -> None:
+        """``recommendations``: ``user_id, item_id, score``; ``users`` (``user_id``): whose lists these are; without it
+        the users that occur in them."""
+        new = recommendations.select("user_id", "item_id", F.col("score").cast("int").alias("score"))
+        users = (new if users is None else users).select(F.col("user_id").cast("int").alias("user_id")).distinct()
+        # a new store has no folder to read yet; an empty append makes it
+        self.spark.createDataFrame([], self.ROWS).write.mode("append").partitionBy("bucket").parquet(self.path)
+        touched = [r[0] for r in users.select(self._bucket("user_id")).distinct().collect()]  # at most as many as buckets
+        old = self._table().where(F.col("bucket").isin(touched) & F.col("user_id").isNotNull())
+        kept = old.drop("bucket").join(users, "user_id", "left_anti")
+        rows = kept.unionByName(new.join(users, "user_id", "left_semi")).withColumn("bucket", self._bucket("user_id"))
+        marks = self.spark.createDataFrame([(None, None, None, b) for b in touched], self.ROWS)
+        staged = scratch_path(self.spark, "recommendations")
+        rows.unionByName(marks).write.parquet(staged)
+        self.spark.read.schema(self.ROWS).parquet(staged).repartition("bucket").sortWithinPartitions("bucket", "user_id", "item_id") \
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+
+    def all(self) -> DataFrame:
+        return self._table().where("user_id IS NOT NULL").select("user_id", "item_id", "score")
+
+    def of_user(self, user_id: int) -> DataFrame:
+        """One user's rows; the bucket is part of the filter, so only that folder is opened."""
+        mine = self._table().where(F.col("bucket") == self._bucket(F.lit(user_id).cast("int")))
+        return mine.where(F.col("user_id") == F.lit(user_id)).select("user_id", "item_id", "score")
+
+
 def rated_titles(ratings_store: DataFrame, items: DataFrame) -> DataFrame:
     """The rated half of M11: ``user_id, list, item_id, title`` (title null when unknown); needs no model."""
     rated = ratings_store.select("user_id", "item_id").distinct().withColumn("list", F.lit("rated"))

@@ -40,6 +40,16 @@ def text_metrics(lines: DataFrame, text_col: str = "text") -> DataFrame:
                      F.sum(t.isNull().cast("long")).alias("ignored"))
 
 
+def observed_text_events(lines: DataFrame, text_col: str = "text", ts_col: str | None = None, name="feed") -> DataFrame:
+    """T2 with its live metrics: :func:`text_events`, counted on the way by ``observe``, in the same pass that moves the
+    records. ``name`` is a name (read by :class:`fathom.streaming.metrics.FeedMetrics` per micro-batch) or a
+    ``pyspark.sql.Observation`` (read after a batch job): ``accepted`` records, their ``chars``, ``ignored`` nulls."""
+    t = F.col(text_col)
+    seen = lines.observe(name, F.count(t).alias("accepted"), F.coalesce(F.sum(F.length(t)), F.lit(0)).cast("long").alias("chars"),
+                         F.count_if(t.isNull()).alias("ignored"))
+    return text_events(seen, text_col, ts_col)
+
+
 def normalize_text(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``norm`` (see :func:`fathom.functions.text.normalize`)."""
     return texts.withColumn("norm", TX.normalize(text_col))
@@ -95,15 +105,36 @@ def train_sentiment(labelled: DataFrame, label_col: str = "sentiment", smoothing
     return SentimentModel(classes, base, table.select("token", *[f"w{i}" for i in range(len(classes))]))
 
 
-def classify_sentiment(model: SentimentModel, tokenized: DataFrame, keep: tuple[str, ...] = ("doc_id",), salts: int = 16) -> DataFrame:
-    """T6 scoring: the class with the largest score; an exact tie goes to the first name. Texts' tokens meet the
-    token table on (token, salt), so that a token found in most texts is spread over ``salts`` groups, and come
-    back summed per text. ``keep`` must tell texts apart."""
+SHARE = 10_000  # a token in more than one of so many pairs is hot; there are fewer than SHARE of those
+BROADCAST_TOKENS = 500_000  # rows of a token table (about 40 bytes each) that go to all tasks
+
+
+def classify_sentiment(model: SentimentModel, tokenized: DataFrame, keep: tuple[str, ...] = ("doc_id",),
+                       broadcast_tokens: int = BROADCAST_TOKENS, share: int = SHARE) -> DataFrame:
+    """T6 scoring: the class with the largest score; an exact tie goes to the first name. ``keep`` must tell texts apart.
+
+    A token table of at most ``broadcast_tokens`` rows goes to all tasks: no token is shuffled, and what leaves a task
+    is one partial sum per text. Of a larger table only the weights of hot tokens do, counted over the texts that
+    are scored: those with more than one in ``share`` of all (text, token) pairs, fewer than ``share`` tokens
+    whatever the corpus is. Their pairs are summed where they are; the other pairs meet the table by a shuffle on the
+    token, in which no token has more than that share of the rows."""
     k = len(model.classes)
     pairs = tokenized.select(*keep, F.explode_outer(F.array_distinct("tokens")).alias("token"))
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64(*keep), F.lit(salts)).cast("int"))
-    table = model.tokens.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = pairs.join(table, ["token", "salt"], "left")
+    if model.tokens.count() <= broadcast_tokens:
+        joined = pairs.join(F.broadcast(model.tokens), "token", "left")
+    else:
+        path = scratch_path(tokenized.sparkSession, "frequency")
+        pairs.groupBy("token").agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
+        n = tokenized.sparkSession.read.parquet(path)
+        hot = n.where(F.col("n") * share > F.lit(n.agg(F.sum("n")).first()[0] or 0)).where(F.col("token").isNotNull())
+        weights = model.tokens.join(F.broadcast(hot.select("token")), "token", "left_semi")
+        first = pairs.join(F.broadcast(hot.select("token", F.lit(True).alias("_hot"))), "token", "left")
+        cols = ["token", *keep]
+        near = first.where("_hot").select(*cols).join(F.broadcast(weights), "token", "left")
+        # texts without tokens have a null token, which meets nothing and is not to be gathered either
+        none = first.where("token IS NULL").select(*cols).select(*cols, *[F.lit(None).cast("double").alias(f"w{i}") for i in range(k)])
+        far = first.where("_hot IS NULL AND token IS NOT NULL").select(*cols).join(model.tokens, "token", "left")
+        joined = near.unionByName(none).unionByName(far)
     sums = joined.groupBy(*keep).agg(*[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"w{i}") for i in range(k)])
     score = [F.col(f"w{i}") + F.lit(model.base[i]) for i in range(k)]
     best, name = score[0], F.lit(model.classes[0])

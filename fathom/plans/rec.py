@@ -12,7 +12,7 @@ from fathom.operators import recommend as M
 from fathom.plans.registry import query
 from fathom.session import scratch_path
 from fathom.sources import standins
-from fathom.sources.tables import load
+from fathom.sources.tables import load, read_keyed, write_keyed
 
 RAT = """r AS (SELECT CAST(o_custkey AS INT) AS user_id, CAST(l_partkey AS INT) AS item_id,
                 CAST(least(5, greatest(1, ceil(l_quantity / 10))) AS INT) AS rating,
@@ -200,3 +200,44 @@ def recommend_for_user(spark, sf):
     r = M.recommend_for_user(store, _top(spark, sf), _items(spark, sf), _one_user(store))
     return r.select("user_id", F.array_join("rated", "|").alias("rated"),
                     F.array_join("recommended", "|").alias("recommended"))
+
+
+@query("rec_recommendation_store", sql=f"""WITH {RAT}, {ITEMS}, {DEPTH}
+SELECT user_id, CAST(CASE WHEN user_id % 7 = 0 THEN least(n, 5) ELSE n END AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_other
+FROM depth WHERE n > 0 AND user_id % 11 <> 0""")
+def recommendation_store(spark, sf):
+    """Lists of all users, then shorter ones for some, then none for others: each user's rows are those of the last
+    write that was theirs, with the truncated scores."""
+    path = scratch_path(spark, "store")
+    top, store = _top(spark, sf), M.RecommendationStore(spark, path, buckets=16)
+    store.put(top)
+    some = top.where("user_id % 7 = 0")
+    store.put(some.where("rank <= 5"), some.select("user_id"))
+    store.put(top.where("false"), top.where("user_id % 11 = 0").select("user_id"))
+    want = M.stored_recommendations(top.where("user_id % 7 <> 0 OR rank <= 5")).withColumnRenamed("score", "want")
+    rows = store.all().join(want, ["user_id", "item_id"], "left")
+    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("score").eqNullSafe(F.col("want"))).alias("n_other"))
+
+
+@query("rec_stored_listing_user", sql=f"""WITH {RAT}, {ITEMS}, {DEPTH}
+SELECT user_id, (SELECT string_agg(coalesce(title, '?'), '|' ORDER BY rated.item_id) FROM rated LEFT JOIN items USING (item_id) WHERE rated.user_id = {ONE_USER}) AS rated,
+  CAST(n AS BIGINT) AS n_recommended, CAST(n AS BIGINT) AS n_best FROM depth WHERE user_id = {ONE_USER} AND n > 0""")
+def stored_listing_user(spark, sf):
+    """M11 for one user from the stored tables, one bucket or folder of each; the recommended items are held against a
+    ranking of the products of the stored factors."""
+    ratings, items = _store(spark, sf), _items(spark, sf)
+    user = _one_user(ratings)
+    keyed = write_keyed(ratings, ["user_id", "item_id"], scratch_path(spark, "ratings"), 16)
+    model = M.train_als(_ratings(spark, sf, keep=()))
+    store = M.RecommendationStore(spark, scratch_path(spark, "store"), buckets=16)
+    store.put(M.top_items_per_user(model, _ratings(spark, sf, keep=()), items, 20))
+    mine = read_keyed(spark, keyed, user_id=user)
+    lists = M.recommend_for_user(mine, store.of_user(user), items, user)
+    x = model.userFactors.where(F.col("id") == F.lit(user)).select(F.posexplode("features").alias("place", "ux"))
+    y = model.itemFactors.join(items.select(F.col("item_id").alias("id")), "id", "left_semi").join(mine.select(F.col("item_id").alias("id")), "id", "left_anti")
+    products = y.select("id", F.posexplode("features").alias("place", "y")).join(F.broadcast(x), "place") \
+        .groupBy("id").agg(F.sum(F.col("ux").cast("double") * F.col("y").cast("double")).alias("product"))
+    cut = products.orderBy(F.col("product").desc()).limit(20).agg(F.min("product").alias("least"))
+    best = store.of_user(user).join(products, F.col("id") == F.col("item_id")).join(F.broadcast(cut), F.col("product") >= F.col("least") - 1e-4)
+    n = best.agg(F.count(F.lit(1)).alias("n_best"), F.lit(user).alias("user_id"))
+    return lists.join(n, "user_id").select("user_id", F.array_join("rated", "|", "?").alias("rated"), F.size("recommended").cast("long").alias("n_recommended"), "n_best")

@@ -12,7 +12,9 @@ from fathom.operators import anomaly as A
 from fathom.operators import text as T
 from fathom.plans.registry import query
 from fathom.sources import standins
+from fathom.sources.stores import CounterStore
 from fathom.sources.tables import table_path
+from fathom.streaming import metrics as FM
 from fathom.streaming import streams as ST
 
 HOUR = "1 hour"
@@ -50,6 +52,19 @@ def page_views(spark, sf):
     return ST.read_counter_totals(spark, p["out"], ["ip", "uri"])
 
 
+@query("stream_compacted_page_views", sql="""SELECT CAST(user_id AS VARCHAR) AS ip, '/' || event_type AS uri, count(*) AS n
+FROM events GROUP BY ALL""")
+def compacted_page_views(spark, sf):
+    """Page views in a counter table that folds its closed micro-batches into a snapshot."""
+    stores = {}
+
+    def run(s, p):
+        stores[p["out"]] = store = CounterStore(spark, p["out"], {"ip": "string", "uri": "string"})
+        ST.stream_compacted_counters(standins.hits_from_events(s), store, p["ckpt"], 1, "compacted")
+
+    return stores[_streamed(spark, sf, "compacted", run)["out"]].totals()
+
+
 COUNTS = "c AS (SELECT event_type AS series_key, epoch_us(ts) // 3600000000 AS bucket, count(*) AS n FROM events GROUP BY ALL)"
 ANOMALIES = f"""{COUNTS},
 f AS (SELECT *, coalesce(sum(n) OVER w, 0) AS S, coalesce(sum(n * n) OVER w, 0) AS Q FROM c
@@ -114,6 +129,24 @@ def _as_facts(spark, sf):
     return a.withColumn("ts", bucket_start("bucket", HOUR)).withColumn("dims", F.create_map(F.lit("src"), F.col("series_key")))
 
 
+@query("stream_text_metrics", sql="""WITH edge AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events),
+fed AS (SELECT CASE WHEN event_type <> 'error' THEN props END AS text,
+  epoch_us(ts) + CASE WHEN event_id % 7 = 0 THEN 1800000000 ELSE 0 END >= lo + (hi - lo) / 2.0 AS part FROM events, edge)
+SELECT CAST(CAST(part AS INT) AS BIGINT) AS batch, count(text) AS accepted, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars,
+  count(*) - count(text) AS ignored FROM fed GROUP BY part""")
+def text_metrics(spark, sf):
+    """What the stream itself counted of each part of the feed, while it moved the texts."""
+    metrics = FM.FeedMetrics()
+    _streamed(spark, sf, "texts", lambda s, p: FM.stream_text_events(standins.raw_texts(s), p["out"], p["ckpt"], metrics))
+    return FM.as_table(spark, metrics)
+
+
+@query("stream_text_events", sql="SELECT text, ts AS created_at FROM (SELECT CASE WHEN event_type <> 'error' THEN props END AS text, ts FROM events) WHERE text IS NOT NULL")
+def text_events(spark, sf):
+    p = _streamed(spark, sf, "texts", lambda s, p: FM.stream_text_events(standins.raw_texts(s), p["out"], p["ckpt"], FM.FeedMetrics()))
+    return spark.read.parquet(p["out"])
+
+
 @query("stream_sentiment_totals", sql="SELECT event_type AS sentiment, count(*) AS n FROM events GROUP BY ALL")
 def sentiment_totals(spark, sf):
     p = _streamed(spark, sf, "sentiment-totals", lambda s, p: ST.stream_counter_store(standins.scored_from_events(s), ["sentiment"], p["out"], p["ckpt"], "sentiment_totals"))

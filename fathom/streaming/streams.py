@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from fathom.functions.time import bucket_start, epoch_us, micros_of
 from fathom.operators import anomaly as A
 from fathom.session import scratch_path
+from fathom.sources.stores import CounterStore
 
 
 def event_time(df: DataFrame, ts: str = "ts", out: str = "event_time") -> DataFrame:
@@ -51,6 +52,17 @@ def stream_counter_store(stream: DataFrame, keys: list[str], store_path: str, ch
     run_available_now(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), name)
 
 
+def stream_compacted_counters(stream: DataFrame, store: CounterStore, checkpoint: str, compact_every: int = 100, name: str = "counters") -> None:
+    """:func:`stream_counter_store` into a store of bounded size: every ``compact_every`` batches, those before the
+    current one are folded into its snapshot. Each micro-batch adds under its id, so a replay changes nothing."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store.add(batch_id, batch.groupBy(*store.keys).agg(F.count(F.lit(1)).alias(store.values[0])))
+        if batch_id and batch_id % compact_every == 0:
+            store.compact(batch_id - 1)
+
+    run_available_now(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), name)
+
+
 def read_counter_totals(spark: SparkSession, store_path: str, keys: list[str], types: list[str] | None = None) -> DataFrame:
     """Totals of a store; ``types`` of the keys (string unless given) let a store without rows be read, too."""
     schema = ", ".join(f"`{k}` {t}" for k, t in zip(keys, types or ["string"] * len(keys)))

@@ -31,6 +31,9 @@ def test_top_items_equal_brute_force(spark):
     model = M.train_als(ratings, max_iter=5, seed=3)
     k = 5
     top = {(r.user_id, r.item_id) for r in M.top_items_per_user(model, ratings, items, k).collect()}
+    blocks = M.top_items_per_user(model, ratings, items, k, block_items=6, block_users=4, spread=3).collect()
+    assert {(r.user_id, r.item_id) for r in blocks} == top
+    assert all([r.rank for r in sorted(blocks, key=lambda r: (-r.score, r.item_id)) if r.user_id == u] == list(range(1, k + 1)) for u in (0, 7))
     uf = {r.id: np.array(r.features) for r in model.userFactors.collect()}
     itf = {r.id: np.array(r.features) for r in model.itemFactors.collect()}
     rated = {}
@@ -52,3 +55,48 @@ def test_upsert_and_counts(spark):
     c = {x.user_id: x.n_candidates for x in M.unrated_candidate_counts(r, items).collect()}
     assert c == {1: 1, 2: 2}
     assert sorted(x.item_id for x in M.unrated_candidates(r, items, 2).collect()) == [6, 7]
+    assert M.unrated_candidates(r, items, 9).count() == 0  # a user without a rating
+
+
+def test_recommendation_store(spark, tmp_path):
+    store = M.RecommendationStore(spark, str(tmp_path / "s"), buckets=4)
+    schema = "user_id int, item_id int, score float"
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    first = [(u, i, u + i / 10) for u in range(12) for i in range(3)]
+    store.put(spark.createDataFrame(first, schema))
+    assert rows(store.all()) == sorted((u, i, int(s)) for u, i, s in first)
+    files = lambda: {f for f in store.all().inputFiles()}
+    before = files()
+    again = spark.createDataFrame([(3, 9, -1.9), (20, 1, 5.5), (4, 4, 1.0)], schema)
+    users = spark.createDataFrame([(3,), (20,), (5,)], "user_id int")  # 5 has none any more; 4 is not to be replaced
+    store.put(again, users)
+    want = sorted([(u, i, int(s)) for u, i, s in first if u not in (3, 5)] + [(3, 9, -1), (20, 1, 5)])
+    assert rows(store.all()) == want
+    assert rows(store.of_user(20)) == [(20, 1, 5)] and store.of_user(5).count() == 0
+    assert before & files() or len({f.split("bucket=")[1][0] for f in before}) <= 3  # folders of other buckets were left alone
+    plan = store.of_user(3)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+    for u in range(21):
+        store.put(again.where("false"), spark.createDataFrame([(u,)], "user_id int"))
+    assert store.all().count() == 0
+    store.put(spark.createDataFrame(first, schema))
+    assert store.all().count() == 36
+
+
+def test_keyed_table_opens_one_bucket(spark, tmp_path):
+    from fathom.sources.tables import read_keyed, write_keyed
+
+    df = spark.createDataFrame([(u, i) for u in range(50) for i in range(4)], "user_id int, item_id int")
+    name = write_keyed(df, ["user_id", "item_id"], str(tmp_path / "t"), 8)
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # which hides the buckets in the plan
+    try:
+        one = read_keyed(spark, name, user_id=7)
+        assert "SelectedBucketsCount: 1 out of 8" in one._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    mine = {r[0].rsplit("/", 1)[1] for r in one.select(F.input_file_name()).distinct().collect()}
+    assert len(mine) == 1
+    for f in (tmp_path / "t").glob("*.parquet"):
+        if f.name not in mine:
+            f.write_bytes(b"not to be opened")
+    assert sorted(r.item_id for r in read_keyed(spark, name, user_id=7).collect()) == [0, 1, 2, 3]

@@ -76,6 +76,45 @@ def test_counter_store_rerun_without_rows(spark):
     assert [r["n"] for r in stores.counter_totals(left, ["k"], ["n"]).collect()] == [5]
 
 
+def test_counter_snapshots(spark, tmp_path):
+    """Totals read the snapshot and the open batches only; a fold that stops half-way and replays change nothing."""
+    store = stores.CounterStore(spark, str(tmp_path / "c"), {"k": "string"})
+    assert store.totals().count() == 0
+    want = {}
+    delta = lambda b: spark.createDataFrame([("a", b), (f"x{b % 3}", 1)], "k string, n long").coalesce(1)
+    totals = lambda: {r["k"]: r["n"] for r in store.totals().collect()}
+    for b in range(24):
+        store.add(b, delta(b))
+        for k, n in (("a", b), (f"x{b % 3}", 1)):
+            want[k] = want.get(k, 0) + n
+        if b in (8, 16):
+            store.compact(b - 2)
+            assert totals() == want
+        if b == 20:
+            store.fold(18)  # as if stopped before the manifest row
+            assert totals() == want
+            store.add(20, delta(20))
+            store.add(3, delta(3))  # folded long ago
+    assert totals() == want
+    opened = [f for f in store.totals().inputFiles() if "batch=" in f and "batch=-1" not in f]
+    assert {int(f.split("batch=")[1].split("/")[0]) for f in opened} == set(range(15, 24))
+    store.compact(18)
+    store.compact(18)
+    assert totals() == want
+
+
+def test_live_metrics(spark, tmp_path):
+    from fathom.streaming import metrics as FM
+
+    feed, told = str(tmp_path / "feed"), []
+    m = FM.FeedMetrics(report=lambda batch, seen: told.append(batch))
+    for rows in ([("ab", START), (None, START)], [("é", START)], [(None, START)]):
+        spark.createDataFrame(rows, "text string, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(feed)
+        FM.stream_text_events(spark.readStream.schema("text string, ts timestamp_ntz").parquet(feed), str(tmp_path / "out"), str(tmp_path / "ckpt"), m)
+    assert list(map(tuple, FM.as_table(spark, m).collect())) == [(0, 1, 2, 1), (1, 1, 1, 0), (2, 0, 0, 1)] and told == [0, 1, 2]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
 def test_dated_table_opens_only_the_dates_asked_for(spark, tmp_path):
     rows = [(f"k{i}", START + dt.timedelta(days=i), i) for i in range(10)]
     t = stores.write_dated(spark.createDataFrame(rows, "series_key string, ts timestamp_ntz, bucket long"), str(tmp_path / "t"))

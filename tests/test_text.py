@@ -61,3 +61,22 @@ def test_recent_windows(spark):
     assert c == {"positive": 5, "negative": 5, "neutral": 0}  # i = 10..19
     rt = T.recent_texts(s, "positive", str(now), 300, limit=2).collect()
     assert sorted(r["text"] for r in rt) == ["t1", "t2"]  # i = 11, 13
+
+
+def test_hot_tokens_are_split_without_changing_scores(spark):
+    rows = [(i, "the " + " ".join(f"w{(i * 7 + j) % 23}" for j in range(i % 6)), "abc"[i % 3]) for i in range(60)] + [(60, "", "a"), (61, "unseen", "b")]
+    tok = T.tokenize_text(T.normalize_text(spark.createDataFrame(rows, "doc_id long, text string, sentiment string")))
+    model = T.train_sentiment(tok.where("doc_id < 40"))
+    want = {r["doc_id"]: r["sentiment"] for r in T.classify_sentiment(model, tok).collect()}
+    assert len(want) == 62
+    for share in (1, 10, 1000):  # no hot token, some, all
+        assert {r["doc_id"]: r["sentiment"] for r in T.classify_sentiment(model, tok, broadcast_tokens=0, share=share).collect()} == want
+
+
+def test_observed_events(spark):
+    from pyspark.sql import Observation
+
+    seen = Observation("feed")
+    lines = spark.createDataFrame([("ab", 1), (None, 2), ("é", 3)], "text string, n int")
+    assert T.observed_text_events(lines, name=seen).count() == 2
+    assert seen.get == {"accepted": 2, "chars": 3, "ignored": 1}
