@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.maps import render_map
-from fathom.functions.time import bucket_start, ntz_literal
+from fathom.functions.time import bucket_start, micros_of, ntz_literal
 from fathom.operators import series as S
 
 
@@ -118,8 +118,6 @@ def _from_bucket(anomalies: DataFrame, start, end, interval) -> DataFrame:
     """Anomalies from the start of ``start``'s bucket on, up to ``end``."""
     import datetime as dt
 
-    from fathom.functions.time import micros_of
-
     t, d = dt.datetime.fromisoformat(str(start)), micros_of(interval)
     floor = t - dt.timedelta(microseconds=(t - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1) % d)
     return _between(anomalies, floor, end)
@@ -151,11 +149,20 @@ def top_anomalous_sources(anomalies: DataFrame, width="10 minutes", slide="1 min
     return S.sliding_top(a, "src", "ts", width, slide, limit, start)
 
 
-def explain_anomalies(anomalies: DataFrame, counts: DataFrame, span: int = 10) -> DataFrame:
+def explain_anomalies(anomalies: DataFrame, counts: DataFrame, span: int = 10, start=None, end=None, interval=None) -> DataFrame:
     """For every anomaly, its key's stored counts from ``span`` buckets
     before to ``span`` after. Each anomaly is expanded into its ``2 span + 1``
     bucket indexes, so this is an equi-join on (key, bucket) - no
-    key-only join whose pairs grow with a hot key's history."""
+    key-only join whose pairs grow with a hot key's history.
+
+    With ``start`` and ``end`` (and the ``interval`` of the buckets) the anomalies of that range; of tables stored by
+    date, only the range's dates, and for the counts ``span`` intervals more on both sides, are opened."""
+    if start is not None:
+        import datetime as dt
+
+        around = span * dt.timedelta(microseconds=micros_of(interval))
+        anomalies = _between(anomalies, start, end)
+        counts = S.within_dates(counts, dt.datetime.fromisoformat(str(start)) - around, dt.datetime.fromisoformat(str(end)) + around)
     a = anomalies.select("series_key", F.col("bucket").alias("anomaly_bucket"),
                          F.explode(F.sequence(F.col("bucket") - span, F.col("bucket") + span)).alias("bucket"))
     return a.join(counts.select("series_key", "bucket", "n"), ["series_key", "bucket"])

@@ -54,8 +54,9 @@ def traffic_counts(facts: DataFrame, interval="5 seconds", start=None, end=None,
 
 
 def series_counts(counts: DataFrame, key_value, interval, start=None, end=None, key: str = "series_key") -> DataFrame:
-    """One key's bucket counts with bucket start in ``[floor(start), end]``, ascending."""
-    c = counts.where(F.col(key) == F.lit(key_value))
+    """One key's bucket counts with bucket start in ``[floor(start), end]``, ascending. Of a table stored by date
+    (:func:`fathom.sources.stores.write_dated`) only the dates of that range are opened."""
+    c = within_dates(counts.where(F.col(key) == F.lit(key_value)), None if start is None else _bucket_edge(start, interval), end)
     if start is not None:
         c = c.where(F.col("bucket") >= F.lit(_bucket_of_literal(start, interval)))
     out = c.select(bucket_start("bucket", interval).alias("ts"), F.col("n").alias("value"))
@@ -64,6 +65,16 @@ def series_counts(counts: DataFrame, key_value, interval, start=None, end=None,
     return out.orderBy("ts")
 
 
+def within_dates(stored: DataFrame, start=None, end=None) -> DataFrame:
+    """The dates from ``start``'s to ``end``'s (either may be open) of a table with a ``date`` column; others as they are."""
+    if "date" in stored.columns:
+        if start is not None:
+            stored = stored.where(F.col("date") >= F.to_date(ntz_literal(start)))
+        if end is not None:
+            stored = stored.where(F.col("date") <= F.to_date(ntz_literal(end)))
+    return stored
+
+
 def zero_filled(spark: SparkSession, observed: DataFrame, start, end, interval) -> DataFrame:
     """N12 grid: ``floor((end - start) / interval)`` points from ``floor(start)``,
     each 0 unless observed, plus every observed point in ``[floor(start), end]``.

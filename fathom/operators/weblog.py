@@ -79,6 +79,12 @@ def page_view_map(hits: DataFrame, ip: str = "ip", uri: str = "uri") -> DataFram
         F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(uri), F.col("views"))))).alias("value"))
 
 
+def ip_page_view_map(hits: DataFrame, ip_value, ip: str = "ip", uri: str = "uri") -> DataFrame:
+    """W3 for one ip: its row of :func:`page_view_map`, from that ip's hits alone; no row for an unknown ip. The table
+    to store for all ips is :func:`page_views`, whose rows are as many however crowded an ip is."""
+    return page_view_map(hits.where(F.col(ip) == F.lit(ip_value)), ip, uri)
+
+
 def ip_visit_total(hits: DataFrame, ip_value=None, ip: str = "ip") -> DataFrame:
     """Total hits per ip; with ``ip_value`` one row, 0 for an unknown ip."""
     if ip_value is None:

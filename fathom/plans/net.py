@@ -371,3 +371,13 @@ def top_anomalous_sources(spark, sf):
 def explain_anomalies(spark, sf):
     counts = _counts(spark, sf)  # stored once; detection and drill-down read the table
     return A.explain_anomalies(A.detect_anomalies(counts, "1 day"), counts, span=10)
+
+
+@query("net_explain_range", sql=W(*PIPE) + f"""SELECT a.series_key, a.bucket AS anomaly_bucket, c.bucket, c.n
+  FROM anomalies a JOIN counts c ON a.series_key = c.series_key AND c.bucket BETWEEN a.bucket - 10 AND a.bucket + 10
+  WHERE a.ts >= TIMESTAMP '{RANGE[0]}' AND a.ts <= TIMESTAMP '{RANGE[1]}'""")
+def explain_range(spark, sf):
+    """The anomalies of a range of time, from the tables stored by date: dates outside it are not opened."""
+    counts = _counts(spark, sf)
+    found = write_dated(A.detect_anomalies(counts, "1 day"), scratch_path(spark, "anomalies"))
+    return A.explain_anomalies(found, counts, 10, *RANGE, interval="1 day")

@@ -60,6 +60,16 @@ def page_view_map(spark, sf):
     return m.select("key", rendered.alias("value"))
 
 
+@query("web_ip_page_view_map", sql=f"""WITH {HITS_SQL}, pv AS (SELECT ip, uri, count(*) AS n FROM hits WHERE ip = (SELECT min(ip) FROM hits) GROUP BY ip, uri)
+SELECT ip AS key, string_agg(uri || '=' || CAST(n AS VARCHAR), ',' ORDER BY uri) AS value FROM pv GROUP BY ip""")
+def ip_page_view_map(spark, sf):
+    hits = _hits(spark, sf)
+    m = W.ip_page_view_map(hits, hits.agg(F.min("ip")).first()[0])
+    rendered = F.array_join(F.transform(F.sort_array(F.map_entries("value")),
+                                        lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return m.select("key", rendered.alias("value"))
+
+
 @query("web_ip_visit_total", sql=f"WITH {HITS_SQL} SELECT ip, count(*) AS visits FROM hits GROUP BY ip")
 def ip_visit_total(spark, sf):
     return W.ip_visit_total(_hits(spark, sf))

@@ -122,3 +122,18 @@ def test_dated_table_opens_only_the_dates_asked_for(spark, tmp_path):
     assert sorted(r["bucket"] for r in part.collect()) == [2, 3, 4]
     plan = part._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(date" in plan
+
+
+def test_stored_counts_open_only_the_dates_asked_for(spark, tmp_path):
+    rows = [(k, d, 1 + d % 3, START + dt.timedelta(days=d)) for k in "ab" for d in range(60)]
+    base = dt.datetime(1970, 1, 1)
+    rows = [(k, (t - base).days, n, t) for k, _, n, t in rows]
+    counts = stores.write_dated(spark.createDataFrame(rows, "series_key string, bucket long, n long, ts timestamp_ntz"), str(tmp_path / "c"))
+    found = stores.write_dated(spark.createDataFrame([r for r in rows if r[0] == "a" and r[3].day == 15], counts.drop("date").schema), str(tmp_path / "a"))
+    one = S.series_counts(counts, "a", "1 day", "2024-01-10 05:00:00", "2024-01-12 00:00:00")
+    assert [r["ts"].day for r in one.collect()] == [10, 11, 12]
+    some = A.explain_anomalies(found, counts, 2, "2024-01-10 00:00:00", "2024-01-20 00:00:00", interval="1 day")
+    assert sorted(r["bucket"] - r["anomaly_bucket"] for r in some.collect()) == [-2, -1, 0, 1, 2]
+    for df in (one, some):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "date#" in plan and ">= 2024-01-" in plan
