@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.textio import WordHashes, bounded_rows, docs_of, map_batches, mix, slices, window_hashes
+from fathom.llm.textio import WordHashes, bounded_rows, docs_of, map_batches, mix, numbered_columns, slices, window_hashes
 
 BLANKS, SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
 UPPER, DIGITS, SHOUT = bytes(range(65, 91)), bytes(range(48, 58)), b"!?"
@@ -244,13 +244,13 @@ def judge(docs: DataFrame, model: Crf | None) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Crf | None) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns unchanged."""
-    hashes = WordHashes()
+    """The rows of ``docs`` that the rules keep, all columns unchanged, whatever their names."""
+    hashes, at, rows = WordHashes(), docs.columns.index("text"), numbered_columns(docs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in slices(b):
-                texts = [t or "" for t in s.column(s.schema.get_field_index("text")).to_pylist()]
+                texts = [t or "" for t in s.column(at).to_pylist()]
                 yield s.filter(pa.array(assess(texts, model, hashes)["kept"], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

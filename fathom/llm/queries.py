@@ -125,20 +125,24 @@ t as (select doc_id, 'a' as kind, text from e union all select doc_id, 'b', edit
 p as (select doc_id, kind, list_transform(string_split(text, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda l:
   list_transform(list_concat(regexp_extract_all(substring(l, 1, 64), '(?s).{1,8}'), regexp_extract_all(substring(l, 65), '(?s).{1,32}')), lambda x: md5(x)))) as leaves from t),
 q as (select doc_id, kind, list_transform(leaves, lambda s: list_transform(s, lambda l: {'h': sha256(array_to_string(l, '')),
-  'l': array_to_string(list_transform(l, lambda x: substring(x, 1, 6)), '')})) as para,
-  list_distinct(list_transform(flatten(flatten(leaves)), lambda x: substring(x, 1, 6))) as flat from p),
-r as (select doc_id, kind, flat, list_transform(para, lambda s: {'h': sha256(array_to_string(list_transform(s, lambda x: x.h), '')),
+  'l': array_to_string(list_transform(l, lambda x: substring(x, 1, 6)), '')})) as para from p),
+r as (select doc_id, kind, list_transform(para, lambda s: {'h': sha256(array_to_string(list_transform(s, lambda x: x.h), '')),
   'l': array_to_string(list_transform(s, lambda x: substring(x.h, 1, 8) || '.' || x.l), ',')}) as sec from q),
-f as (select doc_id, kind, flat, sha256(array_to_string(list_transform(sec, lambda s: s.h), '')) || '/'
-  || array_to_string(list_transform(sec, lambda s: substring(s.h, 1, 16) || ':' || s.l), ';') as fp from r)
+f as (select doc_id, kind, sha256(array_to_string(list_transform(sec, lambda s: s.h), '')) || '/'
+  || array_to_string(list_transform(sec, lambda s: substring(s.h, 1, 16) || ':' || s.l), ';') as fp from r),
+w as (select doc_id, kind, unnest(flatten(list_transform(flatten(leaves), lambda l: list_transform(l, lambda x, i: {'h': substring(x, 1, 6), 'n': case when i <= 8 then 1 else 4 end})))) as x from p),
+c as (select doc_id, kind, x.h as h, sum(x.n) as n from w group by all),
+z as (select doc_id, kind, sum(n) as n from c group by all),
+pairs as (select doc_id, 'b' as other, doc_id as other_id from e union all select doc_id, 'a', next_doc_id from e),
+k as (select p.doc_id, p.other, sum(least(x.n, y.n)) as common from pairs p join c x on x.doc_id = p.doc_id and x.kind = 'a'
+  join c y on y.doc_id = p.other_id and y.kind = p.other and y.h = x.h group by all),
+near as (select p.doc_id, p.other, coalesce(common, 0)::double / greatest(coalesce(x.n, 0) + coalesce(y.n, 0) - coalesce(common, 0), 1) as share from pairs p
+  left join k on k.doc_id = p.doc_id and k.other = p.other left join z x on x.doc_id = p.doc_id and x.kind = 'a' left join z y on y.doc_id = p.other_id and y.kind = p.other)
 select e.doc_id, e.n as n_chars, sha256(e.edited) as edited_sha256, a.fp as fingerprint, b.fp as edited_fingerprint,
-  case when substring(a.fp, 1, 64) = substring(b.fp, 1, 64) then 1.0::double
-    else len(list_intersect(a.flat, b.flat))::double / greatest(len(list_distinct(list_concat(a.flat, b.flat))), 1) end as near_edited,
-  case when substring(a.fp, 1, 64) = substring(c.fp, 1, 64) then 1.0::double
-    else len(list_intersect(a.flat, c.flat))::double / greatest(len(list_distinct(list_concat(a.flat, c.flat))), 1) end as near_next,
-  e.next_doc_id
+  case when substring(a.fp, 1, 64) = substring(b.fp, 1, 64) then 1.0::double else nb.share end as near_edited,
+  case when substring(a.fp, 1, 64) = substring(c.fp, 1, 64) then 1.0::double else nn.share end as near_next, e.next_doc_id
 from e join f a on a.doc_id = e.doc_id and a.kind = 'a' join f b on b.doc_id = e.doc_id and b.kind = 'b'
-join f c on c.doc_id = e.next_doc_id and c.kind = 'a'
+join f c on c.doc_id = e.next_doc_id and c.kind = 'a' join near nb on nb.doc_id = e.doc_id and nb.other = 'b' join near nn on nn.doc_id = e.doc_id and nn.other = 'a'
 """
 
 

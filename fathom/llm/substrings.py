@@ -29,7 +29,7 @@ from hashlib import sha256
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.textio import WordHashes, map_batches, slices, window_hashes
+from fathom.llm.textio import WordHashes, map_batches, numbered_columns, slices, window_hashes
 from fathom.session import scratch_path
 
 K, M = 50, 8
@@ -249,24 +249,26 @@ WORD_AND_BLANKS = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
 def deduplicate(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> DataFrame:
-    """``docs`` without the repeated words (each with the white space after it); all other columns unchanged."""
-    names = docs.columns
+    """``docs`` without the repeated words (each with the white space after it); all other columns unchanged, whatever
+    their names."""
+    rows = numbered_columns(docs)
+    text, doc_id = (f"c{docs.columns.index(c)}" for c in ("text", "doc_id"))
+    names = rows.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in slices(b):
-                texts = s.column("text").to_pylist()
-                for i, spans in enumerate(s.column("_spans").to_pylist()):
+                texts = s.column(text).to_pylist()
+                for i, spans in enumerate(s.column("spans").to_pylist()):
                     if spans:
                         data = texts[i].encode()
                         words = [m.span() for m in WORD_AND_BLANKS.finditer(data)]
                         keep = _kept(len(words), spans)
                         head = data[:words[0][0]] if words else b""
                         texts[i] = (head + b"".join([data[a:c] for (a, c), ok in zip(words, keep) if ok])).decode()
-                yield pa.RecordBatch.from_arrays([pa.array(texts, s.schema.field(c).type) if c == "text" else s.column(c) for c in names],
+                yield pa.RecordBatch.from_arrays([pa.array(texts, s.schema.field(c).type) if c == text else s.column(c) for c in names],
                                                  schema=pa.schema([s.schema.field(c) for c in names]))
 
-    row = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"))
-    spans = repeated_spans(docs, k, m, hot).select(F.col("doc_id").alias("_id"), F.col("row").alias("_r"), F.col("spans").alias("_spans"))
-    joined = row.join(spans, (row.doc_id == spans._id) & (row._row == spans._r), "left").select(*[row[f"`{c}`"] for c in names], "_spans")
-    return joined.mapInArrow(run, docs.schema)
+    spans = repeated_spans(docs, k, m, hot).select(F.col("doc_id").alias(doc_id), "row", "spans")
+    joined = rows.withColumn("row", F.xxhash64(F.coalesce(text, F.lit("")))).join(spans, [doc_id, "row"], "left").select(*names, "spans")
+    return joined.mapInArrow(run, rows.schema).toDF(*docs.columns)

@@ -112,3 +112,9 @@ def bounded_rows(rows: DataFrame, limit: int) -> list[Row]:
             total += r.n
     ids = spark.createDataFrame([(i,) for i in chosen], "row_no long")
     return sorted(stored.join(F.broadcast(ids), "row_no").collect(), key=lambda r: chosen[r.row_no])
+
+
+def numbered_columns(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named ``c0, c1 ...``: whatever they were called, nothing clashes with them. ``toDF`` with
+    the old names gives them back."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])

@@ -57,3 +57,17 @@ def test_archive_and_pages(spark):
     assert all(r.refers_to == 1 for r in heads if r.record_type == "revisit")
     assert warc.reconstruct(spark, path).count() == len(rows)
     assert htmltext.extract(pages).count() == len(rows)
+
+
+def test_stages_keep_columns_of_any_name(spark, docs):
+    """Names that the operators use themselves, and names with a dot."""
+    from fathom.llm import exact, jaccard, mixing, quality, substrings
+
+    names = ["doc_id", "text", "a.b", "source", "_row", "_spans", "spans", "row"]
+    odd = docs.toDF(*names)
+    n = odd.count()
+    for out, rows in ((quality.keep_good(odd, None), None), (jaccard.keep_first(odd), 7), (substrings.deduplicate(odd), n), (mixing.mix(odd), None), (exact.keep_last(odd), 5)):
+        assert out.columns == names
+        got = out.collect()
+        assert rows is None or len(got) == rows
+        assert {tuple(r)[2] for r in got} <= {None, "en"}
