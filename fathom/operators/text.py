@@ -119,13 +119,20 @@ def classify_sentiment(model: SentimentModel, tokenized: DataFrame, keep: tuple[
     whatever the corpus is. Their pairs are summed where they are; the other pairs meet the table by a shuffle on the
     token, in which no token has more than that share of the rows."""
     k = len(model.classes)
-    pairs = tokenized.select(*keep, F.explode_outer(F.array_distinct("tokens")).alias("token"))
-    if model.tokens.count() <= broadcast_tokens:
+    spark = tokenized.sparkSession
+    sets = tokenized.select(*keep, F.array_distinct("tokens").alias("tokens"))
+    small = model.tokens.count() <= broadcast_tokens
+    if not small:  # read several times from here on, made once
+        path = scratch_path(spark, "token-sets")
+        sets.write.parquet(path)
+        sets = spark.read.parquet(path)
+    pairs = sets.select(*keep, F.explode_outer("tokens").alias("token"))
+    if small:
         joined = pairs.join(F.broadcast(model.tokens), "token", "left")
     else:
-        path = scratch_path(tokenized.sparkSession, "frequency")
+        path = scratch_path(spark, "frequency")
         pairs.groupBy("token").agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
-        n = tokenized.sparkSession.read.parquet(path)
+        n = spark.read.parquet(path)
         hot = n.where(F.col("n") * share > F.lit(n.agg(F.sum("n")).first()[0] or 0)).where(F.col("token").isNotNull())
         weights = model.tokens.join(F.broadcast(hot.select("token")), "token", "left_semi")
         first = pairs.join(F.broadcast(hot.select("token", F.lit(True).alias("_hot"))), "token", "left")
