@@ -54,22 +54,43 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     return df.withColumn(name, F.concat_ws("/", root, shown)).drop(s, t)
 
 
-def leaf_counts(fingerprint: Column) -> Column:
-    """The leaf hashes of a fingerprint, each with a number among its equals, so that the array is a set: hashes of
-    coarse leaves four times. Equal hashes are brought together by sorting, and a run of them is one match."""
+def leaf_hashes(fingerprint: Column) -> tuple[Column, Column]:
+    """The fine and the coarse leaf hashes of a fingerprint, in order."""
     shown = F.regexp_extract_all(fingerprint, F.lit(r"\.([0-9a-f]*)"), 1)
     fine = 6 * FINE_UP_TO // FINE
-    weighed = F.transform(shown, lambda p: F.concat(F.substring(p, 1, fine), F.repeat(F.substring(p, fine + 1, 2**31 - 1 - fine), F.lit(COARSE // FINE))))
-    leaves = F.sort_array(F.regexp_extract_all(F.array_join(weighed, ""), F.lit("[0-9a-f]{6}"), 0))
-    runs = F.regexp_extract_all(F.array_join(leaves, ""), F.lit(r"([0-9a-f]{6})\1*+"), 0)
-    return F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), (F.length(r) / 6).cast("int")), lambda i: F.concat(F.substring(r, 1, 6), i.cast("string")))))
+    parts = F.transform(shown, lambda p: F.substring(p, 1, fine)), F.transform(shown, lambda p: F.substring(p, fine + 1, 2**31 - 1 - fine))
+    return tuple(F.regexp_extract_all(F.array_join(x, ""), F.lit("[0-9a-f]{6}"), 0) for x in parts)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    x, y = leaf_counts(a), leaf_counts(b)
-    common = F.size(F.array_intersect(x, y))
-    share = common / F.greatest(F.size(x) + F.size(y) - common, F.lit(1))
-    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), F.lit(1.0)).otherwise(share)
+def _told_apart(leaves: Column) -> Column:
+    """The array as a set: the second and later ones of equal hashes get a number. Equal hashes are brought together by
+    sorting, and a run of them is one match. Most arrays repeat nothing and stay as they are."""
+    runs = F.regexp_extract_all(F.array_join(F.sort_array(leaves), ""), F.lit(r"([0-9a-f]{6})\1*+"), 0)
+    numbered = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), (F.length(r) / 6).cast("int")), lambda i: F.concat(
+        F.substring(r, 1, 6), F.when(i > 1, i.cast("string")).otherwise("")))))
+    return F.when(F.size(F.array_distinct(leaves)) == F.size(leaves), leaves).otherwise(numbered)
+
+
+def _share(a: Column, b: Column, fine: tuple[Column, Column], coarse: tuple[Column, Column]) -> Column:
+    weight = COARSE // FINE
+    common = F.size(F.array_intersect(*fine)) + weight * F.size(F.array_intersect(*coarse))
+    every = F.size(fine[0]) + F.size(fine[1]) + weight * (F.size(coarse[0]) + F.size(coarse[1]))
+    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), F.lit(1.0)).otherwise(common / F.greatest(every - common, F.lit(1)))
+
+
+def with_leaves(df: DataFrame, name: str) -> DataFrame:
+    """Adds the leaf sets of fingerprint column ``name``; each is made once, in a column of its own."""
+    for kind, leaves in zip(("fine", "coarse"), leaf_hashes(F.col(name))):
+        df = df.withColumn(f"_{name}_{kind}", leaves)
+    for kind in ("fine", "coarse"):
+        df = df.withColumn(f"_{name}_{kind}", _told_apart(F.col(f"_{name}_{kind}")))
+    return df
+
+
+def likeness(a: str, b: str) -> Column:
+    """Likeness of two fingerprint columns that :func:`with_leaves` was applied to."""
+    sets = [tuple(F.col(f"_{name}_{kind}") for name in (a, b)) for kind in ("fine", "coarse")]
+    return _share(F.col(a), F.col(b), *sets)
 
 
 def paragraph_hashes(fingerprint: Column) -> Column:
@@ -118,6 +139,8 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     both = with_fingerprint(rows.join(given, "k"), "text", "fingerprint").withColumn("n_chars", n)
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")), F.col("new_end")))
     both = with_fingerprint(both, "edited", "edited_fingerprint")
+    for name in ("fingerprint", "edited_fingerprint", "next_fingerprint"):
+        both = with_leaves(both, name)
     return both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-                       likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-                       likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), "next_doc_id")
+                       likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
+                       likeness("fingerprint", "next_fingerprint").alias("near_next"), "next_doc_id")

@@ -131,11 +131,11 @@ r as (select doc_id, kind, list_transform(para, lambda s: {'h': sha256(array_to_
 f as (select doc_id, kind, sha256(array_to_string(list_transform(sec, lambda s: s.h), '')) || '/'
   || array_to_string(list_transform(sec, lambda s: substring(s.h, 1, 16) || ':' || s.l), ';') as fp from r),
 w as (select doc_id, kind, unnest(flatten(list_transform(flatten(leaves), lambda l: list_transform(l, lambda x, i: {'h': substring(x, 1, 6), 'n': case when i <= 8 then 1 else 4 end})))) as x from p),
-c as (select doc_id, kind, x.h as h, sum(x.n) as n from w group by all),
+c as (select doc_id, kind, x.h as h, x.n as leaf, sum(x.n) as n from w group by all),
 z as (select doc_id, kind, sum(n) as n from c group by all),
 pairs as (select doc_id, 'b' as other, doc_id as other_id from e union all select doc_id, 'a', next_doc_id from e),
 k as (select p.doc_id, p.other, sum(least(x.n, y.n)) as common from pairs p join c x on x.doc_id = p.doc_id and x.kind = 'a'
-  join c y on y.doc_id = p.other_id and y.kind = p.other and y.h = x.h group by all),
+  join c y on y.doc_id = p.other_id and y.kind = p.other and y.h = x.h and y.leaf = x.leaf group by all),
 near as (select p.doc_id, p.other, coalesce(common, 0)::double / greatest(coalesce(x.n, 0) + coalesce(y.n, 0) - coalesce(common, 0), 1) as share from pairs p
   left join k on k.doc_id = p.doc_id and k.other = p.other left join z x on x.doc_id = p.doc_id and x.kind = 'a' left join z y on y.doc_id = p.other_id and y.kind = p.other)
 select e.doc_id, e.n as n_chars, sha256(e.edited) as edited_sha256, a.fp as fingerprint, b.fp as edited_fingerprint,
