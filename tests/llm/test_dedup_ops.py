@@ -244,7 +244,7 @@ def test_page_texts(spark):
     assert (got[6].text, got[7].text, got[8].text, got[9].text) == ("", "", "no tags < here", "open tags a b")
     assert all(r.n_chars == len(r.text) for r in got.values())
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    joined = {r.page_id: r.text for r in htmltext.extract(pages, broadcast_hosts=0).collect()}
+    joined = {r.page_id: r.text for r in htmltext.extract(pages, broadcast_chars=0).collect()}
     assert joined == {i: r.text for i, r in got.items()}
     assert htmltext.extract(pages.limit(0)).count() == 0
 
@@ -268,6 +268,118 @@ def test_article_text_is_not_lost_to_attribute_words(spark):
     assert got[1] == "the usual text of this host" and got[5] == got[6] == "the article is here"
 
 
+HOSTED = """<html><body><div class="main-nav"><a href="/">start</a></div><div class="layout with-sidebar"><div class="story">
+<div class="teaser">Lead %d of the article.</div><h2 class="part">Summary</h2><p>Text <span class="comment">number %d</span> of <b class="ad">this</b> host, told at
+some length so that the story holds more than half of the page, %s and on.</p><div class="share-this">Tell your friends</div><div class="author-box">By our staff, who wrote it</div>
+<ul class="see"><li><a href="/a">Other story %d</a></li></ul><ol><li>first %d</li></ol></div><ul><li><a href="/x%d">elsewhere %d</a></li></ul>
+<div class="user-comments"><article class="comment-body">reader %d says</article></div><div class="reader-comments">reader %d too</div>
+<div class="post-comment">and %d</div><div class="comment-form">your name %d</div><div class="noticeBoard">board %d</div></div></body></html>"""
+
+
+def test_parts_are_judged_by_their_host(spark):
+    from fathom.llm import htmltext
+
+    def page(i):
+        return HOSTED.replace("%s", "on " * (40 + i)).replace("%d", str(i))
+
+    def story(i):
+        return f"Lead {i} of the article. Summary Text number {i} of this host, told at some length so that the story holds more than half of the page, " + "on " * (40 + i) + "and on."
+
+    rows = [(i, f"http://many.example/{i}", page(i)) for i in range(6)] + [(i, "http://copies.example/", page(7)) for i in range(6, 16)] + [(16, "http://one.example/", page(8))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in htmltext.extract(pages).collect()}
+    for i in range(6):  # repeated texts and lists of links go; the lead and the article's own list stay
+        assert got[i] == f"{story(i)} first {i}"
+    alone = "Tell your friends By our staff, who wrote it"  # copies of one page tell nothing about its parts
+    for i in range(6, 17):
+        n = 7 if i < 16 else 8
+        lead = story(n).removeprefix(f"Lead {n} of the article. ")  # without article element or verdict the word decides
+        assert got[i] == f"{lead} {alone} " + ("" if i < 16 else f"Other story {n} ") + f"first {n}"
+    again = {r.page_id: r.text for r in htmltext.extract(pages.repartition(7), broadcast_chars=0).collect()}
+    assert again == got
+
+
+def test_names_of_parts():
+    from fathom.llm import htmltext as h
+
+    for names, mark in {"": h.UNMARKED, "post body": h.UNMARKED, "user-comments": h.COMMENT, "userComments": h.COMMENT, "comment-form": h.COMMENT, "post-comment": h.COMMENT,
+                        "main-nav": h.MENU, "has-sidebar": h.UNMARKED, "site_footer": h.HEAVY, "x sidebar2": h.HEAVY, "share-buttons": h.LIGHT, "teaser": h.LIGHT,
+                        "social-impact": h.UNMARKED, "share-this": h.UNMARKED, "ad-hoc": h.UNMARKED}.items():
+        assert h.name_mark(names, False) == mark, names
+    assert h.name_mark("teaser", True) == h.name_mark("page-header", True) == h.UNMARKED
+
+
+def test_page_texts_and_verdicts_equal_a_plain_version(spark):
+    """The given pages through Python's own parser, and the verdicts of hosts by counting one page after the other."""
+    from collections import Counter, defaultdict
+    from html.parser import HTMLParser
+
+    from fathom.llm import htmltext as h
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.skip, self.inside, self.blocks = 0, 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            self.skip += tag in ("nav", "script", "style", "title", "aside", "footer", "form")
+            if tag in h.BLOCK or tag in ("br", "hr"):
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            if tag in h.BLOCK:
+                self.blocks.append("")
+            self.inside -= tag == "article"
+            self.skip -= tag in ("nav", "script", "style", "title", "aside", "footer", "form")
+
+        def handle_data(self, data):
+            if self.inside and not self.skip:
+                self.blocks[-1] += data
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = pages.collect()
+    got = {r.page_id: r.text for r in h.extract(pages).collect()}
+    assert len(got) == len(rows)
+    same = 0
+    for r in rows:
+        plain = Plain()
+        plain.feed(r.html or "")
+        plain.close()
+        same += got[r.page_id] == " ".join(" ".join(b.split()) for b in plain.blocks if b.split())
+    assert same == len(rows)
+
+    extra = [(10_000 + i, "http://many.example/", HOSTED.replace("%s", "on " * (40 + i)).replace("%d", str(i % 8))) for i in range(9)]
+    both = pages.select("page_id", "url", "html").union(spark.createDataFrame(extra, "page_id long, url string, html string"))
+    votes, parts = defaultdict(Counter), defaultdict(list)
+    for r in both.collect():
+        host = (r.url or "").split("//")[-1].split("/")[0].split(":")[0].lower()
+        page = h.Page(r.html or "")
+        path, score = page.best()
+        if score > 0:
+            votes[host][path] += 1
+        for p, *seen in page.seen():
+            parts[host, p].append(seen)
+    want = {}
+    for (host, p), seen in parts.items():
+        n, others = len(seen), defaultdict(set)
+        for digest, other, *_ in seen:
+            others[digest].add(other)
+        repeated = sum(len(others[s[0]]) > 1 for s in seen)
+        chars, linked, large = (sum(s[i] for s in seen) for i in (2, 3, 4))
+        weak, inner = (any(s[i] for s in seen) for i in (5, 6))
+        if n >= 3 and 4 * n >= sum(votes[host].values()):
+            out = 2 * large < n and (2 * repeated >= n or 2 * linked > chars and (weak or not inner))
+            if out or weak:
+                want.setdefault(host, (set(), set()))[not out].add(p)
+    found = {r.host: r for r in h.host_paths(h.host_votes(both)).collect()}
+    assert set(found) == set(votes)
+    for host, r in found.items():
+        assert votes[host][r.path] == max(votes[host].values())
+        assert (set(r.out.split("\n")) - {""}, set(r.kept.split("\n")) - {""}) == want.get(host, (set(), set()))
+    assert want["many.example"][0] and want["many.example"][1]
+
+
 def rows_host():
     from pyspark.sql import functions as F
 
