@@ -40,6 +40,7 @@ FILE_IDS = 1 << 25
 MAGIC = b"IDBITS01"
 TAIL = struct.Struct("<8sIIQQQ")  # magic, width, block, n_docs, n_blocks, n_ids
 NO_ID = -(1 << 63)
+SPACE = "\u0120"  # fixed value: the space in byte-level vocabularies
 
 
 def width_of(vocab_size: int) -> int:
@@ -163,17 +164,24 @@ def library_encoder(path: str) -> PieceEncoder:
         t.no_truncation()
         t.no_padding()
 
+        first = np.zeros(t.get_vocab_size(), bool)  # tokens that begin with a space
+        first[[i for token, i in t.get_vocab().items() if token[:1] == SPACE]] = True
+
         def encode_words(words: Iterable[str]) -> dict[str, bytes]:
-            """Words after a space in one call: each is a pre-token of its own there, and word_ids tells them apart."""
-            run = [w for w in words if w[:1] == " " and w[1:].isalpha()]
-            rest = [w for w in words if not (w[:1] == " " and w[1:].isalpha())]
-            out = {w: array("I", e.ids).tobytes() for w, e in zip(rest, t.encode_batch(rest, add_special_tokens=False))}
+            """Pieces that hold one space, at their start, go in long runs: the tokenizer breaks before each of these
+            spaces, so a token that begins with a space begins a piece."""
+            run, rest = [], []
+            for w in words:
+                (run if w[:1] == " " and w.isprintable() and w.rfind(" ") == 0 and len(w) > 1 else rest).append(w)
+            out = {w: array("I", e.ids).tobytes() for w, e in zip(rest, t.encode_batch_fast(rest, add_special_tokens=False))}
             for i in range(0, len(run), 20_000):
                 some = run[i:i + 20_000]
-                e = t.encode("".join(some), add_special_tokens=False)
-                data = array("I", e.ids).tobytes()
-                ends = np.searchsorted(np.array(e.word_ids), np.arange(len(some)), "right").tolist()
-                out.update({w: data[4 * a:4 * b] for w, a, b in zip(some, [0, *ends], ends)})
+                data = array("I", t.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids)
+                at = (4 * np.flatnonzero(first[np.frombuffer(data, "<u4")])).tolist()
+                if len(at) != len(some):
+                    raise ValueError("tokens and pieces begin at different spaces")
+                data = data.tobytes()
+                out.update({w: data[a:b] for w, a, b in zip(some, at, [*at[1:], len(data)])})
             return out
 
         special = {a.content: i for i, a in t.get_added_tokens_decoder().items()}

@@ -94,6 +94,22 @@ def test_token_file_random_access(tmp_path):
         assert all(i == j * 10 and (x == docs[j]).all() for j, (i, _, x) in enumerate(r.documents(ids_at_once=100)))
 
 
+def test_long_runs_of_pieces_equal_the_library():
+    """Random texts of white space, marks, contractions and marks of other scripts, special tokens among them."""
+    import numpy as np
+
+    from fathom.llm.tokenfile import library_encoder
+
+    rng, path = random.Random(7), vocab()
+    bits = [" ", " ", " ", "  ", "\n", "\r\n", "\t", "\x85", "\u00a0", "\u3000", "\u200b", "a", "word", "Ther.", "it's", "'ll", "%%%", "&&", "12", "\u00e9", "e\u0301",
+            "\u6f22\u5b57", "\U0001f600", "\u0120", "<|endoftext|>", "\x00", "\u0300", "\u00bd", "_", "...", "-"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 40))) for _ in range(4000)]
+    t, encoder = library(), library_encoder(path)
+    for i in range(0, len(texts), 500):  # later batches meet pieces that are cached
+        for text, got in zip(texts[i:i + 500], encoder.encode_batch(texts[i:i + 500])):
+            assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_token_files(spark):
     from fathom.llm import tokenfile
     from fathom.session import scratch_path
