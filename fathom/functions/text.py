@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 # tokens uses every character Python's str.split() treats as whitespace.
 WS = r" \t\n\x0B\f\r"
 SPLIT_WS = r" \t\n\x0B\f\r\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-URL_PATTERN = rf"(?:www\.|https?://)[^{WS}]+"
+URL_PATTERN = rf"((http://[^{WS}]+)|(www\.[^{WS}]+)|(https?://[^{WS}]+))"  # non-blanks after www., where the scorer has blanks
 USER_PATTERN = rf"@[^{WS}]+"
 SPACE_PATTERN = rf"[{WS}]+"
 HASHTAG_PATTERN = rf"#([^{WS}]+)"
 EDGE_QUOTES = "'\""
 TOKEN_EDGE = "'\"?,."
-WORDLIKE = r"^[a-zA-Z][0-9]*[a-zA-Z][a-zA-Z0-9]*$"  # letters and digits, a letter first, two letters at least
+WORDLIKE = r"^[a-zA-Z][a-zA-Z0-9]*[a-zA-Z]+[a-zA-Z0-9]*$"
 REPEAT_PATTERN = r"(?s)(.)\1+"
 RESERVED_STOPWORDS = ("USER", "URL")
 
@@ -57,7 +57,8 @@ def tokens(norm_col, stopwords=()) -> Column:
     if not stop:
         return parts
     arr = F.array(*[F.lit(s) for s in stop])
-    return F.filter(parts, lambda t: ~(t.rlike(WORDLIKE) & F.array_contains(arr, t)))
+    # the list first: the pattern backtracks over long tokens, and only words of the list reach it
+    return F.filter(parts, lambda t: ~(F.array_contains(arr, t) & t.rlike(WORDLIKE)))
 
 
 # --- the same rules for per-record Python programs ---------------------------
