@@ -208,15 +208,15 @@ def threshold(steps: np.ndarray, y: np.ndarray, n: np.ndarray, shares: np.ndarra
 
 
 def calibrate(m: Model, docs: DataFrame, known: DataFrame, fitted: list[int]) -> None:
-    """Thresholds from all rows of ``known`` but the fitted ones, moved to CUT. Texts are scored where they are and
-    only (doc_id, language, step) meet the labels."""
+    """Thresholds from all rows of ``known`` but the fitted ones, moved to CUT. Texts outside the held-out fold, which
+    ``known`` has no rows of, are scored where they are and only (doc_id, language, step) meet the labels."""
     slots = WordSlots()
 
     def run(b):
         z, spoken = m.logits([slots.of(t) for t in b.column("text").to_pylist()])
         return {"doc_id": b.column("doc_id"), "spoken": spoken, "step": np.floor(z * STEPS).astype(np.int64)}
 
-    scored = map_batches(docs_of(docs.where("doc_id is not null"), "doc_id", "text"), run, "doc_id bigint, spoken int, step int")
+    scored = map_batches(docs_of(docs, "doc_id", "text").where(_fold(F.col("doc_id")) != 1), run, "doc_id bigint, spoken int, step int")
     used = F.broadcast(docs.sparkSession.createDataFrame([(i, True) for i in set(fitted)], "doc_id long, fitted boolean"))
     rows = scored.join(known, "doc_id").join(used, "doc_id", "left").groupBy("spoken", "step", "toxic", F.col("fitted").isNotNull().alias("fitted")).count().collect()
     spoken, step, y, seen, n = np.array([tuple(r) for r in rows], np.int64).reshape(-1, 5).T
