@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from fathom.llm.textio import WordHashes, bounded_rows, docs_of, map_batches, mix, numbered_columns, slices, window_hashes
 
+KEEP_ROWS = 128  # rows judged at once beside all their columns; bounds the line features held in a task
 BLANKS, SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
 UPPER, DIGITS, SHOUT = bytes(range(65, 91)), bytes(range(48, 58)), b"!?"
 MIN_WORDS, MAX_REPEAT_PCT, WINDOW = 20, 30, 8
@@ -249,8 +250,9 @@ def keep_good(docs: DataFrame, model: Crf | None) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in slices(b):
+            for s in slices(b, KEEP_ROWS):
                 texts = [t or "" for t in s.column(at).to_pylist()]
                 yield s.filter(pa.array(assess(texts, model, hashes)["kept"], pa.bool_()))
+        pa.default_memory_pool().release_unused()  # a reused worker does not keep a task's buffers
 
     return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
