@@ -124,71 +124,147 @@ def score_candidates(model: ALSModel, candidates: DataFrame) -> DataFrame:
         .select("user_id", "item_id", F.col("prediction").alias("score"))
 
 
-USERS, ITEMS = 1024, 20_000  # users and items of a block, on average
+USERS, ITEMS = 262_144, 500_000  # users and items of a group, at most on average
 
 
 def top_items_per_user(model: ALSModel, ratings: DataFrame, items: DataFrame, k: int = 20, block_items: int = ITEMS,
-                       block_users: int = USERS, spread: int = 64) -> DataFrame:
+                       block_users: int = USERS, spread: int = 32) -> DataFrame:
     """M8 + M9: for every user with ratings, the ``k`` best-scored dictionary items they have not rated (ties: item id
     ascending), with rank 1..k.
 
-    A block join. Users with factors are packed into rows of about ``block_users`` users, dictionary items with factors
-    into rows of about ``block_items``; each pair of a user row and an item row is scored in some task as one matrix
-    product, the pairs that were rated (packed per pair of blocks, too) are struck out of it, and the best ``k`` of the
-    item block leave per user: exact, however many items someone rated. One ranking per user merges the blocks. All
-    rows are made, met and read by Spark: no factor reaches the driver, and a task holds two packed rows and a
-    bounded piece of the matrix. An item row is sent to ``spread`` groups of user rows, so few items still give work to
-    many tasks.
-
-    The scores of all users x items are computed, as the task asks, but only users x blocks x k rows are written."""
-    rated = ratings.select("user_id", "item_id").distinct()
+    A block join. Users with factors are dealt by hash into lanes of about ``block_users`` (at least ``spread`` lanes, so
+    that few users still give work to many tasks), dictionary items with factors into blocks of about ``block_items``.
+    A lane and a block meet in one group, with the ratings that their pairs have; the best ``k`` unrated items of the
+    block leave per user (:func:`_block_scores`): exact, however many items someone rated. One ranking per user merges
+    the blocks. All rows are dealt, met and read by Spark: no factor reaches the driver, and a task holds one lane's users,
+    one block's items and a bounded piece of their scores.
+
+    What is written grows with users x blocks x k, and a block is large because the best of it are found with a
+    threshold that rises on the way, not by a selection from all scores."""
+    spark = ratings.sparkSession
+    path = scratch_path(spark, "rated")
+    ratings.select("user_id", "item_id").distinct().write.parquet(path)  # read three times, made once
+    rated = spark.read.parquet(path)
     known = model.itemFactors.join(items.select(F.col("item_id").alias("id")).distinct(), "id", "left_semi")
     users = model.userFactors.withColumnRenamed("id", "user_id").join(rated.select("user_id").distinct(), "user_id", "left_semi")
-    item_blocks = max(1, -(-known.count() // block_items))
-    user_blocks = max(1, -(-users.count() // block_users))
-    spread = min(spread, user_blocks)
-    ib = lambda c: F.pmod(F.xxhash64(c), F.lit(item_blocks)).alias("ib")
-    ub = F.pmod(F.xxhash64("user_id"), F.lit(user_blocks)).alias("ub")
-    item_rows = known.groupBy(ib("id")).agg(F.collect_list(F.struct("id", "features")).alias("items"))
-    item_rows = item_rows.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    user_rows = users.groupBy(ub).agg(F.collect_list(F.struct("user_id", "features")).alias("users"))
-    user_rows = user_rows.withColumn("ib", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(item_blocks - 1).cast("long"))))
-    struck = rated.groupBy(ub, ib("item_id")).agg(F.collect_list(F.struct("user_id", "item_id")).alias("rated"))
-    pairs = user_rows.join(struck, ["ub", "ib"], "left").withColumn("lane", F.pmod("ub", F.lit(spread)).cast("int"))
-    pairs = pairs.join(item_rows.hint("shuffle_hash"), ["ib", "lane"])
-    scored = pairs.select("users", "items", "rated").mapInArrow(_block_scores(k), "user_id int, item_id int, score float")
+    blocks = max(1, -(-known.count() // block_items))
+    n_users = users.count()
+    lanes = max(1, min(spread, n_users), -(-n_users // block_users))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int").alias("block")
+    lane = F.pmod(F.xxhash64("user_id"), F.lit(lanes)).cast("int").alias("lane")
+    # a row of a user has factors, one of a rating an item
+    left = users.select(lane, every(blocks).alias("block"), "user_id", "features", F.lit(None).cast("int").alias("item_id")).unionByName(
+        rated.select(lane, block, "user_id", F.lit(None).cast("array<float>").alias("features"), "item_id"))
+    packed = known.withColumnRenamed("id", "item_id").groupBy(block, F.pmod(F.hash("item_id"), F.lit(-(-block_items // 4096))).alias("row")) \
+        .agg(F.collect_list(F.struct("item_id", "features")).alias("items"))
+    right = packed.select(every(lanes).alias("lane"), "block", F.transform("items", lambda x: x["item_id"]).alias("ids"),
+                          F.flatten(F.transform("items", lambda x: x["features"])).alias("features"))
+    scored = left.groupBy("lane", "block").cogroup(right.groupBy("lane", "block")) \
+        .applyInArrow(_block_scores(k), "user_id int, item_id int, score float")
     w = Window.partitionBy("user_id").orderBy(F.col("score").desc(), F.col("item_id").asc())
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _block_scores(k: int, cells: int = 1 << 22):
-    """Best ``k`` unrated items of an item row per user of a user row; items that tie with the last one are kept, too."""
+def _block_scores(k: int, users_at_once: int = 256, items_at_once: int = 1024, gather: int = 1 << 20):
+    """The ``k`` best unrated items of a block per user of a lane. Items are taken by length of their factors, longest
+    first, in stretches that double; after each one a user's ``k``-th best score is the threshold for the next, and a user
+    for whom no product with what is left can reach it (Cauchy-Schwarz, with room for rounding) is done."""
     out = pa.schema([("user_id", pa.int32()), ("item_id", pa.int32()), ("score", pa.float32())])
-
-    def factors(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
-        ids, lists = rows.field(0).to_numpy(), rows.field(1)
-        x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(ids), -1)
-        order = np.argsort(ids)
-        return ids[order], x[order]
-
-    def run(batches):
-        for b in batches:
-            for row in range(b.num_rows):
-                users, x = factors(b.column("users")[row].values)
-                items, y = factors(b.column("items")[row].values)
-                rated = b.column("rated")[row]
-                ru, ri = (rated.values.field(j).to_numpy() for j in (0, 1)) if rated.is_valid else (users[:0], items[:0])
-                known = np.isin(ru, users) & np.isin(ri, items)
-                ru, ri = np.searchsorted(users, ru[known]), np.searchsorted(items, ri[known])
-                step = max(1, cells // max(1, len(items)))
-                for at in range(0, len(users), step):
-                    scores = x[at:at + step] @ y.T
-                    mine = (ru >= at) & (ru < at + step)
-                    scores[ru[mine] - at, ri[mine]] = -np.inf
-                    n = min(k, len(items))
-                    least = np.partition(scores, len(items) - n, axis=1)[:, [len(items) - n]]
-                    who, what = np.nonzero((scores >= least) & (scores > -np.inf))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((users[at + who], items[what], scores[who, what]), out)], schema=out)
+    lowest = np.float32(-np.inf)
+
+    def best(who: np.ndarray, ids: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """Places of each user's first ``k`` by score descending, id ascending; users ascending."""
+        order = np.lexsort((ids, -score, who))
+        w = who[order]
+        first = np.flatnonzero(np.append(True, w[1:] != w[:-1])[:len(w)])
+        return order[np.arange(len(w)) - np.repeat(first, np.diff(np.append(first, len(w)))) < k]
+
+    def factors(lists: pa.ChunkedArray, n: int) -> np.ndarray:
+        flat = lists.combine_chunks().flatten() if n else pa.array([], pa.float32())
+        return flat.to_numpy(zero_copy_only=False).astype(np.float32).reshape(n, -1) if n else np.zeros((0, 1), np.float32)
+
+    def length(x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))
+
+    def chunk(x, xn, items, y, yn, struck, buffer, flags) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best items of a few users; ``struck``: sorted places (user * number of items + item) of rated pairs;
+        ``buffer``, ``flags``: scores and marks of one step (memory that is used again, new memory costs more than the product)."""
+        n, room = len(items), 1 + 1e-6 * x.shape[1]
+        least = np.full(len(x), lowest)
+        who, what, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+
+        def merge(found) -> None:
+            nonlocal who, what, score
+            w, i, s = (np.concatenate([a, *b]) for a, b in zip((who, what, score), zip(*found)))
+            keep = best(w, items[i], s)
+            who, what, score = w[keep], i[keep], s[keep]
+            count = np.bincount(who, minlength=len(x))
+            full = count >= k
+            least[full] = score[np.cumsum(count)[full] - 1]
+
+        at, upto = 0, items_at_once
+        while at < n:
+            live = np.flatnonzero(xn * yn[at] * room >= least)
+            if not len(live):
+                break
+            found, size, mine = [], 0, x[live]
+            for i in range(at, min(upto, n), items_at_once):
+                part = y[i:min(i + items_at_once, upto, n)]
+                shape = len(mine), len(part)
+                cells = shape[0] * shape[1]
+                scores = np.matmul(mine, part.T, out=buffer[:cells].reshape(shape))
+                if not at:  # a first threshold; rated pairs count for nothing in it
+                    j = struck // n, struck % n
+                    inside = j[1] < len(part)
+                    scores[j[0][inside], j[1][inside]] = lowest
+                    if len(part) >= k:
+                        least = np.partition(scores, len(part) - k, axis=1)[:, len(part) - k].copy()
+                w, c = np.divmod(np.flatnonzero(np.greater_equal(scores, least[live, None], out=flags[:cells].reshape(shape))), len(part))
+                s = scores[w, c]
+                w, c = live[w], c + i
+                if len(struck):
+                    place = w * n + c
+                    free = struck[np.minimum(np.searchsorted(struck, place), len(struck) - 1)] != place
+                    w, c, s = w[free], c[free], s[free]
+                found.append((w, c, s))
+                size += len(w)
+                if size > gather:  # many equal scores
+                    merge(found)
+                    found, size = [], 0
+            if found:
+                merge(found)
+            at, upto = upto, 2 * upto
+        return who, what, score
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = left.column("item_id").is_null()
+        u, r = left.filter(rows), left.filter(left.column("item_id").is_valid())
+        users, items = u.column("user_id").to_numpy(), right.column("ids").combine_chunks().flatten().to_numpy() if right.num_rows else np.zeros(0, np.int32)
+        if not len(users) or not len(items):
+            return out.empty_table()
+        x, y = factors(u.column("features"), len(users)), factors(right.column("features"), len(items))
+        order = np.argsort(users)
+        users, x = users[order], x[order]
+        yn = length(y)
+        order = np.argsort(-yn, kind="stable")
+        items, y, yn = items[order], y[order], yn[order]
+        xn = length(x)
+        # rated pairs of known users and items, as places
+        ru, ri = (r.column(c).to_numpy() for c in ("user_id", "item_id"))
+        by_id = np.argsort(items)
+        pu, pi = np.searchsorted(users, ru), np.searchsorted(items, ri, sorter=by_id)
+        ok = (pu < len(users)) & (pi < len(items))
+        ok[ok] = (users[pu[ok]] == ru[ok]) & (items[by_id[pi[ok]]] == ri[ok])
+        struck = np.sort(pu[ok] * len(items) + by_id[pi[ok]])
+        got = []
+        buffer, flags = (np.empty(users_at_once * items_at_once, t) for t in (np.float32, bool))
+        for at in range(0, len(users), users_at_once):
+            end = min(at + users_at_once, len(users))
+            lo, hi = np.searchsorted(struck, (at * len(items), end * len(items)))
+            who, what, score = chunk(x[at:end], xn[at:end], items, y, yn, struck[lo:hi] - at * len(items), buffer, flags)
+            got.append((users[at + who], items[what], score))
+        return pa.table([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*got), out)], schema=out)
 
     return run
 

@@ -100,3 +100,40 @@ def test_keyed_table_opens_one_bucket(spark, tmp_path):
         if f.name not in mine:
             f.write_bytes(b"not to be opened")
     assert sorted(r.item_id for r in read_keyed(spark, name, user_id=7).collect()) == [0, 1, 2, 3]
+
+
+def _lane(users, items, rated=()):
+    import pyarrow as pa
+
+    lists = lambda x: pa.array(list(x), pa.list_(pa.float32()))
+    left = pa.table({"user_id": pa.array([*range(len(users)), *(u for u, _ in rated)], pa.int32()),
+                     "features": pa.chunked_array([lists([*users, *[None] * len(rated)])]),
+                     "item_id": pa.array([*[None] * len(users), *(i for _, i in rated)], pa.int32())})
+    right = pa.table({"ids": pa.chunked_array([pa.array([range(len(items))], pa.list_(pa.int32()))]),
+                      "features": pa.chunked_array([lists([items.ravel()])])})
+    return left, right
+
+
+def test_no_more_than_k_rows_of_a_user_leave_a_block():
+    # all scores are equal: those of the smallest ids stay, and ties do not leave the task
+    left, right = _lane(np.ones((3, 2), np.float32), np.ones((5000, 2), np.float32), [(1, 0), (1, 3), (7, 1)])
+    got = sorted(zip(*(c.to_pylist() for c in M._block_scores(4, gather=3000)(left, right).columns)))
+    assert [(u, i) for u, i, _ in got] == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 1), (1, 2), (1, 4), (1, 5), (2, 0), (2, 1), (2, 2), (2, 3)]
+
+
+def test_block_scores_equal_brute_force():
+    rng = np.random.default_rng(8)
+    users, items = (rng.normal(size=(n, 3)).astype(np.float32) * rng.uniform(0, 2, (n, 1)).astype(np.float32) for n in (70, 3000))
+    users[5], items[17] = 0, 0
+    rated = [(int(u), int(i)) for u, i in zip(rng.integers(0, 70, 4000), rng.integers(0, 3000, 4000))]
+    rated += [(6, i) for i in range(3000) if i != 9] + [(u, int(np.argmax(users[u] @ items.T))) for u in range(70)]
+    left, right = _lane(users, items, rated)
+    got = M._block_scores(7, users_at_once=16, items_at_once=64)(left, right).to_pylist()
+    scores = users.astype(float) @ items.T.astype(float)
+    scores[tuple(zip(*rated))] = -np.inf
+    for u in range(70):
+        mine = sorted((-r["score"], r["item_id"]) for r in got if r["user_id"] == u)
+        want = np.sort(scores[u])[::-1][:min(7, int(np.isfinite(scores[u]).sum()))]
+        assert len(mine) == len(want) == len({i for _, i in mine})
+        assert np.allclose([-s for s, _ in mine], want, atol=1e-5)
+        assert np.allclose([scores[u, i] for _, i in mine], want, atol=1e-5)
