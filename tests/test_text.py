@@ -80,3 +80,20 @@ def test_observed_events(spark):
     lines = spark.createDataFrame([("ab", 1), (None, 2), ("é", 3)], "text string, n int")
     assert T.observed_text_events(lines, name=seen).count() == 2
     assert seen.get == {"accepted": 2, "chars": 3, "ignored": 1}
+
+
+def test_sentiment_makes_token_sets_once(spark, tmp_path, monkeypatch):
+    from fathom.plans import text as P
+
+    texts = [(1, "good fine good", "en", "a", 14), (2, "bad awful", "en", "a", 9), (3, "Fine!", "en", "b", 5), (4, None, "en", "b", 0), (3, "bad", "en", "b", 3)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    seen = []
+    for name in ("train_sentiment", "classify_sentiment"):
+        whole = getattr(P.T, name)
+        monkeypatch.setattr(P.T, name, lambda *a, whole=whole: seen.append(a[-1]) or whole(*a))
+    got = sorted(map(tuple, P.sentiment(spark, str(tmp_path)).collect()))
+    assert [i for i, _ in got] == [1, 2, 3, 4] and dict(got)[1] == "positive" and dict(got)[2] == "negative"
+    assert len(seen) == 2
+    for frame in seen:  # neither step normalises and splits the texts again
+        assert "regexp_replace" not in frame._jdf.queryExecution().optimizedPlan().toString()
