@@ -29,6 +29,14 @@ def _ratings(spark, sf, keep=("seq",)):
     return M.parse_ratings(lines, keep=keep)
 
 
+def _ratings_once(spark, sf):
+    """The ratings as a stored table, for jobs that read them several times: joined and parsed once, and a filter on
+    the user skips row groups."""
+    path = scratch_path(spark, "parsed-ratings")
+    _ratings(spark, sf, keep=()).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _items(spark, sf):
     return M.parse_items(standins.item_texts(load(spark, sf, "part")))
 
@@ -48,7 +56,7 @@ def _model(spark, sf):
 
 def _top(spark, sf, k=20):
     """Recommendations, stored once: listings read the table as often as they need."""
-    ratings = _ratings(spark, sf, keep=())
+    ratings = _ratings_once(spark, sf)
     path = scratch_path(spark, "recommendations")
     M.top_items_per_user(M.train_als(ratings), ratings, _items(spark, sf), k).write.parquet(path)
     return spark.read.parquet(path)
@@ -113,7 +121,7 @@ UNRATED = f"""(SELECT DISTINCT {ONE_USER} AS user_id, item_id FROM items
 
 @query("rec_unrated_candidates_user", sql=f"WITH {RAT}, {ITEMS} SELECT user_id, item_id FROM {UNRATED}")
 def unrated_candidates_user(spark, sf):
-    ratings = _ratings(spark, sf, keep=())
+    ratings = _ratings_once(spark, sf)
     return M.unrated_candidates(ratings, _items(spark, sf), _one_user(ratings))
 
 
@@ -127,7 +135,7 @@ def train_als(spark, sf):
 SELECT user_id, item_id, TRUE AS is_product FROM {UNRATED} WHERE item_id IN (SELECT item_id FROM r)""")
 def score_candidates_user(spark, sf):
     """Scores of one user's candidates, held against the products of the stored factors, summed in SQL."""
-    ratings = _ratings(spark, sf, keep=())
+    ratings = _ratings_once(spark, sf)
     model = M.train_als(ratings)
     cands = M.unrated_candidates(ratings, _items(spark, sf), _one_user(ratings))
     path = scratch_path(spark, "factors")

@@ -137,3 +137,23 @@ def test_block_scores_equal_brute_force():
         assert len(mine) == len(want) == len({i for _, i in mine})
         assert np.allclose([-s for s, _ in mine], want, atol=1e-5)
         assert np.allclose([scores[u, i] for _, i in mine], want, atol=1e-5)
+
+
+def test_one_user_queries_read_stored_ratings(spark, tmp_path, monkeypatch):
+    from fathom.plans import rec as P
+
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    write("orders", [(i, i % 3 + 1) for i in range(12)], "o_orderkey long, o_custkey long")
+    spark.read.parquet(str(tmp_path / "orders.parquet")).selectExpr("*", "timestamp_ntz'2024-01-01' o_orderdate").write.parquet(str(tmp_path / "dated"))
+    monkeypatch.setattr(P, "load", lambda s, sf, n: s.read.parquet(f"{sf}/dated" if n == "orders" else f"{sf}/{n}.parquet"))
+    write("lineitem", [(i, (i * 5 + n) % 7, n, 10.0 * n) for i in range(12) for n in (1, 2)], "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double")
+    write("part", [(i, f"p{i}", 5) for i in range(9)], "p_partkey long, p_name string, p_size int")
+    seen, whole = [], M.unrated_candidates
+    monkeypatch.setattr(P.M, "unrated_candidates", lambda r, *a: seen.append(r) or whole(r, *a))
+    mine = {(i * 5 + n) % 7 for i in range(0, 12, 3) for n in (1, 2)}
+    assert sorted(map(tuple, P.unrated_candidates_user(spark, str(tmp_path)).collect())) == [(1, i) for i in range(9) if i not in mine]
+    scored = P.score_candidates_user(spark, str(tmp_path)).collect()
+    assert sorted((r.user_id, r.item_id) for r in scored) == [(1, i) for i in range(7) if i not in mine] and all(r.is_product for r in scored)
+    assert len(seen) == 2
+    for ratings in seen:
+        assert "Join" not in ratings._jdf.queryExecution().optimizedPlan().toString()
