@@ -29,11 +29,11 @@ def _ratings(spark, sf, keep=("seq",)):
     return M.parse_ratings(lines, keep=keep)
 
 
-def _ratings_once(spark, sf):
+def _ratings_once(spark, sf, keep=()):
     """The ratings as a stored table, for jobs that read them several times: joined and parsed once, and a filter on
     the user skips row groups."""
     path = scratch_path(spark, "parsed-ratings")
-    _ratings(spark, sf, keep=()).write.parquet(path)
+    _ratings(spark, sf, keep).write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -54,9 +54,10 @@ def _model(spark, sf):
     return M.train_als(_ratings(spark, sf, keep=()))
 
 
-def _top(spark, sf, k=20):
-    """Recommendations, stored once: listings read the table as often as they need."""
-    ratings = _ratings_once(spark, sf)
+def _top(spark, sf, k=20, ratings=None):
+    """Recommendations, stored once: listings read the table as often as they need. ``ratings``: the stored ones of a
+    job that reads them beside it."""
+    ratings = _ratings_once(spark, sf) if ratings is None else ratings
     path = scratch_path(spark, "recommendations")
     M.top_items_per_user(M.train_als(ratings), ratings, _items(spark, sf), k).write.parquet(path)
     return spark.read.parquet(path)
@@ -161,7 +162,8 @@ SELECT user_id, CAST(n AS BIGINT) AS n, CAST(1 AS BIGINT) AS first_rank, CAST(n
 FROM depth WHERE n > 0""")
 def top_items_audit(spark, sf):
     """Every user's list: length, ranks 1 to n, distinct unrated dictionary items, scores in order, stored scores truncated."""
-    top, ratings, items = _top(spark, sf), _ratings(spark, sf, keep=()), _items(spark, sf)
+    ratings, items = _ratings_once(spark, sf), _items(spark, sf)
+    top = _top(spark, sf, ratings=ratings)
     w = Window.partitionBy("user_id").orderBy("rank")
     before = F.lag(F.struct(-F.col("score"), F.col("item_id"))).over(w)
     t = top.withColumn("late", (before > F.struct(-F.col("score"), F.col("item_id"))).cast("int"))
@@ -177,12 +179,17 @@ def top_items_audit(spark, sf):
         count(F.col("late")).alias("n_out_of_order"), count(~F.col("kept").eqNullSafe(cut.cast("int"))).alias("n_stored_differently"))
 
 
+def _listing(spark, sf):
+    ratings = _ratings_once(spark, sf, keep=("seq",))
+    return M.recommendation_listing(M.upsert_ratings(ratings, "seq"), _top(spark, sf, ratings=ratings), _items(spark, sf))
+
+
 @query("rec_listing_audit", sql=f"""WITH {RAT}, {ITEMS}, {DEPTH}
 SELECT depth.user_id, 'recommended' AS list, CAST(n AS BIGINT) AS n, CAST(n AS BIGINT) AS n_titles FROM depth WHERE n > 0
 UNION ALL SELECT rated.user_id, 'rated', count(*), count(title) FROM rated JOIN depth ON depth.user_id = rated.user_id AND n > 0
   LEFT JOIN items ON items.item_id = rated.item_id GROUP BY rated.user_id""")
 def listing_audit(spark, sf):
-    rows = M.recommendation_listing(_store(spark, sf), _top(spark, sf), _items(spark, sf))
+    rows = _listing(spark, sf)
     return rows.groupBy("user_id", "list").agg(F.count(F.lit(1)).alias("n"), F.count("title").alias("n_titles"))
 
 
@@ -193,7 +200,7 @@ def stored_recommendations(spark, sf):
 
 @query("rec_recommendation_listing")
 def recommendation_listing(spark, sf):
-    return M.recommendation_listing(_store(spark, sf), _top(spark, sf), _items(spark, sf))
+    return _listing(spark, sf)
 
 
 @query("rec_rated_titles", sql=f"""WITH {RAT}, {ITEMS}, rated AS (SELECT DISTINCT user_id, item_id FROM r)
@@ -204,8 +211,9 @@ def rated_titles(spark, sf):
 
 @query("rec_recommend_for_user")
 def recommend_for_user(spark, sf):
-    store = _store(spark, sf)
-    r = M.recommend_for_user(store, _top(spark, sf), _items(spark, sf), _one_user(store))
+    ratings = _ratings_once(spark, sf, keep=("seq",))
+    store, user = M.upsert_ratings(ratings, "seq"), _one_user(ratings)  # every user of the ratings is in the store
+    r = M.recommend_for_user(store, _top(spark, sf, ratings=ratings), _items(spark, sf), user)
     return r.select("user_id", F.array_join("rated", "|").alias("rated"),
                     F.array_join("recommended", "|").alias("recommended"))
 
@@ -233,12 +241,14 @@ SELECT user_id, (SELECT string_agg(coalesce(title, '?'), '|' ORDER BY rated.item
 def stored_listing_user(spark, sf):
     """M11 for one user from the stored tables, one bucket or folder of each; the recommended items are held against a
     ranking of the products of the stored factors."""
-    ratings, items = _store(spark, sf), _items(spark, sf)
+    ratings, items = _ratings_once(spark, sf, keep=("seq",)), _items(spark, sf)
     user = _one_user(ratings)
-    keyed = write_keyed(ratings, ["user_id", "item_id"], scratch_path(spark, "ratings"), 16)
-    model = M.train_als(_ratings(spark, sf, keep=()))
+    keyed = write_keyed(M.upsert_ratings(ratings, "seq"), ["user_id", "item_id"], scratch_path(spark, "ratings"), 16)
+    model = M.train_als(ratings)
     store = M.RecommendationStore(spark, scratch_path(spark, "store"), buckets=16)
-    store.put(M.top_items_per_user(model, _ratings(spark, sf, keep=()), items, 20))
+    top = scratch_path(spark, "recommendations")
+    M.top_items_per_user(model, ratings, items, 20).write.parquet(top)  # the store reads its input more than once
+    store.put(spark.read.parquet(top))
     mine = read_keyed(spark, keyed, user_id=user)
     lists = M.recommend_for_user(mine, store.of_user(user), items, user)
     x = model.userFactors.where(F.col("id") == F.lit(user)).select(F.posexplode("features").alias("place", "ux"))

@@ -157,3 +157,28 @@ def test_one_user_queries_read_stored_ratings(spark, tmp_path, monkeypatch):
     assert len(seen) == 2
     for ratings in seen:
         assert "Join" not in ratings._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _rating_tables(spark, tmp_path, monkeypatch):
+    from fathom.plans import rec as P
+
+    tables = {"orders": spark.createDataFrame([(i, i % 3 + 1) for i in range(12)], "o_orderkey long, o_custkey long").selectExpr("*", "timestamp_ntz'2024-01-01' o_orderdate"),
+              "lineitem": spark.createDataFrame([(i, (i * 5 + n) % 7, n, 10.0 * n) for i in range(12) for n in (1, 2)], "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double"),
+              "part": spark.createDataFrame([(i, f"p{i}", 5) for i in range(9)], "p_partkey long, p_name string, p_size int")}
+    monkeypatch.setattr(P, "load", lambda s, sf, n: tables[n])
+    joined, lines = [], P.standins.rating_lines
+    monkeypatch.setattr(P.standins, "rating_lines", lambda *a, **k: joined.append(a) or lines(*a, **k))
+    return P, joined
+
+
+def test_listings_join_the_ratings_once(spark, tmp_path, monkeypatch):
+    P, joined = _rating_tables(spark, tmp_path, monkeypatch)
+    top = spark.createDataFrame([(1, 8, 2.5, 1), (2, 7, 1.5, 1)], "user_id int, item_id int, score float, rank int")
+    monkeypatch.setattr(P.M, "train_als", lambda ratings: ratings.count())
+    monkeypatch.setattr(P.M, "top_items_per_user", lambda *a: top)
+    mine = {(i * 5 + n) % 7 for i in range(0, 12, 3) for n in (1, 2)}
+    one = P.recommend_for_user(spark, "").collect()
+    assert [tuple(r) for r in one] == [(1, "|".join(f"p{i}" for i in sorted(mine)), "p8")] and len(joined) == 1
+    assert {(r.user_id, r.n, r.n_rated, r.n_unknown) for r in P.top_items_audit(spark, "").collect()} == {(1, 1, 0, 0), (2, 1, 0, 0)} and len(joined) == 2
+    rows = P.recommendation_listing(spark, "").collect()
+    assert len(joined) == 3 and {r.item_id for r in rows if r.user_id == 1 and r.list == "rated"} == mine
