@@ -109,13 +109,15 @@ def unrated_candidates(ratings: DataFrame, items: DataFrame, user_id) -> DataFra
 def unrated_candidate_counts(ratings: DataFrame, items: DataFrame) -> DataFrame:
     """M7 for every user with a rating: how many dictionary items they have not
     rated. Counted, not enumerated: |dictionary| minus the user's distinct
-    rated items that are in the dictionary (a semi join)."""
-    dict_items = items.select("item_id").distinct()
+    rated items that are in the dictionary.
+
+    One pass: the ratings meet the dictionary by item, so a pair's repeats are in one task already, and marks are summed
+    per user. Pairs are dealt to tasks without an aggregation before it, which would hold nearly all of them in vain."""
+    dict_items = items.select("item_id").distinct().withColumn("_known", F.lit(1))
     n_dict = dict_items.count()
-    rated = ratings.select("user_id", "item_id").distinct()
-    in_dict = rated.join(dict_items, "item_id", "left_semi").groupBy("user_id").agg(F.count(F.lit(1)).alias("r"))
-    users = rated.select("user_id").distinct().join(in_dict, "user_id", "left")
-    return users.select("user_id", (F.lit(n_dict) - F.coalesce("r", F.lit(0))).alias("n_candidates"))
+    rated = ratings.select("user_id", "item_id").join(dict_items, "item_id", "left")
+    pairs = rated.groupBy("item_id", "user_id").agg(F.max("_known").alias("_known"))
+    return pairs.groupBy("user_id").agg((F.lit(n_dict) - F.coalesce(F.sum("_known"), F.lit(0))).alias("n_candidates"))
 
 
 def score_candidates(model: ALSModel, candidates: DataFrame) -> DataFrame:

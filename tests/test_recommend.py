@@ -182,3 +182,11 @@ def test_listings_join_the_ratings_once(spark, tmp_path, monkeypatch):
     assert {(r.user_id, r.n, r.n_rated, r.n_unknown) for r in P.top_items_audit(spark, "").collect()} == {(1, 1, 0, 0), (2, 1, 0, 0)} and len(joined) == 2
     rows = P.recommendation_listing(spark, "").collect()
     assert len(joined) == 3 and {r.item_id for r in rows if r.user_id == 1 and r.list == "rated"} == mine
+
+
+def test_unrated_counts_meet_the_dictionary_once(spark):
+    ratings = spark.createDataFrame([(1, 1, 5), (1, 1, 4), (1, 2, 3), (1, 9, 3), (2, 9, 1), (3, 3, 1), (3, 1, 1), (3, 2, 2)], "user_id int, item_id int, rating int")
+    items = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (3, "d")], "item_id int, title string")
+    got = M.unrated_candidate_counts(ratings, items)
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 3), (3, 0)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
