@@ -219,32 +219,44 @@ def distinct_anomalies(anomalies: DataFrame, interval, watermark) -> DataFrame:
     return a.withWatermark("event_time", _seconds(watermark)).dropDuplicatesWithinWatermark(["series_key", "bucket"])
 
 
-def unique_sources(anomalies: DataFrame, watermark, keep="0 seconds", src: str = "src", ts: str = "ts", arrival: str = "arrival") -> DataFrame:
+def unique_sources(anomalies: DataFrame, watermark, keep="0 seconds", src: str = "src", ts: str = "ts", arrival: str = "arrival", groups: int = 16_384) -> DataFrame:
     """N14 with its last-seen rule on a stream of ``src, ts, arrival``: ``src, ts`` of every anomaly whose source was
     not seen at ``ts`` or later, in the order of micro-batch and ``arrival`` (any long). What comes out of order is lost,
     as in the rule. State: one time per source. It is dropped when the watermark has passed it by ``keep``; a row that
     comes after that is either late, or later than the dropped time and counts with or without the state. Rows
-    without a source are left out."""
+    without a source are left out.
+
+    Sources are dealt by hash to ``groups`` state rows, because a call of the rule costs far more than a source in it;
+    a row holds the times of its sources and goes when the last one does. ``groups`` belongs to the checkpoint."""
     s = anomalies.where(F.col(src).isNotNull() & F.col(ts).isNotNull()).select(F.col(src).alias("src"), F.col(ts).alias("ts"), F.col(arrival).alias("arrival"))
     s = event_time(s).withColumn("us", epoch_us("ts")).drop("ts").withWatermark("event_time", _seconds(watermark))
     keep_ms = micros_of(keep) // 1000
+    ends = lambda us: us // 1000 + 1 + keep_ms
 
     def count(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        last = dict(zip(*state.get)) if state.exists else {}
+        now = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            names, arrived, us = (np.concatenate(c) for c in zip(*((b["src"].to_numpy(), b["arrival"].to_numpy(), b["us"].to_numpy()) for b in batches)))
+            who, names = pd.factorize(names)
+            order = np.lexsort((arrived, who))
+            who, us = who[order], us[order]
+            start = np.array([last.get(x, np.iinfo(np.int64).min) for x in names], np.int64)
+            seen = np.maximum(pd.Series(us).groupby(who).cummax().to_numpy(), start[who])  # up to and with each row
+            first = np.append(True, who[1:] != who[:-1])
+            counted = us > np.where(first, start[who], np.append(us[:1], seen[:-1]))
+            last.update(zip(names, seen[np.append(first[1:], True)].tolist()))
+            if counted.any():
+                yield pd.DataFrame({"src": names[who[counted]], "us": us[counted]})
+        last = {x: t for x, t in last.items() if ends(t) >= now}
+        if not last:
             state.remove()
             return
-        rows = [(b["arrival"].to_numpy(), b["us"].to_numpy()) for b in batches]
-        order = np.argsort(np.concatenate([a for a, _ in rows]), kind="stable")
-        us = np.concatenate([u for _, u in rows])[order]
-        last = state.get[0] if state.exists else np.iinfo(np.int64).min
-        seen = np.maximum.accumulate(np.append(last, us))
-        state.update((int(seen[-1]),))
-        state.setTimeoutTimestamp(max(int(seen[-1]) // 1000 + 1 + keep_ms, state.getCurrentWatermarkMs() + 1))
-        counted = us[us > seen[:-1]]
-        if len(counted):
-            yield pd.DataFrame({"src": key[0], "us": counted})
-
-    out = s.groupBy("src").applyInPandasWithState(count, "src string, us long", "last long", "append", "EventTimeTimeout")
+        state.update((list(last), list(last.values())))
+        state.setTimeoutTimestamp(max(ends(min(last.values())), now + 1))
+
+    s = s.withColumn("_group", F.pmod(F.xxhash64("src"), F.lit(groups)))
+    out = s.groupBy("_group").applyInPandasWithState(count, "src string, us long", "srcs array<string>, lasts array<long>", "append", "EventTimeTimeout")
     return out.select("src", from_epoch_us("us").alias("ts"))
 
 

@@ -182,3 +182,20 @@ def test_queries_on_empty_stored_tables(spark, tmp_path):
     assert A.top_anomalous_sources(a).count() == 0
     assert A.explain_anomalies(a, a).count() == 0
     assert ST.read_counter_totals(spark, str(tmp_path), ["k"]).count() == 0
+
+
+def test_many_sources_share_a_state_row(spark, tmp_path):
+    feed, out, ckpt = (str(tmp_path / x) for x in ("feed", "out", "ckpt"))
+    schema = "src string, ts timestamp_ntz, arrival long"
+    rng, seen, want = random.Random(4), {}, Counter()
+    for part in range(2):
+        rows = [(f"s{rng.randrange(40)}", START + dt.timedelta(hours=4 * part + rng.randrange(6)), i) for i in range(200)]
+        for s, t, _ in rows:
+            if s not in seen or seen[s] < t:
+                seen[s] = t
+                want[t] += 1
+        rng.shuffle(rows)
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(feed)
+        q = PK.stream_unique_sources(spark.readStream.schema(schema).parquet(feed), out, ckpt, "12 hours", groups=2)
+    assert {r["ts"]: r["value"] for r in PK.read_unique_sources(spark, out).collect()} == dict(want)
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
