@@ -74,43 +74,62 @@ def cut_bounds(bins: np.ndarray, w: np.ndarray, k: int, width: float) -> list[fl
     return [float((bins[np.argmax(cum * k >= cum[-1] * (i + 1))] + 1) * width) for i in range(k - 1)]
 
 
-def skew(bins: np.ndarray, w: np.ndarray, bounds: list[float], width: float) -> float:
-    """Chi-square statistic of the weights between the bounds against equal weights."""
-    part = np.searchsorted(np.array(bounds), (bins + 0.5) * width, "right")
-    seen = np.bincount(part, w, minlength=len(bounds) + 1)
-    e = seen.sum() / len(seen)
+def between(bins: np.ndarray, bounds: list[float], width: float) -> np.ndarray:
+    """Number of the part between the bounds that each bin is in."""
+    return np.searchsorted(np.array(bounds), (bins + 0.5) * width, "right")
+
+
+def skew(part: np.ndarray, w: np.ndarray, k: int) -> float:
+    """Chi-square statistic of the weights in the ``k`` parts against equal weights."""
+    seen = np.bincount(part, w, minlength=k)
+    e = seen.sum() / k
     return float(((seen - e) ** 2 / e).sum())
 
 
 def _advance(field: str, old: pd.DataFrame, new: pd.DataFrame, half_life: int, k: int, width: float, min_points: int, critical: float) -> list[tuple]:
-    """The state of one field after the blocks of a micro-batch, and the bounds in force in each of them."""
+    """The state of one field after the blocks of a micro-batch, and the bounds in force in each of them. The weights are
+    arrays over all bins that occur; a bin without a point yet weighs nothing and changes no sum."""
     state = old[old.kind == "state"]
     n = int(state.n.iloc[0]) if len(state) else 0
     bounds = list(state.bounds.iloc[0]) if len(state) and state.bounds.iloc[0] is not None else []
-    hist = dict(zip(*(old.loc[old.kind == "hist", c].tolist() for c in ("bin", "w"))))
-    part = dict(zip(*(old.loc[old.kind == "part", c].tolist() for c in ("bin", "w"))))
-    by_block = {b: g for b, g in new.groupby("block")}
+    kept = {kind: (g.bin.to_numpy().astype(np.int64), g.w.to_numpy().astype(np.float64)) for kind in ("hist", "part") for g in [old[old.kind == kind]]}
+    order = np.argsort(new.block.to_numpy(), kind="stable")
+    block_of, bin_of, w_of = (new[c].to_numpy()[order] for c in ("block", "bin", "w"))
+    bins = np.unique(np.concatenate([kept["hist"][0], kept["part"][0], bin_of.astype(np.int64)]))
+    place = np.searchsorted(bins, bin_of)
     done, upto = n // half_life, n + int(new.c.sum())
+    last = upto // half_life
+    edges = np.searchsorted(block_of, np.arange(done, last + 2))
+    hist, part = np.zeros(len(bins)), np.zeros(len(bins))
+    seen, opened = np.zeros(len(bins), bool), np.zeros(len(bins), bool)
+    for (b, w), weights, mark in ((kept["hist"], hist, seen), (kept["part"], part, opened)):
+        at = np.searchsorted(bins, b)
+        weights[at], mark[at] = w, True
+    cells = between(bins, bounds, width) if bounds else None
     out = []
-    for block in range(done, upto // half_life + 1):
-        weights = dict(part) if block == done else {}
-        if block in by_block:
-            for b, w in zip(by_block[block].bin.tolist(), by_block[block].w.tolist()):
-                weights[b] = weights.get(b, 0.0) + w
-        if block == upto // half_life:  # still open
+    for block in range(done, last + 1):
+        mine = slice(edges[block - done], edges[block - done + 1])
+        at = place[mine]  # a bin occurs once per block
+        part[at] += w_of[mine]
+        opened[at] = True
+        if block == last:  # still open
             out.append((field, "bounds", block, None, None, None, bounds or None, None, None))
-            part = weights
             break
-        hist = {b: hist.get(b, 0.0) * 0.5 + weights.get(b, 0.0) for b in hist.keys() | weights.keys()}
-        bins = np.array(sorted(hist))
-        w = np.array([hist[b] for b in bins])
-        chi2 = skew(bins, w, bounds, width) if bounds else None
+        hist *= 0.5
+        hist += part
+        seen |= opened
+        if block == done:
+            part[:], opened[:] = 0.0, False
+        else:
+            part[at], opened[at] = 0.0, False
+        chi2 = skew(cells, hist, k) if bounds else None
         out.append((field, "bounds", block, None, None, None, bounds or None, chi2, None if chi2 is None else chi2 > critical))
         if (block + 1) * half_life >= min_points and (not bounds or chi2 > critical):
-            bounds = cut_bounds(bins, w, k, width)
+            bounds = cut_bounds(bins, hist, k, width)
+            cells = between(bins, bounds, width)
     out.append((field, "state", None, None, None, upto, bounds or None, None, None))
-    out += [(field, "hist", None, b, w, None, None, None, None) for b, w in hist.items()]
-    out += [(field, "part", None, b, w, None, None, None, None) for b, w in part.items()]
+    for kind, weights, mark in (("hist", hist, seen), ("part", part, opened)):
+        out += [(field, kind, None, b, w, None, None, None, None) for b, w in zip(bins[mark].tolist(), weights[mark].tolist())]
     return out
 
 

@@ -199,3 +199,17 @@ def test_many_sources_share_a_state_row(spark, tmp_path):
         q = PK.stream_unique_sources(spark.readStream.schema(schema).parquet(feed), out, ckpt, "12 hours", groups=2)
     assert {r["ts"]: r["value"] for r in PK.read_unique_sources(spark, out).collect()} == dict(want)
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
+
+
+def test_blocks_are_not_grouped_one_by_one(monkeypatch):
+    import pandas as pd
+
+    names = [c.split()[0] for c in PK.STATE.split(", ")]
+    old = pd.DataFrame([("rs", "state", None, None, None, 3, [6.0, 10.0], None, None), ("rs", "hist", None, 1.0, 0.5, None, None, None, None),
+                        ("rs", "part", None, 4.0, 1.0, None, None, None, None)], columns=names)
+    new = pd.DataFrame([("rs", 2, 7, 1.0, 1), ("rs", 1, 4, 0.5, 1)], columns=["field", "block", "bin", "w", "c"])
+    monkeypatch.setattr(pd.DataFrame, "groupby", lambda *a, **k: 1 / 0)
+    rows = PK._advance("rs", old, new, 2, 3, 2.0, 100, 5.991)
+    assert [r[:3] + (r[6],) for r in rows if r[1] == "bounds"] == [("rs", "bounds", 1, [6.0, 10.0]), ("rs", "bounds", 2, [6.0, 10.0])]
+    assert [r[3:5] for r in rows if r[1] == "hist"] == [(1, 0.25), (4, 1.5)] and [r[3:5] for r in rows if r[1] == "part"] == [(7, 1.0)]
+    assert [r[5] for r in rows if r[1] == "state"] == [5]
