@@ -50,6 +50,13 @@ def anomaly_flags(counts: DataFrame, lookback: int = 10, mean_threshold: float =
     return c.withColumn("flag", mean_ok & dev_ok).where("_old = 0").drop("_old", "_run")
 
 
+def could_flag(n, mean_threshold: float = 2.0, sensitivity: float = 2.0) -> F.Column:
+    """Whether :func:`anomaly_flags` can flag a bucket with this count, whatever its history: with ``v = n - 1`` a flag
+    needs ``S + v > t (L + 1)`` and, as a deviation is not negative, ``L v > S``, hence ``v > t``. A negative
+    ``sensitivity`` allows any count."""
+    return n - 1 > F.lit(float(mean_threshold)) if sensitivity >= 0 else n.isNotNull()
+
+
 def detect_anomalies(counts: DataFrame, interval, lookback: int = 10, mean_threshold: float = 2.0,
                      sensitivity: float = 2.0) -> DataFrame:
     """N8 + N9: the flagged buckets, once per (series_key, bucket), as anomaly

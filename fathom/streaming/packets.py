@@ -51,14 +51,20 @@ def read_bounds(spark: SparkSession, path: str) -> dict[str, list[float]]:
 def packet_counts(bodies: DataFrame, bounds: dict[str, list[float]], interval, watermark, required=("src",), max_size: int = 2,
                   labels=FA.CATEGORIES) -> DataFrame:
     """N1 -> N3 -> N6 -> N7 on a stream of ``ts, body``: ``series_key, src, bucket, n`` of closed buckets. A field
-    without bounds is removed, as it is before there are enough points."""
+    without bounds is removed, as it is before there are enough points.
+
+    As in :func:`fathom.operators.facts.fanned_counts` facts are counted first: the state has one row per bucket and
+    combination of dimensions, and what leaves it is fanned out. A series has a row per combination that it covers; all
+    of a bucket leave in the micro-batch that closes it, and their ``n`` add up
+    (:func:`fathom.streaming.streams.stream_anomalies` sums them)."""
     facts = event_time(FA.parse_facts(bodies)).withWatermark("event_time", _seconds(watermark))
     facts = FA.label_numbers(facts, bounds, labels)
-    fanned = FA.fanout_dimensions(facts, required, max_size, keep=("event_time",))
     w = F.window("event_time", _seconds(interval)).alias("w")
-    counts = fanned.groupBy("series_key", F.col("dims").getItem("src").alias("src"), w).agg(F.count(F.lit(1)).alias("n"))
+    counts = facts.groupBy(F.sort_array(F.map_entries("dims")).alias("_e"), w).agg(F.count(F.lit(1)).alias("n"))
     bucket = (F.unix_micros(F.col("w.start")) / F.lit(micros_of(interval))).cast("long").alias("bucket")
-    return counts.select("series_key", "src", bucket, "n")
+    closed = counts.select(F.map_from_entries("_e").alias("dims"), bucket, "n")
+    fanned = FA.fanout_dimensions(closed, required, max_size, keep=("bucket", "n"))
+    return fanned.select("series_key", F.col("dims").getItem("src").alias("src"), "bucket", "n")
 
 
 # --- N4, N5: histograms that decay by the number of points --------------------

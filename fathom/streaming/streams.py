@@ -91,36 +91,41 @@ def stream_anomalies(counts_stream: DataFrame, counts_path: str, anomalies_path:
     a batch reads back only the dates that its own buckets and their ``lookback`` touch. With ``counters_path``,
     the anomalous series per bucket (N12) are kept as counters, too: a (series, bucket) closes once, so the sum
     over batches counts distinct series. ``carry`` names string columns that depend on the series alone and go on
-    with its anomalies. All writes are keyed by batch id; a replay rewrites the same rows."""
+    with its anomalies. Rows of a (series, bucket) add up; all of them come in the micro-batch that closes the bucket. All
+    writes are keyed by batch id; a replay rewrites the same rows.
+
+    The sums are written, then read back. Only series with a count in the batch that could be flagged at all
+    (:func:`fathom.operators.anomaly.could_flag`) meet their history."""
 
     def dated(df: DataFrame) -> DataFrame:
         return df.withColumn("date", F.to_date(bucket_start("bucket", interval)))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.select("series_key", "bucket", "n", *carry).persist()
-        try:
-            dated(batch.select("series_key", "bucket", "n")).hint("rebalance", "date").write.mode("overwrite").partitionBy("date").parquet(f"{counts_path}/batch={batch_id}")
-            edge = batch.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).first()
-            if edge["lo"] is None:
-                return
-            day = lambda b: F.to_date(bucket_start(F.lit(b), interval))
-            span = batch.groupBy("series_key").agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
-            hist = spark.read.schema("series_key string, bucket bigint, n bigint, batch bigint, date date").parquet(counts_path)
-            hist = hist.where((F.col("date") >= day(edge["lo"] - lookback)) & (F.col("date") <= day(edge["hi"])))
-            # rows of a later batch id are of a run that failed after writing them
-            hist = hist.where(F.col("batch") <= batch_id).join(span, "series_key") \
-                .where((F.col("bucket") >= F.col("lo") - lookback) & (F.col("bucket") <= F.col("hi"))) \
-                .select("series_key", "bucket", "n")
-            flags = A.anomaly_flags(hist, lookback, mean_threshold, sensitivity).where("flag")
-            mine = batch.join(flags.select("series_key", "bucket"), ["series_key", "bucket"], "left_semi")
-            out = f"{anomalies_path}/batch={batch_id}"
-            dated(mine).hint("rebalance", "date").write.mode("overwrite").partitionBy("date").parquet(out)
-            if counters_path:
-                found = spark.read.schema("bucket bigint, date date").parquet(out)
-                found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{counters_path}/batch={batch_id}")
-        finally:
-            batch.unpersist()
+        mine = f"{counts_path}/batch={batch_id}"
+        sums = batch.groupBy("series_key", "bucket").agg(F.sum("n").cast("long").alias("n"), *[F.first(c).alias(c) for c in carry])
+        dated(sums).hint("rebalance", "date").write.mode("overwrite").partitionBy("date").parquet(mine)
+        row = "series_key string, bucket bigint, n bigint"
+        batch = spark.read.schema(row + "".join(f", {c} string" for c in carry) + ", date date").parquet(mine).drop("date")
+        edge = batch.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).first()
+        if edge["lo"] is None:
+            return
+        day = lambda b: F.to_date(bucket_start(F.lit(b), interval))
+        some = batch.where(A.could_flag(F.col("n"), mean_threshold, sensitivity))
+        span = some.groupBy("series_key").agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
+        hist = spark.read.schema(f"{row}, batch bigint, date date").parquet(counts_path)
+        hist = hist.where((F.col("date") >= day(edge["lo"] - lookback)) & (F.col("date") <= day(edge["hi"])))
+        # rows of a later batch id are of a run that failed after writing them
+        hist = hist.where(F.col("batch") <= batch_id).join(span, "series_key") \
+            .where((F.col("bucket") >= F.col("lo") - lookback) & (F.col("bucket") <= F.col("hi"))) \
+            .select("series_key", "bucket", "n")
+        flags = A.anomaly_flags(hist, lookback, mean_threshold, sensitivity).where("flag")
+        found = some.join(flags.select("series_key", "bucket"), ["series_key", "bucket"], "left_semi")
+        out = f"{anomalies_path}/batch={batch_id}"
+        dated(found).hint("rebalance", "date").write.mode("overwrite").partitionBy("date").parquet(out)
+        if counters_path:
+            found = spark.read.schema("bucket bigint, date date").parquet(out)
+            found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{counters_path}/batch={batch_id}")
 
     run_available_now(counts_stream.writeStream.outputMode("append").foreachBatch(write)
                       .option("checkpointLocation", checkpoint), name)

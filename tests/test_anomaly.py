@@ -96,3 +96,13 @@ def test_history_runs_do_not_change_flags(spark):
     whole = sorted(map(tuple, A.anomaly_flags(c).select("series_key", "bucket", "flag").collect()))
     for chunk in (10, 13, 25):
         assert sorted(map(tuple, A.anomaly_flags(c, chunk=chunk).select("series_key", "bucket", "flag").collect())) == whole
+
+
+def test_only_counts_that_could_flag_are_flagged(spark):
+    rnd = random.Random(9)
+    rows = [(f"k{k}", b, rnd.choice([1, 1, 2, 3, 4, 5, 24, 30])) for k in range(60) for b in range(30) if rnd.random() < 0.3]
+    df = spark.createDataFrame(rows, "series_key string, bucket long, n long")
+    for t, s in ((2.0, 2.0), (0.5, 0.0), (1.0, -3.0)):
+        flagged = A.anomaly_flags(df, 10, t, s).where("flag")
+        assert flagged.count() and flagged.where(~A.could_flag(flagged["n"], t, s)).count() == 0
+    assert df.where(A.could_flag(df["n"])).count() == sum(n > 3 for _, _, n in rows)

@@ -201,6 +201,15 @@ def test_many_sources_share_a_state_row(spark, tmp_path):
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
 
 
+def test_packet_state_has_a_row_per_combination(spark, tmp_path):
+    rows = [(START + dt.timedelta(minutes=i), f"{{'src': 's{i % 2}', 'app': 'a', 'dst': 'd', 'ipv': '4'}}") for i in range(30)]
+    feed, ckpt = str(tmp_path / "feed"), str(tmp_path / "ckpt")
+    spark.createDataFrame(rows, BODY).write.parquet(feed)
+    s = PK.packet_counts(spark.readStream.schema(BODY).parquet(feed), {}, "1 hour", "1 hour")
+    q = ST.run_available_now(s.writeStream.foreachBatch(lambda b, i: b.count()).option("checkpointLocation", ckpt), "state")
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 2  # not 2 x 7 subsets
+
+
 def test_blocks_are_not_grouped_one_by_one(monkeypatch):
     import pandas as pd
 
