@@ -111,8 +111,8 @@ def unrated_candidate_counts(ratings: DataFrame, items: DataFrame) -> DataFrame:
     rated. Counted, not enumerated: |dictionary| minus the user's distinct
     rated items that are in the dictionary.
 
-    One pass: the ratings meet the dictionary by item, so a pair's repeats are in one task already, and marks are summed
-    per user. Pairs are dealt to tasks without an aggregation before it, which would hold nearly all of them in vain."""
+    The ratings meet the dictionary once; where they are dealt out by item for that, a pair's repeats are in one task
+    already. Marks are summed per user."""
     dict_items = items.select("item_id").distinct().withColumn("_known", F.lit(1))
     n_dict = dict_items.count()
     rated = ratings.select("user_id", "item_id").join(dict_items, "item_id", "left")
