@@ -57,6 +57,21 @@ def could_flag(n, mean_threshold: float = 2.0, sensitivity: float = 2.0) -> F.Co
     return n - 1 > F.lit(float(mean_threshold)) if sensitivity >= 0 else n.isNotNull()
 
 
+SLOTS = 1 << 22  # of series by hash, a power of two; at most that many rows go to all tasks
+
+
+def series_that_could_flag(counts: DataFrame, key: str = "series_key", mean_threshold: float = 2.0, sensitivity: float = 2.0,
+                           slots: int = SLOTS) -> DataFrame:
+    """The rows of ``counts`` (``n`` and ``key``) whose series may have a flagged bucket: those with a count that
+    :func:`could_flag` allows, with their whole history, so :func:`anomaly_flags` flags the same buckets of them. Series
+    are told apart by slots of their hash; one that shares a slot with another is kept needlessly, none is lost.
+    The slots go to all tasks, so what is left out is never sorted or sent by series."""
+    marked = counts.withColumn("_slot", F.xxhash64(key).bitwiseAND(F.lit(slots - 1)).cast("int"))
+    some = marked.where(could_flag(F.col("n"), mean_threshold, sensitivity)).select("_slot").distinct()
+    # distinct slots, so at most one match; unlike a semi-join it stays above the count, whose rows both sides read
+    return marked.join(F.broadcast(some), "_slot").drop("_slot")
+
+
 def detect_anomalies(counts: DataFrame, interval, lookback: int = 10, mean_threshold: float = 2.0,
                      sensitivity: float = 2.0) -> DataFrame:
     """N8 + N9: the flagged buckets, once per (series_key, bucket), as anomaly

@@ -285,16 +285,26 @@ def fanned_counts(facts: DataFrame, interval, required=("src",), max_size: int =
     every distinct combination is fanned out once with its count, and the subsets' counts are summed per
     (bucket, entries). The entries are the only key; ``series_key`` and ``dims`` are made from the result rows.
     Returns ``series_key, bucket, n, dims``."""
+    return keyed_counts(entry_counts(facts, interval, required, max_size, dims, ts))
+
+
+def keyed_counts(counts: DataFrame) -> DataFrame:
+    """``series_key, bucket, n, dims`` of :func:`entry_counts`."""
+    return counts.select(entries_key("entries").alias("series_key"), "bucket", "n", F.map_from_entries("entries").alias("dims"))
+
+
+def entry_counts(facts: DataFrame, interval, required=("src",), max_size: int = 2, dims: str = "dims", ts: str = "ts") -> DataFrame:
+    """The counts of :func:`fanned_counts` by the sorted entries of a series: ``bucket, entries, n``."""
     f = ensure_ntz(facts, ts).withColumn("bucket", bucket_index(ts, interval))
     f = f.withColumn("_entries", F.sort_array(F.map_entries(dims)))
     distinct = f.groupBy("bucket", "_entries").agg(F.count(F.lit(1)).alias("n"))
     is_req = lambda e: e["key"].isin(*required) if required else F.lit(False)
     d = distinct.withColumn("_req", F.filter("_entries", is_req)).withColumn("_rest", F.filter("_entries", lambda e: ~is_req(e)))
-    d = d.where(F.size("_req") == len(set(required)))
-    d = d.select("bucket", "n", "_req", "_rest", F.explode(index_subsets_fast(F.size("_rest"), max_size)).alias("_s"))
+    # no subsets without the required ones: a filter would be pushed below the count and repeat all that made the dims
+    subsets = F.when(F.size("_req") == len(set(required)), index_subsets_fast(F.size("_rest"), max_size))
+    d = d.select("bucket", "n", "_req", "_rest", F.explode(subsets).alias("_s"))
     picked = F.transform("_s", lambda i: F.element_at(F.col("_rest"), i + 1))
-    counts = d.groupBy("bucket", F.sort_array(F.concat(picked, F.col("_req"))).alias("_e")).agg(F.sum("n").cast("long").alias("n"))
-    return counts.select(entries_key("_e").alias("series_key"), "bucket", "n", F.map_from_entries("_e").alias("dims"))
+    return d.groupBy("bucket", F.sort_array(F.concat(picked, F.col("_req"))).alias("entries")).agg(F.sum("n").cast("long").alias("n"))
 
 
 def fanout_rejects(facts: DataFrame, required=("src",), dims: str = "dims") -> DataFrame:

@@ -46,8 +46,8 @@ def _counts(spark, sf, dims=None, interval="1 day"):
 
 
 def _detected(spark, sf, dims=None, interval="1 day"):
-    counts = FA.fanned_counts(_categorized(spark, sf, dims), interval, required=("src",), max_size=2)
-    return A.detect_anomalies(counts, interval)
+    counts = FA.entry_counts(_categorized(spark, sf, dims), interval, required=("src",), max_size=2)
+    return A.detect_anomalies(FA.keyed_counts(A.series_that_could_flag(counts, "entries")), interval)
 
 
 def _anomalies(spark, sf, dims=None, interval="1 day"):

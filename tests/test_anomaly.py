@@ -1,6 +1,8 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from fathom.operators import anomaly as A
 
 
@@ -106,3 +108,29 @@ def test_only_counts_that_could_flag_are_flagged(spark):
         flagged = A.anomaly_flags(df, 10, t, s).where("flag")
         assert flagged.count() and flagged.where(~A.could_flag(flagged["n"], t, s)).count() == 0
     assert df.where(A.could_flag(df["n"])).count() == sum(n > 3 for _, _, n in rows)
+
+
+def test_only_series_that_could_flag_meet_their_history(spark):
+    rnd = random.Random(4)
+    rows = [(f"k{k}", b, rnd.choice([1, 2, 3] if k % 3 else [1, 2, 3, 4, 30])) for k in range(90) for b in range(30) if rnd.random() < 0.4]
+    df = spark.createDataFrame([*rows, (None, 3, 40), (None, 4, 1)], "series_key string, bucket long, n long")
+    flags = lambda d: sorted((str(r["series_key"]), r["bucket"]) for r in A.anomaly_flags(d).where("flag").collect())
+    kept = A.series_that_could_flag(df)
+    assert flags(df) and flags(kept) == flags(df)
+    want = {None} | {k for k, _, n in rows if n > 3}
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted((r for r in map(tuple, df.collect()) if r[0] in want), key=str)
+    # whatever shares a slot, nothing is lost
+    assert kept.count() < A.series_that_could_flag(df, slots=1).count() == df.count()
+
+
+def test_detection_sends_only_series_that_could_flag(spark):
+    from fathom.operators import facts as FA
+
+    rows = [("2024-01-01 00:00:00", {"src": "1", "app": "a"})] * 30 + [("2024-01-01 00:00:00", {"src": str(i), "app": "b"}) for i in range(2, 40)]
+    facts = spark.createDataFrame(rows, "ts string, dims map<string,string>").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    counts = FA.entry_counts(facts, "1 day")
+    kept = FA.keyed_counts(A.series_that_could_flag(counts, "entries"))
+    whole = FA.fanned_counts(facts, "1 day")
+    assert (whole.count(), kept.count()) == (78, 2)
+    rows_of = lambda d: sorted((r["series_key"], r["bucket"], r["n"], sorted(r["dims"].items())) for r in A.detect_anomalies(d, "1 day").collect())
+    assert len(rows_of(kept)) == 2 and rows_of(kept) == rows_of(whole)
