@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from fathom.llm.textio import CACHE, docs_of, map_batches
+from fathom.llm.textio import CACHE, LOADED, docs_of, map_batches
 
 ROWS = 2048  # texts encoded at once: the more, the more often a piece is looked up for several places
 SPACE_BEFORE_SPACE = re.compile(r" (?!\S)")
@@ -266,15 +266,12 @@ class PieceEncoder:
         return known, {x: b"".join([words[w] for w in ws]) for x, ws in tops.items()}
 
 
-_LOADED: dict[str, tuple[Vocabulary, PieceEncoder]] = {}
-
-
 def load(path: str) -> tuple[Vocabulary, PieceEncoder]:
-    """Vocabulary and encoder of a task, read once per Python worker."""
-    if path not in _LOADED:
+    """Vocabulary and encoder of a task, read once per Python worker and held until a task of another kind runs there."""
+    if path not in LOADED:
         v = Vocabulary(path)
-        _LOADED[path] = v, PieceEncoder(path, v.encode_words, v.special)
-    return _LOADED[path]
+        LOADED[path] = v, PieceEncoder(path, v.encode_words, v.special)
+    return LOADED[path]
 
 
 def encode(docs: DataFrame, vocab_path: str) -> DataFrame:
@@ -285,7 +282,7 @@ def encode(docs: DataFrame, vocab_path: str) -> DataFrame:
         ids = enc.encode_batch(b.column("text").to_pylist())
         return {"doc_id": b.column("doc_id"), "ids": [np.frombuffer(x, "<u4").astype(np.int32) for x in ids]}
 
-    return map_batches(docs_of(docs, "doc_id", "text"), run, "doc_id bigint, ids array<int>", ROWS)
+    return map_batches(docs_of(docs, "doc_id", "text"), run, "doc_id bigint, ids array<int>", ROWS, keep=True)
 
 
 def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
@@ -296,7 +293,7 @@ def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
         text = [b"".join(map(v.bytes.__getitem__, ids or ())).decode("utf-8", "replace") for ids in b.column("ids").to_pylist()]
         return {"doc_id": b.column("doc_id"), "text": text}
 
-    return map_batches(encoded.select("doc_id", "ids"), run, "doc_id bigint, text string")
+    return map_batches(encoded.select("doc_id", "ids"), run, "doc_id bigint, text string", keep=True)
 
 
 def round_trip(docs: DataFrame, vocab_path: str, with_ids: bool = False) -> DataFrame:
@@ -316,4 +313,4 @@ def round_trip(docs: DataFrame, vocab_path: str, with_ids: bool = False) -> Data
         return {"doc_id": b.column("doc_id"), "n_tokens": n, "ids_sha256": d_ids, "decoded_sha256": d_text} | ({"ids": out} if with_ids else {})
 
     return map_batches(docs_of(docs, "doc_id", "text"), run,
-                       "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""), ROWS)
+                       "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""), ROWS, keep=True)

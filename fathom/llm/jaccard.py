@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.textio import WordHashes, docs_of, map_batches, mix, slices, window_hashes
+from fathom.llm.textio import WordHashes, docs_of, map_batches, mix, slices, tidy, window_hashes
 from fathom.session import scratch_path
 
 WORDS, PERCENT = 5, 75
@@ -120,9 +120,9 @@ def profile(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             classes = [(2 * np.log2(x + 1)).astype(np.uint8).tobytes() for x in total.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(classes, pa.binary())], names=["part", "counts"])
 
-    docs_of(docs, "doc_id", "text").mapInArrow(run, schema).write.parquet(path)
+    docs_of(docs, "doc_id", "text").mapInArrow(tidy(run), schema).write.parquet(path)
     rows = spark.read.parquet(path)
-    sums = rows.where("part is not null").select("part", "counts").repartition("part").mapInArrow(add, "part int, counts binary").toArrow()
+    sums = rows.where("part is not null").select("part", "counts").repartition("part").mapInArrow(tidy(add), "part int, counts binary").toArrow()
     sketch = np.zeros(1 << SKETCH_BITS, np.uint8)
     for part, raw in zip(sums.column("part").to_pylist(), sums.column("counts").to_pylist()):
         sketch[part * SKETCH_PART:(part + 1) * SKETCH_PART] = np.frombuffer(raw, np.uint8)
@@ -172,7 +172,7 @@ def tiles(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
             yield rows(held, np.zeros(1, np.int64))
 
     rows = map_batches(docs_of(docs, "text"), run, "key bigint, place bigint, node bigint")
-    return rows.repartition("key").sortWithinPartitions("key", "place", "node").mapInArrow(shared, "key bigint, n int, pos int, node bigint")
+    return rows.repartition("key").sortWithinPartitions("key", "place", "node").mapInArrow(tidy(shared), "key bigint, n int, pos int, node bigint")
 
 
 def star_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -336,7 +336,7 @@ def tile_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
             yield from tiles_of(pa.Table.from_batches(held))
 
     tiles_in = laid.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "n", "node")
-    return tiles_in.mapInArrow(run, "a bigint, b bigint").distinct()
+    return tiles_in.mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
 def link(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:

@@ -29,7 +29,7 @@ from hashlib import sha256
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.textio import WordHashes, map_batches, numbered_columns, slices, window_hashes
+from fathom.llm.textio import WordHashes, map_batches, numbered_columns, slices, tidy, window_hashes
 from fathom.session import scratch_path
 
 K, M = 50, 8
@@ -176,7 +176,7 @@ def _bucket_hits(strings: DataFrame, k: int) -> DataFrame:
             yield chunk(digests, words, firsts)
 
     parts = strings.repartition("minimiser").sortWithinPartitions("minimiser")
-    return parts.select("minimiser", "digest", "words", "first").mapInArrow(run, "digest binary, hits array<int>")
+    return parts.select("minimiser", "digest", "words", "first").mapInArrow(tidy(run), "digest binary, hits array<int>")
 
 
 def _counted_hits(strings: DataFrame, k: int) -> DataFrame:
@@ -271,4 +271,4 @@ def deduplicate(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> Data
 
     spans = repeated_spans(docs, k, m, hot).select(F.col("doc_id").alias(doc_id), "row", "spans")
     joined = rows.withColumn("row", F.xxhash64(F.coalesce(text, F.lit("")))).join(spans, [doc_id, "row"], "left").select(*names, "spans")
-    return joined.mapInArrow(run, rows.schema).toDF(*docs.columns)
+    return joined.mapInArrow(tidy(run), rows.schema).toDF(*docs.columns)

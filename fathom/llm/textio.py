@@ -6,7 +6,8 @@ Words are maximal runs of bytes outside ``\\x20 \\x09-\\x0D``. On UTF-8 bytes th
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from fathom.session import scratch_path
 
 ROWS = 512  # rows handled at once inside a task; bounds the memory of a batch
 CACHE = 250_000  # entries of a task's word caches; a full cache is emptied, results never depend on it
+LOADED: dict = {}  # what the tasks of one operator read once per Python worker, with its caches
 
 
 class WordHashes(dict):
@@ -76,8 +78,31 @@ def slices(batch: pa.RecordBatch, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, rows)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, rows: int = ROWS) -> DataFrame:
-    """``mapInArrow`` over small slices; ``fn`` returns one list or array per output column."""
+def give_back(keep: bool = False) -> None:
+    """Frees what a reused worker still holds of earlier tasks: Arrow's and malloc's unused memory and, unless the
+    task is of the kind that wants it (``keep``), all that is in ``LOADED``."""
+    if not keep:
+        LOADED.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: bool = False) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, its worker tidied up before and after the task (:func:`give_back`)."""
+
+    def tidied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(keep)
+        yield from run(batches)
+        give_back(keep)
+
+    return tidied
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, rows: int = ROWS, keep: bool = False) -> DataFrame:
+    """``mapInArrow`` over small slices; ``fn`` returns one list or array per output column. ``keep``: it uses
+    ``LOADED``."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -89,9 +114,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], sche
                 cols = fn(part)
                 if cols is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in out], schema=out)
-        pa.default_memory_pool().release_unused()  # a reused worker does not keep a task's buffers
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run, keep), schema)
 
 
 def docs_of(df: DataFrame, *cols: str) -> DataFrame:

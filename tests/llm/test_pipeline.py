@@ -52,6 +52,38 @@ def test_stages(spark, tables):
         assert list(r.ids) == ids and r.ids_sha256 == sha256(",".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_a_reused_worker_drops_the_vocabulary_for_other_tasks():
+    """A worker that has encoded holds the vocabulary for the next encoding task and drops it when another stage comes."""
+    import gc
+
+    import pyarrow as pa
+
+    from fathom.llm import bpe, quality, textio
+    from fathom.llm.queries import vocab
+
+    class Frame:  # what mapInArrow is given, as a worker would run it
+        columns, schema, dtypes = ["text"], None, []
+
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            tasks.append(run)
+            return self
+
+    tasks = []
+    held = lambda: sum(isinstance(x, (bpe.Vocabulary, bpe.PieceEncoder)) for x in gc.get_objects())
+    textio.map_batches(Frame(), lambda b: None, "x int")
+    textio.map_batches(Frame(), lambda b: {"x": [len(bpe.load(vocab())[1].encode_batch(["a b"]))]}, "x int", keep=True)
+    quality.keep_good(Frame(), None)
+    other, encoding, rules = tasks
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b"])], names=["text"])
+    for task in (other, rules):
+        assert [b.to_pydict() for b in encoding(iter([batch]))] == [{"x": [1]}] and held() == 2
+        list(task(iter([])))
+        assert held() == 0
+
+
 def test_registration():
     import __spark_entry__ as entry
     import corpus_pipeline
