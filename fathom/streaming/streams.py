@@ -144,26 +144,55 @@ def fresh_paths(spark: SparkSession, name: str) -> dict:
 
 def stream_sliding_top(stream: DataFrame, value_col: str, width, slide, limit: int, watermark, out_path: str,
                        checkpoint: str, ts: str = "ts", name: str = "sliding_top") -> None:
-    """Streaming N17: sliding-window counts per value with a watermark
-    (append mode emits each window once, complete); each micro-batch ranks the
-    windows it closes and writes their top ``limit`` keyed by batch id."""
+    """Streaming N17: sliding-window counts per value with a watermark; each micro-batch ranks the windows that it
+    closes and writes their top ``limit`` keyed by batch id. A window closes once, when the latest event so far is
+    ``watermark`` past its end; a late row counts in those of its windows that were open before its micro-batch.
+
+    What is kept is a row per value and unit of time (the largest that divides width and slide), not one per value and
+    window: a micro-batch appends its counts to ``<out_path>-units``, with the first window that was open to them, and its
+    latest event to ``<out_path>-edges``. Closing windows read the units that they cover back, by date; a value's units are
+    dealt to one task and spread over the windows there. All writes are keyed by batch id; a replay rewrites the same rows."""
+    from math import gcd
+
     from pyspark.sql import Window
 
-    s = event_time(stream.where(F.col(value_col).isNotNull()), ts) \
-        .withWatermark("event_time", f"{micros_of(watermark) // 1_000_000} seconds")
-    w = F.window("event_time", f"{micros_of(width) // 1_000_000} seconds", f"{micros_of(slide) // 1_000_000} seconds")
-    counts = s.groupBy(w.alias("w"), F.col(value_col).alias("value")).agg(F.count(F.lit(1)).alias("count"))
+    wide, step, delay = micros_of(width), micros_of(slide), micros_of(watermark) // 1_000_000 * 1_000_000
+    size = gcd(wide, step)
+    unit, kind = f"{size} microseconds", stream.schema[value_col].dataType.simpleString()
+    units, edges = f"{out_path}-units", f"{out_path}-edges"
+    down = lambda x, n: ((x - F.pmod(x, F.lit(n))) / F.lit(n)).cast("long")  # noqa: E731  x / n, rounded down
+
+    def first_open(edge: int | None) -> int:
+        """The first window that is open after events up to ``edge``, milliseconds; watermarks start at 0."""
+        return (max(0, 0 if edge is None else edge * 1000 - delay) - wide) // step + 1
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        r = Window.partitionBy("window_start").orderBy(F.col("count").desc(), F.col("value").asc())
-        top = batch.select(F.col("w.start").alias("window_start"), "value", "count") \
-            .withColumn("rank", F.row_number().over(r).cast("long")).where(F.col("rank") <= limit)
-        top.withColumn("window_start", F.timestamp_add("MICROSECOND", F.unix_micros("window_start"),
-                                                       F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))) \
+        spark = batch.sparkSession
+        batch.agg(F.max(down(epoch_us(ts), 1000)).alias("edge")).write.mode("overwrite").parquet(f"{edges}/batch={batch_id}")
+        # rows of a later batch id are of a run that failed after writing them
+        seen = spark.read.schema("edge bigint, batch bigint").parquet(edges).where(F.col("batch") <= batch_id)
+        edge = seen.agg(F.max(F.when(F.col("batch") < batch_id, F.col("edge"))).alias("before"), F.max("edge").alias("now")).first()
+        low, high = first_open(edge["before"]), first_open(edge["now"])  # windows from low and before high close now
+        counts = batch.groupBy(F.col(value_col).alias("value"), down(epoch_us(ts), size).alias("unit")).agg(F.count(F.lit(1)).alias("n"))
+        dated = counts.withColumn("open", F.lit(low).cast("long")).withColumn("date", F.to_date(bucket_start("unit", unit)))
+        dated.hint("rebalance", "date").write.mode("overwrite").partitionBy("date").parquet(f"{units}/batch={batch_id}")
+
+        day = lambda micros: F.to_date(bucket_start(F.lit(micros // size), unit))
+        kept = spark.read.schema(f"value {kind}, unit bigint, n bigint, open bigint, batch bigint, date date").parquet(units)
+        kept = kept.where((F.col("batch") <= batch_id) & (F.col("date") >= day(low * step)) & (F.col("date") <= day(high * step + wide)))
+        start = F.col("unit") * F.lit(size)
+        first = F.greatest(-down(F.lit(wide - size) - start, step), F.col("open"), F.lit(low))
+        last = F.least(down(start, step), F.lit(high - 1))
+        mine = kept.select("value", "n", first.alias("first"), last.alias("last")).where("first <= last").repartition("value")
+        spread = mine.select("value", "n", F.explode(F.sequence("first", "last")).alias("w"))
+        sums = spread.groupBy("value", "w").agg(F.sum("n").cast("long").alias("count"))
+        r = Window.partitionBy("w").orderBy(F.col("count").desc(), F.col("value").asc())
+        top = sums.withColumn("rank", F.row_number().over(r).cast("long")).where(F.col("rank") <= limit)
+        top.select(bucket_start("w", slide).alias("window_start"), "value", "count", "rank") \
             .write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
-    run_available_now(counts.writeStream.outputMode("append").foreachBatch(write)
-                      .option("checkpointLocation", checkpoint), name)
+    rows = stream.where(F.col(value_col).isNotNull() & F.col(ts).isNotNull()).select(value_col, ts)
+    run_available_now(rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), name)
 
 
 def stream_sentiment_series(scored_stream: DataFrame, out_path: str, checkpoint: str, name: str = "series") -> None:

@@ -76,6 +76,39 @@ def test_counter_store_rerun_without_rows(spark):
     assert [r["n"] for r in stores.counter_totals(left, ["k"], ["n"]).collect()] == [5]
 
 
+def test_sliding_top_keeps_a_row_per_value_and_hour(spark, tmp_path):
+    """Late rows count in the windows still open to them and in no other; a replayed batch changes nothing."""
+    rng, hour = random.Random(9), dt.timedelta(hours=1)
+    at = lambda lo, hi: START + dt.timedelta(seconds=rng.randrange(int(lo * 3600), int(hi * 3600)))
+    parts = [[(0, at(0, 12), u, "x") for u in range(6) for _ in range(15)], [(0, at(2, 20), u, "x") for u in range(8) for _ in range(9)],
+             [(0, at(0, 30), u, "x") for u in range(8) for _ in range(9)] + [(0, None, 3, "x"), (0, at(0, 30), None, "x")], [(0, START + 90 * hour, 0, "x")]]
+    want, open_, seen, closed = {}, {}, None, START - 99 * hour
+    for rows in parts:
+        rows = [r for r in rows if r[1] is not None and r[2] is not None]
+        for _, t, u, _ in rows:
+            h = t.replace(minute=0, second=0)
+            for w in (h - i * hour for i in range(6)):
+                if w + 6 * hour > closed and (w - START) // hour % 2 == 0:
+                    open_.setdefault(w, {}).setdefault(u, []).append(t)
+        seen = max([t for _, t, _, _ in rows] + ([seen] if seen else []))
+        closed = seen - hour
+        for w in [w for w in open_ if w + 6 * hour <= closed]:
+            ranked = sorted((-len(ts), u) for u, ts in open_.pop(w).items())[:3]
+            want |= {(w, u): (-n, i + 1) for i, (n, u) in enumerate(ranked)}
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    start = lambda s, c=ckpt: ST.stream_sliding_top(s, "user_id", "6 hours", "2 hours", 3, "1 hour", out, c)
+    got = lambda: {(r["window_start"], r["value"]): (r["count"], r["rank"]) for r in spark.read.parquet(out).collect()}
+    _run(spark, tmp_path, parts, start)
+    assert len(want) > 30 and got() == want
+    kept = {(i, u, (t - START) // (2 * hour)) for i, p in enumerate(parts) for _, t, u, _ in p if t and u is not None}
+    assert spark.read.parquet(out + "-units").count() == len(kept)
+    again = str(tmp_path / "again")  # the last batch had written its rows but not finished
+    last = max((x for x in os.listdir(f"{ckpt}/commits") if x.isdigit()), key=int)
+    shutil.copytree(ckpt, again, ignore=lambda d, names: [x for x in names if os.path.basename(d) == "commits" and last in x])
+    start(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "feed")), again)
+    assert got() == want
+
+
 def test_counter_snapshots(spark, tmp_path):
     """Totals read the snapshot and the open batches only; a fold that stops half-way and replays change nothing."""
     store = stores.CounterStore(spark, str(tmp_path / "c"), {"k": "string"})
