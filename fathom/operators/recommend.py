@@ -86,14 +86,18 @@ def train_als(ratings: DataFrame, rank: int = 10, max_iter: int = 10, reg: float
               checkpoint_interval: int = 10) -> ALSModel:
     """M6: Spark ML ALS on (user_id, item_id, rating); implicit mode maps the
     ratings through :func:`implicit_confidence`. Long runs checkpoint to the
-    session's shared checkpoint folder every ``checkpoint_interval`` iterations."""
+    session's shared checkpoint folder every ``checkpoint_interval`` iterations.
+
+    The ratings that ALS keeps in blocks for all iterations, and the factors, are kept on disk: a block is read whole by
+    one task at a time, and in memory all of them stood beside the tasks that build the next ones."""
     from fathom.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(ratings.sparkSession)
     data = implicit_confidence(ratings, implicit).select("user_id", "item_id", "rating")
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg, implicitPrefs=implicit, alpha=alpha,
               numUserBlocks=user_blocks, numItemBlocks=item_blocks, userCol="user_id", itemCol="item_id",
-              ratingCol="rating", coldStartStrategy="drop", seed=seed, checkpointInterval=checkpoint_interval)
+              ratingCol="rating", coldStartStrategy="drop", seed=seed, checkpointInterval=checkpoint_interval,
+              intermediateStorageLevel="DISK_ONLY", finalStorageLevel="DISK_ONLY")
     return als.fit(data)
 
 

@@ -190,3 +190,15 @@ def test_unrated_counts_meet_the_dictionary_once(spark):
     got = M.unrated_candidate_counts(ratings, items)
     assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 3), (3, 0)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_training_holds_no_blocks_in_memory(spark, monkeypatch):
+    ratings = spark.createDataFrame([(u, i, (u * i) % 5 + 1) for u in range(12) for i in range(8)], "user_id int, item_id int, rating int")
+    kept = lambda: {k: r.getStorageLevel() for k, r in spark.sparkContext._jsc.getPersistentRDDs().items()}
+    seen, fit, before = [], M.ALS.fit, set(kept())
+    monkeypatch.setattr(M.ALS, "fit", lambda als, data: seen.append(als.getIntermediateStorageLevel()) or fit(als, data))
+    model = M.train_als(ratings, max_iter=2)
+    assert model.userFactors.count() == 12 and model.itemFactors.count() == 8
+    factors = [level for k, level in kept().items() if k not in before]
+    assert len(factors) >= 2 and not any(level.useMemory() for level in factors)
+    assert seen == ["DISK_ONLY"]
