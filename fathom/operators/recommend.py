@@ -83,10 +83,11 @@ def rating_stats(ratings: DataFrame, items: DataFrame) -> DataFrame:
 
 def train_als(ratings: DataFrame, rank: int = 10, max_iter: int = 10, reg: float = 1.0, implicit: bool = False,
               alpha: float = 1.0, user_blocks: int = 10, item_blocks: int = 10, seed: int = 42,
-              checkpoint_interval: int = 10) -> ALSModel:
+              checkpoint_interval: int = 1) -> ALSModel:
     """M6: Spark ML ALS on (user_id, item_id, rating); implicit mode maps the
-    ratings through :func:`implicit_confidence`. Long runs checkpoint to the
-    session's shared checkpoint folder every ``checkpoint_interval`` iterations.
+    ratings through :func:`implicit_confidence`. It checkpoints to the
+    session's shared checkpoint folder every ``checkpoint_interval`` iterations; that also drops the shuffle files of the
+    iterations before, which else stay on disk until the training has ended.
 
     The ratings that ALS keeps in blocks for all iterations, and the factors, are kept on disk: a block is read whole by
     one task at a time, and in memory all of them stood beside the tasks that build the next ones."""

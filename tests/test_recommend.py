@@ -202,3 +202,19 @@ def test_training_holds_no_blocks_in_memory(spark, monkeypatch):
     factors = [level for k, level in kept().items() if k not in before]
     assert len(factors) >= 2 and not any(level.useMemory() for level in factors)
     assert seen == ["DISK_ONLY"]
+
+
+def test_training_leaves_no_shuffle_files_of_past_iterations(spark):
+    import time
+    from pathlib import Path
+
+    ratings = spark.createDataFrame([(u, i, (u * i) % 5 + 1) for u in range(12) for i in range(8)], "user_id int, item_id int, rating int")
+    dirs = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    shuffles = lambda: {f.name.split("_")[1] for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+    before = shuffles()
+    model = M.train_als(ratings, max_iter=9)
+    assert model.itemFactors.count() == 8
+    until = time.time() + 10
+    while len(shuffles() - before) > 9 and time.time() < until:  # files are removed in the background
+        time.sleep(0.2)
+    assert len(shuffles() - before) <= 9  # those of the blocks and the last iteration; two for each iteration otherwise
