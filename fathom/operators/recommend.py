@@ -132,51 +132,99 @@ def score_candidates(model: ALSModel, candidates: DataFrame) -> DataFrame:
 
 
 USERS, ITEMS = 262_144, 500_000  # users and items of a group, at most on average
+FIRST = 65_536  # items of the first round, about
 
 
 def top_items_per_user(model: ALSModel, ratings: DataFrame, items: DataFrame, k: int = 20, block_items: int = ITEMS,
-                       block_users: int = USERS, spread: int = 32) -> DataFrame:
+                       block_users: int = USERS, spread: int = 32, first_items: int = FIRST) -> DataFrame:
     """M8 + M9: for every user with ratings, the ``k`` best-scored dictionary items they have not rated (ties: item id
     ascending), with rank 1..k.
 
-    A block join. Users with factors are dealt by hash into lanes of about ``block_users`` (at least ``spread`` lanes, so
-    that few users still give work to many tasks), dictionary items with factors into blocks of about ``block_items``.
-    A lane and a block meet in one group, with the ratings that their pairs have; the best ``k`` unrated items of the
-    block leave per user (:func:`_block_scores`): exact, however many items someone rated. One ranking per user merges
-    the blocks. All rows are dealt, met and read by Spark: no factor reaches the driver, and a task holds one lane's users,
-    one block's items and a bounded piece of their scores.
+    Rounds of a block join (:func:`_meet`). Dictionary items with factors are taken by length of their factors, longest
+    first: about ``first_items``, then stretches of eight times the one before. After a round a user's ``k``-th best score is
+    the threshold for the next, and a user for whom no product with what is left can reach it (Cauchy-Schwarz, with room
+    for rounding) is done; the others go on. Exact, however many items someone rated and however many users go on.
 
-    What is written grows with users x blocks x k, and a block is large because the best of it are found with a
-    threshold that rises on the way, not by a selection from all scores."""
+    All rows are dealt, met and read by Spark: no factor reaches the driver. What is written grows with users x ``k``, and
+    with users that go on x blocks x ``k``."""
     spark = ratings.sparkSession
-    path = scratch_path(spark, "rated")
-    ratings.select("user_id", "item_id").distinct().write.parquet(path)  # read three times, made once
-    rated = spark.read.parquet(path)
-    known = model.itemFactors.join(items.select(F.col("item_id").alias("id")).distinct(), "id", "left_semi")
-    users = model.userFactors.withColumnRenamed("id", "user_id").join(rated.select("user_id").distinct(), "user_id", "left_semi")
-    blocks = max(1, -(-known.count() // block_items))
-    n_users = users.count()
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    length = F.sqrt(F.aggregate("features", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("length")
+    rated = stored(ratings.select("user_id", "item_id").distinct(), "rated")  # read several times, made once
+    known = stored(model.itemFactors.join(items.select(F.col("item_id").alias("id")).distinct(), "id", "left_semi")
+                   .select(F.col("id").alias("item_id"), "features", length), "known-items")
+    users = stored(model.userFactors.withColumnRenamed("id", "user_id").join(rated.select("user_id").distinct(), "user_id", "left_semi")
+                   .select("user_id", "features", length, F.lit(float("-inf")).cast("float").alias("least")), "known-users")
+    w = Window.partitionBy("user_id").orderBy(F.col("score").desc(), F.col("item_id").asc())
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    n, ends = known.count(), [first_items]
+    while ends[-1] < n:
+        ends.append(8 * ends[-1])
+    meet = lambda some, part, mine: _meet(some, part, mine, k, block_items, block_users, spread)
+    if len(ends) == 1:
+        return ranked(meet(users, known.drop("length"), rated))
+    cuts = known.agg(F.percentile_approx("length", [1 - end / n for end in ends[:-1]])).first()[0]
+    room = 1 + 1e-6 * model.rank
+    alive, best, longest = users, None, None
+    for cut in [*cuts, None]:
+        if longest is not None:
+            least = best.where(F.col("rank") == k).select("user_id", F.col("score").alias("least"))
+            alive = users.drop("least").join(least, "user_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")).cast("float")))
+            alive = stored(alive.where(F.col("length") * F.lit(longest * room) >= F.col("least").cast("double")), "going-on")
+            if alive.isEmpty():
+                break
+        low = F.lit(True) if cut is None else F.col("length") >= F.lit(cut)
+        part = stored(known.where(low if longest is None else low & (F.col("length") < F.lit(longest))).select("item_id", "features"), "stretch")
+        ids, mine = part.select("item_id"), rated
+        mine = mine.join(F.broadcast(ids) if part.count() <= 4 * FIRST else ids, "item_id", "left_semi")
+        if best is None:
+            best = stored(ranked(meet(alive, part, mine)), "best")
+        else:
+            who = alive.select("user_id")
+            found = meet(alive, part, mine.join(who, "user_id", "left_semi"))
+            again = ranked(found.unionByName(best.drop("rank").join(who, "user_id", "left_semi")))
+            best = stored(best.join(who, "user_id", "left_anti").unionByName(again), "best")
+        longest = cut
+    return best
+
+
+def _meet(users: DataFrame, items: DataFrame, rated: DataFrame, k: int, block_items: int, block_users: int, spread: int) -> DataFrame:
+    """``user_id, item_id, score``: each user's ``k`` best unrated items of every block of items, those below the user's
+    ``least`` left out.
+
+    Users are dealt by hash into lanes of about ``block_users`` (at least ``spread`` lanes, so that few users still give work
+    to many tasks), items into blocks of about ``block_items``. A lane and a block meet in one group, with the ratings that
+    their pairs have (:func:`_block_scores`): a task holds one lane's users, one block's items and a bounded piece of their
+    scores. A block is large because the best of it are found with a threshold that rises on the way, not by a selection
+    from all scores."""
+    n_items, n_users = items.count(), users.count()
+    blocks = max(1, -(-n_items // block_items))
     lanes = max(1, min(spread, n_users), -(-n_users // block_users))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int").alias("block")
     lane = F.pmod(F.xxhash64("user_id"), F.lit(lanes)).cast("int").alias("lane")
     # a row of a user has factors, one of a rating an item
-    left = users.select(lane, every(blocks).alias("block"), "user_id", "features", F.lit(None).cast("int").alias("item_id")).unionByName(
-        rated.select(lane, block, "user_id", F.lit(None).cast("array<float>").alias("features"), "item_id"))
-    packed = known.withColumnRenamed("id", "item_id").groupBy(block, F.pmod(F.hash("item_id"), F.lit(-(-block_items // 4096))).alias("row")) \
+    left = users.select(lane, every(blocks).alias("block"), "user_id", "features", "least", F.lit(None).cast("int").alias("item_id")).unionByName(
+        rated.select(lane, block, "user_id", F.lit(None).cast("array<float>").alias("features"), F.lit(None).cast("float").alias("least"), "item_id"))
+    packs = max(1, -(-min(block_items, n_items) // 4096))
+    packed = items.groupBy(block, F.pmod(F.hash("item_id"), F.lit(packs)).alias("row")) \
         .agg(F.collect_list(F.struct("item_id", "features")).alias("items"))
     right = packed.select(every(lanes).alias("lane"), "block", F.transform("items", lambda x: x["item_id"]).alias("ids"),
                           F.flatten(F.transform("items", lambda x: x["features"])).alias("features"))
-    scored = left.groupBy("lane", "block").cogroup(right.groupBy("lane", "block")) \
+    return left.groupBy("lane", "block").cogroup(right.groupBy("lane", "block")) \
         .applyInArrow(_block_scores(k), "user_id int, item_id int, score float")
-    w = Window.partitionBy("user_id").orderBy(F.col("score").desc(), F.col("item_id").asc())
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def _block_scores(k: int, users_at_once: int = 256, items_at_once: int = 1024, gather: int = 1 << 20):
     """The ``k`` best unrated items of a block per user of a lane. Items are taken by length of their factors, longest
     first, in stretches that double; after each one a user's ``k``-th best score is the threshold for the next, and a user
-    for whom no product with what is left can reach it (Cauchy-Schwarz, with room for rounding) is done."""
+    for whom no product with what is left can reach it (Cauchy-Schwarz, with room for rounding) is done. ``least``, where the
+    lane has it, is the threshold that a user begins with."""
     out = pa.schema([("user_id", pa.int32()), ("item_id", pa.int32()), ("score", pa.float32())])
     lowest = np.float32(-np.inf)
 
@@ -194,11 +242,10 @@ def _block_scores(k: int, users_at_once: int = 256, items_at_once: int = 1024, g
     def length(x: np.ndarray) -> np.ndarray:
         return np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))
 
-    def chunk(x, xn, items, y, yn, struck, buffer, flags) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def chunk(x, xn, least, items, y, yn, struck, buffer, flags) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best items of a few users; ``struck``: sorted places (user * number of items + item) of rated pairs;
         ``buffer``, ``flags``: scores and marks of one step (memory that is used again, new memory costs more than the product)."""
         n, room = len(items), 1 + 1e-6 * x.shape[1]
-        least = np.full(len(x), lowest)
         who, what, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
 
         def merge(found) -> None:
@@ -208,7 +255,7 @@ def _block_scores(k: int, users_at_once: int = 256, items_at_once: int = 1024, g
             who, what, score = w[keep], i[keep], s[keep]
             count = np.bincount(who, minlength=len(x))
             full = count >= k
-            least[full] = score[np.cumsum(count)[full] - 1]
+            least[full] = np.maximum(least[full], score[np.cumsum(count)[full] - 1])
 
         at, upto = 0, items_at_once
         while at < n:
@@ -222,11 +269,13 @@ def _block_scores(k: int, users_at_once: int = 256, items_at_once: int = 1024, g
                 cells = shape[0] * shape[1]
                 scores = np.matmul(mine, part.T, out=buffer[:cells].reshape(shape))
                 if not at:  # a first threshold; rated pairs count for nothing in it
-                    j = struck // n, struck % n
-                    inside = j[1] < len(part)
+                    row = np.full(len(x), -1)
+                    row[live] = np.arange(len(live))
+                    j = row[struck // n], struck % n
+                    inside = (j[0] >= 0) & (j[1] < len(part))
                     scores[j[0][inside], j[1][inside]] = lowest
                     if len(part) >= k:
-                        least = np.partition(scores, len(part) - k, axis=1)[:, len(part) - k].copy()
+                        least[live] = np.maximum(least[live], np.partition(scores, len(part) - k, axis=1)[:, len(part) - k])
                 w, c = np.divmod(np.flatnonzero(np.greater_equal(scores, least[live, None], out=flags[:cells].reshape(shape))), len(part))
                 s = scores[w, c]
                 w, c = live[w], c + i
@@ -251,8 +300,9 @@ def _block_scores(k: int, users_at_once: int = 256, items_at_once: int = 1024, g
         if not len(users) or not len(items):
             return out.empty_table()
         x, y = factors(u.column("features"), len(users)), factors(right.column("features"), len(items))
+        least = u.column("least").to_numpy() if "least" in u.column_names else np.full(len(users), lowest)
         order = np.argsort(users)
-        users, x = users[order], x[order]
+        users, x, least = users[order], x[order], least[order]
         yn = length(y)
         order = np.argsort(-yn, kind="stable")
         items, y, yn = items[order], y[order], yn[order]
@@ -269,7 +319,7 @@ def _block_scores(k: int, users_at_once: int = 256, items_at_once: int = 1024, g
         for at in range(0, len(users), users_at_once):
             end = min(at + users_at_once, len(users))
             lo, hi = np.searchsorted(struck, (at * len(items), end * len(items)))
-            who, what, score = chunk(x[at:end], xn[at:end], items, y, yn, struck[lo:hi] - at * len(items), buffer, flags)
+            who, what, score = chunk(x[at:end], xn[at:end], least[at:end], items, y, yn, struck[lo:hi] - at * len(items), buffer, flags)
             got.append((users[at + who], items[what], score))
         return pa.table([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*got), out)], schema=out)
 

@@ -218,3 +218,48 @@ def test_training_leaves_no_shuffle_files_of_past_iterations(spark):
     while len(shuffles() - before) > 9 and time.time() < until:  # files are removed in the background
         time.sleep(0.2)
     assert len(shuffles() - before) <= 9  # those of the blocks and the last iteration; two for each iteration otherwise
+
+
+def _skewed(rng, n, far):
+    x = rng.normal(size=(n, 3)) * np.where(np.arange(n) % 10, 1, far)[:, None]
+    return [(i, [float(v) for v in row]) for i, row in enumerate(x.astype(np.float32))]
+
+
+def test_rounds_by_length_equal_brute_force(spark, monkeypatch):
+    """Some users end after the longest items; one who rated those goes on, and one of length 0 through all rounds."""
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(4)
+    users, items = _skewed(rng, 40, 1), _skewed(rng, 200, 30)
+    users[7] = (7, [0.0, 0.0, 0.0])
+    frame = lambda rows: spark.createDataFrame(rows, "id int, features array<float>")
+    model = SimpleNamespace(userFactors=frame(users), itemFactors=frame(items), rank=3)
+    rated = [(int(u), int(i)) for u, i in zip(rng.integers(0, 40, 200), rng.integers(0, 200, 200))]
+    rated += [(9, i) for i in range(0, 200, 10)] + [(u, 1) for u in range(40)]
+    ratings = spark.createDataFrame(rated, "user_id int, item_id int")
+    names = spark.createDataFrame([(i, "t") for i in range(190)], "item_id int, title string")
+    met, meet = [], M._meet
+    monkeypatch.setattr(M, "_meet", lambda some, *a: met.append({r[0] for r in some.select("user_id").collect()}) or meet(some, *a))
+    got = M.top_items_per_user(model, ratings, names, 4, block_items=30, block_users=9, spread=3, first_items=12).collect()
+    x, y = (np.array([f for _, f in rows], np.float64) for rows in (users, items))
+    scores = x @ y.T
+    scores[tuple(zip(*rated))] = -np.inf
+    scores[:, 190:] = -np.inf
+    for u in range(40):
+        want = sorted((-s, i) for i, s in enumerate(scores[u]) if np.isfinite(s))[:4]
+        mine = sorted((r["rank"], r["item_id"], r["score"]) for r in got if r["user_id"] == u)
+        assert [i for _, i, _ in mine] == [i for _, i in want] and [r for r, _, _ in mine] == [1, 2, 3, 4]
+        assert np.allclose([s for _, _, s in mine], [-s for s, _ in want], atol=1e-4)
+    assert met[0] == set(range(40)) and 0 < len(met[1]) < 40 and {7, 9} <= met[1] and all(7 in m for m in met) and len(met) > 2
+
+
+def test_rounds_of_equal_lengths(spark):
+    """All items are equally long, so none can be told apart: the blocks stay small and nothing is lost."""
+    from types import SimpleNamespace
+
+    frame = lambda n: spark.createDataFrame([(i, [1.0, 1.0]) for i in range(n)], "id int, features array<float>")
+    ratings = spark.createDataFrame([(u, u) for u in range(6)], "user_id int, item_id int")
+    names = spark.createDataFrame([(i, "t") for i in range(50)], "item_id int, title string")
+    got = M.top_items_per_user(SimpleNamespace(userFactors=frame(6), itemFactors=frame(50), rank=2), ratings, names, 3, block_items=8, first_items=10)
+    assert sorted((r["user_id"], r["rank"], r["item_id"]) for r in got.collect()) == \
+        [(u, rank, i) for u in range(6) for rank, i in enumerate([i for i in range(50) if i != u][:3], 1)]
